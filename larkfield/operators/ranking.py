@@ -278,5 +278,40 @@ def ordered_chunks(df: DataFrame, group: Sequence[str], order: Sequence[OrderIte
             .agg(F.transform(pairs, lambda p: p["_v"]).alias(name)))
 
 
+def values_at_ranks(df: DataFrame, column: str, ranks: Sequence[int],
+                    n_ranges: int | None = None) -> dict[int, float]:
+    """The values at the given ascending ranks (1 = smallest); a few rows reach the driver.
+
+    Ranges that hold none of the ranks are counted but not sorted.
+    """
+    ranged = range_split(df.select(column), [(column, "asc")], (), n_ranges)
+    counts = sorted((r[0], r[1]) for r in ranged.df.groupBy(BUCKET).count().collect())
+    before, needed = 0, {}
+    for number, count in counts:
+        local = [r - before for r in ranks if before < r <= before + count]
+        if local:
+            needed[number] = (before, local)
+        before += count
+    # Equal values collapse first, so a value that fills a third of the rows is one row here.
+    tallies = (ranged.df.where(F.col(BUCKET).isin(*needed)).groupBy(BUCKET, column)
+               .agg(F.count("*").alias("_c")))
+    window = Window.partitionBy(BUCKET).orderBy(column)
+    tallies = tallies.withColumn("_to", F.sum("_c").over(window)).withColumn(
+        "_from", F.col("_to") - F.col("_c"))
+    hit = F.lit(False)
+    for number, (_, local) in needed.items():
+        inside = F.lit(False)
+        for r in local:
+            inside = inside | ((F.col("_from") < r) & (F.col("_to") >= r))
+        hit = hit | ((F.col(BUCKET) == number) & inside)
+    found = {}
+    for row in tallies.where(hit).collect():
+        start, local = needed[row[BUCKET]]
+        for r in local:
+            if row["_from"] < r <= row["_to"]:
+                found[start + r] = row[column]
+    return found
+
+
 __all__ = ["RangedFrame", "first_rows", "next_values", "ordered_chunks",
-           "quantile_buckets", "range_split", "row_numbers", "running"]
+           "quantile_buckets", "range_split", "row_numbers", "running", "values_at_ranks"]

@@ -1,4 +1,5 @@
 """All registered queries."""
 
+from larkfield.plans import queries_columns  # noqa: F401
 from larkfield.plans import queries_ranking  # noqa: F401
 from larkfield.plans.registry import QUERIES, SQL  # noqa: F401

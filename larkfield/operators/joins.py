@@ -58,7 +58,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     others = [F.col(c) for c in left.columns if c not in keys]
     spread = left.join(table, keys, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64(*(others or [F.rand(5)])), F.col("_salts"))).cast("int")).drop("_salts")
+            F.pmod(F.xxhash64(*others, F.spark_partition_id()), F.col("_salts"))).cast("int")
+    ).drop("_salts")
     repeated = right.join(table, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))
     ).drop("_salts")

@@ -30,7 +30,12 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(Tables(spark, folder))
+
+        run.source = fn.__module__
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql.strip()
         return fn

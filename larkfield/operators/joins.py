@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkfield.session import small_side
 
-HOT_SHARE = 200
+HOT_KEYS = 1000
 SALT_ROWS = 500_000
 
 
@@ -23,47 +23,52 @@ def with_group_values(df: DataFrame, values: DataFrame, keys: Sequence[str]) ->
     return df.join(side, match, "left").select(*df.columns, *extra)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE,
-             min_rows: int = SALT_ROWS) -> DataFrame:
-    """Keys with more than 1/``share`` of the rows, and their counts.
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = SALT_ROWS) -> dict[tuple, int]:
+    """The most frequent keys with over ``min_rows`` rows, and their counts.
 
-    At most ``share`` rows by construction. The counting is a partial aggregation, so a
-    hot key is reduced before the shuffle.
+    At most ``HOT_KEYS`` of them reach the driver; any other key has less than
+    1/``HOT_KEYS`` of the rows. The counting is a partial aggregation, so a hot key is
+    reduced before the shuffle.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = max(df.select(*keys).count() // share, min_rows)
-    return counts.where(F.col("_rows") > limit)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > min_rows)
+    top = counts.orderBy(F.desc("_rows")).limit(HOT_KEYS)
+    return {tuple(r[k] for k in keys): r["_rows"] for r in top.collect()}
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                condition: Column | None = None, hot: DataFrame | None = None,
-                min_rows: int = SALT_ROWS) -> DataFrame:
-    """Inner equi-join on ``keys`` with hot keys of ``left`` spread over several tasks.
-
-    Rows of a hot key get one of n salts by hash, and the matching right rows are
-    repeated n times, so every pair is made exactly once. Other keys join unsalted.
+                condition: Column | None = None, hot: dict[tuple, tuple[int, int]] | None = None,
+                min_rows: int = SALT_ROWS, check_right: bool = True) -> DataFrame:
+    """Inner equi-join on ``keys`` with hot keys spread over several tasks.
+
+    A key with many left rows gets several left salts by hash and its right rows are
+    repeated for each of them, and the other way round, so every pair is made exactly once.
+    Other keys join unsalted. ``hot`` gives (left rows, right rows) per hot key when the
+    caller knows them; ``check_right=False`` skips counting a right side without hot keys.
     Key names must be equal on both sides and other names distinct.
     """
     keys = list(keys)
     if hot is None:
-        hot = hot_keys(left, keys, min_rows=min_rows)
-    rows = hot.collect()  # at most HOT_SHARE rows
-    if not rows:
+        of_left = hot_keys(left, keys, min_rows)
+        of_right = hot_keys(right, keys, min_rows) if check_right else {}
+        hot = {k: (of_left.get(k, 0), of_right.get(k, 0)) for k in {**of_left, **of_right}}
+    if not hot:
         joined = left.join(right, keys)
         return joined if condition is None else joined.where(condition)
     spark = left.sparkSession
-    salts = [tuple(r[k] for k in keys) + (math.ceil(r["_rows"] / min_rows) + 1,) for r in rows]
+    salts = [(*k, math.ceil(max(n, 1) / min_rows), math.ceil(max(m, 1) / min_rows))
+             for k, (n, m) in hot.items()]
     fields = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
-    table = F.broadcast(spark.createDataFrame(salts, f"{fields}, _salts int"))
-    others = [F.col(c) for c in left.columns if c not in keys]
-    spread = left.join(table, keys, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64(*others, F.spark_partition_id()), F.col("_salts"))).cast("int")
-    ).drop("_salts")
-    repeated = right.join(table, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))
-    ).drop("_salts")
-    joined = spread.join(repeated, [*keys, "_salt"]).drop("_salt")
+    table = F.broadcast(spark.createDataFrame(salts, f"{fields}, _n int, _m int"))
+
+    def spread(df: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+        row = F.xxhash64(*[F.col(c) for c in df.columns if c not in keys], F.spark_partition_id())
+        salted = df.join(table, keys, "left").withColumn(
+            own, F.coalesce(F.pmod(row, F.col(own_count)), F.lit(0)).cast("int"))
+        repeats = F.sequence(F.lit(0), F.coalesce(F.col(other_count), F.lit(1)) - 1)
+        return salted.withColumn(other, F.explode(repeats)).drop("_n", "_m")
+
+    joined = spread(left, "_ls", "_n", "_rs", "_m").join(
+        spread(right, "_rs", "_m", "_ls", "_n"), [*keys, "_ls", "_rs"]).drop("_ls", "_rs")
     return joined if condition is None else joined.where(condition)
 
 

@@ -48,7 +48,7 @@ def contact_list(usages: Sequence[DataFrame], batches: DataFrame, numbers: DataF
     inside = ((F.col("start_date") <= F.date_sub("report_date", offset))
               & (F.col("start_date") >= F.date_sub("report_date", offset + depth)))
     wanted = batches.select("subs_id", "report_date").distinct()
-    joined = salted_join(rows, wanted, ["subs_id"], inside)
+    joined = salted_join(rows, wanted, ["subs_id"], inside, check_right=False)
     out = joined.select("subs_id", "report_date", normalize_phone(F.col("contact")).alias("contact")).distinct()
     out = out.withColumn("batchname", F.lit(batch_name))
     return out if with_report_date else out.select("subs_id", "contact", "batchname")

@@ -11,9 +11,9 @@ SCORED_SQL = """SELECT o_orderkey AS id, CAST(o_orderpriority = '1-URGENT' AS IN
  round((o_totalprice / 500000.0 + 0.1 * CAST(o_orderpriority = '1-URGENT' AS INTEGER)) / 1.1, 3) AS p FROM orders"""
 
 
-def scored(t):
+def scored(t, condition: str = "true"):
     y = (F.col("o_orderpriority") == "1-URGENT").cast("int")
-    return t.orders.select(F.col("o_orderkey").alias("id"), y.alias("y"),
+    return t.orders.where(condition).select(F.col("o_orderkey").alias("id"), y.alias("y"),
                            F.round((F.col("o_totalprice") / 500000.0 + 0.1 * y) / 1.1, 3).alias("p"))
 
 
@@ -71,8 +71,8 @@ def best_f1_threshold(t):
 
 
 @query("metrics_at_best_f1", f"""
-WITH a AS ({SCORED_SQL}), s AS (SELECT * FROM a WHERE id % 2 = 0), {TABLE_SQL}, b AS (SELECT p AS threshold FROM f ORDER BY f1 DESC, p DESC LIMIT 1),
- t AS (SELECT * FROM a WHERE id % 2 = 1),
+WITH a AS ({SCORED_SQL.replace('SELECT', 'SELECT o_orderdate AS day,', 1)}), s AS (SELECT * FROM a WHERE day < TIMESTAMP '1998-01-01'), {TABLE_SQL}, b AS (SELECT p AS threshold FROM f ORDER BY f1 DESC, p DESC LIMIT 1),
+ t AS (SELECT * FROM a WHERE day >= TIMESTAMP '1998-01-01'),
  m AS (SELECT count(*) FILTER (p >= threshold AND y = 1) AS tp, count(*) FILTER (p >= threshold AND y = 0) AS fp, count(*) FILTER (p < threshold AND y = 1) AS fn, count(*) FILTER (p < threshold AND y = 0) AS tn, any_value(threshold) AS threshold FROM t, b),
  tg AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM t GROUP BY p),
  w AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM tg),
@@ -80,9 +80,10 @@ WITH a AS ({SCORED_SQL}), s AS (SELECT * FROM a WHERE id % 2 = 0), {TABLE_SQL},
 SELECT threshold, round(2 * tp / (2 * tp + fp + fn), 10) AS f1, round(roc_auc, 10) AS roc_auc, round(tp / (tp + fp), 10) AS "precision", round(tp / (tp + fn), 10) AS recall, round((tp + tn) / (tp + tn + fp + fn), 10) AS accuracy FROM m, u
 """)
 def metrics_at_best_f1(t):
-    """Threshold from the even half (validation), measures on the odd half (test)."""
-    rows = scored(t)
-    out = metrics.metrics_at_best_f1(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "p", "y")
+    """Threshold from the earlier orders (validation), measures on the later ones (test)."""
+    valid, test = [scored(t, part) for part in ("o_orderdate < timestamp_ntz '1998-01-01'",
+                                                "o_orderdate >= timestamp_ntz '1998-01-01'")]
+    out = metrics.metrics_at_best_f1(valid, test, "p", "y")
     names = ["f1", "roc_auc", "precision", "recall", "accuracy"]
     return out.select("threshold", *[F.round(c, 10).alias(c) for c in names])
 

@@ -120,7 +120,7 @@ CONTACT_SQL = "'8' || lpad(CAST(o_orderkey % 500 AS STRING), 10, '0')"
 
 
 def _usage(t, billing: bool):
-    rows = t.orders.where((F.col("o_orderkey") % 2 == 1) if billing else (F.col("o_orderkey") % 2 == 0))
+    rows = t.orders.where("o_orderstatus = 'F'" if billing else "o_orderstatus <> 'F'")
     return rows.select(
         F.col("o_custkey").alias("subs_id"), (F.col("o_orderkey") % 3).cast("int").alias("usage_type_id"),
         F.expr(CONTACT_SQL).alias("a_number"), F.concat(F.lit("x"), F.col("o_orderkey")).alias("b_number"),

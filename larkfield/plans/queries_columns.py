@@ -281,14 +281,14 @@ def kml_colour(t):
 # --- features -----------------------------------------------------------------------------
 
 FEATURES_SQL = """SELECT o_custkey AS subs_id, CAST(count(*) AS DOUBLE) - 12 AS rc, count(*) AS add_sim_cnt,
- round(sum(o_totalprice) / 100, 2) AS sum_ses_mou, CAST(count(*) AS DOUBLE) / 64 AS io_voice_traf_ratio,
+ round(sum(o_totalprice), 2) AS sum_ses_mou, CAST(count(*) AS DOUBLE) / 64 AS io_voice_traf_ratio,
  min(o_totalprice) AS mou FROM orders GROUP BY o_custkey"""
 
 
 def customer_features(t):
     return t.orders.groupBy(F.col("o_custkey").alias("subs_id")).agg(
         (F.count("*").cast("double") - 12).alias("rc"), F.count("*").alias("add_sim_cnt"),
-        F.round(F.sum("o_totalprice") / 100, 2).alias("sum_ses_mou"),
+        F.round(F.sum("o_totalprice"), 2).alias("sum_ses_mou"),
         (F.count("*").cast("double") / 64).alias("io_voice_traf_ratio"),
         F.min("o_totalprice").alias("mou"))
 

@@ -133,7 +133,7 @@ def buffer_metres(df: DataFrame, metres: float, geom: str = "geom", output: str
         xs, ys, F.lit(float(metres)), F.lit(quadrant_steps))))
     ring = F.zip_with(F.col("_ring.x"), F.col("_ring.y"), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     shape = F.struct(F.lit("POLYGON").alias("type"), F.array(F.array(ring)).alias("parts"))
-    text = F.when(F.col("_ring").isNotNull(), to_wkt(unproject(shape, F.col("central"))))
+    text = F.when(F.col("_ring.x").isNotNull(), to_wkt(unproject(shape, F.col("central"))))
     return (grown.withColumn(output, text).withColumn(f"{output}_supported", F.col(output).isNotNull())
             .drop("_utm", "_ring", "zone", "central"))
 

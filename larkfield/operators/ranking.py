@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkfield.operators.joins import hot_keys
 
 BUCKET = "_range"
 _SAMPLE_PER_RANGE = 32
 _ROWS_PER_RANGE = 2_000_000
-_MIN_ROWS_PER_RANGE = 2_000
+# Below this, one sorted task beats the extra passes that ranges need.
+_MIN_ROWS_PER_RANGE = 200_000
 _MAX_RANGES = 16_384
 
 OrderItem = tuple[str, str]
@@ -81,7 +83,8 @@ def _range_number(cuts: Sequence[Row], names: Sequence[str], directions: Sequenc
 
 
 def range_split(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str] = (),
-                n_ranges: int | None = None, seed: int = 17) -> RangedFrame:
+                n_ranges: int | None = None, seed: int = 17,
+                rows_per_range: int = _ROWS_PER_RANGE) -> RangedFrame:
     """Give every row a range number along ``group`` then ``order``.
 
     ``order`` must end in a column that makes the key unique, or ties stay arbitrary.
@@ -97,7 +100,7 @@ def range_split(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str]
     n_rows = keys.count()
     if n_ranges is None:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        wanted = max(math.ceil(n_rows / _ROWS_PER_RANGE),
+        wanted = max(math.ceil(n_rows / rows_per_range),
                      min(cores, math.ceil(n_rows / _MIN_ROWS_PER_RANGE)))
         n_ranges = min(max(wanted, 1), _MAX_RANGES)
     cuts: list[Row] = []
@@ -146,14 +149,38 @@ def _carried_totals(ranged: RangedFrame, sums: Mapping[str, str]) -> DataFrame |
                          *[F.col(g).alias(f"_g{i}") for i, g in enumerate(ranged.group)], *columns)
 
 
+def _hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Split off the rows of groups too large for one task: (other rows, rows of hot groups)."""
+    hot = hot_keys(df, group, hot_rows)
+    if not hot:
+        return df, None
+    schema = T.StructType([T.StructField(f"_h{i}", df.schema[g].dataType) for i, g in enumerate(group)])
+    keys = F.broadcast(df.sparkSession.createDataFrame(list(hot), schema))
+    match = [F.col(g).eqNullSafe(F.col(f"_h{i}")) for i, g in enumerate(group)]
+    return df.join(keys, match, "left_anti"), df.join(keys, match, "left_semi")
+
+
 def running(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str] = (),
             rank: str | None = "rank", sums: Mapping[str, str] | None = None,
-            n_ranges: int | None = None, ranged: RangedFrame | None = None) -> DataFrame:
+            n_ranges: int | None = None, ranged: RangedFrame | None = None,
+            hot_rows: int = _ROWS_PER_RANGE) -> DataFrame:
     """Row number and running sums along ``order``, restarting per ``group``.
 
-    ``sums`` maps an output column to the input column to add up.
+    ``sums`` maps an output column to the input column to add up. Groups of at most
+    ``hot_rows`` rows take one shuffle by group; larger ones are cut into ranges.
     """
     sums = dict(sums or {})
+    if group and ranged is None and n_ranges is None:
+        cold, hot = _hot_groups(df, group, hot_rows)
+        window = Window.partitionBy(*group).orderBy(*[_sort_column(i) for i in order])
+        window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        columns = [F.row_number().over(window).cast("long").alias(rank)] if rank else []
+        columns += [F.sum(source).over(window).alias(name) for name, source in sums.items()]
+        out = cold.select(*df.columns, *columns)
+        if hot is None:
+            return out
+        return out.unionByName(running(hot, order, group, rank, sums, ranged=range_split(
+            hot, order, group, rows_per_range=hot_rows)))
     ranged = ranged or range_split(df, order, group, n_ranges)
     out = ranged.df
     window = Window.partitionBy(BUCKET, *ranged.group).orderBy(*ranged.sort_columns())
@@ -197,7 +224,7 @@ def quantile_buckets(df: DataFrame, order: Sequence[OrderItem], buckets: int = 9
 
 
 def first_rows(df: DataFrame, order: Sequence[OrderItem], k: int,
-               n_ranges: int | None = None, take_ordered_limit: int = 10_000) -> DataFrame:
+               n_ranges: int | None = None, take_ordered_limit: int = 1_000) -> DataFrame:
     """The first ``k`` rows of ``order``.
 
     A small ``k`` uses Spark's per-task top-k. A large ``k`` would merge ``k`` rows of
@@ -209,6 +236,8 @@ def first_rows(df: DataFrame, order: Sequence[OrderItem], k: int,
     ranged = range_split(df, order, (), n_ranges)
     if ranged.n_rows <= k:
         return df
+    if ranged.n_ranges == 1:
+        return df.orderBy(*ranged.sort_columns()).limit(k)
     counts = sorted((r[0], r[1]) for r in ranged.df.groupBy(BUCKET).count().collect())
     seen, before, last = 0, 0, 0
     for number, count in counts:
@@ -222,13 +251,22 @@ def first_rows(df: DataFrame, order: Sequence[OrderItem], k: int,
 
 
 def next_values(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str],
-                columns: Mapping[str, str], n_ranges: int | None = None) -> DataFrame:
+                columns: Mapping[str, str], n_ranges: int | None = None,
+                hot_rows: int = _ROWS_PER_RANGE) -> DataFrame:
     """``LEAD`` by one row inside each group; a hot group spans several tasks.
 
-    ``columns`` maps an output column to the column of the following row. The last row
-    of a range takes its value from the first row of the next non-empty range when both
-    belong to one group.
+    ``columns`` maps an output column to the column of the following row. In a hot group
+    the last row of a range takes its value from the first row of the next range that
+    holds rows of the group.
     """
+    if group and n_ranges is None:
+        cold, hot = _hot_groups(df, group, hot_rows)
+        window = Window.partitionBy(*group).orderBy(*[_sort_column(i) for i in order])
+        out = cold.select(*df.columns, *[F.lead(c).over(window).alias(o) for o, c in columns.items()])
+        if hot is None:
+            return out
+        parts = max(2, math.ceil(hot.count() / hot_rows))
+        return out.unionByName(next_values(hot, order, group, columns, parts))
     ranged = range_split(df, order, group, n_ranges)
     window = Window.partitionBy(BUCKET, *ranged.group).orderBy(*ranged.sort_columns())
     lead = [F.lead(F.struct(*[F.col(c) for c in columns.values()])).over(window).alias("_next")]

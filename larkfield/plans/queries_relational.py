@@ -436,12 +436,11 @@ def limit_top_n(t):
 
 
 @query("top_k_by_score", """
-SELECT l_orderkey, l_partkey, l_extendedprice FROM (SELECT DISTINCT l_orderkey, l_partkey, l_extendedprice, l_orderkey * 1000000 + l_partkey AS id FROM lineitem) ORDER BY l_extendedprice DESC, id LIMIT 20000
+SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey LIMIT 20000
 """)
 def top_k_by_score(t):
-    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice",
-                             (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("id")).distinct()
-    return sampling.top_k_by_score(rows, "l_extendedprice", "id", 20000).drop("id")
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice")
+    return first_rows(rows, [("l_extendedprice", "desc"), ("l_orderkey", "asc"), ("l_partkey", "asc")], 20000)
 
 
 # --- sampling -----------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,14 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """
     rows = df.limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that later filters do not compute them again.
+
+    Spark pushes a filter on a computed column below the projection by repeating the
+    expression, and join keys bring such filters along. The columns therefore come out of
+    a generator over a one-element array, which filters do not pass.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.functions.text import describe_row
+from larkfield.session import computed_once
 from larkfield.spatial.wkt import _number, mbr, parse_wkt
 
 # Layers and the geometry types each one takes.
@@ -129,10 +130,9 @@ def placemarks(df: DataFrame, layer: str, geometry: str, name: str | None = None
     if label is None:
         raise ValueError("name the rows with a name column or a row_id column")
     wanted = description_columns(df.columns, geometry, label, description, excluded)
-    read = df.withColumn("_g", parse_wkt(F.col(geometry)))
+    read = computed_once(df, _g=parse_wkt(F.col(geometry)))
     fits = F.coalesce(F.col("_g")["type"].isin(*LAYERS[layer]), F.lit(False))
-    good, bad = read.where(fits), df.where(~F.coalesce(
-        parse_wkt(F.col(geometry))["type"].isin(*LAYERS[layer]), F.lit(False)))
+    good, bad = read.where(fits), read.where(~fits).select(*df.columns)
     shapes = F.transform(F.col("_g")["parts"], lambda part: _shape(layer, part, altitude))
     body = F.when(F.col("_g")["type"].startswith("MULTI"), F.concat(
         F.lit("<MultiGeometry>"), F.array_join(shapes, ""), F.lit("</MultiGeometry>"))).otherwise(F.get(shapes, F.lit(0)))

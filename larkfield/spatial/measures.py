@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.operators.joins import range_join
+from larkfield.session import computed_once
 from larkfield.spatial.projection import project, unproject, utm_zones
 from larkfield.spatial.shapes import convex_buffer
 from larkfield.spatial.wkt import all_points, let, to_wkt
@@ -55,8 +56,11 @@ def _rings_area(rings: Column) -> Column:
 
 def planar_area(geom: Column) -> Column:
     """Area of polygons, holes taken off; 0 for points and lines."""
-    area = _sum(F.transform(geom["parts"], _rings_area))
-    return F.when(geom["type"].endswith("POLYGON"), area).when(geom.isNotNull(), F.lit(0.0))
+    def of(g: Column) -> Column:
+        area = _sum(F.transform(g["parts"], _rings_area))
+        return F.when(g["type"].endswith("POLYGON"), area).when(g.isNotNull(), F.lit(0.0))
+
+    return let(geom, of)
 
 
 def _centre(kind: Column, parts: Column) -> Column:
@@ -104,7 +108,7 @@ def with_zone(df: DataFrame, geom: str = "geom") -> DataFrame:
 
     Both bounds of a zone count, so a centroid exactly on a bound gives two rows.
     """
-    located = df.withColumn("_cx", centroid(F.col(geom))["x"])
+    located = computed_once(df, _cx=centroid(F.col(geom))["x"])
     zones = utm_zones(df.sparkSession)
     return range_join(located, "_cx", zones, "lon_min", "lon_max", 6.0).drop("_cx", "lon_min", "lon_max")
 
@@ -125,7 +129,7 @@ def buffer_metres(df: DataFrame, metres: float, geom: str = "geom", output: str
     ``<output>_supported`` is false.
     """
     zoned = with_zone(df, geom)
-    metric = zoned.withColumn("_utm", project(F.col(geom), F.col("central")))
+    metric = computed_once(zoned, _utm=project(F.col(geom), F.col("central")))
     xs = F.transform(all_points(F.col("_utm")), lambda p: p["x"])
     ys = F.transform(all_points(F.col("_utm")), lambda p: p["y"])
     single = (F.size(F.col("_utm")["parts"]) == 1) & (F.size(F.get(F.col("_utm")["parts"], F.lit(0))) == 1)
@@ -178,6 +182,6 @@ def within_metres(df: DataFrame, metres: float, lon: str, lat: str, geom: str =
     point = F.struct(F.lit("POINT").alias("type"), F.array(F.array(F.array(F.struct(
         F.col(lon).alias("x"), F.col(lat).alias("y"))))).alias("parts"))
     at = F.get(all_points(project(point, F.col("central"))), F.lit(0))
-    moved = zoned.withColumn("_utm", project(F.col(geom), F.col("central"))).withColumn("_at", at)
+    moved = computed_once(zoned, _utm=project(F.col(geom), F.col("central")), _at=at)
     near = distance_metres(F.col("_utm"), F.col("_at.x"), F.col("_at.y")) <= metres
     return moved.withColumn(output, near).drop("_utm", "_at", "zone", "central")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkfield.session import computed_once
+
 TYPES = ["POINT", "MULTIPOINT", "LINESTRING", "MULTILINESTRING", "POLYGON", "MULTIPOLYGON"]
 GEOMETRY = "struct<type:string,parts:array<array<array<struct<x:double,y:double>>>>>"
 _OUTLINE = r"(?i)^\s*(MULTI)?(POINT|LINESTRING|POLYGON)\s*(\(.*\))\s*$"
@@ -22,12 +24,13 @@ def _bare(text: Column) -> Column:
 
 
 def _points(text: Column) -> Column:
+    def numbers(n: Column) -> Column:
+        x, y = F.get(n, F.lit(0)).try_cast("double"), F.get(n, F.lit(1)).try_cast("double")
+        return F.when(F.size(n).between(2, 3), F.struct(x.alias("x"), y.alias("y")))
+
     def point(pair: Column) -> Column:
-        numbers = F.split(F.trim(pair), r"\s+")
-        x = F.get(numbers, F.lit(0)).try_cast("double")
-        y = F.get(numbers, F.lit(1)).try_cast("double")
-        good = F.size(numbers).between(2, 3) & x.isNotNull() & y.isNotNull()
-        return F.when(good, F.struct(x.alias("x"), y.alias("y")))
+        read = let(F.split(F.trim(pair), r"\s+"), numbers)
+        return let(read, lambda p: F.when(p["x"].isNotNull() & p["y"].isNotNull(), p))
 
     return F.transform(F.split(text, ","), point)
 
@@ -66,7 +69,7 @@ def _geometry(pieces: Column) -> Column:
 
 def with_geometry(df: DataFrame, text: str, output: str = "geom", bad: str = "is_bad") -> DataFrame:
     """Add the geometry and a flag for text that cannot be read; no stand-in shape is made."""
-    return df.withColumn(output, parse_wkt(F.col(text))).withColumn(
+    return computed_once(df, **{output: parse_wkt(F.col(text))}).withColumn(
         bad, F.col(text).isNotNull() & F.col(output).isNull())
 
 
@@ -107,8 +110,7 @@ def mbr(geom: Column) -> Column:
 
 
 def with_mbr(df: DataFrame, geom: str = "geom") -> DataFrame:
-    box = mbr(F.col(geom))
-    return df.select("*", box.alias("_b")).select(*df.columns, "_b.xmin", "_b.ymin", "_b.xmax", "_b.ymax")
+    return computed_once(df, _b=mbr(F.col(geom))).select(*df.columns, "_b.xmin", "_b.ymin", "_b.xmax", "_b.ymax")
 
 
 def split_parts(df: DataFrame, geom: str = "geom") -> DataFrame:

@@ -44,6 +44,14 @@ def test_rank_per_group_with_hot_group(frame, n_ranges):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
 
 
+def test_only_hot_groups_are_cut(frame):
+    window = Window.partitionBy("grp").orderBy(F.desc_nulls_last("score"), "id")
+    wanted = frame.select("id", F.row_number().over(window).alias("r"), F.lead("id").over(window).alias("n"))
+    got = ranking.running(frame, ORDER, ["grp"], rank="r", hot_rows=300).select("id", "r")
+    nxt = ranking.next_values(frame, ORDER, ["grp"], {"n": "id"}, hot_rows=300).select("id", "n")
+    assert sorted(map(str, got.join(nxt, "id").collect())) == sorted(map(str, wanted.collect()))
+
+
 def test_hot_score_is_spread_over_ranges(frame):
     ranged = ranking.range_split(frame, ORDER, n_ranges=12)
     sizes = [r["count"] for r in ranged.df.groupBy(ranking.BUCKET).count().collect()]

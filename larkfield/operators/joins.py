@@ -37,14 +37,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = SALT_ROWS) -> d
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                 condition: Column | None = None, hot: dict[tuple, tuple[int, int]] | None = None,
-                min_rows: int = SALT_ROWS, check_right: bool = True) -> DataFrame:
+                min_rows: int = SALT_ROWS, check_right: bool = True, hint: str | None = None) -> DataFrame:
     """Inner equi-join on ``keys`` with hot keys spread over several tasks.
 
     A key with many left rows gets several left salts by hash and its right rows are
     repeated for each of them, and the other way round, so every pair is made exactly once.
     Other keys join unsalted. ``hot`` gives (left rows, right rows) per hot key when the
     caller knows them; ``check_right=False`` skips counting a right side without hot keys.
-    Key names must be equal on both sides and other names distinct.
+    ``hint`` names a join strategy for the right side. Key names must be equal on both
+    sides and other names distinct.
     """
     keys = list(keys)
     if hot is None:
@@ -52,7 +53,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
         of_right = hot_keys(right, keys, min_rows) if check_right else {}
         hot = {k: (of_left.get(k, 0), of_right.get(k, 0)) for k in {**of_left, **of_right}}
     if not hot:
-        joined = left.join(right, keys)
+        joined = left.join(right if hint is None else right.hint(hint), keys)
         return joined if condition is None else joined.where(condition)
     spark = left.sparkSession
     salts = [(*k, math.ceil(max(n, 1) / min_rows), math.ceil(max(m, 1) / min_rows))
@@ -67,8 +68,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
         repeats = F.sequence(F.lit(0), F.coalesce(F.col(other_count), F.lit(1)) - 1)
         return salted.withColumn(other, F.explode(repeats)).drop("_n", "_m")
 
-    joined = spread(left, "_ls", "_n", "_rs", "_m").join(
-        spread(right, "_rs", "_m", "_ls", "_n"), [*keys, "_ls", "_rs"]).drop("_ls", "_rs")
+    repeated = spread(right, "_rs", "_m", "_ls", "_n")
+    repeated = repeated if hint is None else repeated.hint(hint)
+    joined = spread(left, "_ls", "_n", "_rs", "_m").join(repeated, [*keys, "_ls", "_rs"]).drop("_ls", "_rs")
     return joined if condition is None else joined.where(condition)
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.operators.joins import HOT_KEYS, hot_keys, salted_join
+from larkfield.session import checkpointed
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
+PAIRS_PER_BOX = 8
 
 
 @dataclass(frozen=True)
@@ -110,14 +112,22 @@ def _side(df: DataFrame, key: str, box: Sequence[str], prefix: str, extra: Seque
                      *[F.col(c).alias(f"{prefix}_{c}") for c in extra])
 
 
-def _busy_cells(a: DataFrame, b: DataFrame, pairs: int, rows: int) -> dict[int, tuple[int, int]]:
-    """Boxes of either side in the busiest cells, at most HOT_KEYS cells, by one job."""
+def _cell_loads(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Boxes of both sides per cell that both have: at most one row per grid cell.
+
+    Stored, because it is read twice and one pass over the boxes is enough.
+    """
     both = a.select("cell_id", F.lit(1).alias("na"), F.lit(0).alias("nb")).unionAll(
         b.select("cell_id", F.lit(0).alias("na"), F.lit(1).alias("nb")))
     counts = both.groupBy("cell_id").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    return checkpointed(counts.where((F.col("na") > 0) & (F.col("nb") > 0)))
+
+
+def _busy_cells(counts: DataFrame, pairs: int, rows: int) -> dict[int, tuple[int, int]]:
+    """Boxes of either side in the busiest cells, at most HOT_KEYS cells."""
     load = F.greatest(F.col("na").cast("double") * F.col("nb") / pairs, F.col("na") / rows, F.col("nb") / rows)
-    busy = counts.where((F.col("na") > 0) & (F.col("nb") > 0)).withColumn("load", load).where("load > 1")
-    return {r["cell_id"]: (r["na"], r["nb"]) for r in busy.orderBy(F.desc("load")).limit(HOT_KEYS).collect()}
+    busy = counts.withColumn("load", load).where("load > 1").orderBy(F.desc("load"), "cell_id").limit(HOT_KEYS)
+    return {r["cell_id"]: (r["na"], r["nb"]) for r in busy.collect()}
 
 
 def _refined(df: DataFrame, prefix: str, grid: Grid, parts: dict[int, int]) -> DataFrame:
@@ -170,7 +180,12 @@ def box_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, right_
     a = with_cells(_side(left, left_id, left_box, "a", left_extra), grid, [f"a_{c}" for c in BOX])
     b = with_cells(_side(right, right_id, right_box, "b", right_extra), grid, [f"b_{c}" for c in BOX])
     meets = rect_intersects([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX])
-    busy = _busy_cells(a, b, crowded_pairs, salt_rows)
+    counts = _cell_loads(a, b)
+    busy = _busy_cells(counts, crowded_pairs, salt_rows)
+    # Where pairs far outnumber boxes, shuffling the boxes is the small part and evens out
+    # the work; otherwise Spark may broadcast a small side.
+    growth = counts.agg((F.sum(F.col("na").cast("double") * F.col("nb")) / F.sum("na")).alias("g")).first()["g"]
+    hint = "merge" if growth is not None and growth > PAIRS_PER_BOX else None
     # A finer cut divides the candidate pairs of a cell by about the number of parts.
     parts = {c: min(64, math.ceil(math.sqrt(na * nb / crowded_pairs)))
              for c, (na, nb) in busy.items() if dedupe and na * nb > crowded_pairs}
@@ -182,4 +197,4 @@ def box_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, right_
         na, nb = (hot_keys(side.where(inside), keys, salt_rows) for side in (a, b))
         hot.update({k: (na.get(k, 0), nb.get(k, 0)) for k in {**na, **nb}})
     condition = meets & _owned(grid, parts) if dedupe else meets
-    return salted_join(a, b, ["cell_id", "sub_id"], condition, hot, salt_rows).drop("sub_id")
+    return salted_join(a, b, ["cell_id", "sub_id"], condition, hot, salt_rows, hint=hint).drop("sub_id")

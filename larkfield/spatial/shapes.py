@@ -88,24 +88,33 @@ def _meet(a: np.ndarray, a_area: np.ndarray, b: np.ndarray, b_area: np.ndarray)
 _CHUNK = 2_000_000
 
 
+def _stacked(xs: list, ys: list, ends: list) -> np.ndarray:
+    """Segments of geometries with equal point counts; single rings are stacked at once."""
+    if all(len(e) == 1 for e in ends) and len(xs[0]) > 1:
+        x, y = np.stack(xs), np.stack(ys)
+        return np.stack([x[:, :-1], y[:, :-1], x[:, 1:], y[:, 1:]], axis=2)
+    return np.stack([_segments(x, y, e) for x, y, e in zip(xs, ys, ends)])
+
+
 @F.pandas_udf(T.BooleanType())
 def _intersects(ax: pd.Series, ay: pd.Series, ae: pd.Series, a_area: pd.Series,
                 bx: pd.Series, by: pd.Series, be: pd.Series, b_area: pd.Series) -> pd.Series:
-    """Pairs of equal segment counts are tested together, in pieces of bounded size."""
+    """Pairs of equal point and ring counts are tested together, in pieces of bounded size."""
     out = np.empty(len(ax), dtype=object)
-    sides: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    by_size: dict[tuple[int, int], list[int]] = {}
-    for i in range(len(ax)):
-        if ax[i] is None or bx[i] is None:
-            continue
-        sides[i] = _segments(ax[i], ay[i], ae[i]), _segments(bx[i], by[i], be[i])
-        by_size.setdefault((len(sides[i][0]), len(sides[i][1])), []).append(i)
-    for (na, nb), rows in by_size.items():
+    sides = [c.to_numpy() for c in (ax, ay, ae, bx, by, be)]
+    areas = [c.fillna(False).to_numpy(dtype=bool) for c in (a_area, b_area)]
+    by_size: dict[tuple, list[int]] = {}
+    for i, (x, e, u, f) in enumerate(zip(sides[0], sides[2], sides[3], sides[5])):
+        if x is not None and u is not None:
+            by_size.setdefault((len(x), len(e), len(u), len(f)), []).append(i)
+    for (na, _, nb, _), rows in by_size.items():
+        # Ring sizes may differ within a group, but points less rings give the segments.
         step = max(1, _CHUNK // (na * nb))
         for start in range(0, len(rows), step):
-            some = rows[start:start + step]
-            out[some] = _meet(np.stack([sides[i][0] for i in some]), a_area.to_numpy(dtype=bool)[some],
-                              np.stack([sides[i][1] for i in some]), b_area.to_numpy(dtype=bool)[some])
+            some = np.array(rows[start:start + step])
+            a = _stacked(*[list(c[some]) for c in sides[:3]])
+            b = _stacked(*[list(c[some]) for c in sides[3:]])
+            out[some] = _meet(a, areas[0][some], b, areas[1][some])
     return pd.Series(out, dtype="object")
 
 

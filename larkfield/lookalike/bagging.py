@@ -86,7 +86,7 @@ class BaggingPU:
 
         try:
             with ThreadPool(self.parallelism) as pool:
-                new = pool.map(inheritable_thread_target(train), range(len(known), self.n_estimators))
+                new = pool.map(inheritable_thread_target(df.sparkSession)(train), range(len(known), self.n_estimators))
         finally:
             rows.unpersist()
         self.fitted = BaggingPUModel(known + new, features, draw)

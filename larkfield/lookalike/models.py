@@ -146,7 +146,7 @@ def grid_search(train_df: DataFrame, valid_df: DataFrame, features: Sequence[str
 
     try:
         with ThreadPool(parallelism) as pool:
-            rows = pool.map(inheritable_thread_target(fit), combos)
+            rows = pool.map(inheritable_thread_target(train_df.sparkSession)(fit), combos)
     finally:
         keyed_train.unpersist()
         keyed_valid.unpersist()

@@ -46,7 +46,8 @@ def prepare(df: DataFrame, key: str, features: Sequence[str], target: str | None
 
     Unlabelled rows are 0, or -1 in the three-class form where 0 means a known negative.
     The first ``n_sample`` unlabelled rows by key and all labelled rows are kept;
-    ``hidden_size`` random positives are relabelled as unlabelled for validation.
+    ``hidden_size`` random positives (all, if there are fewer) are relabelled as unlabelled
+    for validation.
     Cleaning is the same for training and scoring: use :func:`prepare_features` there.
     """
     unlabelled = -1 if three_class else 0

@@ -54,6 +54,8 @@ def run_rounds(df: DataFrame, key: str, features: Sequence[str], make_estimator:
     Every round ends in a checkpoint: the next one trains on stored rows, and a lost
     executor does not set off the retraining of earlier rounds.
     """
+    if df.where("target = 1").isEmpty():
+        raise ValueError("there is no positive row to learn from")
     if three_class:
         current = checkpointed(df.withColumn("ys", F.col("target")))
     else:

@@ -69,12 +69,15 @@ def _forest():
 
 
 def _prepared(t):
-    return prepare.prepare(subscribers(t), "subs_id", FEATURES, to_target="hashed", hidden_size=50)
+    """All customers, with a fifth of the positives hidden."""
+    rows = subscribers(t)
+    hidden = rows.where(F.col("hashed") != prepare.NULL_MARKER).count() // 5
+    return prepare.prepare(rows, "subs_id", FEATURES, to_target="hashed", hidden_size=hidden)
 
 
 @query("pu_rounds")
 def pu_rounds(t):
-    """Labelling rounds over all customers with 50 hidden positives."""
+    """Labelling rounds over all customers."""
     p = _prepared(t)
     done = pu.run_rounds(checkpointed(p.df), "subs_id", p.features, _forest, max_rounds=3, drop_undecided=False)
     return done.select("subs_id", "target", "orig_target", "ys", F.round("p1", 6).alias("p1"))

@@ -68,6 +68,11 @@ def test_rounds_recover_hidden_positives(table):
     assert top > 2 * base
 
 
+def test_rounds_need_a_positive(table):
+    with pytest.raises(ValueError, match="no positive"):
+        pu.run_rounds(table.withColumn("target", F.lit(0)), "id", FEATURES, small_forest)
+
+
 def test_gbm_importance_and_storage(table, tmp_path):
     rows = table.withColumn("label", F.col("truth").cast("double"))
     model = models.gbm_train(rows, FEATURES, "label", {"maxIter": 3, "maxDepth": 3})

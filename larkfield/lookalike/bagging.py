@@ -106,7 +106,7 @@ class Draw:
     def weight(self, i: int) -> Column:
         salt = f"{self.seed}/{i}"
         if self.bootstrap:
-            drawn = poisson_weight(salt, self.key, F.lit(float(self.share)))
+            drawn = poisson_weight(salt, self.key, float(self.share))
         else:
             drawn = (hash_share(salt, self.key) < self.share).cast("int")
         return F.when(F.col(self.label) >= 1, 1).otherwise(drawn)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.operators.ranking import first_rows
+from larkfield.operators.ranking import first_rows, row_numbers
 from larkfield.session import small_side
 
 
@@ -60,7 +61,6 @@ def hide_positives(df: DataFrame, label: str, key: str, k: int, salt: str, posit
         total = keyed.count()
         draws = df.sparkSession.range(k).select(
             (F.floor(hash_share(salt, "id") * total) + 1).alias("_r")).distinct()
-        from larkfield.operators.ranking import row_numbers
         numbered = row_numbers(keyed, [("_key", "asc")], "_r")
         chosen = numbered.join(small_side(draws), "_r", "left_semi").select("_key")
     else:
@@ -75,7 +75,7 @@ def hide_positives(df: DataFrame, label: str, key: str, k: int, salt: str, posit
 
 def split_part(key: str, shares: Sequence[float], salt: str = "split") -> Column:
     """Part number of each row for shares such as 0.8, 0.1; the rest is the last part."""
-    u, out, bound = hash_share(salt, key), F.lit(len(shares)), 1.0
+    u, out = hash_share(salt, key), F.lit(len(shares))
     bounds = []
     total = 0.0
     for s in shares:
@@ -123,13 +123,22 @@ def redistribute(df: DataFrame, parts: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
-def poisson_weight(salt: str, key: str, rate: Column, largest: int = 20) -> Column:
+def poisson_weight(salt: str, key: str, rate: float | Column, largest: int = 20) -> Column:
     """A Poisson draw per row from its hash: how often a bootstrap takes the row.
 
     Inverts the distribution function; ``largest`` bounds the search, the chance of more
     is below 1e-18 for rates up to 1.
     """
     u = hash_share(salt, key)
+    if not isinstance(rate, Column):
+        term, bounds = math.exp(-rate), []
+        for n in range(largest):
+            bounds.append((bounds[-1] if bounds else 0.0) + term)
+            term *= rate / (n + 1)
+        draw = F.lit(largest)
+        for n in reversed(range(largest)):
+            draw = F.when(u < bounds[n], n).otherwise(draw)
+        return draw
     start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("p"), F.exp(-rate).alias("c"),
                      F.lit(False).alias("done"))
 

@@ -105,7 +105,9 @@ def normalize_names(t):
     return cols.normalize_names(t.supplier, "upper")
 
 
-@query("column_groups")
+@query("column_groups", """
+SELECT p_partkey, p_brand, p_type, p_size, p_retailprice FROM part
+""")
 def column_groups(t):
     """Keep key, flags, categories and numbers of the wide part table, by name."""
     frame = t.part.select("*", F.lit(0.0).alias("price_sk_amt"))
@@ -114,10 +116,26 @@ def column_groups(t):
     return frame.select(*groups.kept)
 
 
-@query("list_columns")
+@query("list_columns", """
+SELECT * FROM (SELECT 1::INTEGER AS "position", 'o_orderkey' AS column_name, 'bigint' AS type_name, count(*) FILTER (o_orderkey IS NULL) AS nulls FROM orders
+UNION ALL SELECT 2, 'o_custkey', 'bigint', count(*) FILTER (o_custkey IS NULL) FROM orders
+UNION ALL SELECT 3, 'o_orderstatus', 'string', count(*) FILTER (o_orderstatus IS NULL) FROM orders
+UNION ALL SELECT 4, 'o_totalprice', 'double', count(*) FILTER (o_totalprice IS NULL) FROM orders
+UNION ALL SELECT 5, 'o_orderdate', 'timestamp_ntz', count(*) FILTER (o_orderdate IS NULL) FROM orders
+UNION ALL SELECT 6, 'o_orderpriority', 'string', count(*) FILTER (o_orderpriority IS NULL) FROM orders)
+""")
 def list_columns(t):
-    t.lineitem.createOrReplaceTempView("columns_of_lineitem")
-    return cols.list_columns(t.spark, "columns_of_lineitem")
+    """The columns of a table with the NULLs counted in each."""
+    t.orders.createOrReplaceTempView("columns_of_orders")
+    return cols.list_columns(t.spark, "columns_of_orders").join(cols.null_report(t.orders), "column_name")
+
+
+@query("any_null", """
+SELECT lang, bool_or(quality IS NULL) AS quality_missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang
+""")
+def any_null(t):
+    joined = t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left")
+    return joined.groupBy("lang").agg(F.bool_or(F.col("quality").isNull()).alias("quality_missing"))
 
 
 @query("null_report", """

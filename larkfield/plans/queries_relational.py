@@ -517,7 +517,7 @@ def bootstrap_unlabelled(t):
     """Draws per order and estimator: Poisson for unlabelled rows, one for each positive."""
     rows = labelled_orders(t).withColumn("estimator", F.explode(F.sequence(F.lit(0), F.lit(4))))
     keyed = rows.withColumn("_k", F.concat_ws("/", "estimator", "o_orderkey"))
-    draws = F.when(F.col("target") == 1, 1).otherwise(sampling.poisson_weight("bag", "_k", F.lit(0.5)))
+    draws = F.when(F.col("target") == 1, 1).otherwise(sampling.poisson_weight("bag", "_k", 0.5))
     return (keyed.select("estimator", "target", draws.alias("draws")).groupBy("estimator", "target", "draws")
             .agg(F.count("*").alias("n")))
 

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local_folders: dict[str, str] = {}
+
+
 def local_session(cores: str = "8", name: str = "larkfield", **conf: str) -> SparkSession:
     """A single-JVM session for tests and benchmarks; a cluster brings its own."""
     builder = (
@@ -36,10 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="larkfield-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="larkfield-")
+        folder = _local_folders[context.applicationId]
     return folder.rstrip("/")
 
 

@@ -144,6 +144,12 @@ def test_poisson_weights_have_the_right_mean(spark):
     assert abs(row["m"] - 0.7) < 0.03 and abs(row["v"] - 0.7) < 0.05 and abs(row["z"] / 20000 - 0.4966) < 0.02
 
 
+def test_poisson_weights_agree_for_a_fixed_and_a_column_rate(spark):
+    both = spark.range(3000).select(sampling.poisson_weight("s", "id", 0.7).alias("a"),
+                                    sampling.poisson_weight("s", "id", F.lit(0.7)).alias("b"))
+    assert both.where("a <> b").count() == 0
+
+
 def test_splits_are_stable(spark):
     df = spark.range(5000)
     sizes = [p.count() for p in sampling.split_frame(df, "id", [0.8, 0.1])]

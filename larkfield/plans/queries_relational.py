@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from larkfield.operators import aggregates as agg
@@ -512,7 +514,15 @@ def time_split_share(t):
         "o_orderkey", "is_valid")
 
 
-@query("bootstrap_unlabelled")
+# Distribution function of the Poisson law with mean 1/2 at 0, 1, ... 19.
+POISSON_HALF = [math.exp(-0.5) * math.fsum(0.5 ** i / math.factorial(i) for i in range(n + 1)) for n in range(20)]
+
+
+@query("bootstrap_unlabelled", f"""
+WITH l AS ({LABELLED_SQL}), r AS (SELECT target, unnest(range(0, 5))::INTEGER AS estimator, o_orderkey FROM l),
+ h AS (SELECT target, estimator, ('0x' || substr(md5('bag|' || estimator || '/' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r)
+SELECT estimator, target, CAST(CASE WHEN target = 1 THEN 1 ELSE len(list_filter({POISSON_HALF}::DOUBLE[], lambda c: c <= u)) END AS INTEGER) AS draws, count(*) AS n FROM h GROUP BY ALL
+""")
 def bootstrap_unlabelled(t):
     """Draws per order and estimator: Poisson for unlabelled rows, one for each positive."""
     rows = labelled_orders(t).withColumn("estimator", F.explode(F.sequence(F.lit(0), F.lit(4))))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from larkfield.functions.text import LINE_OVERRIDES
 from larkfield.session import checkpointed, small_side
 
+FEW_PAIRS = 5_000_000
+
 
 def _segments(text: Column, pieces: Column) -> Column:
     """Cut into ``pieces`` parts whose lengths differ by at most one: (start, part)."""
@@ -72,8 +74,9 @@ def nearest_texts(left: DataFrame, left_column: str, right: DataFrame, right_col
     The search widens step by step: exact matches first, then distance 1, 2, ...; texts
     already matched leave the search, so the loose and costly steps see only what is left.
     """
-    texts = left.select(F.col(left_column).alias("a")).where("a IS NOT NULL").distinct()
-    names = right.select(F.col(right_column).alias("b")).where("b <> ''").distinct()
+    # Stored once: the distinct texts are read in every step, the full tables only here.
+    texts = checkpointed(left.select(F.col(left_column).alias("a")).where("a IS NOT NULL").distinct())
+    names = checkpointed(right.select(F.col(right_column).alias("b")).where("b <> ''").distinct())
     exact = texts.where("a <> ''").join(names, F.col("a") == F.col("b"))
     found = exact.select("a", F.col("b").alias("match"), F.lit(0).alias("d"))
     open_texts = checkpointed(texts.where("a <> ''").join(names, F.col("a") == F.col("b"), "left_anti"))
@@ -81,7 +84,7 @@ def nearest_texts(left: DataFrame, left_column: str, right: DataFrame, right_col
     short = names.groupBy(F.length("b").alias("n")).agg(F.min("b").alias("b"))
     short_names = [r["b"] for r in short.where(F.col("n") < limit).collect()]
     results = [found]
-    for k in _widening(limit - 1):
+    for k in _widening(limit - 1, open_texts.count() * names.count()):
         if open_texts.isEmpty():
             break
         close = pairs_within(open_texts, names, k)
@@ -103,9 +106,11 @@ def nearest_texts(left: DataFrame, left_column: str, right: DataFrame, right_col
     return out
 
 
-def _widening(last: int) -> list[int]:
-    """Distances tried: 1, 3, then the last; each step costs one join."""
-    return sorted({min(1, last), min(3, last), last}) if last > 0 else []
+def _widening(last: int, pairs: int) -> list[int]:
+    """Distances tried: 1, 3, then the last; with few possible pairs the last at once."""
+    if last <= 0:
+        return []
+    return [last] if pairs <= FEW_PAIRS else sorted({min(1, last), min(3, last), last})
 
 
 def fuzzy_replace(df: DataFrame, column: str, names: DataFrame, name_column: str, output: str,

@@ -159,13 +159,18 @@ def psi(base: DataFrame, other: DataFrame, column: str, parts: int = 10,
     return joined.agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
 
 
-def _positive_flag(df: DataFrame, label: str, pos_label) -> Column:
+def _checked_counts(df: DataFrame, label: str, pos_label) -> tuple[Column, int, int]:
+    """(positive flag, rows, positives); labels that are not binary are an error."""
+    flag = F.coalesce(F.col(label) == F.lit(1 if pos_label is None else pos_label), F.lit(False)).cast("int")
+    value = F.col(label).try_cast("double")
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("hits"), *[
+        F.count_if(value == v).alias(f"c{i}") for i, v in enumerate((-1, 0, 1))]).first()
     if pos_label is None:
-        found = [r[0] for r in df.select(label).distinct().limit(3).collect()]
-        if None in found or {float(v) for v in found} not in [set(map(float, c)) for c in BINARY_CLASSES]:
+        found = {v for i, v in enumerate((-1, 0, 1)) if counts[f"c{i}"]}
+        strange = counts["n"] != sum(counts[f"c{i}"] for i in range(3))
+        if strange or (found and found not in BINARY_CLASSES):
             raise ValueError("labels are not binary and no positive label is given")
-        pos_label = 1
-    return F.coalesce(F.col(label) == F.lit(pos_label), F.lit(False)).cast("int")
+    return flag, counts["n"], counts["hits"] or 0
 
 
 def cumulative_gain(df: DataFrame, score: str, label: str, tie: str, pos_label=None,
@@ -175,13 +180,13 @@ def cumulative_gain(df: DataFrame, score: str, label: str, tie: str, pos_label=N
     ``gain`` is the share of all positives among the first ``rn`` rows. The curve starts
     with (0, 0).
     """
-    rows = df.select(score, tie, _positive_flag(df, label, pos_label).alias("_y"))
-    ranged = range_split(rows, [(score, "desc"), (tie, "asc")], n_ranges=n_ranges)
+    flag, n, total = _checked_counts(df, label, pos_label)
+    rows = df.select(score, tie, flag.alias("_y"))
+    ranged = range_split(rows, [(score, "desc"), (tie, "asc")], n_ranges=n_ranges, n_rows=n)
     curve = running(rows, [], rank="rn", sums={"hits": "_y"}, ranged=ranged)
-    total = rows.agg(F.sum("_y")).scalar()
-    curve = curve.select("rn", "hits", (F.col("rn") / float(ranged.n_rows or 1)).alias("percentage"),
-                         (F.col("hits") / F.nullif(total, F.lit(0))).alias("gain"))
-    start = df.sparkSession.createDataFrame([(0, 0, 0.0, 0.0)], curve.schema)
+    curve = curve.select("rn", "hits", (F.col("rn") / float(n or 1)).alias("percentage"),
+                         (F.col("hits") / F.nullif(F.lit(float(total)), F.lit(0.0))).alias("gain"))
+    start = df.sparkSession.range(1).select(*[F.lit(0).cast(f.dataType).alias(f.name) for f in curve.schema])
     return start.unionByName(curve)
 
 
@@ -195,8 +200,8 @@ def lift_table(df: DataFrame, score: str, label: str, tie: str, fractions: Seque
     rows = gains.where(F.col("rn").isin(*set(wanted.values())) & (F.col("rn") > 0))
     rows = rows.join(F.broadcast(cuts), "rn")
     return rows.select("fraction", "rn", F.col("gain").alias("captured"),
-                       (F.col("hits") / F.col("rn")).alias("precision"),
-                       (F.col("gain") / F.col("percentage")).alias("lift"))
+                       (F.col("hits") / F.nullif("rn", F.lit(0))).alias("precision"),
+                       (F.col("gain") / F.nullif("percentage", F.lit(0.0))).alias("lift"))
 
 
 def hit_rate_at(df: DataFrame, score: str, truth: str, tie: str, step: int, stop: int,
@@ -208,7 +213,7 @@ def hit_rate_at(df: DataFrame, score: str, truth: str, tie: str, step: int, stop
     """
     gains = cumulative_gain(df, score, truth, tie, 1, n_ranges)
     rows = gains.where((F.col("rn") > 0) & (F.col("rn") < stop) & (F.col("rn") % step == 0))
-    return rows.select(F.col("rn").alias("t"), (F.col("hits") / F.col("rn")).alias("precision_at_t"),
+    return rows.select(F.col("rn").alias("t"), (F.col("hits") / F.nullif("rn", F.lit(0))).alias("precision_at_t"),
                        F.col("gain").alias("recall_at_t"))
 
 

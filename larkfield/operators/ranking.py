@@ -84,12 +84,12 @@ def _range_number(cuts: Sequence[Row], names: Sequence[str], directions: Sequenc
 
 def range_split(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str] = (),
                 n_ranges: int | None = None, seed: int = 17,
-                rows_per_range: int = _ROWS_PER_RANGE) -> RangedFrame:
+                rows_per_range: int = _ROWS_PER_RANGE, n_rows: int | None = None) -> RangedFrame:
     """Give every row a range number along ``group`` then ``order``.
 
     ``order`` must end in a column that makes the key unique, or ties stay arbitrary.
-    Two light passes run first: a count and a sample of at most some
-    ``32 * n_ranges`` keys; only key columns are read for them.
+    Two light passes run first: a count (unless ``n_rows`` is known) and a sample of at
+    most some ``32 * n_ranges`` keys; only key columns are read for them.
     """
     group = list(group)
     order = list(order)
@@ -97,7 +97,7 @@ def range_split(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str]
     names = [n for n, _ in items]
     directions = [d for _, d in items]
     keys = df.select(*names)
-    n_rows = keys.count()
+    n_rows = keys.count() if n_rows is None else n_rows
     if n_ranges is None:
         cores = df.sparkSession.sparkContext.defaultParallelism
         wanted = max(math.ceil(n_rows / rows_per_range),

@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkfield.llm import bpe, token_files
-from larkfield.llm.common import table
+from larkfield.llm import bpe, language, token_files
+from larkfield.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,11 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False)
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = id_remainder(docs["doc_id"], 4) == 2
+    found = language.fit(docs, learn=~held_out).predict(docs)
+    return found.withColumn("held_out", id_remainder(found["doc_id"], 4) == 2)

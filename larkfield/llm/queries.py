@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkfield.llm import bpe, language, token_files
+from larkfield.llm import bpe, language, surrogates, token_files
 from larkfield.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,12 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = id_remainder(docs["doc_id"], 4) == 2
     found = language.fit(docs, learn=~held_out).predict(docs)
     return found.withColumn("held_out", id_remainder(found["doc_id"], 4) == 2)
+
+
+#: Key of the surrogates in the registered queries; a real run brings a secret one.
+SURROGATE_KEY = os.environ.get("LARKFIELD_SURROGATE_KEY", "registered-queries")
+
+
+@query
+def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, folder, "documents"), SURROGATE_KEY)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkfield.llm import bpe, language, surrogates, token_files
+from larkfield.llm import bpe, language, sharding, surrogates, token_files
 from larkfield.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,9 @@ SURROGATE_KEY = os.environ.get("LARKFIELD_SURROGATE_KEY", "registered-queries")
 @query
 def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogates.replace_entities(table(spark, folder, "documents"), SURROGATE_KEY)
+
+
+@query
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.balanced_shards(sharding.text_groups(table(spark, folder, "documents")), shards=8)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfield.llm import bpe, language, sharding, surrogates, token_files
+from larkfield.llm import bpe, language, sharding, surrogates, token_files, vectors
 from larkfield.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.balanced_shards(sharding.text_groups(table(spark, folder, "documents")), shards=8)
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))

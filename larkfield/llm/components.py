@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +52,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+
+
+def roots(parent: np.ndarray) -> np.ndarray:
+    """The root of every node of a forest of parents."""
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return parent
+        parent = up
+
+
+def join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the trees of every pair, smaller root first, until no pair is apart."""
+    while len(a):
+        top = roots(parent)
+        ra, rb = top[a], top[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))

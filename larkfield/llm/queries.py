@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfield.llm import bpe, decontaminate, language, sharding, surrogates, token_files, vectors
+from larkfield.llm import bpe, decontaminate, language, sharding, shingle_join, surrogates, token_files, vectors
 from larkfield.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op4_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.similar_documents(table(spark, folder, "documents"))

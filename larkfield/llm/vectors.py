@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.llm.components import connected_components, looked_up
+from larkfield.llm.components import connected_components, join, looked_up, roots
 from larkfield.session import checkpointed
 
 BLOCK_ROWS = 2048
@@ -121,8 +121,8 @@ def _block_links(model: Quantiser, dim: int, threshold: float):
             a, b = part[a[cosine >= threshold]], m[b[cosine >= threshold]]
             np.add.at(links, a, weight[b])
             np.add.at(links, b, weight[a])
-            _join(parent, a, b)
-        root = _roots(parent)
+            join(parent, a, b)
+        root = roots(parent)
         smallest = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(smallest, root, ids)
         hit = links > 0
@@ -131,24 +131,6 @@ def _block_links(model: Quantiser, dim: int, threshold: float):
     return compare
 
 
-def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the trees of every pair, smaller root first, until no pair is apart."""
-    while len(a):
-        ra, rb = _roots(parent)[a], _roots(parent)[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-
-
-def _roots(parent: np.ndarray) -> np.ndarray:
-    root = parent
-    while True:
-        up = root[root]
-        if (up == root).all():
-            return root
-        root = up
-
-
 def _fitted(classes: DataFrame, n: int, dim: int, sample_rows: int, lists: int | None) -> Quantiser:
     scale = 1 << 30
     drawn = classes.filter(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(scale)) < min(scale, scale * sample_rows // max(n, 1) + 1))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfield.llm import bpe, decontaminate, language, sharding, shingle_join, surrogates, token_files, vectors
+from larkfield.llm import bpe, decontaminate, interpolation, language, sharding, shingle_join, surrogates, token_files, vectors
 from larkfield.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.similar_documents(table(spark, folder, "documents"))
+
+
+@query
+def op5_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fold = id_remainder(docs["doc_id"], 5)
+    scored = interpolation.score_documents(docs, train=fold != 1, deleted=fold == 2)
+    return scored.withColumn("held_out", id_remainder(scored["doc_id"], 5) == 1)

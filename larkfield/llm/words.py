@@ -14,8 +14,6 @@ _PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
-_values = np.random.default_rng(20240607).integers(1 << 40, 1 << 63, 256, dtype=np.uint64)
-_values[[b for b in range(128) if not (48 <= b < 58 or 97 <= b < 123)]] = 0
 _steps = np.random.default_rng(7).integers(1 << 40, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = []
 
@@ -45,8 +43,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    v = _values[raw]
+def byte_values(separators: list[int], same: dict[int, int] | None = None) -> np.ndarray:
+    """Random value of each byte; 0 for separators, equal for bytes that count as the same."""
+    out = np.random.default_rng(20240607).integers(1 << 40, 1 << 63, 256, dtype=np.uint64)
+    for b, other in (same or {}).items():
+        out[b] = out[other]
+    out[separators] = 0
+    return out
+
+
+_WORD_BYTES = byte_values([b for b in range(128) if not (48 <= b < 58 or 97 <= b < 123)])
+
+
+def _piece_hashes(raw: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    v = values[raw]
     inside = np.zeros(len(raw) + 2, bool)
     inside[1:-1] = v != 0
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -57,9 +67,15 @@ def _piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words begin (one more entry at the end)."""
-    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+def word_hashes(texts: list[str | None], values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each text's words begin (one more entry at the end).
+
+    With ``values`` of its own a caller says which bytes separate; the text is then not lower-cased.
+    """
+    if values is None:
+        raw, values = [(t or "").lower().encode("utf-8", "replace") for t in texts], _WORD_BYTES
+    else:
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw])
     buffer = b"\n".join([*raw, b""])
     hashes, starts, at = [], [], 0
@@ -70,7 +86,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             if cut <= at:
                 later = [p for p in (buffer.find(b" ", at + _PIECE), buffer.find(b"\n", at + _PIECE)) if p >= 0]
                 cut = min(later) + 1 if later else len(buffer)
-        h, s = _piece_hashes(np.frombuffer(buffer[at:cut], np.uint8))
+        h, s = _piece_hashes(np.frombuffer(buffer[at:cut], np.uint8), values)
         hashes.append(h)
         starts.append(s + at)
         at = cut

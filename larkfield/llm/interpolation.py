@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkfield.llm.packing import packed, unpacked
 from larkfield.llm.words import byte_values, mixed, word_hashes
 from larkfield.session import checkpointed
 
@@ -58,23 +59,6 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return token, mixed(before * _LEFT + token * _RIGHT), begin
 
 
-_CODEC = pa.Codec("lz4_raw")
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as they need, byte plane by byte plane, compressed."""
-    top = int(values.max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    planes = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
-    return bytes([width]) + len(planes).to_bytes(8, "little") + _CODEC.compress(planes, asbytes=True)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    width, size = blob[0], int.from_bytes(blob[1:9], "little")
-    planes = np.frombuffer(_CODEC.decompress(blob[9:], size, asbytes=True), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64)
-
-
 def _in_texts(role: np.ndarray, begin: np.ndarray, what: int) -> np.ndarray:
     return np.repeat(role >= what, np.diff(begin))
 
@@ -97,7 +81,7 @@ def _sent(parts: int) -> Callable[[pa.Table], pa.Table]:
             for part in np.unique(range_of).tolist():
                 a, b = edges[part], edges[part + 1]
                 steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                rows.append((n, part, block, _pack(steps), _pack(trained[a:b]), _pack(removed[a:b])))
+                rows.append((n, part, block, packed(steps), packed(trained[a:b]), packed(removed[a:b])))
         n, part, blocks, *blobs = zip(*rows)
         return pa.table({"n": pa.array(n, pa.int32()), "part": pa.array(part, pa.int32()), "block": pa.array(blocks, pa.int64()),
                          "asks": pa.array([asks] * len(rows)), **{c: pa.array(x, pa.binary()) for c, x in zip(("keys", "train", "deleted"), blobs)}})
@@ -111,14 +95,14 @@ def _range_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _totals(group: pa.Table) -> pa.Table:
     """Add up one range of all blocks; one answer per block, the range's sums beside the first."""
-    keys = [np.cumsum(_unpack(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
-    train, deleted = (np.concatenate([_unpack(x) for x in group.column(c).to_pylist()]) for c in ("train", "deleted"))
+    keys = [np.cumsum(unpacked(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
+    train, deleted = (np.concatenate([unpacked(x) for x in group.column(c).to_pylist()]) for c in ("train", "deleted"))
     distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
     trained = np.bincount(index, weights=train, minlength=len(distinct)).astype(np.int64)
     removed = np.bincount(index, weights=deleted, minlength=len(distinct)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
     asks = group.column("asks").to_pylist()  # only blocks of the deleted fold ask what was deleted
-    answers = [(_pack(trained[i]), _pack(removed[i]) if ask else b"") for i, ask in zip(np.split(index, ends[:-1]), asks)]
+    answers = [(packed(trained[i]), packed(removed[i]) if ask else b"") for i, ask in zip(np.split(index, ends[:-1]), asks)]
     left = trained - removed
     sums = [int(trained.sum()), int((trained > 0).sum()), int(left.sum()), int((left > 0).sum())]
     extra = {name: pa.array([v] + [0] * (len(keys) - 1), pa.int64()) for name, v in zip(("tokens", "types", "left_tokens", "left_types"), sums)}
@@ -139,10 +123,10 @@ def _counts(docs: pa.Table, answers: pa.Table, column: str) -> dict[str, np.ndar
     for n, grams in ((1, token), (2, pair)):
         keys, index = np.unique(grams, return_inverse=True)
         kept = [b for b, m in zip(order.column("train").to_pylist(), ns) if m == n]
-        total[n] = np.concatenate([_unpack(b) for b in kept]).astype(np.int64)
+        total[n] = np.concatenate([unpacked(b) for b in kept]).astype(np.int64)
         if column == "left":
             gone = [b for b, m in zip(order.column("deleted").to_pylist(), ns) if m == n]
-            total[n] = total[n] - np.concatenate([_unpack(b) for b in gone]).astype(np.int64)
+            total[n] = total[n] - np.concatenate([unpacked(b) for b in gone]).astype(np.int64)
         out["token" if n == 1 else "pair"] = total[n][index]
         if n == 1:
             ends = total[1][np.searchsorted(keys, _END)]

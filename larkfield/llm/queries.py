@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfield.llm import bpe, decontaminate, interpolation, language, sharding, shingle_join, surrogates, token_files, vectors
+from larkfield.llm import bpe, decontaminate, interpolation, language, sharding, shingle_join, suffix_dedup, surrogates, token_files, vectors
 from larkfield.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op5_interpolation(spark: SparkSession, folder: str) -> DataFrame:
     fold = id_remainder(docs["doc_id"], 5)
     scored = interpolation.score_documents(docs, train=fold != 1, deleted=fold == 2)
     return scored.withColumn("held_out", id_remainder(scored["doc_id"], 5) == 1)
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=400, with_text=False)

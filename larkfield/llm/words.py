@@ -18,7 +18,7 @@ _steps = np.random.default_rng(7).integers(1 << 40, 1 << 63, SHINGLE, dtype=np.u
 _powers: list[np.ndarray] = []
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
         out = []
@@ -61,7 +61,7 @@ def _piece_hashes(raw: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.n
     inside[1:-1] = v != 0
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
-    up, down = _tables(len(raw))
+    up, down = powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(v * up[: len(raw)], out=total[1:])
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start

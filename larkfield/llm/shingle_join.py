@@ -283,5 +283,6 @@ def keep_one_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     classes = similar_documents(docs, threshold, recall, id_col, text_col)
     gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    unnamed = kept.filter(F.col(id_col).isNull())
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(unnamed)
+    if docs.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) & F.col(id_col).isNotNull()).isEmpty():
+        return kept
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))

@@ -2,8 +2,9 @@
 
 A bounded sample fits coarse centroids and, on the residuals, one codebook per group of dimensions.
 Every vector is then coded: its list, one code per subspace, and the exact length of its coding
-error. It searches all lists whose squared distance is within ``margin`` of its own list's. In a
-list, asymmetric distances are sums of table entries; a member stays a candidate while its
+error. It searches all lists whose squared distance is within a margin of its own list's; the margin
+is ``slack`` times the standard deviation by which a step of the linking distance in a random
+direction changes the difference of two squared distances. In a list, asymmetric distances are sums of table entries; a member stays a candidate while its
 table distance does not exceed the linking distance plus its own coding error, so coding never loses
 a pair of a searched list. Candidates are reranked by exact cosine in double precision.
 
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from larkfield.llm.components import connected_components, join, looked_up, roots
 from larkfield.session import checkpointed
 
-BLOCK_ROWS = 2048
+#: Rows of a block, and rows of one label that a list is made for.
+BLOCK_ROWS, LIST_ROWS = 2048, 512
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -55,26 +57,30 @@ class Quantiser:
     coarse: np.ndarray
     spaces: list[np.ndarray]
     books: list[np.ndarray]
+    margin: float
 
     @classmethod
-    def fit(cls, sample: np.ndarray, lists: int, subspaces: int = 8, codes: int = 256) -> Quantiser:
+    def fit(cls, sample: np.ndarray, lists: int, reach: float, slack: float, subspaces: int = 8, codes: int = 256) -> Quantiser:
         coarse = _kmeans(sample, min(lists, len(sample)))
         residual = sample - coarse[_distances(sample, coarse).argmin(1)]
         spaces = [s for s in np.array_split(np.arange(sample.shape[1]), subspaces) if len(s)]
-        return cls(coarse, spaces, [_kmeans(residual[:, s], min(codes, len(sample))) for s in spaces])
+        apart = np.sqrt(_distances(coarse, coarse).sum() / max(1, len(coarse) * (len(coarse) - 1)))
+        margin = slack * 2 * reach * apart / np.sqrt(sample.shape[1])
+        return cls(coarse, spaces, [_kmeans(residual[:, s], min(codes, len(sample))) for s in spaces], margin)
 
-    def code(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """List, codes, length of the coding error, and the lists to search, of unit rows ``x``."""
+    def searched(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Own list of unit rows ``x``, and which lists each searches."""
         d = _distances(x, self.coarse)
-        home = d.argmin(1)
-        residual = x - self.coarse[home]
+        return d.argmin(1), d <= d.min(1, keepdims=True) + self.margin
+
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and length of the coding error of unit rows ``x``."""
+        residual = x - self.coarse[_distances(x, self.coarse).argmin(1)]
         codes = np.stack([_distances(residual[:, s], b).argmin(1) for s, b in zip(self.spaces, self.books)], 1)
         coded = np.zeros_like(x)
         for j, (s, b) in enumerate(zip(self.spaces, self.books)):
             coded[:, s] = b[codes[:, j]]
-        error = np.linalg.norm(residual - coded, axis=1)
-        near = d <= d.min(1, keepdims=True) + margin
-        return home, codes.astype(np.int16), error, [np.flatnonzero(n) for n in near]
+        return codes, np.linalg.norm(residual - coded, axis=1)
 
     def table_distances(self, x: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of rows ``x`` to the coded members of list ``home``, by table lookup."""
@@ -103,18 +109,17 @@ def _block_links(model: Quantiser, dim: int, threshold: float):
         x, own, block = _unit(batch, "embedding", dim), batch.column("home").to_numpy(), batch.column("block").to_numpy()
         member = (own == home) & (block == i)
         m, q = np.flatnonzero(member), np.flatnonzero(block == j)
-        codes = batch.column("codes").flatten().to_numpy().reshape(len(ids), -1)
-        error = batch.column("error").to_numpy()
-        searched = np.zeros((len(ids), len(model.coarse)), bool)
-        lists = batch.column("searched")
-        searched[np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+        if not len(m) or not len(q):
+            return pa.table({n: pa.array([], pa.int64()) for n in ("vec_id", "n", "root")})
+        codes, error = model.code(x[m])
+        searched = model.searched(x[m])[1]
         links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for start in range(0, len(q), 256):
             part = q[start : start + 256]
-            near = np.sqrt(model.table_distances(x[part], home, codes[m])) <= reach + error[m][None]
+            near = np.sqrt(model.table_distances(x[part], home, codes)) <= reach + error[None]
             foreign = own[part] != home
             # a pair of two lists that search each other belongs to the lower list; pairs of one list count once
-            near &= np.where(foreign[:, None], (own[part][:, None] > home) | ~searched[m][:, own[part]].T, True)
+            near &= np.where(foreign[:, None], (own[part][:, None] > home) | ~searched[:, own[part]].T, True)
             near &= foreign[:, None] | (i != j) | (ids[part][:, None] > ids[m][None])
             a, b = np.nonzero(near)
             cosine = np.einsum("nd,nd->n", x[part[a]], x[m[b]])
@@ -131,25 +136,27 @@ def _block_links(model: Quantiser, dim: int, threshold: float):
     return compare
 
 
-def _fitted(classes: DataFrame, n: int, dim: int, sample_rows: int, lists: int | None) -> Quantiser:
+def _fitted(classes: DataFrame, n: int, labels: int, dim: int, threshold: float, slack: float, sample_rows: int, lists: int | None) -> Quantiser:
     scale = 1 << 30
     drawn = classes.filter(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(scale)) < min(scale, scale * sample_rows // max(n, 1) + 1))
     rows = drawn.select("embedding").limit(2 * sample_rows).collect() or classes.select("embedding").limit(sample_rows).collect()
     sample = np.array([r.embedding for r in rows], np.float64).reshape(-1, dim)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    return Quantiser.fit(sample, lists or max(1, min(sample_rows // 16, round(n**0.5))))
+    lists = lists or max(1, min(sample_rows // 16, n // (max(1, labels) * LIST_ROWS)))
+    return Quantiser.fit(sample, lists, np.sqrt(max(0.0, 2 - 2 * threshold)), slack)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float = 0.4, sample_rows: int = 8192,
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, slack: float = 5.0, sample_rows: int = 8192,
                     lists: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row; only rows of one label are compared.
 
-    ``sample_rows`` bounds what the quantiser is fitted on, ``lists`` defaults to the square root of
-    the number of distinct vectors (at most a sixteenth of the sample).
+    ``sample_rows`` bounds what the quantiser is fitted on; ``lists`` defaults to one for every
+    ``LIST_ROWS`` distinct vectors of a label, at most a sixteenth of the sample.
     """
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].alias("label"),
-                          vectors[vector_col].cast("array<double>").alias("embedding"))
+                          vectors[vector_col].cast(kind).alias("embedding"))
     dims = rows.filter(_usable()).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     dim = dims.d if dims else 0
     usable = rows.filter(_usable(dim))
@@ -157,12 +164,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float =
                                      [F.min("_r").alias("rep"), F.sum("_n").alias("weight")]))
     classes = classed.filter("vec_id = rep").dropDuplicates(["rep", "label"]).select("vec_id", "label", "embedding", "weight")
     alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
-    n = classes.count()
+    n, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
     if not n:
         return rows.select("vec_id", *alone)
-    model = _fitted(classes, n, dim, sample_rows, lists)
-    coded = checkpointed(_coded(classes, model, dim, margin))
-    stars = checkpointed(_stars(coded, model, dim, threshold))
+    model = _fitted(classes, n, labels, dim, threshold, slack, sample_rows, lists)
+    stars = checkpointed(_stars(checkpointed(_indexed(classes, model, dim)), model, dim, threshold))
     links = stars.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comps = connected_components(stars.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     found = links.join(comps, links["vec_id"] == comps["id"], "left").select(
@@ -186,25 +192,26 @@ def _usable(dim: int | None = None) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in checks])
 
 
-def _coded(classes: DataFrame, model: Quantiser, dim: int, margin: float) -> DataFrame:
+def _indexed(classes: DataFrame, model: Quantiser, dim: int) -> DataFrame:
+    """Every class with its list and the lists that it searches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(start, BLOCK_ROWS)
-                home, codes, error, searched = model.code(_unit(part, "embedding", dim), margin)
+                home, near = model.searched(_unit(part, "embedding", dim))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(home.astype(np.int32)), pa.array(list(codes), pa.list_(pa.int16())), pa.array(error),
-                     pa.array([s.astype(np.int32) for s in searched], pa.list_(pa.int32()))],
-                    [*part.schema.names, "home", "codes", "error", "searched"])
+                    [*part.columns, pa.array(home, pa.int32()), pa.array([np.flatnonzero(n) for n in near], pa.list_(pa.int32()))],
+                    [*part.schema.names, "home", "searched"])
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    return classes.mapInArrow(run, columns + ", home int, codes array<smallint>, error double, searched array<int>")
+    return classes.mapInArrow(run, columns + ", home int, searched array<int>")
 
 
-def _stars(coded: DataFrame, model: Quantiser, dim: int, threshold: float) -> DataFrame:
+def _stars(indexed: DataFrame, model: Quantiser, dim: int, threshold: float) -> DataFrame:
     """Per vector and block pair: linked weight and the smallest id of its local component."""
-    sent = coded.withColumn("at", F.explode("searched"))
-    sizes = coded.groupBy("label", F.col("home").alias("at")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    sent = indexed.withColumn("at", F.explode("searched")).drop("searched")
+    sizes = indexed.groupBy("label", F.col("home").alias("at")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     asked = sent.groupBy("label", "at").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("asks"))
     sized = sent.join(F.broadcast(sizes.join(asked, ["label", "at"])), ["label", "at"])  # labels x lists rows
     mine = F.col("home") == F.col("at")
@@ -218,5 +225,5 @@ def _stars(coded: DataFrame, model: Quantiser, dim: int, threshold: float) -> Da
                                lambda x: F.struct(F.col("block").alias("i"), x.alias("j")))
     as_foreign = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("i"), F.col("block").alias("j")))
     pairs = placed.withColumn("pair", F.explode(F.when(mine, F.concat(as_member, with_foreign)).otherwise(as_foreign)))
-    columns = ["vec_id", "label", "embedding", "weight", "home", "codes", "error", "searched", "block", "at", "pair.i", "pair.j"]
+    columns = ["vec_id", "label", "embedding", "weight", "home", "block", "at", "pair.i", "pair.j"]
     return pairs.select(*columns).groupBy("label", "at", "i", "j").applyInArrow(_block_links(model, dim, threshold), _STAR)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkfield.functions.features import break_bin, exact_quantiles
 from larkfield.operators.ranking import range_split, running
+from larkfield.session import checkpointed
 
 BINARY_CLASSES = [{0, 1}, {-1, 1}, {0}, {-1}, {1}]
 
@@ -70,10 +71,10 @@ def auc_steps(roc: DataFrame) -> DataFrame:
 
 
 def _per_score(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Positives and negatives per distinct score; ties shrink to one row."""
+    """Positives and negatives per distinct score, stored; ties shrink to one row."""
     y = F.col(label) == 1
-    return (df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score"))
-            .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
+    return checkpointed(df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score"))
+                        .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
 
 
 def auc_rank(df: DataFrame, score: str, label: str, n_ranges: int | None = None) -> DataFrame:
@@ -96,9 +97,9 @@ def auc_rank(df: DataFrame, score: str, label: str, n_ranges: int | None = None)
 
 def threshold_table(df: DataFrame, score: str, label: str, n_ranges: int | None = None) -> DataFrame:
     """Counts when all scores at or above each distinct score are called positive."""
-    cumulative = running(_per_score(df, score, label), [("score", "desc")], rank=None,
-                         sums={"tp": "pos", "fp": "neg"}, n_ranges=n_ranges)
-    total = _per_score(df, score, label).agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
+    scores = _per_score(df, score, label)
+    cumulative = running(scores, [("score", "desc")], rank=None, sums={"tp": "pos", "fp": "neg"}, n_ranges=n_ranges)
+    total = scores.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     return cumulative.select("score", "pos", "neg", "tp", "fp", (total["p"] - F.col("tp")).alias("fn"),
                              (total["n"] - F.col("fp")).alias("tn"))
 
@@ -180,21 +181,26 @@ def cumulative_gain(df: DataFrame, score: str, label: str, tie: str, pos_label=N
     ``gain`` is the share of all positives among the first ``rn`` rows. The curve starts
     with (0, 0).
     """
+    return _gains(df, score, label, tie, pos_label, n_ranges)[0]
+
+
+def _gains(df: DataFrame, score: str, label: str, tie: str, pos_label, n_ranges: int | None) -> tuple[DataFrame, int]:
+    """The gain curve and the number of rows behind it."""
+    df = checkpointed(df.select(score, label, tie))  # scores of a model are computed once
     flag, n, total = _checked_counts(df, label, pos_label)
     rows = df.select(score, tie, flag.alias("_y"))
-    ranged = range_split(rows, [(score, "desc"), (tie, "asc")], n_ranges=n_ranges, n_rows=n)
+    ranged = range_split(rows, [(score, "desc"), (tie, "asc")], n_ranges=n_ranges)
     curve = running(rows, [], rank="rn", sums={"hits": "_y"}, ranged=ranged)
     curve = curve.select("rn", "hits", (F.col("rn") / float(n or 1)).alias("percentage"),
                          (F.col("hits") / F.nullif(F.lit(float(total)), F.lit(0.0))).alias("gain"))
     start = df.sparkSession.range(1).select(*[F.lit(0).cast(f.dataType).alias(f.name) for f in curve.schema])
-    return start.unionByName(curve)
+    return start.unionByName(curve), n
 
 
 def lift_table(df: DataFrame, score: str, label: str, tie: str, fractions: Sequence[float],
                pos_label=None, n_ranges: int | None = None) -> DataFrame:
     """At each data fraction: share of positives captured, precision and cumulative lift."""
-    gains = cumulative_gain(df, score, label, tie, pos_label, n_ranges)
-    n = df.count()
+    gains, n = _gains(df, score, label, tie, pos_label, n_ranges)
     wanted = {f: int(round(f * n)) for f in fractions}
     cuts = df.sparkSession.createDataFrame(list(wanted.items()), "fraction double, rn long")
     rows = gains.where(F.col("rn").isin(*set(wanted.values())) & (F.col("rn") > 0))

@@ -2,11 +2,11 @@
 
 ``Window.orderBy`` without a partition key moves every row to one task, and
 ``Window.partitionBy(key)`` does the same for a key that holds a third of the rows.
-Here a small sample picks cut points of the whole sort key (group, order columns and
-tie-breaker together), every row gets the number of its range as a plain expression,
-the window runs inside a range, and the totals of earlier ranges are added. The cuts
-are literals, so a recomputed task always puts a row into the same range. The sample
-decides only how evenly the work is spread; the results are exact.
+Here rows are spread by ranges of the whole sort key (group, order columns and
+tie-breaker together) and stored, with the number of their range beside them. The
+window runs inside a range and the totals of earlier ranges are added. The stored
+numbers never change, so a recomputed task puts a row where it was. How rows are
+spread decides only how even the work is; the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -15,32 +15,39 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkfield.operators.joins import hot_keys
+from larkfield.session import checkpointed, small_side
 
 BUCKET = "_range"
-_SAMPLE_PER_RANGE = 32
 _ROWS_PER_RANGE = 2_000_000
-# Below this, one sorted task beats the extra passes that ranges need.
-_MIN_ROWS_PER_RANGE = 200_000
-_MAX_RANGES = 16_384
 
 OrderItem = tuple[str, str]
 
 
 @dataclass
 class RangedFrame:
-    """A frame whose rows carry the number of their sort-key range."""
+    """A stored frame whose rows carry the number of their sort-key range.
+
+    ``counts`` has the rows of each range, ``divided`` the groups that lie in several.
+    """
 
     df: DataFrame
     group: list[str]
     order: list[OrderItem]
-    n_rows: int
-    n_ranges: int
-    cut_groups: list[tuple]
+    counts: dict[int, int]
+    divided: list[tuple]
+
+    @property
+    def n_rows(self) -> int:
+        return sum(self.counts.values())
+
+    @property
+    def n_ranges(self) -> int:
+        return len(self.counts)
 
     def sort_columns(self) -> list[Column]:
         return [_sort_column(item) for item in self.order]
@@ -52,110 +59,60 @@ def _sort_column(item: OrderItem) -> Column:
     return column.desc_nulls_last() if direction == "desc" else column.asc_nulls_last()
 
 
-def _not_after(cut: Column, item_names: Sequence[str], directions: Sequence[str]) -> Column:
-    """True when ``cut`` sorts before the row or is equal to it; NULLs sort last."""
-    result: Column = F.lit(True)
-    for name, direction in reversed(list(zip(item_names, directions))):
-        ours, row = cut[name], F.col(name)
-        earlier = (ours > row) if direction == "desc" else (ours < row)
-        earlier = F.coalesce(earlier, ours.isNotNull() & row.isNull())
-        result = earlier | (ours.eqNullSafe(row) & result)
-    return result
-
-
-def _range_number(cuts: Sequence[Row], names: Sequence[str], directions: Sequence[str],
-                  schema: T.StructType) -> Column:
-    """Number of cuts that do not sort after the row, found by halving steps."""
-    if not cuts:
-        return F.lit(0)
-    array = F.array(*[
-        F.struct(*[F.lit(cut[n]).cast(schema[n].dataType).alias(n) for n in names]) for cut in cuts
-    ])
-    top = 1 << (len(cuts).bit_length() - 1)
-    steps = [top >> i for i in range(top.bit_length())]
-
-    def advance(position: Column, step: Column) -> Column:
-        candidate = F.get(array, position + step - 1)
-        return F.when(candidate.isNotNull() & _not_after(candidate, names, directions),
-                      position + step).otherwise(position)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
-
-
 def range_split(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str] = (),
-                n_ranges: int | None = None, seed: int = 17,
-                rows_per_range: int = _ROWS_PER_RANGE, n_rows: int | None = None) -> RangedFrame:
-    """Give every row a range number along ``group`` then ``order``.
+                n_ranges: int | None = None) -> RangedFrame:
+    """Store the rows with a range number along ``group`` then ``order``.
 
     ``order`` must end in a column that makes the key unique, or ties stay arbitrary.
-    Two light passes run first: a count (unless ``n_rows`` is known) and a sample of at
-    most some ``32 * n_ranges`` keys; only key columns are read for them.
+    There are as many ranges as the session has shuffle partitions, or ``n_ranges``. Spark
+    samples the sort key and shuffles once; everything after reads the stored rows.
     """
-    group = list(group)
-    order = list(order)
-    items: list[OrderItem] = [(g, "asc") for g in group] + order
-    names = [n for n, _ in items]
-    directions = [d for _, d in items]
-    keys = df.select(*names)
-    n_rows = keys.count() if n_rows is None else n_rows
-    if n_ranges is None:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        wanted = max(math.ceil(n_rows / rows_per_range),
-                     min(cores, math.ceil(n_rows / _MIN_ROWS_PER_RANGE)))
-        n_ranges = min(max(wanted, 1), _MAX_RANGES)
-    cuts: list[Row] = []
-    if n_ranges > 1 and n_rows > 0:
-        share = min(1.0, _SAMPLE_PER_RANGE * n_ranges / n_rows)
-        picked = keys if share == 1.0 else keys.sample(share, seed)
-        sample = picked.orderBy(*[_sort_column(i) for i in items]).collect()
-        width = len(sample) / n_ranges
-        for i in range(1, n_ranges):
-            position = int(i * width)
-            if position < len(sample) and (not cuts or cuts[-1] != sample[position]):
-                cuts.append(sample[position])
-    number = _range_number(cuts, names, directions, keys.schema)
-    cut_groups = list(dict.fromkeys(tuple(c[g] for g in group) for c in cuts))
-    return RangedFrame(df.withColumn(BUCKET, number.cast("int")), group, order, n_rows,
-                       len(cuts) + 1, cut_groups)
+    group, order = list(group), list(order)
+    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [_sort_column(i) for i in [*((g, "asc") for g in group), *order]]
+    stored = checkpointed(df.repartitionByRange(n, *keys).withColumn(BUCKET, F.spark_partition_id()))
+    ends = []
+    if group:  # the first and the last group of a range, in sort order
+        key = F.struct(*[part for i, g in enumerate(group) for part in (F.col(g).isNull().alias(f"n{i}"), F.col(g).alias(f"g{i}"))])
+        ends = [F.min(key).alias("low"), F.max(key).alias("high")]
+    rows = sorted(stored.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"), *ends).collect(), key=lambda r: r[BUCKET])  # a row per range
+    value = lambda key: tuple(key[f"g{i}"] for i in range(len(group)))
+    divided = [value(one["high"]) for one, two in zip(rows, rows[1:]) if value(one["high"]) == value(two["low"])] if group else []
+    return RangedFrame(stored, group, order, {r[BUCKET]: r["n"] for r in rows}, list(dict.fromkeys(divided)))
+
+
+def _of_divided(ranged: RangedFrame) -> DataFrame:
+    """The rows of groups that lie in several ranges; all rows if there are no groups."""
+    if not ranged.group:
+        return ranged.df
+    fields = [T.StructField(f"_d{i}", ranged.df.schema[g].dataType) for i, g in enumerate(ranged.group)]
+    divided = ranged.df.sparkSession.createDataFrame(ranged.divided, T.StructType(fields))
+    match = [F.col(g).eqNullSafe(F.col(f"_d{i}")) for i, g in enumerate(ranged.group)]
+    return ranged.df.join(F.broadcast(divided), match, "left_semi")  # at most one group per range
 
 
 def _carried_totals(ranged: RangedFrame, sums: Mapping[str, str]) -> DataFrame | None:
-    """Count and sums of earlier ranges, for groups that a cut divides.
+    """Count, sums and numbers of values of earlier ranges, for groups that lie in several.
 
-    A group lies in two ranges only if a cut point belongs to it, so the frame has at
-    most two rows per range, however many groups there are.
+    At most two rows per range, however many groups there are.
     """
-    if ranged.n_ranges == 1:
+    if ranged.n_ranges <= 1 or (ranged.group and not ranged.divided):
         return None
-    spark = ranged.df.sparkSession
-    frame = ranged.df
-    if ranged.group:
-        fields = [ranged.df.schema[g] for g in ranged.group]
-        divided = spark.createDataFrame(ranged.cut_groups, T.StructType(fields))
-        match = [frame[g].eqNullSafe(divided[g]) for g in ranged.group]
-        frame = frame.join(F.broadcast(divided), match, "left_semi")
-    aggregates = [F.count(F.lit(1)).alias("_n")]
-    aggregates += [F.sum(c).alias(f"_s_{name}") for name, c in sums.items()]
-    totals = frame.groupBy(BUCKET, *ranged.group).agg(*aggregates)
-    # Small and pinned: at most two rows per range reach the driver.
-    rows = totals.collect()
-    totals = spark.createDataFrame(rows, totals.schema)
-    earlier = (Window.partitionBy(*ranged.group) if ranged.group else Window.partitionBy(F.lit(0)))
-    earlier = earlier.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    columns = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n")]
-    for name in sums:
-        columns.append(F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_s_{name}"))
-    return totals.select(F.col(BUCKET).alias("_b"),
-                         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(ranged.group)], *columns)
+    aggregates = [F.count(F.lit(1)).alias("_carried")]
+    for name, c in sums.items():
+        aggregates += [F.sum(c).alias(f"_carried_sum_{name}"), F.count(c).alias(f"_carried_n_{name}")]
+    totals = _of_divided(ranged).groupBy(BUCKET, *ranged.group).agg(*aggregates)
+    earlier = Window.partitionBy(*(ranged.group or [F.lit(0)])).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in totals.columns if c.startswith("_carried")]
+    return totals.select(F.col(BUCKET).alias("_b"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(ranged.group)], *carried)
 
 
 def _hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Split off the rows of groups too large for one task: (other rows, rows of hot groups)."""
     hot = hot_keys(df, group, hot_rows)
-    if not hot:
+    if hot.isEmpty():
         return df, None
-    schema = T.StructType([T.StructField(f"_h{i}", df.schema[g].dataType) for i, g in enumerate(group)])
-    keys = F.broadcast(df.sparkSession.createDataFrame(list(hot), schema))
+    keys = small_side(hot.select(*[F.col(g).alias(f"_h{i}") for i, g in enumerate(group)]))
     match = [F.col(g).eqNullSafe(F.col(f"_h{i}")) for i, g in enumerate(group)]
     return df.join(keys, match, "left_anti"), df.join(keys, match, "left_semi")
 
@@ -179,8 +136,7 @@ def running(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str] = ()
         out = cold.select(*df.columns, *columns)
         if hot is None:
             return out
-        return out.unionByName(running(hot, order, group, rank, sums, ranged=range_split(
-            hot, order, group, rows_per_range=hot_rows)))
+        return out.unionByName(running(hot, order, group, rank, sums, ranged=range_split(hot, order, group)))
     ranged = ranged or range_split(df, order, group, n_ranges)
     out = ranged.df
     window = Window.partitionBy(BUCKET, *ranged.group).orderBy(*ranged.sort_columns())
@@ -191,16 +147,14 @@ def running(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str] = ()
         for i, g in enumerate(ranged.group):
             match = match & out[g].eqNullSafe(carried[f"_g{i}"])
         out = out.join(F.broadcast(carried), match, "left")
-        base = {name: F.coalesce(F.col(f"_s_{name}"), F.lit(0)) for name in sums}
-        base_n = F.coalesce(F.col("_n"), F.lit(0))
-    else:
-        base = {name: F.lit(0) for name in sums}
-        base_n = F.lit(0)
+    base = lambda name: F.coalesce(F.col(name), F.lit(0)) if carried is not None else F.lit(0)
     columns = [F.col(c) for c in df.columns]
     if rank:
-        columns.append((F.row_number().over(window) + base_n).cast("long").alias(rank))
+        columns.append((F.row_number().over(window) + base("_carried")).cast("long").alias(rank))
     for name, source in sums.items():
-        columns.append((F.sum(source).over(window) + base[name]).alias(name))
+        # NULL until the group has shown its first value, as a plain window has it
+        seen = F.count(source).over(window) + base(f"_carried_n_{name}") > 0
+        columns.append(F.when(seen, F.coalesce(F.sum(source).over(window), F.lit(0)) + base(f"_carried_sum_{name}")).alias(name))
     return out.select(*columns)
 
 
@@ -223,31 +177,26 @@ def quantile_buckets(df: DataFrame, order: Sequence[OrderItem], buckets: int = 9
     return ranked.select(*df.columns, bucket.alias(name))
 
 
-def first_rows(df: DataFrame, order: Sequence[OrderItem], k: int,
-               n_ranges: int | None = None, take_ordered_limit: int = 1_000) -> DataFrame:
-    """The first ``k`` rows of ``order``.
+def first_rows(df: DataFrame, order: Sequence[OrderItem], k: int, n_ranges: int | None = None) -> DataFrame:
+    """The first ``k`` rows of ``order``, in that order, whatever ``k`` is.
 
-    A small ``k`` uses Spark's per-task top-k. A large ``k`` would merge ``k`` rows of
-    every task in one place, so there whole ranges are kept by their counts and only
-    the rows of the needed ranges are sorted.
+    Ranges before the one that holds row ``k`` are taken whole, and only that one is ranked;
+    each range is sorted where it lies, so the rows come out in order without one sorting task.
     """
-    if k <= take_ordered_limit:
-        return df.orderBy(*[_sort_column(i) for i in order]).limit(k)
     ranged = range_split(df, order, (), n_ranges)
-    if ranged.n_rows <= k:
-        return df
-    if ranged.n_ranges == 1:
-        return df.orderBy(*ranged.sort_columns()).limit(k)
-    counts = sorted((r[0], r[1]) for r in ranged.df.groupBy(BUCKET).count().collect())
-    seen, before, last = 0, 0, 0
-    for number, count in counts:
-        before, last, seen = seen, number, seen + count
-        if seen >= k:
+    before, last = 0, -1
+    for number, count in sorted(ranged.counts.items()):
+        if before + count >= k:
+            last = number
             break
-    whole = ranged.df.where(F.col(BUCKET) < last).select(*df.columns)
-    edge = ranged.df.where(F.col(BUCKET) == last)
-    edge = edge.orderBy(*ranged.sort_columns()).limit(k - before).select(*df.columns)
-    return whole.unionByName(edge)
+        before += count
+    else:  # fewer rows than asked for: all ranges whole
+        last = max(ranged.counts, default=-1) + 1
+    inside = Window.partitionBy(BUCKET).orderBy(*ranged.sort_columns())
+    whole = ranged.df.where(F.col(BUCKET) < last)
+    edge = ranged.df.where(F.col(BUCKET) == last).withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= k - before)
+    parts = [p.sortWithinPartitions(*ranged.sort_columns()).select(*df.columns) for p in (whole, edge)]
+    return parts[0].unionByName(parts[1])
 
 
 def next_values(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str],
@@ -265,33 +214,21 @@ def next_values(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str],
         out = cold.select(*df.columns, *[F.lead(c).over(window).alias(o) for o, c in columns.items()])
         if hot is None:
             return out
-        parts = max(2, math.ceil(hot.count() / hot_rows))
-        return out.unionByName(next_values(hot, order, group, columns, parts))
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return out.unionByName(next_values(hot, order, group, columns, max(2, n)))
     ranged = range_split(df, order, group, n_ranges)
     window = Window.partitionBy(BUCKET, *ranged.group).orderBy(*ranged.sort_columns())
-    lead = [F.lead(F.struct(*[F.col(c) for c in columns.values()])).over(window).alias("_next")]
-    inside = ranged.df.select("*", *lead)
-    if ranged.n_ranges == 1:
-        return inside.select(*df.columns,
-                             *[F.col("_next")[c].alias(o) for o, c in columns.items()])
+    following = F.struct(*[F.col(c) for c in columns.values()])
+    inside = ranged.df.select("*", F.lead(following).over(window).alias("_next"))
+    if ranged.n_ranges <= 1 or (ranged.group and not ranged.divided):
+        return inside.select(*df.columns, *[F.col("_next")[c].alias(o) for o, c in columns.items()])
     # First row per (range, divided group): at most two rows per range.
-    spark = df.sparkSession
-    frame = ranged.df
-    if ranged.group:
-        fields = [df.schema[g] for g in ranged.group]
-        divided = spark.createDataFrame(ranged.cut_groups, T.StructType(fields))
-        frame = frame.join(F.broadcast(divided),
-                           [frame[g].eqNullSafe(divided[g]) for g in ranged.group], "left_semi")
-    # min of a struct needs ascending order, so ranks inside a range come from row_number.
-    firsts = (frame.withColumn("_k", F.row_number().over(window)).where("_k = 1")
+    firsts = (_of_divided(ranged).withColumn("_k", F.row_number().over(window)).where("_k = 1")
               .select(BUCKET, *ranged.group, *dict.fromkeys(columns.values())))
-    rows = firsts.collect()
-    firsts = spark.createDataFrame(rows, firsts.schema)
-    across = (Window.partitionBy(*ranged.group) if ranged.group else Window.partitionBy(F.lit(0)))
-    across = across.orderBy(BUCKET)
+    across = Window.partitionBy(*(ranged.group or [F.lit(0)])).orderBy(BUCKET)
     carried = firsts.select(
         F.col(BUCKET).alias("_b"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(ranged.group)],
-        F.lead(F.struct(*[F.col(c) for c in columns.values()])).over(across).alias("_carried"))
+        F.lead(following).over(across).alias("_carried"))
     match = inside[BUCKET] == carried["_b"]
     for i, g in enumerate(ranged.group):
         match = match & inside[g].eqNullSafe(carried[f"_g{i}"])
@@ -303,10 +240,10 @@ def next_values(df: DataFrame, order: Sequence[OrderItem], group: Sequence[str],
 def ordered_chunks(df: DataFrame, group: Sequence[str], order: Sequence[OrderItem], value: str,
                    name: str = "values", chunk: int = 10_000,
                    n_ranges: int | None = None) -> DataFrame:
-    """Ordered list of ``value`` per group, in chunks of at most ``chunk`` entries.
+    """Ordered list of ``value`` per group: always (group, ``chunk_no``, list) rows.
 
-    Groups up to ``chunk`` rows give one row with ``chunk_no`` 0; a larger group gives
-    several rows, so no list outgrows a task and no entry is lost.
+    Row ``chunk_no`` holds the entries from ``chunk_no * chunk`` on, at most ``chunk`` of them,
+    so no list outgrows a task and no entry is lost.
     """
     placed = running(df.select(*dict.fromkeys([*group, *[n for n, _ in order], value])),
                      order, group, rank="_pos", n_ranges=n_ranges)
@@ -318,37 +255,14 @@ def ordered_chunks(df: DataFrame, group: Sequence[str], order: Sequence[OrderIte
 
 def values_at_ranks(df: DataFrame, column: str, ranks: Sequence[int],
                     n_ranges: int | None = None) -> dict[int, float]:
-    """The values at the given ascending ranks (1 = smallest); a few rows reach the driver.
-
-    Ranges that hold none of the ranks are counted but not sorted.
-    """
-    ranged = range_split(df.select(column), [(column, "asc")], (), n_ranges)
-    counts = sorted((r[0], r[1]) for r in ranged.df.groupBy(BUCKET).count().collect())
-    before, needed = 0, {}
-    for number, count in counts:
-        local = [r - before for r in ranks if before < r <= before + count]
-        if local:
-            needed[number] = (before, local)
-        before += count
+    """The values at the given ascending ranks (1 = smallest); a few rows reach the driver."""
     # Equal values collapse first, so a value that fills a third of the rows is one row here.
-    tallies = (ranged.df.where(F.col(BUCKET).isin(*needed)).groupBy(BUCKET, column)
-               .agg(F.count("*").alias("_c")))
-    window = Window.partitionBy(BUCKET).orderBy(column)
-    tallies = tallies.withColumn("_to", F.sum("_c").over(window)).withColumn(
-        "_from", F.col("_to") - F.col("_c"))
-    hit = F.lit(False)
-    for number, (_, local) in needed.items():
-        inside = F.lit(False)
-        for r in local:
-            inside = inside | ((F.col("_from") < r) & (F.col("_to") >= r))
-        hit = hit | ((F.col(BUCKET) == number) & inside)
-    found = {}
-    for row in tallies.where(hit).collect():
-        start, local = needed[row[BUCKET]]
-        for r in local:
-            if row["_from"] < r <= row["_to"]:
-                found[start + r] = row[column]
-    return found
+    tallied = df.groupBy(column).agg(F.count("*").alias("_c"))
+    summed = running(tallied, [(column, "asc")], rank=None, sums={"_to": "_c"}, n_ranges=n_ranges)
+    wanted = df.sparkSession.createDataFrame([(r,) for r in ranks], "_r long")
+    inside = (F.col("_r") <= F.col("_to")) & (F.col("_r") > F.col("_to") - F.col("_c"))
+    found = summed.join(F.broadcast(wanted), inside).select("_r", column)
+    return {r["_r"]: r[column] for r in found.collect()}
 
 
 __all__ = ["RangedFrame", "first_rows", "next_values", "ordered_chunks",

@@ -126,11 +126,13 @@ def redistribute(df: DataFrame, parts: int, *keys: str) -> DataFrame:
 def poisson_weight(salt: str, key: str, rate: float | Column, largest: int = 20) -> Column:
     """A Poisson draw per row from its hash: how often a bootstrap takes the row.
 
-    Inverts the distribution function; ``largest`` bounds the search, the chance of more
-    is below 1e-18 for rates up to 1.
+    Inverts the distribution function. For a fixed rate the search goes on until more draws
+    have a chance below 1e-18. For a rate per row ``largest`` bounds it: enough for rates up to 1;
+    a column of larger rates needs a larger one.
     """
     u = hash_share(salt, key)
     if not isinstance(rate, Column):
+        largest = max(20, math.ceil(rate + 10 * math.sqrt(rate) + 20))
         term, bounds = math.exp(-rate), []
         for n in range(largest):
             bounds.append((bounds[-1] if bounds else 0.0) + term)

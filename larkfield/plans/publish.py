@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.operators.ranking import quantile_buckets
+from larkfield.session import checkpointed, small_side
+
+ROWS_PER_FILE = 1_000_000
 
 SCORE_COLUMNS = ["report_date", "subs_id", "model_id", "model_version", "probability",
                  "bucket_value", "segment_id", "load_id"]
@@ -60,12 +63,14 @@ def write_partitioned_scores(scores: DataFrame, path: str, first_day: dt.date, l
                              rejected_path: str, mode: str = "append") -> None:
     """Write accepted rows by day and segment; rejected rows go to ``rejected_path``.
 
-    The rows are spread by (day, segment, hash of subscriber) before the write, so a day
-    holding most rows is written by many tasks and small days do not leave one file per task.
+    The rows are stored, so that scores are computed once, and counted by (day, segment). Each
+    of these is written by a task for every ``ROWS_PER_FILE`` of its rows, however many it holds.
     """
-    accepted, rejected = score_partitions(scores, first_day, last_day)
-    spread = accepted.repartition("report_date", "segment_part",
-                                  F.pmod(F.xxhash64("subs_id"), F.lit(64)))
+    accepted, rejected = score_partitions(checkpointed(scores), first_day, last_day)
+    days = ["report_date", "segment_part"]
+    files = F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).cast("int").alias("_files")
+    sized = accepted.join(small_side(accepted.groupBy(*days).agg(files)), days)
+    spread = sized.repartition(*days, F.pmod(F.xxhash64("subs_id"), F.col("_files"))).drop("_files")
     spread.write.mode(mode).partitionBy("report_date", "segment_part").parquet(path)
     rejected.write.mode(mode).parquet(rejected_path)
 
@@ -80,7 +85,11 @@ def registry_rows(scores: DataFrame, model_name: str, segment_name: str) -> dict
 
 
 def publish(scores: DataFrame, paths: dict[str, str], model_name: str, segment_name: str) -> None:
-    """Append scores and registry rows; the load marker comes last, after all data is in place."""
+    """Append scores and registry rows; the load marker comes last, after all data is in place.
+
+    The scores are stored first, so a model behind them runs once.
+    """
+    scores = checkpointed(scores)
     rows = registry_rows(scores, model_name, segment_name)
     scores.write.mode("append").parquet(paths["scoring"])
     for name in ("model_desc", "segment_desc", "scoring_to_load"):

@@ -64,3 +64,17 @@ SELECT coalesce(max(l_suppkey), 0) + 1 AS next_model_id FROM lineitem
 """)
 def next_model_id(t):
     return publish.next_model_id(t.lineitem, "l_suppkey")
+
+
+@query("row_number_hot_groups", """
+SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS pos,
+ sum(CASE WHEN event_id % 3 > 0 THEN event_id END) OVER (PARTITION BY event_type ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total,
+ lead(event_id) OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS following FROM events
+""")
+def row_number_hot_groups(t):
+    """Every group counts as hot: ranks, running sums over NULLs and next values across ranges."""
+    order = [("value", "desc"), ("event_id", "asc")]
+    rows = t.events.select("event_id", "event_type", "value", F.when(F.col("event_id") % 3 > 0, F.col("event_id")).alias("v"))
+    out = ranking.running(rows, order, ["event_type"], "pos", {"total": "v"}, hot_rows=100)
+    out = ranking.next_values(out, order, ["event_type"], {"following": "event_id"}, hot_rows=100)
+    return out.select("event_id", "event_type", "pos", "total", "following")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larkfield.operators import aggregates as agg
 from larkfield.operators import joins, matching, reshape, sampling
+from larkfield.lookalike.bagging import Draw
 from larkfield.operators.ranking import first_rows
 from larkfield.functions.text import lookup_or_keep
 from larkfield.plans import extracts
@@ -113,9 +114,10 @@ def lookup_or_keep_query(t):
 SELECT o_orderkey, o_totalprice, round(o_totalprice / 500000.0, 8) AS p1, CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS orig_target FROM orders
 """)
 def column_bind(t):
-    """Prediction and label beside the frame: carried by the row, never by position."""
-    return t.orders.select("o_orderkey", "o_totalprice", F.round(F.col("o_totalprice") / 500000.0, 8).alias("p1"),
-                           (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("orig_target"))
+    """Prediction and label beside the frame: bound by id, never by position."""
+    predicted = t.orders.select("o_orderkey", F.round(F.col("o_totalprice") / 500000.0, 8).alias("p1"),
+                                (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("orig_target")).orderBy("p1")
+    return joins.bind_columns(t.orders.select("o_orderkey", "o_totalprice"), predicted, "o_orderkey")
 
 
 CONTACT_SQL = "'8' || lpad(CAST(o_orderkey % 500 AS STRING), 10, '0')"
@@ -520,16 +522,25 @@ POISSON_HALF = [math.exp(-0.5) * math.fsum(0.5 ** i / math.factorial(i) for i in
 
 @query("bootstrap_unlabelled", f"""
 WITH l AS ({LABELLED_SQL}), r AS (SELECT target, unnest(range(0, 5))::INTEGER AS estimator, o_orderkey FROM l),
- h AS (SELECT target, estimator, ('0x' || substr(md5('bag|' || estimator || '/' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r)
+ h AS (SELECT target, estimator, ('0x' || substr(md5('1/' || estimator || '|' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r)
 SELECT estimator, target, CAST(CASE WHEN target = 1 THEN 1 ELSE len(list_filter({POISSON_HALF}::DOUBLE[], lambda c: c <= u)) END AS INTEGER) AS draws, count(*) AS n FROM h GROUP BY ALL
 """)
 def bootstrap_unlabelled(t):
     """Draws per order and estimator: Poisson for unlabelled rows, one for each positive."""
-    rows = labelled_orders(t).withColumn("estimator", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    keyed = rows.withColumn("_k", F.concat_ws("/", "estimator", "o_orderkey"))
-    draws = F.when(F.col("target") == 1, 1).otherwise(sampling.poisson_weight("bag", "_k", 0.5))
-    return (keyed.select("estimator", "target", draws.alias("draws")).groupBy("estimator", "target", "draws")
-            .agg(F.count("*").alias("n")))
+    draw = Draw("o_orderkey", "target", share=0.5, bootstrap=True, seed=1)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("estimator"), draw.weight(i).alias("draws")) for i in range(5)]))
+    return labelled_orders(t).select("target", each.alias("d")).groupBy("d.estimator", "target", "d.draws").agg(F.count("*").alias("n"))
+
+
+@query("salted_many_hot_keys", """
+SELECT l_suppkey, count(*) AS n, sum(o_orderkey) AS s FROM lineitem JOIN orders ON l_suppkey = o_custkey GROUP BY 1
+""")
+def salted_many_hot_keys(t):
+    """Every supplier counts as hot, on both sides."""
+    left = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber")
+    right = t.orders.select(F.col("o_custkey").alias("l_suppkey"), "o_orderkey")
+    joined = joins.salted_join(left, right, ["l_suppkey"], min_rows=2)
+    return joined.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
 
 
 @query("redistribute", """

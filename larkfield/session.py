@@ -61,14 +61,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast only when it is shown to hold at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the frame is
-    returned unmarked, so Spark shuffles the join and AQE splits skewed partitions.
+#: Bytes that a table marked for broadcast may have.
+BROADCAST_BYTES = 32 << 20
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: the length of text and of nested values written out, 8 for other columns."""
+    sizes = [F.lit(8)]
+    for field in df.schema:
+        kind = field.dataType.simpleString()
+        if kind in ("string", "binary"):
+            sizes.append(F.octet_length(F.col(f"`{field.name}`")))
+        elif kind.startswith(("array", "struct", "map")):
+            sizes.append(F.octet_length(F.col(f"`{field.name}`").cast("string")))
+        else:
+            sizes.append(F.lit(8))
+    total = F.lit(0)
+    for size in sizes:
+        total = total + F.coalesce(size, F.lit(0))
+    return total
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` stored once, and marked for broadcast only if it holds at most ``max_bytes``.
+
+    Beyond the bound the frame is returned unmarked, so Spark shuffles the join and AQE splits
+    skewed partitions. The input runs once: the size is taken from the stored rows.
     """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    stored = checkpointed(df)
+    size = stored.agg(F.sum(_row_bytes(stored)).alias("n")).first()["n"] or 0
+    return F.broadcast(stored) if size <= max_bytes else stored
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:

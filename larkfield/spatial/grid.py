@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.operators.joins import HOT_KEYS, hot_keys, salted_join
-from larkfield.session import checkpointed
+from larkfield.operators.joins import hot_keys, salted_join
+from larkfield.session import checkpointed, small_side
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 PAIRS_PER_BOX = 8
+FINEST = 64
 
 
 @dataclass(frozen=True)
@@ -123,19 +123,11 @@ def _cell_loads(a: DataFrame, b: DataFrame) -> DataFrame:
     return checkpointed(counts.where((F.col("na") > 0) & (F.col("nb") > 0)))
 
 
-def _busy_cells(counts: DataFrame, pairs: int, rows: int) -> dict[int, tuple[int, int]]:
-    """Boxes of either side in the busiest cells, at most HOT_KEYS cells."""
-    load = F.greatest(F.col("na").cast("double") * F.col("nb") / pairs, F.col("na") / rows, F.col("nb") / rows)
-    busy = counts.withColumn("load", load).where("load > 1").orderBy(F.desc("load"), "cell_id").limit(HOT_KEYS)
-    return {r["cell_id"]: (r["na"], r["nb"]) for r in busy.collect()}
-
-
-def _refined(df: DataFrame, prefix: str, grid: Grid, parts: dict[int, int]) -> DataFrame:
-    """Give rows of crowded cells the numbers of the finer cells they meet, others 0."""
-    if not parts:
-        return df.withColumn("sub_id", F.lit(0))
-    table = df.sparkSession.createDataFrame(list(parts.items()), "cell_id int, _parts int")
-    joined = df.join(F.broadcast(table), "cell_id", "left")
+def _refined(df: DataFrame, prefix: str, grid: Grid, parts: DataFrame | None) -> DataFrame:
+    """Give rows of crowded cells the numbers of the finer cells they meet, others 0; ``_parts`` stays."""
+    if parts is None:
+        return df.withColumns({"sub_id": F.lit(0), "_parts": F.lit(None).cast("int")})
+    joined = df.join(parts, "cell_id", "left")
     n = F.col("_parts")
     x0 = F.lit(grid.xmin) + (F.col("cell_id") % grid.nx) * grid.dx
     y0 = F.lit(grid.ymin) + F.floor(F.col("cell_id") / grid.nx) * grid.dy
@@ -146,21 +138,17 @@ def _refined(df: DataFrame, prefix: str, grid: Grid, parts: dict[int, int]) -> D
     # Rounding at an edge may turn a touching range around by one: order both ends.
     cells = _product(F.least(ix0, ix1), F.greatest(ix0, ix1), F.least(iy0, iy1), F.greatest(iy0, iy1), n)
     listed = F.when(n.isNull(), F.array(F.lit(0))).otherwise(F.transform(cells, lambda c: c + 1))
-    return joined.withColumn("sub_id", F.explode(listed)).drop("_parts")
+    return joined.withColumn("sub_id", F.explode(listed))
 
 
-def _owned(grid: Grid, parts: dict[int, int]) -> Column:
+def _owned(grid: Grid) -> Column:
     """True in the one cell that holds the low corner of the overlap of both boxes."""
     x, y = F.greatest("a_xmin", "b_xmin"), F.greatest("a_ymin", "b_ymin")
     ix, iy = _owner_index(x, grid.xmin, grid.dx, grid.nx), _owner_index(y, grid.ymin, grid.dy, grid.ny)
-    owned = F.col("cell_id") == iy * grid.nx + ix
-    if not parts:
-        return owned
-    pairs = [v for kv in parts.items() for v in (F.lit(kv[0]), F.lit(kv[1]))]
-    n = F.try_element_at(F.create_map(*pairs), F.col("cell_id"))
+    n = F.col("_parts")
     sx = _owner_index(x, F.lit(grid.xmin) + ix * grid.dx, F.lit(grid.dx) / n, n)
     sy = _owner_index(y, F.lit(grid.ymin) + iy * grid.dy, F.lit(grid.dy) / n, n)
-    return owned & (F.col("sub_id") == F.when(n.isNull(), 0).otherwise(sy * n + sx + 1))
+    return (F.col("cell_id") == iy * grid.nx + ix) & (F.col("sub_id") == F.when(n.isNull(), 0).otherwise(sy * n + sx + 1))
 
 
 def box_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, right_id: str,
@@ -181,20 +169,23 @@ def box_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, right_
     b = with_cells(_side(right, right_id, right_box, "b", right_extra), grid, [f"b_{c}" for c in BOX])
     meets = rect_intersects([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX])
     counts = _cell_loads(a, b)
-    busy = _busy_cells(counts, crowded_pairs, salt_rows)
+    product = F.col("na").cast("double") * F.col("nb")
+    # A finer cut divides the candidate pairs of a cell by about the number of parts. It stops at
+    # FINEST, since wide boxes are repeated in every part; what is still crowded then is salted.
+    cut = F.when(F.lit(dedupe) & (product > crowded_pairs), F.least(F.lit(FINEST), F.ceil(F.sqrt(product / crowded_pairs))).cast("int"))
+    load = F.greatest(product / crowded_pairs, F.col("na") / salt_rows, F.col("nb") / salt_rows)
+    seen = counts.agg((F.sum(product) / F.sum("na")).alias("growth"), F.max(cut).alias("cut"), F.max(load).alias("load")).first()
     # Where pairs far outnumber boxes, shuffling the boxes is the small part and evens out
     # the work; otherwise Spark may broadcast a small side.
-    growth = counts.agg((F.sum(F.col("na").cast("double") * F.col("nb")) / F.sum("na")).alias("g")).first()["g"]
-    hint = "merge" if growth is not None and growth > PAIRS_PER_BOX else None
-    # A finer cut divides the candidate pairs of a cell by about the number of parts.
-    parts = {c: min(64, math.ceil(math.sqrt(na * nb / crowded_pairs)))
-             for c, (na, nb) in busy.items() if dedupe and na * nb > crowded_pairs}
-    hot = {(c, 0): n for c, n in busy.items() if c not in parts}
-    a, b = _refined(a, "a", grid, parts), _refined(b, "b", grid, parts)
-    if parts:
-        # What is still crowded after the finer cut, such as many equal boxes.
-        keys, inside = ["cell_id", "sub_id"], F.col("cell_id").isin(*parts)
-        na, nb = (hot_keys(side.where(inside), keys, salt_rows) for side in (a, b))
-        hot.update({k: (na.get(k, 0), nb.get(k, 0)) for k in {**na, **nb}})
-    condition = meets & _owned(grid, parts) if dedupe else meets
-    return salted_join(a, b, ["cell_id", "sub_id"], condition, hot, salt_rows, hint=hint).drop("sub_id")
+    hint = "merge" if seen["growth"] is not None and seen["growth"] > PAIRS_PER_BOX else None
+    parts = small_side(counts.select("cell_id", cut.alias("_parts")).where("_parts IS NOT NULL")) if seen["cut"] else None
+    a, b = _refined(a, "a", grid, parts), _refined(b, "b", grid, parts).drop("_parts")
+    keys = ["cell_id", "sub_id"]
+    hot = counts.where((load > 1) & cut.isNull()).select(
+        "cell_id", F.lit(0).alias("sub_id"), F.col("na").alias("_left"), F.col("nb").alias("_right"))
+    if parts is not None:
+        of_a, of_b = (hot_keys(side.where("sub_id > 0"), keys, salt_rows) for side in (a, b))
+        finer = of_a.withColumnRenamed("_rows", "_left").join(of_b.withColumnRenamed("_rows", "_right"), keys, "full")
+        hot = hot.unionByName(finer)
+    condition = meets & _owned(grid) if dedupe else meets
+    return salted_join(a, b, keys, condition, hot, salt_rows, hint=hint).drop("sub_id", "_parts")

@@ -17,7 +17,25 @@ def test_salted_join_hot_on_both_sides(spark):
     wanted = sorted((x, y) for x, k in left for y, m in right if k == m)
     got = joins.salted_join(a, b, ["k"], min_rows=40).select("a", "b")
     assert sorted(map(tuple, got.collect())) == wanted
-    assert joins.hot_keys(a, ["k"], 40) == {(0,): 300}
+    assert [tuple(r) for r in joins.hot_keys(a, ["k"], 40).collect()] == [(0, 300)]
+
+
+def test_every_hot_key_is_split(spark):
+    """Three thousand hot keys, none left whole for being too many."""
+    a = spark.range(30_000).selectExpr("id % 3000 AS k", "id AS a")
+    b = spark.range(3000).selectExpr("id AS k", "id * 2 AS b")
+    assert joins.hot_keys(a, ["k"], 5).count() == 3000
+    joined = joins.salted_join(a, b, ["k"], min_rows=5)
+    assert joined.selectExpr("count(*)", "count_if(b = k * 2)", "count(DISTINCT a)").first()[:] == (30_000, 30_000, 30_000)
+
+
+def test_bound_columns_need_every_key_once(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
+    ok = joins.bind_columns(a, spark.createDataFrame([(2, 0.2), (1, 0.1)], "id long, p double"), "id")
+    assert sorted(map(tuple, ok.collect())) == [(1, "x", 0.1), (2, "y", 0.2)]
+    for rows in ([(1, 0.1)], [(1, 0.1), (2, 0.2), (2, 0.3)], [(1, 0.1), (2, 0.2), (3, 0.3)], [(1, 0.1), (None, 0.2)]):
+        with pytest.raises(ValueError):
+            joins.bind_columns(a, spark.createDataFrame(rows, "id long, p double"), "id")
 
 
 def test_range_join_shared_bound(spark):

@@ -54,8 +54,29 @@ def test_only_hot_groups_are_cut(frame):
 
 def test_hot_score_is_spread_over_ranges(frame):
     ranged = ranking.range_split(frame, ORDER, n_ranges=12)
-    sizes = [r["count"] for r in ranged.df.groupBy(ranking.BUCKET).count().collect()]
-    assert ranged.n_ranges == 12 and max(sizes) < 6000 / 12 * 2.5
+    assert ranged.n_ranges == 12 and ranged.n_rows == 6000 and max(ranged.counts.values()) < 6000 / 12 * 2.5
+
+
+def test_small_frames_take_several_ranges(spark):
+    """The plan of large data runs at any size."""
+    df = spark.range(500).selectExpr("id", "id % 7 AS p")
+    assert ranking.range_split(df, [("p", "desc"), ("id", "asc")]).n_ranges >= 4
+
+
+@pytest.mark.parametrize("group", [[], ["grp"]])
+@pytest.mark.parametrize("n_ranges", [1, 8])
+def test_running_sums_over_nulls(frame, group, n_ranges):
+    rows = frame.withColumn("w", F.when(F.col("id") % 3 == 0, F.col("v")))
+    window = Window.partitionBy(*group).orderBy(F.desc_nulls_last("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = rows.select("id", F.sum("w").over(window).alias("s"))
+    got = ranking.running(rows, ORDER, group, rank=None, sums={"s": "w"}, n_ranges=n_ranges).select("id", "s")
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_sums_of_nulls_alone_stay_null(spark):
+    df = spark.createDataFrame([(i, None) for i in range(50)] + [(50, 7)], "id long, v int")
+    got = ranking.running(df, [("id", "asc")], rank=None, sums={"s": "v"}, n_ranges=5).collect()
+    assert {r["id"]: r["s"] for r in got} == {**{i: None for i in range(50)}, 50: 7}
 
 
 @pytest.mark.parametrize("n_ranges", [1, 9])
@@ -75,10 +96,10 @@ def test_quantile_buckets(spark, rows):
 
 
 @pytest.mark.parametrize("k", [0, 1, 777, 5999, 6000, 9000])
-def test_first_rows_beyond_the_task_limit(frame, k):
+def test_first_rows_come_in_order(frame, k):
     wanted = [r["id"] for r in frame.orderBy(F.desc_nulls_last("score"), "id").limit(k).collect()]
-    got = ranking.first_rows(frame, ORDER, k, n_ranges=9, take_ordered_limit=0)
-    assert sorted(r["id"] for r in got.collect()) == sorted(wanted)
+    for n_ranges in (1, 9):
+        assert [r["id"] for r in ranking.first_rows(frame, ORDER, k, n_ranges=n_ranges).collect()] == wanted
 
 
 def test_ordered_chunks_lose_nothing(frame):

@@ -67,10 +67,18 @@ def interaction_features(df: DataFrame, columns: Sequence[str], feature: str) ->
     return df.select("*", *added)
 
 
+def _level_part(column: str) -> Column:
+    return F.coalesce(F.regexp_replace(F.col(column).cast("string"), r"([\\_])", r"\\$1"), F.lit(r"\N"))
+
+
 def categorical_interaction(df: DataFrame, factors: Sequence[str], max_factors: int = 1_000_000,
                             min_occurrence: int = 10, other: str = "other") -> DataFrame:
     """Add ``a_b`` for every pair of factors; rare levels become ``other``.
 
+    Levels are told apart by the pair of values. In a level's name a backslash and an underscore
+    within a value are written behind a backslash, and a NULL is written ``\\N``, so two pairs never
+    share a name.
+
     A level stays when it occurs ``min_occurrence`` times and is among the
     ``max_factors`` most frequent (equal counts by name).
     """
@@ -78,7 +86,7 @@ def categorical_interaction(df: DataFrame, factors: Sequence[str], max_factors:
     for i, a in enumerate(factors):
         for b in factors[i + 1:]:
             name = f"{a}_{b}"
-            pair = F.concat_ws("_", F.col(a).cast("string"), F.col(b).cast("string"))
+            pair = F.concat(_level_part(a), F.lit("_"), _level_part(b))
             out = out.withColumn(name, pair)
             levels = (out.groupBy(F.col(name).alias("_level")).agg(F.count("*").alias("_n"))
                       .where(F.col("_n") >= min_occurrence))

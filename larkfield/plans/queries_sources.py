@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from larkfield.functions import columns
 from larkfield.functions.columns import ColumnGroups
 from larkfield.operators.ranking import ordered_chunks
 from larkfield.operators.reshape import union_all
@@ -199,10 +201,41 @@ def type_map(t):
 SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier
 """)
 def append_columns(t):
-    path = fresh_path(t.spark, "appended")
-    t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).write.parquet(path)
-    t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path)
+    """The chosen columns of a wider frame, appended to a catalog table of another column order."""
+    table = f"appended_{uuid.uuid4().hex}"
+    t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).write.saveAsTable(table)
+    wider = t.supplier.select("s_acctbal", F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"))
+    sink_tables.append_columns(wider, table, ["id", "name"])
+    return t.spark.table(table)
+
+
+@query("replace_table", """
+SELECT o_orderkey AS O_ORDERKEY, o_orderstatus AS O_ORDERSTATUS, year(o_orderdate)::INTEGER AS "O_ORDERDATE_year", month(o_orderdate)::INTEGER AS "O_ORDERDATE_month", day(o_orderdate)::INTEGER AS "O_ORDERDATE_day" FROM orders
+""")
+def replace_table(t):
+    """Written twice through the catalog, bucketed by its key; the second write replaces the first."""
+    table, rows = f"replaced_{uuid.uuid4().hex}", t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
+    sink_tables.replace_table(rows.where("o_orderstatus = 'F'"), table, "O_ORDERKEY", 4)
+    return sink_tables.replace_table(rows, table, "O_ORDERKEY", 4)
+
+
+@query("guess_key", """
+SELECT 'customer' AS frame, 'SUBS_ID' AS key_column, count(DISTINCT c_custkey) AS n_keys FROM customer UNION ALL
+SELECT 'orders', 'MSISDN', count(DISTINCT o_custkey) FROM orders UNION ALL
+SELECT 'part', 'p_name', count(DISTINCT p_name) FROM part UNION ALL SELECT 'supplier', 's_name', count(DISTINCT s_name) FROM supplier
+""")
+def guess_key(t):
+    """The key that a load would be spread by, and how many values it has."""
+    frames = {
+        "customer": (t.customer.select("c_name", F.col("c_custkey").alias("MSISDN"), F.col("c_custkey").alias("SUBS_ID")), None),
+        "orders": (t.orders.select("o_orderstatus", F.col("o_custkey").alias("MSISDN")), None),
+        "part": (t.part.select("p_name", "p_brand"), "missing"), "supplier": (t.supplier.select("s_suppkey", "s_name"), "s_name"),
+    }
+    rows = []
+    for name, (frame, wanted) in frames.items():
+        key = columns.guess_key(frame.columns, wanted)
+        rows.append(frame.agg(F.lit(name).alias("frame"), F.lit(key).alias("key_column"), F.count_distinct(key).alias("n_keys")))
+    return union_all(*rows)
 
 
 def _staged(t):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkfield.plans.registry import query
+from larkfield.session import computed_once, fresh_path
 from larkfield.sinks import features
 from larkfield.spatial import grid as g
 from larkfield.spatial import measures, shapes, wkt
@@ -234,25 +235,50 @@ def northern_rectangles(t):
 @query("area_km2", AREA_SQL)
 def area_km2(t):
     """Area in the UTM zone of the centroid; a centroid on a zone bound gives two rows."""
-    zoned = measures.with_zone(northern_rectangles(t))
+    zoned = measures.with_zone(northern_rectangles(t), inclusive=True)
     area = measures.planar_area(measures.project(F.col("geom"), F.col("central"))) / 1e6
     return zoned.select("id", "zone", F.round(area, 3).alias("area"))
 
 
-@query("buffer_metres")
+HALF_OPEN_SQL = AREA_SQL.replace("cx BETWEEN lo AND hi", "cx >= lo AND cx < hi")
+
+
+@query("area_every_row", f"""
+SELECT id, area FROM ({HALF_OPEN_SQL}) UNION ALL SELECT p_partkey + 1000000, NULL FROM part WHERE p_size = 7
+""")
+def area_every_row(t):
+    """One row for each geometry, whichever zone bound it lies on, and for rows without one."""
+    without = t.part.where("p_size = 7").select((F.col("p_partkey") + 1000000).alias("id"), F.lit(None).cast("double").alias("x"),
+                                                F.lit(None).cast("double").alias("y"), F.lit(None).cast("string").alias("wkt"))
+    rows = northern_rectangles(t).select("id", "x", "y", "wkt").unionByName(without)
+    return measures.area_km2(wkt.with_geometry(rows, "wkt")).select("id", F.round("area_km2", 3).alias("area"))
+
+
+@query("buffer_metres", "SELECT count(*) AS n, true AS all_supported, true AS all_wider, true AS all_near FROM part")
 def buffer_metres(t):
+    """Buffers of all boxes: each lies around its box, by about the distance in every direction."""
     out = measures.buffer_metres(northern_rectangles(t), 100.0)
-    return out.select("id", "buffer", "buffer_supported")
+    both = computed_once(out, _o=wkt.mbr(F.col("geom")), _b=wkt.mbr(wkt.parse_wkt(F.col("buffer"))))
+    o, b, degree = F.col("_o"), F.col("_b"), 100.0 / 111_320.0
+    wider = (b["xmin"] < o["xmin"]) & (b["xmax"] > o["xmax"]) & (b["ymin"] < o["ymin"]) & (b["ymax"] > o["ymax"])
+    near = ((b["ymax"] - o["ymax"]).between(0.98 * degree, 1.02 * degree)
+            & ((b["xmax"] - o["xmax"]) * F.cos(F.radians(o["ymin"])) < 1.05 * degree))
+    return both.agg(F.count("*").alias("n"), F.bool_and("buffer_supported").alias("all_supported"),
+                    F.coalesce(F.bool_and(wider), F.lit(False)).alias("all_wider"), F.coalesce(F.bool_and(near), F.lit(False)).alias("all_near"))
 
 
-@query("within_metres")
+@query("within_metres", "SELECT p_partkey AS id, true AS is_near, false AS is_far_near FROM part")
 def within_metres(t):
-    """Is a point 0.001 degrees east of the box within 100 m of it?"""
-    rows = northern_rectangles(t).withColumn("lon", F.col("x") + 0.251)
-    return measures.within_metres(rows, 100.0, "lon", "y").select("id", "is_near")
+    """Points 0.001 and 0.02 degrees east of a box: at these latitudes at most 86 m and at least 190 m away."""
+    rows = northern_rectangles(t).withColumns({"lon": F.col("x") + 0.251, "far": F.col("x") + 0.27})
+    near = measures.within_metres(rows, 100.0, "lon", "y")
+    return measures.within_metres(near, 100.0, "far", "y", output="is_far_near").select("id", "is_near", "is_far_near")
 
 
-@query("simplify_long_text")
+@query("simplify_long_text", """
+WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT CAST(sum(ceil(n / 500.0)) AS BIGINT) AS n, true AS ends_stay, true AS only_own_points, true AS never_more, true AS some_fewer FROM c
+""")
 def simplify_long_text(t):
     """Routes of each supplier as one line, thinned when the text is long."""
     from larkfield.operators.ranking import ordered_chunks
@@ -260,16 +286,32 @@ def simplify_long_text(t):
     p = F.concat(((F.col("l_orderkey") % 64) / 64.0).cast("string"), F.lit(" "), ((F.col("l_partkey") % 64) / 64.0).cast("string"))
     stops = t.lineitem.select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", p.alias("at"))
     order = [(c, "asc") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")]
-    lines = ordered_chunks(stops, ["l_suppkey"], order, "at", "stops", chunk=500).where(F.size("stops") > 1)
-    text = F.concat(F.lit("LINESTRING ("), F.array_join("stops", ", "), F.lit(")"))
+    lines = ordered_chunks(stops, ["l_suppkey"], order, "at", "stops", chunk=500)
+    # a chunk of one stop is drawn as a line to itself, so that no chunk is left out
+    drawn = F.when(F.size("stops") > 1, F.col("stops")).otherwise(F.concat("stops", "stops"))
+    text = F.concat(F.lit("LINESTRING ("), F.array_join(drawn, ", "), F.lit(")"))
     parsed = wkt.with_geometry(lines.select("l_suppkey", "chunk_no", text.alias("wkt")), "wkt")
-    return shapes.simplify_long_text(parsed, "geom", 2000, 0.25).select("l_suppkey", "chunk_no", "poly")
+    out = shapes.simplify_long_text(parsed, "geom", 2000, 0.25)
+    points = computed_once(out, _a=wkt.all_points(F.col("geom")), _b=wkt.all_points(wkt.parse_wkt(F.col("poly"))))
+    a, b = F.col("_a"), F.col("_b")
+    ends = (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) & (F.element_at(a, -1) == F.element_at(b, -1))
+    return points.agg(F.count("*").alias("n"), F.bool_and(ends).alias("ends_stay"), F.bool_and(F.size(F.array_except(b, a)) == 0).alias("only_own_points"),
+                      F.bool_and(F.size(b) <= F.size(a)).alias("never_more"), F.bool_or(F.size(b) < F.size(a)).alias("some_fewer"))
 
 
 GEOJSON_SQL = f"""WITH {B_SQL}, s AS (SELECT id, regexp_replace(x::DOUBLE::VARCHAR, '\\.0$', '') AS a, regexp_replace(y::DOUBLE::VARCHAR, '\\.0$', '') AS b FROM b)
 SELECT '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || a || ',' || b || ']}},"properties":{{"id":' || id || '}}}}' AS value FROM s"""
 
 
+@query("write_geojson", GEOJSON_SQL)
+def write_geojson(t):
+    """The same features by way of their files."""
+    p, path = b_points(t), fresh_path(t.spark, "geojson")
+    text = F.format_string("POINT (%s %s)", F.col("x").cast("string"), F.col("y").cast("string"))
+    features.write_geojson(wkt.with_geometry(p.select("id", text.alias("wkt")), "wkt"), "geom", ["id"], path)
+    return t.spark.read.text(path)
+
+
 @query("geojson_features", GEOJSON_SQL)
 def geojson_features(t):
     p = b_points(t)
@@ -277,16 +319,49 @@ def geojson_features(t):
     return features.geojson_features(wkt.with_geometry(p.select("id", text.alias("wkt")), "wkt"), "geom", ["id"])
 
 
-@query("placemarks", f"""
-WITH {B_SQL}, s AS (SELECT id, x, y, regexp_replace(x::DOUBLE::VARCHAR, '\\.0$', '') AS a, regexp_replace(y::DOUBLE::VARCHAR, '\\.0$', '') AS b FROM b)
-SELECT 'p' || id AS name, '<Placemark><name>p' || id || '</name><description>id: ' || id || chr(10) || 'kind: a &amp; b</description><Point><extrude>1</extrude><altitudeMode>relativeToGround</altitudeMode><coordinates>' || a || ',' || b || ',5</coordinates></Point></Placemark>' AS value
-FROM s WHERE id % 7 = 0
-""")
+def _kml(layer: str, *parts: str) -> str:
+    """SQL text of a shape: coordinates of its parts in, one or several elements out."""
+    tag = {"points": "Point", "lines": "LineString", "polygons": "Polygon"}[layer]
+    inner = lambda c: f"'<outerBoundaryIs><LinearRing><coordinates>' || {c} || '</coordinates></LinearRing></outerBoundaryIs>'"
+    body = inner if layer == "polygons" else lambda c: f"'<coordinates>' || {c} || '</coordinates>'"
+    shapes = " || ".join(f"'<{tag}><extrude>1</extrude><altitudeMode>relativeToGround</altitudeMode>' || {body(c)} || '</{tag}>'" for c in parts)
+    return shapes if len(parts) == 1 else f"'<MultiGeometry>' || {shapes} || '</MultiGeometry>'"
+
+
+def _layer_sql(layer: str, first: int, single: str, *several: str) -> str:
+    """SQL of a layer's placemarks: type number ``first`` has one part, the next has several."""
+    return f"""WITH {B_SQL}, k AS (SELECT id, id % 7 AS k, x, y, x + 0.5 AS x2, y + 0.5 AS y2 FROM b),
+ s AS (SELECT id, k, {", ".join(f"regexp_replace({c}::DOUBLE::VARCHAR, '\\.0$', '') AS {n}" for c, n in (("x", "a"), ("y", "b"), ("x2", "c"), ("y2", "d")))} FROM k),
+ n AS (SELECT id, k, a || ',' || b || ',5' AS ab, c || ',' || d || ',5' AS cd, c || ',' || b || ',5' AS cb, a || ',' || d || ',5' AS ad FROM s)
+SELECT 'p' || id AS name, '<Placemark><name>p' || id || '</name><description>id: ' || id || chr(10) || 'kind: a &amp; b</description>' ||
+ CASE WHEN k = {first} THEN {_kml(layer, single)} ELSE {_kml(layer, *several)} END || '</Placemark>' AS value FROM n WHERE k IN ({first}, {first + 1})"""
+
+
+def _labelled(t):
+    return mixed_geometries(t).select("id", F.concat(F.lit("p"), "id").alias("label"), F.lit("a & b").alias("kind"), "wkt")
+
+
+@query("placemarks", _layer_sql("points", 0, "ab", "ab", "cd"))
 def placemarks(t):
-    """The point layer of a table that holds every geometry type: other types are set aside."""
-    rows = mixed_geometries(t).select("id", F.concat(F.lit("p"), "id").alias("label"), F.lit("a & b").alias("kind"), "wkt")
-    good, _ = features.placemarks(rows, "points", "wkt", "label", altitude=5)
-    return good.where(~F.col("value").contains("MultiGeometry"))
+    """The point layer of a table that holds every geometry type, points and multipoints."""
+    return features.placemarks(_labelled(t), "points", "wkt", "label", altitude=5)[0]
+
+
+@query("placemarks_lines", _layer_sql("lines", 2, "ab || ' ' || cd", "ab || ' ' || cd", "cb || ' ' || ad"))
+def placemarks_lines(t):
+    """The line layer, written to files and read back."""
+    path = fresh_path(t.spark, "placemarks")
+    features.write_placemarks(_labelled(t), "lines", "wkt", path, f"{path}-bad", name="label", altitude=5)
+    value = F.col("value")
+    # a description holds a line break, so a placemark is written on two lines
+    rows = t.spark.read.option("lineSep", "</Placemark>\n").text(path)
+    return rows.select(F.regexp_extract(value, "<name>([^<]*)<", 1).alias("name"), F.concat(value, F.lit("</Placemark>")).alias("value"))
+
+
+@query("placemarks_polygons", _layer_sql("polygons", 4, "ab || ' ' || cb || ' ' || cd || ' ' || ad || ' ' || ab",
+                                         "ab || ' ' || cb || ' ' || cd || ' ' || ab", "ab || ' ' || cd || ' ' || ad || ' ' || ab"))
+def placemarks_polygons(t):
+    return features.placemarks(_labelled(t), "polygons", "wkt", "label", altitude=5)[0]
 
 
 @query("placemarks_set_aside", f"""

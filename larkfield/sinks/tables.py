@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from larkfield.functions.columns import any_null, guess_key, normalize_names
 from larkfield.operators.joins import with_group_values
+from larkfield.session import checkpointed, small_side
 
 MAX_TEXT = 3000
 FIELD_WIDTH = 255
@@ -109,11 +110,17 @@ def staged_bulk_load(spark: SparkSession, path: str, columns: Sequence[str], key
     ``errors_1`` holds the text of rows with too few or too many fields or a field that is
     too long. ``errors_2`` holds what else came for a key already loaded, one row per
     distinct line with its number of ``copies``. Of the lines of one key the smallest is
-    loaded, so the outcome does not depend on row order. Every line is in exactly one frame.
+    loaded, so the outcome does not depend on row order. Every line is in exactly one frame, but for
+    the first line of each file with ``skip_header``. The files are read once: the three frames
+    come from the stored lines.
     """
-    lines = spark.read.text(path).withColumnRenamed("value", "_line")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    lines = checkpointed(spark.read.text(path).select(F.col("value").alias("_line"), place.alias("_at")))
     if skip_header:
-        lines = lines.where(F.col("_line") != F.lit(sep.join(columns)))
+        # numbers rise along a file's first block, so its smallest is the first line
+        heads = lines.where("_at.file_block_start = 0").groupBy("_at.file_path").agg(F.min("_at.n").alias("_head"))
+        lines = lines.join(small_side(heads.select("_head")), F.col("_at.n") == F.col("_head"), "left_anti")
+    lines = lines.select("_line")
     if quotes:
         schema = ", ".join(f"`{c}` string" for c in columns)
         rows = lines.select("_line", F.from_csv("_line", schema, {"sep": sep}).alias("_r"))

@@ -78,7 +78,7 @@ def _centre(kind: Column, parts: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
     total = F.aggregate(F.flatten(F.transform(parts, weighted)), zero, lambda acc, t: F.struct(
         *[(acc[n] + t[n]).alias(n) for n in ("a", "mx", "my")]))
-    vertices = F.struct(*[let(_field(F.flatten(F.flatten(parts)), n), lambda v: _sum(v) / F.size(v)).alias(n)
+    vertices = F.struct(*[let(_field(F.flatten(F.flatten(parts)), n), lambda v: _sum(v) / F.nullif(F.size(v), F.lit(0))).alias(n)
                           for n in ("x", "y")])
     balanced = let(total, lambda t: F.when(t["a"] != 0, F.struct(
         (t["mx"] / t["a"]).alias("x"), (t["my"] / t["a"]).alias("y"))))
@@ -103,19 +103,25 @@ def label_point(geom: Column) -> Column:
     return F.when(geom.isNotNull(), let(geom, of))
 
 
-def with_zone(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """Add the UTM zone whose longitudes hold the centroid.
+def with_zone(df: DataFrame, geom: str = "geom", inclusive: bool = False) -> DataFrame:
+    """Add the UTM zone whose longitudes hold the centroid, and its central meridian.
 
-    Both bounds of a zone count, so a centroid exactly on a bound gives two rows.
+    Every row stays and comes once: a zone takes its western bound (the last one both), and a row
+    without a geometry, or with its centroid off the map, has NULL. With ``inclusive`` both bounds
+    count: a centroid on a bound gives two rows, and rows without a zone go.
     """
     located = computed_once(df, _cx=centroid(F.col(geom))["x"])
+    if not inclusive:
+        x = F.col("_cx")
+        zone = F.when(x.between(-180, 180), F.least(F.floor((x + 180) / 6) + 1, F.lit(60))).cast("int")
+        return located.withColumn("zone", zone).withColumn("central", F.col("zone") * 6.0 - 183).drop("_cx")
     zones = utm_zones(df.sparkSession)
     return range_join(located, "_cx", zones, "lon_min", "lon_max", 6.0).drop("_cx", "lon_min", "lon_max")
 
 
-def area_km2(df: DataFrame, geom: str = "geom", output: str = "area_km2") -> DataFrame:
-    """Area in square kilometres, measured in the geometry's own UTM zone."""
-    zoned = with_zone(df, geom)
+def area_km2(df: DataFrame, geom: str = "geom", output: str = "area_km2", inclusive: bool = False) -> DataFrame:
+    """Area in square kilometres, measured in the geometry's own UTM zone; NULL without one."""
+    zoned = with_zone(df, geom, inclusive)
     area = planar_area(project(F.col(geom), F.col("central"))) / 1e6
     return zoned.withColumn(output, area).drop("zone", "central")
 

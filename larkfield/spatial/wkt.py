@@ -14,7 +14,8 @@ from larkfield.session import computed_once
 
 TYPES = ["POINT", "MULTIPOINT", "LINESTRING", "MULTILINESTRING", "POLYGON", "MULTIPOLYGON"]
 GEOMETRY = "struct<type:string,parts:array<array<array<struct<x:double,y:double>>>>>"
-_OUTLINE = r"(?i)^\s*(MULTI)?(POINT|LINESTRING|POLYGON)\s*(\(.*\))\s*$"
+# Text may span lines; a Z or M mark and its numbers are read over; EMPTY has no parts.
+_OUTLINE = r"(?is)^\s*(MULTI)?(POINT|LINESTRING|POLYGON)\s*(?:Z|M)?\s*(\(.*\)|EMPTY)\s*$"
 _NEXT_RING = r"\)\s*,\s*\("
 _NEXT_POLYGON = r"\)\s*\)\s*,\s*\(\s*\("
 
@@ -29,7 +30,7 @@ def _points(text: Column) -> Column:
         return F.when(F.size(n).between(2, 3), F.struct(x.alias("x"), y.alias("y")))
 
     def point(pair: Column) -> Column:
-        read = let(F.split(F.trim(pair), r"\s+"), numbers)
+        read = let(F.split(F.btrim(pair, F.lit(" \t\r\n")), r"\s+"), numbers)
         return let(read, lambda p: F.when(p["x"].isNotNull() & p["y"].isNotNull(), p))
 
     return F.transform(F.split(text, ","), point)
@@ -49,7 +50,8 @@ def let(value: Column, use) -> Column:
 
 def _geometry(pieces: Column) -> Column:
     kind, body = pieces["kind"], pieces["body"]
-    parts = (F.when(kind == "MULTIPOLYGON", F.split(_bare(body), _NEXT_POLYGON))
+    parts = (F.when(F.upper(body) == "EMPTY", F.array().cast("array<string>"))
+             .when(kind == "MULTIPOLYGON", F.split(_bare(body), _NEXT_POLYGON))
              .when(kind == "MULTILINESTRING", F.split(_bare(body), _NEXT_RING))
              .when(kind == "MULTIPOINT", F.split(F.regexp_replace(body, r"[()]", ""), ","))
              .when(kind != "", F.array(_bare(body))))
@@ -74,11 +76,18 @@ def with_geometry(df: DataFrame, text: str, output: str = "geom", bad: str = "is
 
 
 def _number(value: Column) -> Column:
-    return F.regexp_replace(F.format_string("%.9f", value), r"\.?0+$", "")
+    """All digits of the double, written out where 20 decimals hold them, without a needless ``.0``."""
+    def written(text: Column) -> Column:
+        plain = text.try_cast("decimal(38,20)")
+        whole = F.when(text.contains("E") & (plain.cast("double") == text.cast("double")),
+                       F.regexp_replace(plain.cast("string"), r"(\.\d*?)0+$", "$1")).otherwise(text)
+        return F.regexp_replace(whole, r"\.0?$", "")
+
+    return let(value.cast("double").cast("string"), written)
 
 
 def to_wkt(geom: Column) -> Column:
-    """Geometry text with up to nine decimals."""
+    """Geometry text with all digits, so that it reads back as the same numbers."""
     def ring(points: Column) -> Column:
         return F.array_join(F.transform(points, lambda p: F.concat(_number(p["x"]), F.lit(" "), _number(p["y"]))), ", ")
 
@@ -93,7 +102,7 @@ def to_wkt(geom: Column) -> Column:
             .when(kind == "MULTIPOLYGON", F.concat(F.lit("("), wrapped, F.lit(")")))
             .when(kind == "POLYGON", F.concat(F.lit("("), rings(single), F.lit(")")))
             .otherwise(F.concat(F.lit("("), listed, F.lit(")"))))
-    return F.when(geom.isNotNull(), F.concat(kind, F.lit(" "), body))
+    return F.when(geom.isNotNull(), F.concat(kind, F.lit(" "), F.when(F.size(parts) == 0, F.lit("EMPTY")).otherwise(body)))
 
 
 def all_points(geom: Column) -> Column:

@@ -147,3 +147,21 @@ def test_rare_and_excess_levels(spark):
     count = lambda d: {r[0]: r[1] for r in d.groupBy("p_q").count().collect()}
     assert count(features.categorical_interaction(df, ["p", "q"])) == {"a_x": 12, "b_y": 11, "other": 3}
     assert count(features.categorical_interaction(df, ["p", "q"], max_factors=1)) == {"a_x": 12, "other": 14}
+
+
+def test_interaction_levels_are_pairs(spark):
+    rows = [("a_b", "c")] * 6 + [("a", "b_c")] * 6 + [("x", None)] * 12 + [(None, "x")] * 12
+    df = spark.createDataFrame(rows, "f string, g string")
+    got = features.categorical_interaction(df, ["f", "g"]).groupBy("f", "g", "f_g").count().collect()
+    levels = {(r["f"], r["g"]): r["f_g"] for r in got}
+    assert levels[("a_b", "c")] == levels[("a", "b_c")] == "other"
+    assert levels[("x", None)] == r"x_\N" and levels[(None, "x")] == r"\N_x"
+    kept = features.categorical_interaction(df, ["f", "g"], min_occurrence=6)
+    assert {(r["f"], r["g"]): r["f_g"] for r in kept.collect()}[("a_b", "c")] == r"a\_b_c"
+
+
+def test_poisson_draws_of_large_rates(spark):
+    from larkfield.operators.sampling import poisson_weight
+    df = spark.range(4000).select(poisson_weight("s", "id", 50.0).alias("n"))
+    low, mean, high = df.selectExpr("min(n)", "avg(n)", "max(n)").first()
+    assert 49 < mean < 51 and low < 35 and high > 65

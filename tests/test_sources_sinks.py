@@ -131,5 +131,22 @@ def test_partitioned_scan_prunes(spark, tmp_path):
 
 def test_broadcast_only_below_the_bound(spark):
     plan = lambda d: spark.range(10).join(d, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan(session.small_side(spark.range(50), 50))
-    assert "strategy=broadcast" not in plan(session.small_side(spark.range(51), 50))
+    assert "strategy=broadcast" in plan(session.small_side(spark.range(50), 50 * 16))
+    assert "strategy=broadcast" not in plan(session.small_side(spark.range(51), 50 * 16))
+    wide = spark.range(3).selectExpr("id", "repeat('x', 5000) AS t")
+    assert "strategy=broadcast" not in plan(session.small_side(wide, 10_000))
+
+
+def test_header_goes_by_position(spark, tmp_path):
+    path = write(tmp_path, "h", "SUBS,NAME", "1,a", "2,b", "id,name")
+    load = tables.staged_bulk_load(spark, path, ["id", "name"], sep=",", skip_header=True)
+    assert sorted(map(tuple, load.loaded.collect())) == [("1", "a"), ("2", "b"), ("id", "name")]
+    whole = tables.staged_bulk_load(spark, path, ["id", "name"], sep=",")
+    assert whole.loaded.count() == 4
+
+
+def test_header_of_every_file_goes(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.txt").write_text("id,name\n" + "".join(f"{k}{i},n\n" for i in range(4)))
+    load = tables.staged_bulk_load(spark, str(tmp_path / "*.txt"), ["id", "name"], sep=",", skip_header=True)
+    assert sorted(r["id"] for r in load.loaded.collect()) == sorted(f"{k}{i}" for k in range(3) for i in range(4))

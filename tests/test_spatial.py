@@ -78,7 +78,7 @@ GOOD = {
         "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 9 5, 9 9, 5 5), (6 6, 7 6, 7 6.5, 6 6)))",
 }
 BAD = ["", "POINT", "POINT (1)", "POINT (1 x)", "CIRCLE (1 2)", "LINESTRING (1 2)", "POLYGON ((0 0, 1 0, 1 1, 0 1))",
-       "POLYGON ((0 0, 1 0, 0 0))", "POINT EMPTY", "POINT (1 2 3 4)", "POINT (1 2, 3 4)"]
+       "POLYGON ((0 0, 1 0, 0 0))", "POINT (1 2 3 4)", "POINT (1 2, 3 4)"]
 
 
 def geoms(spark, texts, schema="wkt string"):
@@ -127,7 +127,9 @@ def test_area_against_the_ellipsoid(spark, lon, lat):
 
 
 def test_centroid_on_a_zone_bound_matches_two_zones(spark):
-    rows = measures.with_zone(geoms(spark, ["POINT (36 50)", "POINT (37 50)"])).collect()
+    df = geoms(spark, ["POINT (36 50)", "POINT (37 50)"])
+    assert sorted((r["wkt"], r["zone"]) for r in measures.with_zone(df).collect()) == [("POINT (36 50)", 37), ("POINT (37 50)", 37)]
+    rows = measures.with_zone(df, inclusive=True).collect()
     assert sorted((r["wkt"], r["zone"]) for r in rows) == [("POINT (36 50)", 36), ("POINT (36 50)", 37), ("POINT (37 50)", 37)]
 
 
@@ -209,3 +211,26 @@ def test_geojson(spark):
     assert shapes_by_text["MULTIPOINT (1 2, 3 4)"] == {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}
     assert shapes_by_text["MULTILINESTRING((0 0,1 1),(2 2,3 3))"]["coordinates"] == [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]
     assert len(shapes_by_text[list(GOOD)[-1]]["coordinates"]) == 2 and rows[0]["properties"]["n"] is None
+
+
+def test_geometry_text_over_lines_with_marks_or_empty(spark):
+    texts = ["POLYGON ((0 0, 1 0,\n 1 1, 0 0))", "POINT Z (1 2 3)", "pointz(1 2 3)", "POLYGON EMPTY", "MULTIPOINT\nEMPTY", "LINESTRING M (0 0 5, 1 1 6)"]
+    rows = wkt.with_geometry(spark.createDataFrame([(t,) for t in texts], "wkt string"), "wkt").collect()
+    assert not any(r["is_bad"] for r in rows)
+    assert [len(r["geom"]["parts"]) for r in rows] == [1, 1, 1, 0, 0, 1]
+    back = wkt.with_geometry(spark.createDataFrame([(t,) for t in texts], "wkt string"), "wkt").select(wkt.to_wkt(F.col("geom")).alias("t"))
+    assert [r["t"] for r in back.collect()][1:5] == ["POINT (1 2)", "POINT (1 2)", "POLYGON EMPTY", "MULTIPOINT EMPTY"]
+
+
+def test_geometry_text_keeps_all_digits(spark):
+    rows = wkt.with_geometry(spark.createDataFrame([("POINT (0.1234567890123 1e-10)",)], "wkt string"), "wkt")
+    point = rows.select(wkt.parse_wkt(wkt.to_wkt(F.col("geom")))["parts"].alias("p")).first()["p"][0][0][0]
+    assert (point["x"], point["y"]) == (0.1234567890123, 1e-10)
+
+
+def test_every_geometry_has_one_area(spark):
+    texts = [None, "POLYGON ((5 50, 7 50, 7 51, 5 51, 5 50))", "POLYGON ((179 0, 180 0, 180 1, 179 1, 179 0))", "POLYGON EMPTY"]
+    df = wkt.with_geometry(spark.createDataFrame(list(enumerate(texts)), "id int, wkt string"), "wkt")
+    got = {r["id"]: r["area_km2"] for r in measures.area_km2(df).collect()}
+    assert len(got) == 4 and got[0] is None and got[1] > 1000 and got[2] > 1000
+    assert sorted(r["id"] for r in measures.area_km2(df, inclusive=True).collect()) == [1, 1, 2]

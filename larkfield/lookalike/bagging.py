@@ -80,8 +80,9 @@ class BaggingPU:
             assembled = VectorAssembler(inputCols=chosen, outputCol=f"_v{i}").transform(sample)
             base = self.estimator or DecisionTreeClassifier(maxDepth=5, seed=self.seed)
             # Parameters are passed per fit: threads share the estimator object.
-            settings = {base.labelCol: "_y", base.featuresCol: f"_v{i}", base.weightCol: "_w",
-                        base.probabilityCol: f"_p{i}", base.rawPredictionCol: f"_r{i}", base.predictionCol: f"_c{i}"}
+            wanted = {"labelCol": "_y", "featuresCol": f"_v{i}", "weightCol": "_w",
+                      "probabilityCol": f"_p{i}", "rawPredictionCol": f"_r{i}", "predictionCol": f"_c{i}"}
+            settings = {getattr(base, name): column for name, column in wanted.items() if base.hasParam(name)}
             return base.fit(assembled, settings), chosen
 
         try:
@@ -160,6 +161,14 @@ class BaggingPUModel:
         """Mean raw score of the positive class."""
         return self._each(df).select(*keep, self._mean("r", 1).alias("decision"))
 
+    def all_outputs(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Class, mean probabilities, their logarithms and the mean raw score, in one pass over the rows."""
+        columns = [self._mean("p", 0).alias("p0"), self._mean("p", 1).alias("p1"), self._mean("r", 1).alias("decision")]
+        out = self._each(df).select(*keep, *columns)
+        log = lambda c: F.when(F.col(c) > 0, F.ln(c)).otherwise(F.lit(float("-inf")))
+        return out.select(*keep, "p0", "p1", F.when(F.col("p1") > F.col("p0"), 1).otherwise(0).alias("prediction"),
+                          log("p0").alias("log_p0"), log("p1").alias("log_p1"), "decision")
+
     def oob_scores(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Mean probability over estimators that did not draw the row.
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +22,29 @@ from larkfield.operators.metrics import auc_rank
 
 # Trees split off missing values below every real one.
 MISSING = -1.0e9
+# Values of a text column that are indexed one by one.
+MOST_LEVELS = 1024
 
 
 def feature_stages(df: DataFrame, features: Sequence[str], output: str = "features") -> list:
     """Stages that turn numeric and text columns into one vector.
 
     Text columns are indexed in alphabetical order; values unseen in training share one
-    extra index.
+    extra index. A column with more than about ``MOST_LEVELS`` values is not indexed: a hash puts
+    its values into ``MOST_LEVELS`` numbers, so no list of its values is kept anywhere.
     """
     text = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
     stages: list = []
     if text:
-        stages.append(StringIndexer(inputCols=text, outputCols=[f"{c}_index" for c in text],
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
+        levels = df.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first()
+        wide = [c for c in text if levels[c] > MOST_LEVELS]
+        if wide:
+            hashed = ", ".join(f"CAST(pmod(xxhash64(`{c}`), {MOST_LEVELS}) AS DOUBLE) AS `{c}_index`" for c in wide)
+            stages.append(SQLTransformer(statement=f"SELECT *, {hashed} FROM __THIS__"))
+        listed = [c for c in text if c not in wide]
+        if listed:
+            stages.append(StringIndexer(inputCols=listed, outputCols=[f"{c}_index" for c in listed],
+                                        handleInvalid="keep", stringOrderType="alphabetAsc"))
     inputs = [f"{c}_index" if c in text else c for c in features]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error"))
     return stages
@@ -53,10 +65,13 @@ def fill_missing(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def random_forest(trees: int = 100, depth: int = 20, label: str = "label", seed: int = 1,
-                  columns: str = "auto") -> RandomForestClassifier:
-    """Forest with the library's usual size. Spark draws feature subsets per node, not per tree."""
+                  columns: str | float = "auto") -> RandomForestClassifier:
+    """Forest with the library's usual size; ``columns`` is a rule or a share of the features.
+
+    Spark draws features per node, not per tree, so a share of 0.9 leaves trees much alike.
+    """
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, labelCol=label, seed=seed,
-                                  featureSubsetStrategy=columns, maxMemoryInMB=512)
+                                  featureSubsetStrategy=str(columns), maxMemoryInMB=512)
 
 
 def logistic(label: str = "label", iterations: int = 50) -> LogisticRegression:
@@ -64,9 +79,17 @@ def logistic(label: str = "label", iterations: int = 50) -> LogisticRegression:
 
 
 def train(df: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
-    """Fit feature stages and estimator together, so scoring repeats the same steps."""
+    """Fit feature stages and estimator together, so scoring repeats the same steps.
+
+    Trees get as many bins as the text column with the most indexed values has.
+    """
     filled = fill_missing(df, features)
-    return Pipeline(stages=[*feature_stages(filled, features), estimator]).fit(filled)
+    prepared = Pipeline(stages=feature_stages(filled, features)).fit(filled)
+    if estimator.hasParam("maxBins"):
+        levels = [len(x) + 1 for s in prepared.stages if hasattr(s, "labelsArray") for x in s.labelsArray]
+        if max(levels, default=0) > estimator.getMaxBins():
+            estimator = estimator.copy({estimator.maxBins: max(levels)})
+    return PipelineModel([*prepared.stages, estimator.fit(prepared.transform(filled))])
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str],
@@ -97,8 +120,9 @@ def gbm_train(train_df: DataFrame, features: Sequence[str], label: str, params:
 
 
 def model_name(kind: str, features: Sequence[str], params: Mapping) -> str:
-    """Name made of the model kind, the number of features and the parameters."""
-    return f"{kind}_features_{len(features)}_" + "__".join(f"{k}_{v}" for k, v in params.items())
+    """Model kind and a short hash of features and parameters; equal settings share a name."""
+    record = json.dumps({"features": sorted(features), "params": dict(params)}, sort_keys=True, default=str)
+    return f"{kind}-{hashlib.sha256(record.encode()).hexdigest()[:12]}"
 
 
 def calibrate(scored: DataFrame, score_column: str, label: str):

@@ -7,6 +7,7 @@ range of the positives' scores.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ def first_step(df: DataFrame, features: Sequence[str], make_estimator: Callable
     rows = start_labels(df).withColumn("label", F.col("target").cast("double"))
     model = train(rows, features, make_estimator())
     keep = [c for c in rows.columns if c not in ("label", "p1")]
-    return relabel(score(model, rows, features, keep, class_index=1))
+    return relabel(checkpointed(score(model, rows, features, keep, class_index=1)))
 
 
 def second_step(df: DataFrame, features: Sequence[str], make_estimator: Callable = random_forest) -> DataFrame:
@@ -44,12 +45,12 @@ def second_step(df: DataFrame, features: Sequence[str], make_estimator: Callable
     rows = df.drop("p1").withColumn("label", (F.col("ys") + 1).cast("double"))
     model = train(rows, features, make_estimator())
     keep = [c for c in rows.columns if c != "label"]
-    return relabel(score(model, rows, features, keep, class_index=2))
+    return relabel(checkpointed(score(model, rows, features, keep, class_index=2)))
 
 
 def run_rounds(df: DataFrame, key: str, features: Sequence[str], make_estimator: Callable = random_forest,
                max_rounds: int = 10, three_class: bool = False, drop_undecided: bool = True) -> DataFrame:
-    """Repeat until no label changes, at most ``max_rounds`` times.
+    """Repeat until no label changes, at most ``max_rounds`` times; a warning tells if they still changed.
 
     Every round ends in a checkpoint: the next one trains on stored rows, and a lost
     executor does not set off the retraining of earlier rounds.
@@ -67,13 +68,17 @@ def run_rounds(df: DataFrame, key: str, features: Sequence[str], make_estimator:
         current = after.drop("_before")
         if after.where(F.col("ys") != F.col("_before")).isEmpty():
             break
+    else:
+        if max_rounds:
+            warnings.warn(f"labels still changed after {max_rounds} rounds", stacklevel=2)
     return current.where("ys <> -1") if drop_undecided else current
 
 
-def train_full_model(labelled: DataFrame, features: Sequence[str], trees: int = 100, depth: int = 20):
-    """Final forest on decided rows."""
+def train_full_model(labelled: DataFrame, features: Sequence[str], trees: int = 100, depth: int = 20,
+                     columns: str | float = 0.9):
+    """Final forest on decided rows; ``columns`` is the share of features that a node may use."""
     rows = labelled.where("ys <> -1").withColumn("label", F.col("ys").cast("double"))
-    return train(rows, features, random_forest(trees, depth))
+    return train(rows, features, random_forest(trees, depth, columns=columns))
 
 
 def score_all(model, df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:

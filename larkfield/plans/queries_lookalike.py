@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkfield.lookalike import models, prepare, pu
-from larkfield.lookalike.bagging import BaggingPU
+from larkfield.lookalike.bagging import BaggingPU, BaggingPUModel
+from larkfield.operators.joins import bind_columns
+from larkfield.operators.metrics import RUN_SCHEMA, auc_rank, log_training, training_log_row
+from larkfield.operators.ranking import next_values
 from larkfield.operators.sampling import split_frame
+from larkfield.plans.queries_metrics import SCORED_SQL, scored
 from larkfield.plans.registry import query
 from larkfield.session import checkpointed, fresh_path
 
@@ -75,23 +79,40 @@ def _prepared(t):
     return prepare.prepare(rows, "subs_id", FEATURES, to_target="hashed", hidden_size=hidden)
 
 
-@query("pu_rounds")
+# Models have no SQL. Their queries give facts that must hold over all rows, for SQL to state.
+def _in_unit(column: str):
+    return F.bool_and(F.col(column).between(0, 1))
+
+
+@query("pu_rounds", """
+SELECT count(*) AS n, count(*) AS ids, true AS in_range, 0 AS positives_lost, 0 AS odd_labels, true AS undecided_inside FROM customer
+""")
 def pu_rounds(t):
-    """Labelling rounds over all customers."""
+    """Labelling rounds over all customers; undecided scores lie within those of the positives."""
     p = _prepared(t)
-    done = pu.run_rounds(checkpointed(p.df), "subs_id", p.features, _forest, max_rounds=3, drop_undecided=False)
-    return done.select("subs_id", "target", "orig_target", "ys", F.round("p1", 6).alias("p1"))
+    done = checkpointed(pu.run_rounds(checkpointed(p.df), "subs_id", p.features, _forest, max_rounds=3, drop_undecided=False))
+    positive, undecided = F.when(F.col("ys") == 1, F.col("p1")), F.when(F.col("ys") == -1, F.col("p1"))
+    inside = (F.coalesce(F.min(undecided) >= F.min(positive), F.lit(True))
+              & F.coalesce(F.max(undecided) <= F.max(positive), F.lit(True)))
+    return done.agg(F.count("*").alias("n"), F.count_distinct("subs_id").alias("ids"), _in_unit("p1").alias("in_range"),
+                    F.count_if((F.col("target") == 1) & (F.col("ys") != 1)).cast("int").alias("positives_lost"),
+                    F.count_if(~F.col("ys").isin(-1, 0, 1)).cast("int").alias("odd_labels"), inside.alias("undecided_inside"))
 
 
-@query("train_and_score_all")
+@query("train_and_score_all", """
+SELECT count(*) AS n, count(DISTINCT c_custkey) AS ids, true AS in_range, true AS better_than_chance FROM customer
+""")
 def train_and_score_all(t):
-    """Final forest on decided rows, then a score for every customer."""
+    """Final forest on decided rows, then a score for every customer; its AUC against the whole truth."""
     p = _prepared(t)
     rows = checkpointed(p.df)
     labelled = pu.run_rounds(rows, "subs_id", p.features, _forest, max_rounds=1)
     model = pu.train_full_model(labelled, p.features, trees=10, depth=5)
-    return pu.score_all(model, prepare.prepare_features(subscribers(t)), "subs_id", p.features).select(
-        "subs_id", F.round("p1", 6).alias("p1"))
+    scores = checkpointed(pu.score_all(model, prepare.prepare_features(subscribers(t)), "subs_id", p.features))
+    truth = rows.select(F.col("subs_id").alias("_id"), "orig_target")
+    auc = auc_rank(scores.join(truth, F.col("subs_id") == F.col("_id")), "p1", "orig_target")
+    facts = scores.agg(F.count("*").alias("n"), F.count_distinct("subs_id").alias("ids"), _in_unit("p1").alias("in_range"))
+    return facts.select("*", F.lit(auc.first()["auc_half"] > 0.6).alias("better_than_chance"))
 
 
 def _vectors(t):
@@ -102,41 +123,66 @@ def _vectors(t):
     return e.select("vec_id", *width, label), [f"e{i}" for i in range(64)]
 
 
-@query("gbm_train_calibrated")
+@query("gbm_train_calibrated", """
+SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, true AS in_range, true AS monotone, true AS better_than_chance FROM embeddings
+""")
 def gbm_train_calibrated(t):
     """Boosting with early stop on a validation part, calibrated on a third part."""
     df, names = _vectors(t)
-    train, valid, held = split_frame(checkpointed(df), "vec_id", [0.6, 0.2])
+    rows = checkpointed(df)
+    train, valid, held = split_frame(rows, "vec_id", [0.6, 0.2])
     model = models.gbm_train(train, names, "label", {"maxIter": 5, "maxDepth": 3}, valid)
     curve = models.calibrate(models.score(model, held, names, ["label"]), "p1", "label")
-    scored = models.score(model, df, names, ["vec_id", "label"])
-    return models.apply_calibration(curve, scored, "p1").select("vec_id", "label", F.round("p1", 6).alias("p1"),
-                                                                F.round("cal_p1", 6).alias("cal_p1"))
-
-
-@query("grid_search")
+    scored = models.score(model, rows, names, ["vec_id", "label"])
+    out = checkpointed(models.apply_calibration(curve, scored, "p1"))
+    # in steps of the score the calibrated score never falls
+    by_score = next_values(out.groupBy("p1").agg(F.min("cal_p1").alias("low"), F.max("cal_p1").alias("high")), [("p1", "asc")], [], {"after": "low"})
+    falls = by_score.where(F.col("after") < F.col("high") - 1e-12).isEmpty()
+    auc = auc_rank(out, "p1", "label").first()["auc_half"]
+    facts = out.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), (_in_unit("p1") & _in_unit("cal_p1")).alias("in_range"))
+    return facts.select("*", F.lit(falls).alias("monotone"), F.lit(auc > 0.6).alias("better_than_chance"))
+
+
+@query("grid_search", """
+SELECT 4 AS n, 4 AS names, true AS in_range, true AS best_first, count(*) AS rows_used FROM embeddings
+""")
 def grid_search(t):
     df, names = _vectors(t)
-    train, valid = split_frame(checkpointed(df), "vec_id", [0.7])
-    return models.grid_search(train, valid, names, "label", {"maxIter": [3], "stepSize": [0.1, 0.3], "maxDepth": [2, 3]})
+    rows = checkpointed(df)
+    train, valid = split_frame(rows, "vec_id", [0.7])
+    found = models.grid_search(train, valid, names, "label", {"maxIter": [3], "stepSize": [0.1, 0.3], "maxDepth": [2, 3]}).collect()
+    aucs = [r.valid_auc for r in found]
+    facts = (len(found), len({r.model_id for r in found}), all(0 <= r.train_auc <= 1 and 0 <= r.valid_auc <= 1 for r in found), aucs == sorted(aucs, reverse=True))
+    return rows.agg(*[F.lit(v).alias(n) for n, v in zip(("n", "names", "in_range", "best_first"), facts)], F.count("*").alias("rows_used"))
 
 
-@query("importance_select")
+@query("importance_select", """
+SELECT true AS own_names, true AS scaled, true AS sums_to_one, true AS selected_alike, count(*) AS rows_used FROM embeddings
+""")
 def importance_select(t):
     df, names = _vectors(t)
     rows = checkpointed(df.withColumn("label", F.col("label").cast("double")))
     model = models.train(rows, names, _forest())
-    return models.feature_importance(model, names).where("scaled_importance > 0.0001")
+    found = models.feature_importance(model, names).collect()
+    kept = {r.variable for r in found if r.scaled_importance > 0.0001}
+    facts = {"own_names": {r.variable for r in found} == set(names), "scaled": max(r.scaled_importance for r in found) == 1.0,
+             "sums_to_one": abs(sum(r.importance for r in found) - 1) < 1e-6, "selected_alike": set(models.select_by_importance(model, names)) == kept}
+    return rows.agg(*[F.lit(v).alias(n) for n, v in facts.items()], F.count("*").alias("rows_used"))
 
 
-@query("save_and_load_model")
+@query("save_and_load_model", """
+SELECT count(*) AS n, 0 AS differing, true AS in_range FROM embeddings
+""")
 def save_and_load_model(t):
-    """Scores of a stored and reloaded model."""
+    """Scores of a model and of the same model stored and reloaded."""
     df, names = _vectors(t)
     rows = checkpointed(df.withColumn("label", F.col("label").cast("double")))
     path = fresh_path(t.spark, "model")
-    models.save_model(models.train(rows, names, models.logistic(iterations=10)), path)
-    return models.score(models.load_model(path), rows, names, ["vec_id"])
+    model = models.train(rows, names, models.logistic(iterations=10))
+    models.save_model(model, path)
+    again = models.score(models.load_model(path), rows, names, ["vec_id"], output="again")
+    both = bind_columns(models.score(model, rows, names, ["vec_id"]), again, "vec_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("p1") != F.col("again")).cast("int").alias("differing"), _in_unit("p1").alias("in_range"))
 
 
 def _bagging(t):
@@ -145,21 +191,77 @@ def _bagging(t):
     return BaggingPU(n_estimators=5, max_features=0.5, seed=3).fit(rows, "vec_id", names), rows
 
 
-@query("bagging_pu_proba")
+@query("bagging_pu_proba", """
+SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, 0 AS not_the_mean, 0 AS not_whole FROM embeddings
+""")
 def bagging_pu_proba(t):
+    """The ensemble's probability is the mean of its members'."""
     model, rows = _bagging(t)
-    return model.predict_proba(rows, ["vec_id"])
-
-
-@query("bagging_pu_classes")
+    out = model.predict_proba(rows, ["vec_id"])
+    for i, member in enumerate(model.members):
+        own = BaggingPUModel([member], model.features, model.draw).predict_proba(rows, ["vec_id"])
+        out = bind_columns(out, own.select("vec_id", F.col("p1").alias(f"own{i}")), "vec_id")
+    mean = sum((F.col(f"own{i}") for i in range(1, len(model.members))), F.col("own0")) / len(model.members)
+    return out.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"),
+                   F.count_if(F.abs(F.col("p1") - mean) > 1e-9).cast("int").alias("not_the_mean"),
+                   F.count_if(F.abs(F.col("p0") + F.col("p1") - 1) > 1e-9).cast("int").alias("not_whole"))
+
+
+@query("bagging_pu_classes", """
+SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, 0 AS wrong_class, 0 AS wrong_log, 0 AS apart FROM embeddings
+""")
 def bagging_pu_classes(t):
-    """Class, log probability and raw decision side by side."""
+    """Class, log probability and raw decision from one pass, equal to those of the single calls."""
     model, rows = _bagging(t)
-    out = model.predict(rows, ["vec_id"])
-    return out.join(model.predict_log_proba(rows, ["vec_id"]), "vec_id").join(model.decision(rows, ["vec_id"]), "vec_id")
+    out = checkpointed(model.all_outputs(rows, ["vec_id"]))
+    single = model.predict(rows, ["vec_id"]).withColumnRenamed("prediction", "single")
+    both = bind_columns(out, single, "vec_id")
+    logs = F.when(F.col("p1") > 0, F.abs(F.exp("log_p1") - F.col("p1")) > 1e-9).otherwise(F.col("log_p1") != float("-inf"))
+    return both.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"),
+                    F.count_if((F.col("prediction") == 1) != (F.col("p1") > F.col("p0"))).cast("int").alias("wrong_class"),
+                    F.count_if(logs).cast("int").alias("wrong_log"), F.count_if(F.col("prediction") != F.col("single")).cast("int").alias("apart"))
 
 
-@query("bagging_pu_oob")
+@query("bagging_pu_oob", """
+SELECT count(*) AS n, 0 AS scored_positives, 0 AS odd_counts, 0 AS out_of_range, true AS some_scored FROM embeddings
+""")
 def bagging_pu_oob(t):
+    """Positives are seen by every estimator, so they have no out-of-bag score."""
     model, rows = _bagging(t)
-    return model.oob_scores(rows, ["vec_id", "label"])
+    out, score = model.oob_scores(rows, ["vec_id", "label"]), F.col("oob_p1")
+    return out.agg(F.count("*").alias("n"), F.count_if((F.col("label") == 1) & score.isNotNull()).cast("int").alias("scored_positives"),
+                   F.count_if(~F.col("oob_estimators").between(0, 5) | (score.isNull() != (F.col("oob_estimators") == 0))).cast("int").alias("odd_counts"),
+                   F.count_if(~score.between(0, 1)).cast("int").alias("out_of_range"), (F.count(score) > 0).alias("some_scored"))
+
+
+@query("bagging_warm_start", """
+SELECT count(*) AS n, true AS first_members_kept, true AS five_members, 0 AS not_whole FROM embeddings
+""")
+def bagging_warm_start(t):
+    """Three estimators, then two more on top of them."""
+    df, names = _vectors(t)
+    rows = checkpointed(df)
+    bag = BaggingPU(n_estimators=3, max_features=0.5, seed=3, warm_start=True, oob_score=False)
+    first = list(bag.fit(rows, "vec_id", names).members)
+    bag.n_estimators = 5
+    model = bag.fit(rows, "vec_id", names)
+    out = model.predict_proba(rows, ["vec_id"])
+    return out.agg(F.count("*").alias("n"), F.lit(model.members[:3] == first).alias("first_members_kept"), F.lit(len(model.members) == 5).alias("five_members"),
+                   F.count_if(F.abs(F.col("p0") + F.col("p1") - 1) > 1e-9).cast("int").alias("not_whole"))
+
+
+@query("training_log", f"""
+WITH s AS ({SCORED_SQL}), p AS (SELECT count(*) FILTER (y = 1)::DOUBLE AS a, count(*) FILTER (y = 0)::DOUBLE AS b FROM s),
+ r AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM s GROUP BY p),
+ c AS (SELECT pos, neg, sum(neg) OVER (ORDER BY p) - neg AS below FROM r),
+ w AS (SELECT sum(pos * below)::DOUBLE AS won, sum(pos * neg)::DOUBLE AS tied FROM c)
+SELECT 'm1' AS model_id, 'price' AS features, 'auc' AS metric, round(won / (a * b), 8) AS train_metric, round((won + tied * 0.5) / (a * b), 8) AS valid_metric FROM w, p
+""")
+def training_log(t):
+    """One training run with the AUC of the scored orders, logged to the runs table and read back."""
+    auc = auc_rank(scored(t), "p", "y").first()
+    row = training_log_row(t.spark, "m1", {"depth": 3}, ["price"], "auc", auc["auc_strict"], auc["auc_half"])
+    path = fresh_path(t.spark, "runs")
+    log_training(row, path)
+    runs = t.spark.read.option("sep", "\t").option("header", True).schema(RUN_SCHEMA).csv(path)
+    return runs.select("model_id", "features", "metric", F.round("train_metric", 8).alias("train_metric"), F.round("valid_metric", 8).alias("valid_metric"))

@@ -83,7 +83,9 @@ def test_gbm_importance_and_storage(table, tmp_path):
     again = models.load_model(str(tmp_path / "m"))
     pair = [sorted(map(tuple, models.score(m, rows, FEATURES, ["id"]).collect())) for m in (model, again)]
     assert pair[0] == pair[1]
-    assert models.model_name("gbm", FEATURES, {"a": 1, "b": 2}) == "gbm_features_3_a_1__b_2"
+    name = models.model_name("gbm", FEATURES, {"a": 1, "b": 2})
+    assert name.startswith("gbm-") and name == models.model_name("gbm", FEATURES[::-1], {"b": 2, "a": 1})
+    assert name != models.model_name("gbm", FEATURES, {"a": 1, "b": 3})
 
 
 def test_missing_values_are_scored(table):
@@ -164,3 +166,21 @@ def test_bagging_checks_and_warm_start(labelled):
     bag.n_estimators = 1
     with pytest.raises(ValueError):
         bag.fit(labelled, "id", names)
+
+
+def test_votes_of_models_without_probabilities(spark):
+    from pyspark.ml.classification import LinearSVC
+    df = spark.range(200).selectExpr("id", "id / 200.0 AS x", "CAST(id >= 150 AS INT) AS label")
+    model = BaggingPU(estimator=LinearSVC(maxIter=5), n_estimators=3, oob_score=False).fit(df, "id", ["x"])
+    votes = model.vote_share(df, ["id"]).collect()
+    assert len(votes) == 200 and all(0 <= r["p1"] <= 1 for r in votes)
+
+
+@pytest.mark.parametrize("levels", [60, 1500])
+def test_text_with_many_values_trains(spark, levels):
+    from larkfield.lookalike import models
+    df = spark.range(3000).selectExpr("id", f"concat('v', id % {levels}) AS t", "rand(1) AS x", "CAST(id % 2 AS DOUBLE) AS label")
+    for estimator in (models.random_forest(trees=2, depth=3), models.logistic(iterations=2)):
+        model = models.train(df, ["t", "x"], estimator)
+        assert models.score(model, df, ["t", "x"], ["id"]).count() == 3000
+    assert models.random_forest(columns=0.9).getFeatureSubsetStrategy() == "0.9"

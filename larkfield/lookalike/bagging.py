@@ -139,6 +139,11 @@ class BaggingPUModel:
         """Mean probability of both classes: ``p0`` and ``p1``."""
         return self._each(df).select(*keep, self._mean("p", 0).alias("p0"), self._mean("p", 1).alias("p1"))
 
+    def member_probabilities(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Each estimator's probability of the positive class: ``p1_0``, ``p1_1``, ..."""
+        own = [F.get(vector_to_array(f"_p{i}"), F.lit(1)).alias(f"p1_{i}") for i in range(len(self.members))]
+        return self._each(df).select(*keep, *own)
+
     def vote_share(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Share of estimators that call the row positive, for models without probabilities."""
         votes = F.lit(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkfield.lookalike import models, prepare, pu
-from larkfield.lookalike.bagging import BaggingPU, BaggingPUModel
+from larkfield.lookalike.bagging import BaggingPU
 from larkfield.operators.joins import bind_columns
 from larkfield.operators.metrics import RUN_SCHEMA, auc_rank, log_training, training_log_row
 from larkfield.operators.ranking import next_values
@@ -197,11 +197,8 @@ SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, 0 AS not_the_mean, 0 AS not
 def bagging_pu_proba(t):
     """The ensemble's probability is the mean of its members'."""
     model, rows = _bagging(t)
-    out = model.predict_proba(rows, ["vec_id"])
-    for i, member in enumerate(model.members):
-        own = BaggingPUModel([member], model.features, model.draw).predict_proba(rows, ["vec_id"])
-        out = bind_columns(out, own.select("vec_id", F.col("p1").alias(f"own{i}")), "vec_id")
-    mean = sum((F.col(f"own{i}") for i in range(1, len(model.members))), F.col("own0")) / len(model.members)
+    out = bind_columns(model.predict_proba(rows, ["vec_id"]), model.member_probabilities(rows, ["vec_id"]), "vec_id")
+    mean = sum((F.col(f"p1_{i}") for i in range(1, len(model.members))), F.col("p1_0")) / len(model.members)
     return out.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"),
                    F.count_if(F.abs(F.col("p1") - mean) > 1e-9).cast("int").alias("not_the_mean"),
                    F.count_if(F.abs(F.col("p0") + F.col("p1") - 1) > 1e-9).cast("int").alias("not_whole"))

@@ -25,7 +25,7 @@ HEADLINE = [
     "hit_rate_at_t", "roc_curve", "auc_rank", "best_f1_threshold", "top_k_by_score", "grid_spatial_join",
     "tessellate_cells", "fuzzy_nearest_join", "multi_batch_window_join", "skewed_join", "lead_pairs", "route_totals",
     "collect_ordered", "skew_report", "partition_max", "sparse_triplets", "quantile_bin", "clean_features",
-    "interaction_features", "wide_to_long", "staged_bulk_load", "area_km2", "parse_wkt", "pu_relabel_rule",
+    "interaction_features", "wide_to_long", "staged_bulk_load", "area_km2", "polygon_join_exact", "parse_wkt", "pu_relabel_rule",
 ]
 
 

@@ -88,7 +88,11 @@ def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     Beyond the bound the frame is returned unmarked, so Spark shuffles the join and AQE splits
     skewed partitions. The input runs once: the size is taken from the stored rows.
     """
-    stored = checkpointed(df)
+    return within_bytes(checkpointed(df), max_bytes)
+
+
+def within_bytes(stored: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``small_side`` of a frame that is stored already."""
     size = stored.agg(F.sum(_row_bytes(stored)).alias("n")).first()["n"] or 0
     return F.broadcast(stored) if size <= max_bytes else stored
 

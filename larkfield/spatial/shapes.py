@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkfield.session import checkpointed
+from larkfield.session import checkpointed, within_bytes
 from larkfield.spatial.grid import Grid, box_join
 from larkfield.spatial.wkt import all_points, to_wkt, with_mbr
 
@@ -86,6 +86,29 @@ def _meet(a: np.ndarray, a_area: np.ndarray, b: np.ndarray, b_area: np.ndarray)
 
 
 _CHUNK = 2_000_000
+_BLOCK = 512
+
+
+def _meet_large(a: np.ndarray, a_area: bool, b: np.ndarray, b_area: bool) -> bool:
+    """The test of one large pair: blocks of segments against those that reach the block's box.
+
+    No array has more than ``_CHUNK`` cells, however many points the shapes have.
+    """
+    low, high = np.minimum(b[:, :2], b[:, 2:]), np.maximum(b[:, :2], b[:, 2:])
+    for start in range(0, len(a), _BLOCK):
+        block = a[start : start + _BLOCK]
+        least, most = np.minimum(block[:, :2], block[:, 2:]).min(0), np.maximum(block[:, :2], block[:, 2:]).max(0)
+        near = b[((high >= least) & (low <= most)).all(1)]
+        step = max(1, _CHUNK // len(block))
+        for at in range(0, len(near), step):
+            if _segments_meet(block[None], near[None, at : at + step]).any():
+                return True
+    for outline, points, is_area in ((b, a, b_area), (a, b, a_area)):
+        step = max(1, _CHUNK // len(outline))
+        for at in range(0, len(points) if is_area else 0, step):
+            if _holds_any(outline[None], points[None, at : at + step]).any():
+                return True
+    return False
 
 
 def _stacked(xs: list, ys: list, ends: list) -> np.ndarray:
@@ -108,6 +131,11 @@ def _intersects(ax: pd.Series, ay: pd.Series, ae: pd.Series, a_area: pd.Series,
         if x is not None and u is not None:
             by_size.setdefault((len(x), len(e), len(u), len(f)), []).append(i)
     for (na, _, nb, _), rows in by_size.items():
+        if na * nb > _CHUNK:
+            for i in rows:
+                a, b = (_segments(*[np.asarray(c[i]) for c in side]) for side in (sides[:3], sides[3:]))
+                out[i] = _meet_large(a, areas[0][i], b, areas[1][i])
+            continue
         # Ring sizes may differ within a group, but points less rings give the segments.
         step = max(1, _CHUNK // (na * nb))
         for start in range(0, len(rows), step):
@@ -144,12 +172,16 @@ def geometry_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, r
 
     Rows whose geometry is NULL have no box and pair with nothing. Both sides are written
     once with their boxes and plain coordinates, because the cells are counted before they
-    are joined and reading geometry text is the costly step.
+    are joined and reading geometry text is the costly step. Only ids and boxes go through the
+    cells; a surviving pair fetches its coordinates by id, so ids must be unique.
     """
     sides = [checkpointed(with_flat(with_mbr(df.select(key, geom), geom), geom).drop(geom)
                           .where(F.col("xmin").isNotNull()))
              for df, key in ((left, left_id), (right, right_id))]
-    pairs = box_join(*sides, grid, left_id, right_id, left_extra=FLAT, right_extra=FLAT, dedupe=dedupe, **options)
+    pairs = box_join(*[s.drop(*FLAT) for s in sides], grid, left_id, right_id, dedupe=dedupe, **options)
+    for prefix, side, key in (("a", sides[0], left_id), ("b", sides[1], right_id)):
+        shapes = side.select(F.col(key).alias(f"_{prefix}"), *[F.col(n).alias(f"{prefix}_{n}") for n in FLAT])
+        pairs = pairs.join(within_bytes(shapes), F.col(f"{prefix}_id") == F.col(f"_{prefix}")).drop(f"_{prefix}")
     return exact_pairs(pairs)
 
 

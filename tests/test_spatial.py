@@ -234,3 +234,18 @@ def test_every_geometry_has_one_area(spark):
     got = {r["id"]: r["area_km2"] for r in measures.area_km2(df).collect()}
     assert len(got) == 4 and got[0] is None and got[1] > 1000 and got[2] > 1000
     assert sorted(r["id"] for r in measures.area_km2(df, inclusive=True).collect()) == [1, 1, 2]
+
+
+@pytest.mark.parametrize("shift, meets", [(0.0, True), (1.5, True), (2.5, False)])
+def test_pairs_of_many_points_in_bounded_arrays(monkeypatch, shift, meets):
+    """Two outlines of 10,000 points: no array passes the bound."""
+    angle = np.linspace(0, 2 * np.pi, 10_001)
+    ring = np.stack([np.cos(angle), np.sin(angle)], 1)
+    ring[-1] = ring[0]
+    segments = np.concatenate([ring[:-1], ring[1:]], 1)
+    other = segments * (0.5 if shift == 0 else 1.0) + np.array([shift, 0, shift, 0])
+    cells = []
+    plain = shapes._segments_meet
+    monkeypatch.setattr(shapes, "_segments_meet", lambda a, b: cells.append(a.shape[1] * b.shape[1]) or plain(a, b))
+    assert shapes._meet_large(segments, True, other, True) is meets
+    assert max(cells, default=0) <= shapes._CHUNK

@@ -36,7 +36,7 @@ from larkfield.llm.common import id_and_text, text_slices
 
 _END = "\0"
 #: Entries of a worker's word table before it starts anew; a bound on memory only.
-_TABLE_ENTRIES = 1_000_000
+_TABLE_ENTRIES = 300_000
 #: Python splits at these four control characters, the tokenizer does not.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 

@@ -39,9 +39,10 @@ from larkfield.llm.words import byte_values, mixed, powers
 from larkfield.session import fresh_path
 
 CORE, PIECE = 32, 128
-MOST_KINDS = 16_384
-BLOCK_BYTES = 8 << 20
+MOST_KINDS = 4096
+BLOCK_BYTES = 4 << 20
 _STARTS = 1 << 19
+_WINDOWS_AT_ONCE = 1 << 18
 _POSITION = np.uint64((1 << 24) - 1)
 _BYTES = byte_values([])
 
@@ -79,7 +80,6 @@ def runs(raw: np.ndarray, begin: np.ndarray, length: int) -> dict[str, np.ndarra
     """All runs of a block: first and last window, anchor, and hashes of the core and of the covered bytes."""
     found = {k: [] for k in ("low", "high", "anchor", "core", "bytes")}
     width = length - CORE + 1
-    ends = np.repeat(begin[1:], np.diff(begin))
     for at in range(0, max(0, len(raw) - length + 1), _STARTS):
         stop = min(len(raw), at + _STARTS + length - 1)
         total = _prefix(raw[at:stop])
@@ -87,7 +87,7 @@ def runs(raw: np.ndarray, begin: np.ndarray, length: int) -> dict[str, np.ndarra
         core = mixed(_hash(total, position, position + CORE))
         anchor = _anchors(core, width)
         start = np.arange(at, at + len(anchor))
-        inside = start + length <= ends[at : at + len(anchor)]
+        inside = start + length <= begin[np.searchsorted(begin, start, "right")]
         edge = np.ones(len(anchor) + 1, bool)
         edge[1:-1] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
         # a run also ends where a document does; the windows across the border are not inside
@@ -209,21 +209,18 @@ def _block_runs(answers: pa.Table) -> dict[str, np.ndarray] | None:
             "kind": kinds, "again": said[_KINDS][kinds] & np.uint64(1) > 0, "speaks": said[_KINDS][kinds] & np.uint64(2) > 0, "core": said[_CORES][cores]}
 
 
-def _window_hashes(raw: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the runs: their starts, hashes, and the run each belongs to."""
+def _window_hashes(raw: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of runs, which come in the order of the bytes."""
     n = high - low + 1
-    run = np.repeat(np.arange(len(low)), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[run]
+    start = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
     out = np.empty(len(start), np.uint64)
-    order = np.argsort(start, kind="stable")
-    ordered = start[order]
     for at in range(0, len(raw), _STARTS):
-        a, b = np.searchsorted(ordered, [at, at + _STARTS])
+        a, b = np.searchsorted(start, [at, at + _STARTS])
         if b > a:
             total = _prefix(raw[at : at + _STARTS + length - 1])
-            s = ordered[a:b] - at
-            out[order[a:b]] = mixed(_hash(total, s, s + length))
-    return start, out, run
+            s = start[a:b] - at
+            out[a:b] = mixed(_hash(total, s, s + length))
+    return start, out
 
 
 def _crowded(length: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -234,7 +231,7 @@ def _crowded(length: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table
         if own is None or not (mask := (own["core"] == 2)).any():
             return _rows([])
         raw, _ = _block_bytes(_sorted_group(docs).column("text").to_pylist())
-        _, hashes, _ = _window_hashes(raw, own["low"][mask], own["high"][mask], length)
+        _, hashes = _window_hashes(raw, own["low"][mask], own["high"][mask], length)
         keys, times = np.unique(hashes, return_counts=True)
         return _rows(_by_range(_WINDOWS, docs.column("block")[0].as_py(), parts, keys, times.astype(np.uint64), None))
 
@@ -269,21 +266,32 @@ def _closer_looks(length: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.
 _LOOK = "bin long, block long, low long, offset int, again boolean, bytes binary"
 
 
+def _core_hashes(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    out = np.empty(len(start), np.uint64)
+    for at in range(0, len(raw), _STARTS):
+        a, b = np.searchsorted(start, [at, at + _STARTS])
+        if b > a:
+            s = start[a:b] - at
+            out[a:b] = _hash(_prefix(raw[at : at + _STARTS + CORE]), s, s + CORE)
+    return out
+
+
 def _compared(length: int) -> Callable[[pa.Table], pa.Table]:
     """Spans of windows that runs of one range of cores share, found by their suffix array."""
     whole = (length - PIECE + 1) // PIECE  # pieces that every window holds whole
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        data = group.column("bytes").to_pylist()
+        held = group.column("bytes").chunk(0)
+        ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+        raw = np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]]
         low, again = group.column("low").to_numpy(), group.column("again").to_numpy(zero_copy_only=False)
         offset = group.column("offset").to_numpy().astype(np.int64)
-        size = np.array([len(d) for d in data])
-        begin = np.cumsum(size) - size
-        raw = np.frombuffer(b"".join(data), np.uint8)
+        size = np.diff(ends)
+        begin = ends[:-1] - ends[0]
         lead = offset % PIECE
         pieces = (size - lead) // PIECE
-        run_of = np.repeat(np.arange(len(data)), pieces)
+        run_of = np.repeat(np.arange(len(size)), pieces)
         number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = begin[run_of] + lead[run_of] + number * PIECE
         value = np.empty(len(start), np.uint64)
@@ -294,7 +302,7 @@ def _compared(length: int) -> Callable[[pa.Table], pa.Table]:
                 value[a:b] = mixed(_hash(_prefix(raw[at : at + _STARTS + PIECE]), s, s + PIECE))
         # the sequence: each run's pieces, then a separator; pieces are numbered from 2
         place = np.arange(len(start)) + run_of
-        sequence = np.ones(len(start) + len(data) + 1, np.int64)
+        sequence = np.ones(len(start) + len(size) + 1, np.int64)
         sequence[place] = np.unique(value, return_inverse=True)[1] + 2
         sequence[-1] = 0
         order = suffix_array(sequence)
@@ -309,31 +317,43 @@ def _compared(length: int) -> Callable[[pa.Table], pa.Table]:
         interval_of[order] = interval
         shared = np.zeros(len(order), bool)
         shared[order] = crowd[interval] > 1
-        # windows of each run whose first whole piece begins an interval with company
-        windows = size - length + 1
-        w_run = np.repeat(np.arange(len(data)), windows)
-        w_at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        first = np.cumsum(pieces) - pieces + np.arange(len(data))
-        head = first[w_run] + np.maximum(0, -(-(w_at - lead[w_run]) // PIECE))
-        company = shared[head]
-        w_run, w_at, head = w_run[company], w_at[company], head[company]
-        position = begin[w_run] + w_at
-        hashes = np.empty(len(position), np.uint64)
-        for at in range(0, len(raw), _STARTS):
-            a, b = np.searchsorted(position, [at, at + _STARTS])
-            if b > a:
-                s = position[a:b] - at
-                hashes[a:b] = _hash(_prefix(raw[at : at + _STARTS + length]), s, s + length)
-        key = mixed(hashes + mixed((offset[w_run] - w_at).astype(np.uint64))) ^ interval_of[head].astype(np.uint64)
-        _, index, times = np.unique(key, return_inverse=True, return_counts=True)
-        twice = (times[index] > 1) & ~again[w_run]
-        w_run, w_at = w_run[twice], w_at[twice]
-        edge = np.ones(len(w_run) + 1, bool)
-        edge[1:-1] = (w_run[1:] != w_run[:-1]) | (w_at[1:] != w_at[:-1] + 1)
-        cut = np.flatnonzero(edge)
-        a, b = cut[:-1], cut[1:] - 1
-        return pa.table({"block": group.column("block").take(pa.array(w_run[a])), "start": pa.array(low[w_run[a]] + w_at[a], pa.int64()),
-                         "end": pa.array(low[w_run[a]] + w_at[b] + length, pa.int64())})
+        def shared_windows(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Run, first byte and end of the spans that the runs share; runs in the order of their bytes."""
+            # windows whose first whole piece begins an interval with company
+            windows = (size - length + 1)[runs]
+            w_run = np.repeat(runs, windows)
+            w_at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            head = first[w_run] + np.maximum(0, -(-(w_at - lead[w_run]) // PIECE))
+            company = shared[head]
+            w_run, w_at, head = w_run[company], w_at[company], head[company]
+            position = begin[w_run] + w_at
+            hashes = np.empty(len(position), np.uint64)
+            for at in range(0, len(raw), _STARTS):
+                a, b = np.searchsorted(position, [at, at + _STARTS])
+                if b > a:
+                    s = position[a:b] - at
+                    hashes[a:b] = _hash(_prefix(raw[at : at + _STARTS + length]), s, s + length)
+            key = mixed(hashes + mixed((offset[w_run] - w_at).astype(np.uint64))) ^ interval_of[head].astype(np.uint64)
+            _, index, times = np.unique(key, return_inverse=True, return_counts=True)
+            twice = (times[index] > 1) & ~again[w_run]
+            w_run, w_at = w_run[twice], w_at[twice]
+            edge = np.ones(len(w_run) + 1, bool)
+            edge[1:-1] = (w_run[1:] != w_run[:-1]) | (w_at[1:] != w_at[:-1] + 1)
+            cut = np.flatnonzero(edge)
+            a, b = cut[:-1], cut[1:] - 1
+            return w_run[a], low[w_run[a]] + w_at[a], low[w_run[a]] + w_at[b] + length
+
+        # runs of different cores share no window, so a few cores are compared at a time
+        core = _core_hashes(raw, begin + offset)
+        by_core = np.argsort(core, kind="stable")
+        many = np.cumsum((size - length + 1)[by_core])
+        batch = many // _WINDOWS_AT_ONCE
+        same_core = np.append(False, core[by_core][1:] == core[by_core][:-1])
+        batch = np.maximum.accumulate(np.where(same_core, 0, batch))  # a core is never divided
+        first = np.cumsum(pieces) - pieces + np.arange(len(size))
+        found = [shared_windows(np.sort(r)) for r in np.split(by_core, np.flatnonzero(np.diff(batch)) + 1)]
+        low_end = [np.concatenate([f[k] for f in found]) for k in range(3)]
+        return pa.table({"block": group.column("block").take(pa.array(low_end[0])), "start": pa.array(low_end[1], pa.int64()), "end": pa.array(low_end[2], pa.int64())})
 
     return run
 
@@ -365,7 +385,7 @@ def _finished(length: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa
                 crowded = (own["core"] == 2) & ~full
                 if crowded.any():
                     mask = own["core"] == 2
-                    at, hashes, run_of = _window_hashes(raw, own["low"][mask], own["high"][mask], length)
+                    at, hashes = _window_hashes(raw, own["low"][mask], own["high"][mask], length)
                     kinds = block_rows.filter(pa.array(block_rows.column("kind").to_numpy() == _WINDOWS)).sort_by("part")
                     said = np.concatenate([unpacked(x) for x in kinds.column("keys").to_pylist()])
                     hit = at[said[np.unique(hashes, return_inverse=True)[1]] > 0]
@@ -411,6 +431,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True, m
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     size = plain.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(8, -(-int(size) // BLOCK_BYTES))
+    parts = max(8, blocks // 8)  # a range of hashes holds far fewer bytes than a block
     keyed = plain.withColumn("hash", F.xxhash64("text"))
     dealt = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(blocks)))
     by_block = dealt.groupBy("block")
@@ -418,25 +439,36 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True, m
     def answered(group: pa.Table) -> pa.Table:
         return _answered(group, most_kinds)
 
+    def lean(fn: Callable) -> Callable:
+        """``fn``, giving memory back between groups: a worker meets many of them."""
+        def freed(*tables: pa.Table) -> pa.Table:
+            try:
+                return fn(*tables)
+            finally:
+                pa.default_memory_pool().release_unused()
+
+        one, two = lambda group: freed(group), lambda left, right: freed(left, right)
+        return one if fn.__code__.co_argcount == 1 else two
+
     def stored(frame: DataFrame) -> DataFrame:
         path = fresh_path(spark, "repeats")
         frame.write.parquet(path)
         return spark.read.schema(frame.schema).parquet(path)
 
-    scan = stored(by_block.applyInArrow(_scanned(length, blocks), _ROW))
+    scan = stored(by_block.applyInArrow(lean(_scanned(length, parts)), _ROW))
     asked = scan.filter(F.col("kind").isin(_KINDS, _CORES))
-    answers = stored(asked.groupBy("kind", "part").applyInArrow(answered, _ROW).unionByName(scan.filter(F.col("kind") == _RUNS)))
-    crowded = by_block.cogroup(answers.groupBy("block")).applyInArrow(_crowded(length, blocks), _ROW)
+    answers = stored(asked.groupBy("kind", "part").applyInArrow(lean(answered), _ROW).unionByName(scan.filter(F.col("kind") == _RUNS)))
+    crowded = by_block.cogroup(answers.groupBy("block")).applyInArrow(lean(_crowded(length, parts)), _ROW)
     if _any_crowd(answers):
-        answers = answers.unionByName(stored(crowded.groupBy("kind", "part").applyInArrow(answered, _ROW)))
-    looks = by_block.cogroup(answers.groupBy("block")).applyInArrow(_closer_looks(length, blocks), _LOOK)
-    spans = looks.groupBy("bin").applyInArrow(_compared(length), "block long, start long, end long")
+        answers = answers.unionByName(stored(crowded.groupBy("kind", "part").applyInArrow(lean(answered), _ROW)))
+    looks = by_block.cogroup(answers.groupBy("block")).applyInArrow(lean(_closer_looks(length, 2 * blocks)), _LOOK)
+    spans = looks.groupBy("bin").applyInArrow(lean(_compared(length)), "block long, start long, end long")
     none = F.lit(None)
     rest = answers.select(*answers.columns, none.cast("long").alias("start"), none.cast("long").alias("end")).unionByName(
         spans.select(none.cast("int").alias("kind"), none.cast("int").alias("part"), "block", none.cast("binary").alias("keys"),
                      none.cast("binary").alias("first"), none.cast("binary").alias("second"), "start", "end"))
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return by_block.cogroup(rest.groupBy("block")).applyInArrow(_finished(length, with_text), columns)
+    return by_block.cogroup(rest.groupBy("block")).applyInArrow(lean(_finished(length, with_text)), columns)
 
 
 def _any_crowd(answers: DataFrame) -> bool:

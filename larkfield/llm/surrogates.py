@@ -6,6 +6,11 @@ the result is valid again): digits stay digits, letters keep their case, separat
 number keeps its check digit valid, an IPv4 address stays one. A permutation never gives two
 values the same surrogate, and the same value always gets the same one, in every document.
 
+A secret is the whole run of non-blank characters behind its label, up to the closing quote if one
+opens it, however long; closing punctuation at its end is not part of it. Its symbols and its letters
+of other scripts are permuted too, brackets and separators stay. Long secrets are permuted in
+pieces, each keyed by all pieces before it.
+
 Names are found behind a title or a label. Each part of a name has a surrogate of its own, so that
 "Mr. John Smith" and "Mr. Smith" keep sharing a surname. It is spelled from the script's
 syllables by a keyed code; the given name's ending follows the gender that the title tells, and
@@ -22,8 +27,10 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,11 +54,17 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,5}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
     "access_key": r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)",
-    "secret": r"(?i:(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret_value>[A-Za-z0-9+/_.-]{6,200})",
+    "secret": r"(?i:(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[:=]\s{0,3}(?P<quote>[\"'])?)(?P<secret_value>\S{6})",
     "name": rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s(?:Dr\.?\s)?|(?i:(?:full |first |last )?name|nombre|nom)\s?[:=]\s?)(?P<name_value>{_NAME}(?:\s{_NAME}){{0,2}})",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 _HEX = re.compile("[0-9a-f:]+|[0-9A-F:]+")
+#: The whole secret, by the quote that opens it.
+_SECRET = {quote: re.compile(rf"[^\s{quote or ''}]+") for quote in (None, '"', "'")}
+#: Symbols of a secret that are permuted; those that stay; and those that end a sentence or a bracket.
+_SYMBOLS, _STAY, _CLOSERS = "!#$%&*?@\\^`|~", "+-_./=:,;()[]{}<>\"'", ".,;:)]}>\"'"
+#: Characters of a secret that are permuted as one number.
+_PIECE = 128
 _SIGN = re.compile("[0-9@:=]")
 #: Characters searched before and after a sign of an entity; longer than any pattern reaches.
 _BEFORE, _AFTER = 100, 700
@@ -70,6 +83,8 @@ def _valid(kind: str, value: str) -> bool:
         return 7 <= len(digits) <= 15
     if kind == "ipv6":
         return _is_ipv6(value)
+    if kind == "secret":
+        return len(value) >= 6 and bool(value.strip(_STAY))
     return True
 
 
@@ -80,6 +95,10 @@ def _is_ipv6(value: str) -> bool:
         return False
 
 
+def _hex_digits(value: str) -> str:
+    return "0123456789ABCDEF" if re.search("[A-F]", value) else "0123456789abcdef"
+
+
 def _regions(text: str) -> list[list[int]]:
     """Stretches of the text around digits, signs and titles, outside of which nothing can match."""
     signs = [m.start() for m in _SIGN.finditer(text)]
@@ -99,53 +118,69 @@ def _regions(text: str) -> list[list[int]]:
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """start, end, kind and gender ('' unless a name) of every entity, from left to right."""
-    found = []
+    found, at = [], 0
     for low, high in _regions(text) if text else []:
-        for m in _ANY.finditer(text[low:high]):
+        at = max(at, low)
+        while m := _ANY.search(text, at, high):
             kind = m.lastgroup
             start, end = m.span({"secret": "secret_value", "name": "name_value"}.get(kind, kind))
-            if _valid(kind, m.string[start:end]):
-                found.append((low + start, low + end, kind, TITLES.get(m["title"] or "", "-") if kind == "name" else ""))
+            at = m.end()
+            if kind == "secret":  # its end may lie behind the region
+                whole = _SECRET[m["quote"]].match(text, start)
+                end = start + len((whole[0] if whole else "").rstrip(_CLOSERS))
+                at = max(start, end)
+            if _valid(kind, text[start:end]):
+                found.append((start, end, kind, TITLES.get(m["title"] or "", "-") if kind == "name" else ""))
+            elif kind == "secret":
+                at = start
     return found
 
 
+@lru_cache(1 << 12)
+def _likes(ch: str) -> str:
+    """The characters that may stand for one of another script: of its category, from its 256 neighbours."""
+    kind, first = unicodedata.category(ch), ord(ch) & ~255
+    return "".join(c for c in map(chr, range(first, first + 256)) if ord(c) > 127 and unicodedata.category(c) == kind and not c.isspace())
+
+
 class Surrogates:
     """Keyed replacement of values; ``draw`` picks one of many keyed mappings."""
 
     def __init__(self, key: str, draw: int = 0):
         self.key, self.draw = key, draw
         self._secret = hashlib.blake2b(f"{key}|{draw}".encode()).digest()
-        self.of = lru_cache(1 << 16)(self._of)
+        self._short = lru_cache(1 << 16)(self._of)
+
+    def of(self, kind: str, value: str, gender: str) -> str:
+        return (self._short if len(value) <= 4 * _PIECE else self._of)(kind, value, gender)
 
     def _code(self, what: str, size: int = 16) -> int:
-        return int.from_bytes(hashlib.blake2b(what.encode("utf-8", "replace"), key=self._secret, digest_size=size).digest(), "big")
+        digest = hashlib.blake2b(what.encode("utf-8", "replace"), key=self._secret, digest_size=min(size, 64)).digest()
+        return int.from_bytes(digest if size <= 64 else hashlib.shake_256(self._secret + digest).digest(size), "big")
 
     def _permuted(self, x: int, n: int, tweak: str, holds: Callable[[int], bool]) -> int:
         """Image of ``x`` under a keyed permutation of the numbers below ``n`` for which ``holds``."""
-        a = max(1, int(n**0.5))
-        while a * a < n:
-            a += max(1, (n - a * a) // (2 * a + 1))
+        a = isqrt(n - 1) + 1
+        size = max(32, a.bit_length() // 8 + 17)  # every digit of a half changes, however long it is
         while True:
             left, right = divmod(x, a)
             for r in range(4):
-                left = (left + self._code(f"{tweak}|{r}|l|{right}", 32)) % a
-                right = (right + self._code(f"{tweak}|{r}|r|{left}", 32)) % a
+                left = (left + self._code(f"{tweak}|{r}|l|{right:x}", size)) % a
+                right = (right + self._code(f"{tweak}|{r}|r|{left:x}", size)) % a
             x = left * a + right
             if x < n and holds(x):
                 return x
 
     def _reshaped(self, value: str, tweak: str, holds: Callable[[str], bool] = lambda s: True,
-                  fixed: Callable[[int], bool] = lambda i: False, loose: bool = False, hexadecimal: bool = False) -> str:
+                  fixed: Callable[[int], bool] = lambda i: False, loose: bool = False, hexadecimal: str = "", symbols: bool = False) -> str:
         """Permute ``value`` among all texts of its shape: character classes and separators stay.
 
         With ``loose`` the separators are no part of the shape, so one number written in two ways
         gets one surrogate written in the same two ways.
         """
-        classes = ("0123456789abcdef", "0123456789ABCDEF") if hexadecimal else (
-            "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        if hexadecimal and re.search("[A-F]", value):
-            classes = classes[::-1]
-        slots = [(i, next((c for c in classes if ch in c), "")) for i, ch in enumerate(value)]
+        classes = (hexadecimal,) if hexadecimal else (
+            "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *[_SYMBOLS] * symbols)
+        slots = [(i, next((c for c in classes if ch in c), _likes(ch) if symbols and ch > "\x7f" else "")) for i, ch in enumerate(value)]
         slots = [(i, c) for i, c in slots if c and not fixed(i)]
         taken = {i for i, _ in slots}
         rest = "".join(ch for i, ch in enumerate(value) if i not in taken and (ch.isalnum() or not loose))
@@ -203,6 +238,19 @@ class Surrogates:
             out += ("m" if not (cyrillic or greek) else heads[4]) * (gender == "f") + endings[0 if cyrillic else 1 if greek else 2]
         return out.upper() if part.isupper() else out.capitalize()
 
+    def _hidden(self, value: str) -> str:
+        hexadecimal = _hex_digits(value) if _HEX.fullmatch(value) else ""
+        if len(value) <= _PIECE:
+            if hexadecimal:
+                return self._reshaped(value, "secret|hex", hexadecimal=hexadecimal)
+            return self._reshaped(value, "secret", lambda s: not _HEX.fullmatch(s), symbols=True)
+        out, before = [], ""
+        for start in range(0, len(value), _PIECE):
+            piece = value[start : start + _PIECE]
+            out.append(self._reshaped(piece, f"secret|{len(value)}|{hexadecimal}|{before}", hexadecimal=hexadecimal, symbols=not hexadecimal))
+            before = f"{self._code(f'{before}|{piece}'):x}"
+        return "".join(out)
+
     def _of(self, kind: str, value: str, gender: str) -> str:
         if kind == "name":
             return self._name(value, gender)
@@ -210,10 +258,10 @@ class Surrogates:
             return value[:4] + self._reshaped(value[4:], kind)
         if kind == "iban":
             return self._reshaped(value, kind, fixed=lambda i: i < 2, loose=True)
-        if kind in ("ipv6", "secret") and _HEX.fullmatch(value):
-            return self._reshaped(value, f"{kind}|hex", hexadecimal=True)
+        if kind == "ipv6":
+            return self._reshaped(value, f"{kind}|hex", hexadecimal=_hex_digits(value))
         if kind == "secret":
-            return self._reshaped(value, kind, lambda s: not _HEX.fullmatch(s))
+            return self._hidden(value)
         if kind in ("email", "ipv4", "card", "phone"):
             return {"email": self._email, "ipv4": self._ipv4, "card": self._card, "phone": self._phone}[kind](value)
         return self._reshaped(value, kind)

@@ -69,6 +69,38 @@ def test_draws_go_on_until_no_two_collide(spark, monkeypatch):
     assert surrogates.collision_free(found, "k").draw == 2
 
 
+@pytest.mark.parametrize("text,value", [
+    ("password=Secret#2024 next", "Secret#2024"), ("password: P@ssw0rd!x\nnext", "P@ssw0rd!x"), ('pwd = "it\'s#2024$x" next', "it's#2024$x"),
+    ("(token=Ab,c;d#12).", "Ab,c;d#12"), ("password: пароль№2024, next", "пароль№2024"), ('"api_key=abc$%^&1",', "abc$%^&1"), ("secret: !@#$%^&*", "!@#$%^&*")])
+def test_secrets_with_symbols_are_whole(text, value):
+    ((start, end, kind, _),) = entities(text)
+    assert (kind, text[start:end]) == ("secret", value)
+    new, _ = Surrogates("k").replace(text)
+    image = new[start:end]
+    assert new[:start] == text[:start] and new[end:] == text[end:] and len(new) == len(text)
+    assert not any(value[i : i + 3] == image[i : i + 3] for i in range(len(value) - 2))
+    assert [text[e[0] : e[1]] != new[e[0] : e[1]] for e in entities(new)] == [True]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "abcXYZ0189-_."])
+def test_long_secrets_are_whole(letters):
+    rnd = random.Random(3)
+    s, value = Surrogates("k"), "".join(rnd.choice(letters) for _ in range(20000)) + "a1"
+    for n in (200, 323, 2000, 20002):
+        token = value[-n:]
+        new, kinds = s.replace(f"see token={token} and more")
+        image = new[len("see token=") : -len(" and more")]
+        assert kinds == ["secret"] and len(image) == n and new.endswith(" and more")
+        shared = sum(a == b and a not in "-_." for a, b in zip(token, image)) / n
+        assert shared < 0.2 and all(token[i : i + 12] not in image for i in range(0, n - 12))
+        assert s.of("secret", token[:-1] + "2", "") != image
+
+
+def test_rules_behind_a_label_are_no_secret(spark):
+    docs = documents(spark, [(1, "password: ------"), (2, "token: ......")])
+    assert [r.n_entities for r in surrogates.replace_entities(docs, "k").collect()] == [0, 0]
+
+
 def test_documents_are_replaced_coherently(spark):
     docs = documents(spark, [(i, t) for i, t in enumerate([*KINDS.values(), *KINDS.values(), None, "", "clean text"])], extra=True)
     rows = {r.doc_id: r for r in surrogates.replace_entities(docs, "k").collect()}

@@ -17,8 +17,9 @@ Small sets use independent hash functions, large ones the minima of equal parts
 sizes near the border use both, so two similar sets always share one kind.
 
 Defined cases: texts without a word (null, empty, punctuation) link with nothing, also not with each
-other; texts of fewer than five words have one shingle; rows with a null id link with nothing; rows
-that repeat are copies. A copy of a text counts as a link. Long texts are read whole.
+other; texts of fewer than five words have one shingle. A copy of a text counts as a link, also if
+it has the same id or none. Rows are told apart by a hash of id and text and classes by a row number, so
+ids may repeat or be null. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.llm.common import text_slices
@@ -105,9 +106,9 @@ def _signatures(depth: int):
                 tree.append(np.concatenate([np.arange(TREES, dtype=np.int32) + k * TREES for k, p in enumerate(kinds) if p is not None]))
                 prefix.append(np.concatenate([p for p in kinds if p is not None]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(n_bytes, pa.int64()),
+                [*(part.column(c) for c in ("doc_id", "key1", "key2")), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(n_bytes, pa.int64()),
                  pa.array(tree, pa.list_(pa.int32())), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "high", "low", "n_bytes", "trees", "prefixes"])
+                ["doc_id", "key1", "key2", "high", "low", "n_bytes", "trees", "prefixes"])
 
     return run
 
@@ -238,7 +239,9 @@ def _stars(members: DataFrame, docs: DataFrame, threshold: float, depth: int) ->
                                    [F.sum("_c").alias("rows"), F.sum("_s").alias("bytes")]).withColumn("blocks", cut.cast("int")))
     total = sized.agg(F.sum("n_bytes")).first()[0] or 0
     bins = max(1, int(total) // (BLOCK_BYTES // 4))
-    texts = docs.join(sized, docs["doc_id"] == sized["rep"]).dropDuplicates(["rep"])
+    if not members.filter("no_id").isEmpty():  # copies without an id share their key
+        docs = docs.filter("doc_id IS NOT NULL").unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["key1", "key2"]))
+    texts = docs.join(sized, ["key1", "key2"]).dropDuplicates(["key1", "key2"])
     one = F.col("blocks") <= 1
     placed = texts.withColumn("block", F.when(one, 0).otherwise(F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks"))).cast("int"))
     bin_of = F.when(one, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(-1 - F.col("component"))
@@ -249,40 +252,79 @@ def _stars(members: DataFrame, docs: DataFrame, threshold: float, depth: int) ->
     return spread.select(*columns).groupBy("bin", "i", "j").applyInArrow(_verify(threshold, depth), "rep long, n long, root long")
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest id reachable by links), n_links and set_id (smallest id with equal shingles)."""
+def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """128 bits of id and text, equal for rows that share both."""
+    own, text = docs[id_col].cast("long"), docs[text_col]
+    return [F.xxhash64(own.isNull(), own, text.isNull(), text), F.xxhash64(text, text.isNull(), F.lit(7), own, own.isNull())]
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, class_id, n_links and set_id of every row, its key and the number of its class (null without a word)."""
     depth = forest_depth(threshold, recall)
-    plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    key1, key2 = _row_keys(docs, id_col, text_col)
+    plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), key1.alias("key1"), key2.alias("key2"))
+    # numbers of rows without an id are the largest: a class is called by a row that has one
+    number = F.monotonically_increasing_id() + F.when(F.col("doc_id").isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
     signed = checkpointed(plain.mapInArrow(
-        _signatures(depth), "doc_id long, high long, low long, n_bytes long, trees array<int>, prefixes array<long>"))
-    usable = F.col("high").isNotNull() & F.col("doc_id").isNotNull()
-    classed = checkpointed(looked_up(signed.filter(usable), ["high", "low"], F.col("doc_id"), [F.min("doc_id").alias("_r"), F.count("*").alias("_n")],
-                                     [F.min("_r").alias("rep"), F.sum("_n").alias("weight")]).drop("high", "low"))
-    reps = classed.filter("doc_id = rep").dropDuplicates(["rep"])
+        _signatures(depth), "doc_id long, key1 long, key2 long, high long, low long, n_bytes long, trees array<int>, prefixes array<long>")
+        .withColumn("row", number))
+    usable = F.col("high").isNotNull()
+    classed = checkpointed(looked_up(
+        signed.filter(usable), ["high", "low"], F.col("row"), [F.min("row").alias("_r"), F.count("*").alias("_n"), F.min("doc_id").alias("_i")],
+        [F.min("_r").alias("rep"), F.sum("_n").alias("weight"), F.min("_i").alias("set_id")]).drop("high", "low"))
+    reps = classed.filter("row = rep")
     candidates = connected_components(_candidates(reps))
-    members = reps.select("rep", "weight", "n_bytes").join(candidates, reps["rep"] == candidates["id"]).drop("id")
+    members = reps.select("rep", "weight", "n_bytes", "key1", "key2", F.col("doc_id").isNull().alias("no_id")).join(
+        candidates, reps["rep"] == candidates["id"]).drop("id")
     stars = checkpointed(_stars(members, plain, threshold, depth))
     links = stars.groupBy("rep").agg(F.sum("n").alias("n"))
     comps = connected_components(stars.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    found = links.join(comps, links["rep"] == comps["id"]).select("rep", "n", "component")
-    salted = classed.select("doc_id", "rep", "weight").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    named = links.join(comps, links["rep"] == comps["id"]).select("rep", "n", "component").join(reps.select("rep", "set_id"), "rep")
+    found = looked_up(named, ["component"], F.col("rep"), [F.min("set_id").alias("_m")], [F.min("_m").alias("class_id")]).drop("set_id")
+    salted = classed.select("doc_id", "key1", "key2", "row", "rep", "weight", "set_id").withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
     sent = salted.select("rep", "_salt").distinct().join(found, "rep")
     linked = salted.join(sent, ["rep", "_salt"], "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("class_id"),
-        (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.col("rep").alias("set_id"))
-    alone = signed.filter(~usable).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("set_id"))
+        "doc_id", F.coalesce("class_id", "set_id").alias("class_id"),
+        (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), "set_id",
+        "key1", "key2", "row", F.coalesce("component", "rep").alias("number"))
+    alone = signed.filter(~usable).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("set_id"),
+        "key1", "key2", "row", F.lit(None).cast("long").alias("number"))
     return linked.unionByName(alone)
 
 
+def similar_documents(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (smallest id reachable by links), n_links and set_id (smallest id with equal shingles) of every row.
+
+    class_id and set_id are null if no row of the class has an id.
+    """
+    return _classes(docs, threshold, recall, id_col, text_col).select("doc_id", "class_id", "n_links", "set_id")
+
+
 def keep_one_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the documents with the smallest id of their class; rows with a null id stay.
+    """All columns of one row of each class: of the rows that have an id the smallest, of those without one any.
 
-    Of rows that repeat an id, one stays.
+    So a class with and without ids keeps two rows. Rows without a word are in no class and stay. If
+    the smallest id has several texts in the class, the smallest key of a row decides; of rows that
+    repeat id and text one stays.
     """
-    classes = similar_documents(docs, threshold, recall, id_col, text_col)
-    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    if docs.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) & F.col(id_col).isNotNull()).isEmpty():
+    rows = _classes(docs, threshold, recall, id_col, text_col).filter("n_links > 0").select(
+        "doc_id", "key1", "key2", "row", "number", F.col("doc_id").isNull().alias("no_id"))
+    first = looked_up(rows, ["number", "no_id"], F.col("row"), [F.min(F.struct("doc_id", "key1", "key2")).alias("_f")], [F.min("_f").alias("first")])
+    stays = (F.col("key1") == F.col("first.key1")) & (F.col("key2") == F.col("first.key2"))
+    fates = checkpointed(first.groupBy(F.col("key1").alias("_key1"), F.col("key2").alias("_key2")).agg(
+        F.max(stays).alias("_stays"), F.count("*").alias("_times")))
+
+    def of(frame: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+        key1, key2 = _row_keys(frame, id_col, text_col)
+        return frame.join(chosen, (key1 == chosen["_key1"]) & (key2 == chosen["_key2"]), how)
+
+    kept = of(docs, fates.filter("NOT _stays").select("_key1", "_key2"), "left_anti")
+    again = fates.filter("_stays AND _times > 1").select("_key1", "_key2")
+    if again.isEmpty():
         return kept
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    repeated = of(kept, again, "left_semi")
+    key1, key2 = _row_keys(repeated, id_col, text_col)
+    one = repeated.withColumns({"_key1": key1, "_key2": key2}).dropDuplicates(["_key1", "_key2"]).drop("_key1", "_key2")
+    return of(kept, again, "left_anti").unionByName(one)

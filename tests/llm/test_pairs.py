@@ -92,6 +92,19 @@ def test_one_of_each_class_stays(spark):
     assert shingle_join.keep_one_each(none).count() == 0 and shingle_join.similar_documents(none).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_are_rows_of_their_own(spark):
+    rnd = random.Random(9)
+    a, b, c, d, e = (sentence(rnd, 60) for _ in range(5))
+    near = " ".join([*b.split()[:-1], "changed"])
+    rows = [(1, a), (1, b), (1, c), (2, near), (3, a), (4, d), (4, "..."), (4, None), (None, e), (None, e), (None, e), (None, near), (None, None), (None, None)]
+    docs = documents(spark, rows, extra=True)
+    got = sorted((tuple(r) for r in shingle_join.similar_documents(docs).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, 1), (1, 1, 2, 1), (1, 1, 0, 1), (2, 1, 2, 2), (3, 1, 1, 1), (4, 4, 0, 4), (4, 4, 0, 4), (4, 4, 0, 4),
+                          *[(None, None, 2, None)] * 3, (None, 1, 2, 2), *[(None, None, 0, None)] * 2], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in shingle_join.keep_one_each(docs).collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (1, c), (4, d), (4, "..."), (4, None), (None, e), (None, near), (None, None), (None, None)], key=repr)
+
+
 def test_depth_follows_the_recall():
     assert [shingle_join.forest_depth(0.8, r) for r in (0.9, 0.999, 0.9999)] == sorted(
         (shingle_join.forest_depth(0.8, r) for r in (0.9, 0.999, 0.9999)), reverse=True)

@@ -11,10 +11,13 @@ opens it, however long; closing punctuation at its end is not part of it. Its sy
 of other scripts are permuted too, brackets and separators stay. Long secrets are permuted in
 pieces, each keyed by all pieces before it.
 
-Names are found behind a title or a label. Each part of a name has a surrogate of its own, so that
-"Mr. John Smith" and "Mr. Smith" keep sharing a surname. It is spelled from the script's
-syllables by a keyed code; the given name's ending follows the gender that the title tells, and
-the letter case follows the original. Codes can collide, so every distinct entity of the corpus
+Names are found behind a title or a label, and then wherever the name or a part of it stands in the
+same document. Each part of a name has a surrogate of its own, so that "Mr. John Smith" and
+"Mr. Smith" keep sharing a surname. It is spelled by a keyed code of the part alone, from syllables of
+its script or, beyond Latin, Cyrillic and Greek, from the script's letters; the given name's ending
+follows the gender that the titles in the document tell, once for all mentions of the name, and the
+letter case follows the original. A part that the document also writes small ("Brown", "brown") is not
+taken for a name where a sentence begins. Codes can collide, so every distinct entity of the corpus
 is checked: if two values share a surrogate, or a value is its own surrogate, all surrogates are
 drawn again with the next ``draw`` and longer codes, until none do.
 
@@ -58,6 +61,12 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s(?:Dr\.?\s)?|(?i:(?:full |first |last )?name|nombre|nom)\s?[:=]\s?)(?P<name_value>{_NAME}(?:\s{_NAME}){{0,2}})",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
+#: Heads and vowels of a script's syllables, and the endings of a given name by gender.
+_SYLLABLES = {
+    "LATIN": ("bdfgklmnprstvz", "aeiou", {"f": "ma", "m": "n"}),
+    "CYRILLIC": ("бвгдзклмнпрстф", "аеиоу", {"f": "за", "m": "н"}),
+    "GREEK": ("βγδζκλμνπρστφ", "αειοω", {"f": "κα", "m": "ς"}),
+}
 _HEX = re.compile("[0-9a-f:]+|[0-9A-F:]+")
 #: The whole secret, by the quote that opens it.
 _SECRET = {quote: re.compile(rf"[^\s{quote or ''}]+") for quote in (None, '"', "'")}
@@ -133,7 +142,61 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 found.append((start, end, kind, TITLES.get(m["title"] or "", "-") if kind == "name" else ""))
             elif kind == "secret":
                 at = start
-    return found
+    return _with_mentions(text, found) if any(f[2] == "name" for f in found) else found
+
+
+def _with_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The entities with one gender for each name, and with the names' further mentions."""
+    told: dict[str, set[str]] = {}  # genders of full names and of given names
+    for start, end, kind, gender in found:
+        name = text[start:end].lower().split() if kind == "name" else []
+        if len(name) > 1:
+            for key in (" ".join(name), name[0]):
+                told.setdefault(key, set()).update({gender} - {"-"})
+
+    def gender_of(value: str, own: str = "-") -> str:
+        name = value.lower().split()
+        given, full = told.get(name[0], set()), told.get(" ".join(name))
+        if len(name) < 2:  # a given name alone keeps its ending
+            return min(given).upper() if len(given) == 1 else own
+        return min(full) if full else min(given) if len(given) == 1 else own
+
+    values = {text[start:end] for start, end, kind, _ in found if kind == "name"}
+    wanted = set()
+    for value in values:
+        for name in (value.split(), *([part] for part in value.split())):
+            for form in (name, [p.upper() for p in name], [p.capitalize() for p in name] if value.isupper() else name):
+                wanted.add(r"\s+".join(re.escape(p) if _unspaced(p) else rf"(?<!\w){re.escape(p)}(?!\w)" for p in form))
+    mention = re.compile("|".join(sorted(wanted, key=lambda w: (-len(w), w))))
+    small: dict[str, bool] = {}
+
+    def is_name(m: re.Match) -> bool:
+        word = m[0].lower()
+        if len(word.split()) > 1 or word == m[0]:
+            return True
+        before = text[max(0, m.start() - 40) : m.start()].rstrip(" \t\"'(«“„‘")
+        if before and before[-1] not in ".!?:…\r\n":
+            return True
+        if word not in small:
+            small[word] = bool(re.search(rf"(?<!\w){re.escape(word)}(?!\w)", text))
+        return not small[word]
+
+    out, at = [], 0
+    for start, end, kind, gender in [*found, (len(text), len(text), "", "")]:
+        out += [(*m.span(), "name", gender_of(m[0])) for m in mention.finditer(text, at, start) if is_name(m)]
+        if kind:
+            out.append((start, end, kind, gender_of(text[start:end], gender) if kind == "name" else gender))
+        at = end
+    return out
+
+
+@lru_cache(1 << 12)
+def _script(ch: str) -> str:
+    return unicodedata.name(ch, "?").split()[0].split("-")[0]
+
+
+def _unspaced(part: str) -> bool:
+    return _script(part[0]) in ("CJK", "HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR")
 
 
 @lru_cache(1 << 12)
@@ -219,23 +282,27 @@ class Surrogates:
         return self._reshaped(value, f"phone|{real}", lambda s: (s[lead] in "23456789") == real, lambda i: i < kept, loose=True)
 
     def _name(self, value: str, gender: str) -> str:
+        """Surrogates of all parts; the first of several has the gender's ending, a single one if the gender is a capital."""
         parts = value.split()
-        given = len(parts) > 1
-        return " ".join(self._name_part(p, gender if given and i == 0 else "") for i, p in enumerate(parts))
+        given = len(parts) > 1 or gender.isupper()
+        return " ".join(self._name_part(p, gender.lower() if given and i == 0 else "") for i, p in enumerate(parts))
 
     def _name_part(self, part: str, gender: str) -> str:
-        cyrillic = any("Ѐ" <= c <= "ӿ" for c in part)
-        greek = any("Ͱ" <= c <= "Ͽ" for c in part)
-        heads, vowels = ("бвгдзклмнпрстф", "аеиоу") if cyrillic else ("βγδζκλμνπρστφ", "αειοω") if greek else ("bdfgklmnprstvz", "aeiou")
-        endings = {"f": ("а", "α", "a"), "m": ("н", "ς", "n")}.get(gender)
-        code = self._code(f"name|{'given' if gender else 'family'}|{gender}|{part.lower()}")
-        out = ""
+        script, out = _script(part[0]), ""
+        code = self._code(f"name|{part.lower()}")
+        if script not in _SYLLABLES:
+            letters = [c for c in _likes(part[0]) if _script(c) == script] or [part[0]]
+            code = self._code(f"name|{part.lower()}", 2 * (len(part) + self.draw) + 16)
+            for _ in range(len(part) + self.draw):
+                code, at = divmod(code, len(letters))
+                out += letters[at]
+            return out.upper() if part.isupper() else out.capitalize()
+        heads, vowels, endings = _SYLLABLES[script]
         for _ in range(3 + self.draw):
             code, h = divmod(code, len(heads))
             code, v = divmod(code, len(vowels))
             out += heads[h] + vowels[v]
-        if endings:
-            out += ("m" if not (cyrillic or greek) else heads[4]) * (gender == "f") + endings[0 if cyrillic else 1 if greek else 2]
+        out += endings.get(gender, "")
         return out.upper() if part.isupper() else out.capitalize()
 
     def _hidden(self, value: str) -> str:

@@ -57,6 +57,29 @@ def test_names_keep_gender_script_case_and_surname():
     assert re.search(r"Ms\. \w+ma ", text) and re.search(r"господин [А-Я][а-я]+н [А-Я][а-я]+", text)
 
 
+def test_a_name_has_one_surrogate_in_a_document():
+    text = "Dr. Jane Doe met Ms. Jane Doe. Name: Jane Doe, then Jane Doe and DOE; Jane went. Doe's car, Doeling"
+    new, kinds = Surrogates("k").replace(text)
+    jane, doe = re.match(r"Dr\. (\w+) (\w+) met", new).groups()
+    assert new == text.replace("Jane", jane).replace("DOE", doe.upper()).replace("Doe", doe).replace(f"{doe}ling", "Doeling")
+    assert jane.endswith("ma") and kinds == ["name"] * 7
+    assert Surrogates("k").replace("Dr. Jane Doe")[0] == f"Dr. {jane[:-2]} {doe}"
+
+
+def test_words_that_begin_sentences_are_no_names():
+    new, _ = Surrogates("k").replace("Mr. Brown came. Brown dogs, a brown cat and Brown.")
+    brown = new.split()[1].rstrip(".")
+    assert new == f"Mr. {brown} came. Brown dogs, a brown cat and {brown}." and brown != "Brown"
+
+
+@pytest.mark.parametrize("name,low,high", [("王小明", "一", "鿿"), ("محمد علي", "\u0600", "ۿ"), ("משה כהן", "\u0590", "\u05ff"), ("Иван Петров", "Ѐ", "ӿ"), ("김민수", "가", "힣")])
+def test_names_keep_their_script(name, low, high):
+    new, kinds = Surrogates("k").replace(f"Name: {name}, x. {name}.")
+    image = new[len("Name: ") : new.index(",")]
+    assert image != name and all(low <= c <= high or c == " " for c in image) and len(image.split()) == len(name.split())
+    assert new == f"Name: {image}, x. {image}." and kinds == ["name"] * 2
+
+
 def test_draws_go_on_until_no_two_collide(spark, monkeypatch):
     found = spark.createDataFrame([("ssn", f"{i:03d}-00-0000", "") for i in range(50)], "kind string, value string, gender string")
     plain = surrogates.with_surrogates

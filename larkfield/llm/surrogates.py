@@ -48,10 +48,13 @@ TITLES = {
     "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sra": "f",
     "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f",
 }
+_IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Vowel signs and accents that are characters of their own; they belong to the letter before them.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0xFE00)) if unicodedata.category(c) in ("Mn", "Mc"))
 PATTERNS = {
-    "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "email": rf"(?<![\w.+%{_MARKS}-])[^\W_][\w.%+{_MARKS}-]{{0,63}}@(?:[^\W_](?:(?:[^\W_]|[{_MARKS}-]){{0,61}}(?:[^\W_]|[{_MARKS}]))?\.){{1,8}}(?:xn--[A-Za-z0-9-]{{2,59}}|(?:[^\W\d_]|[{_MARKS}]){{2,24}})(?![\w{_MARKS}-])",
+    "ipv4": rf"(?<![\w.]){_IPV4}(?!\w|\.\d)",
+    "ipv6": rf"(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{{1,4}}:){{6}})(?:[0-9A-Fa-f]{{0,4}}:){{2,8}}(?:{_IPV4}|[0-9A-Fa-f]{{1,4}}|(?<=::))(?!\w|:[\w:]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w+.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -99,11 +102,15 @@ def _valid(kind: str, value: str) -> bool:
 
 def _is_ipv6(value: str) -> bool:
     try:
-        return isinstance(ipaddress.ip_address(value), ipaddress.IPv6Address)
+        return isinstance(ipaddress.ip_address(value), ipaddress.IPv6Address) and value != "::"
     except ValueError:
         return False
 
 
+def _is_short_ipv6(value: str) -> bool:
+    return _is_ipv6(value) and ipaddress.IPv6Address(value).compressed == value
+
+
 def _hex_digits(value: str) -> str:
     return "0123456789ABCDEF" if re.search("[A-F]", value) else "0123456789abcdef"
 
@@ -142,6 +149,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 found.append((start, end, kind, TITLES.get(m["title"] or "", "-") if kind == "name" else ""))
             elif kind == "secret":
                 at = start
+            elif kind == "ipv6":
+                at = start + 1
     return _with_mentions(text, found) if any(f[2] == "name" for f in found) else found
 
 
@@ -235,15 +244,15 @@ class Surrogates:
                 return x
 
     def _reshaped(self, value: str, tweak: str, holds: Callable[[str], bool] = lambda s: True,
-                  fixed: Callable[[int], bool] = lambda i: False, loose: bool = False, hexadecimal: str = "", symbols: bool = False) -> str:
+                  fixed: Callable[[int], bool] = lambda i: False, loose: bool = False, hexadecimal: str = "", symbols: str = "", scripts: bool = False) -> str:
         """Permute ``value`` among all texts of its shape: character classes and separators stay.
 
         With ``loose`` the separators are no part of the shape, so one number written in two ways
         gets one surrogate written in the same two ways.
         """
         classes = (hexadecimal,) if hexadecimal else (
-            "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *[_SYMBOLS] * symbols)
-        slots = [(i, next((c for c in classes if ch in c), _likes(ch) if symbols and ch > "\x7f" else "")) for i, ch in enumerate(value)]
+            "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", symbols)
+        slots = [(i, next((c for c in classes if ch in c), _likes(ch) if scripts and ch > "\x7f" else "")) for i, ch in enumerate(value)]
         slots = [(i, c) for i, c in slots if c and not fixed(i)]
         taken = {i for i, _ in slots}
         rest = "".join(ch for i, ch in enumerate(value) if i not in taken and (ch.isalnum() or not loose))
@@ -264,12 +273,27 @@ class Surrogates:
     def _email(self, value: str) -> str:
         local, host = value.rsplit("@", 1)
         *labels, top = host.split(".")
-        return self._reshaped(local, f"local|{host.lower()}") + "@" + ".".join([*(self._reshaped(x, "host") for x in labels), top])
+        return self._reshaped(local, f"local|{host.lower()}", scripts=True) + "@" + ".".join(
+            [*(self._reshaped(x, "host", scripts=True) for x in labels), top])
 
     def _ipv4(self, value: str) -> str:
         x = int(ipaddress.IPv4Address(".".join(str(int(p)) for p in value.split("."))))
         return str(ipaddress.IPv4Address(self._permuted(x, 1 << 32, "ipv4", lambda y: True)))
 
+    def _ipv6(self, value: str) -> str:
+        """An address by its shortest spelling, whose digits are permuted; one of few digits becomes any address."""
+        address = ipaddress.IPv6Address(value)
+        short = address.compressed
+        if address.ipv4_mapped:
+            new = self._ipv4(str(address.ipv4_mapped))
+            return value[: value.rindex(":") + 1] + new if "." in value else f"::ffff:{new}"
+        if sum(c.isalnum() for c in short) < 8:
+            new = ipaddress.IPv6Address(self._permuted(int(address), 1 << 128, "ipv6", lambda y: True))
+        else:
+            new = ipaddress.IPv6Address(self._reshaped(short, "ipv6", _is_short_ipv6, hexadecimal="0123456789abcdef"))
+        out = new.exploded if value.lower() == address.exploded else new.compressed
+        return out.upper() if re.search("[A-F]", value) else out
+
     def _card(self, value: str) -> str:
         valid = luhn(re.sub(r"\D", "", value))
         return self._reshaped(value, f"card|{valid}", lambda s: luhn(re.sub(r"\D", "", s)) == valid, lambda i: i == 0, loose=True)
@@ -310,11 +334,11 @@ class Surrogates:
         if len(value) <= _PIECE:
             if hexadecimal:
                 return self._reshaped(value, "secret|hex", hexadecimal=hexadecimal)
-            return self._reshaped(value, "secret", lambda s: not _HEX.fullmatch(s), symbols=True)
+            return self._reshaped(value, "secret", lambda s: not _HEX.fullmatch(s), symbols=_SYMBOLS, scripts=True)
         out, before = [], ""
         for start in range(0, len(value), _PIECE):
             piece = value[start : start + _PIECE]
-            out.append(self._reshaped(piece, f"secret|{len(value)}|{hexadecimal}|{before}", hexadecimal=hexadecimal, symbols=not hexadecimal))
+            out.append(self._reshaped(piece, f"secret|{len(value)}|{hexadecimal}|{before}", hexadecimal=hexadecimal, symbols=_SYMBOLS, scripts=True))
             before = f"{self._code(f'{before}|{piece}'):x}"
         return "".join(out)
 
@@ -325,12 +349,10 @@ class Surrogates:
             return value[:4] + self._reshaped(value[4:], kind)
         if kind == "iban":
             return self._reshaped(value, kind, fixed=lambda i: i < 2, loose=True)
-        if kind == "ipv6":
-            return self._reshaped(value, f"{kind}|hex", hexadecimal=_hex_digits(value))
         if kind == "secret":
             return self._hidden(value)
-        if kind in ("email", "ipv4", "card", "phone"):
-            return {"email": self._email, "ipv4": self._ipv4, "card": self._card, "phone": self._phone}[kind](value)
+        if kind in ("email", "ipv4", "ipv6", "card", "phone"):
+            return {"email": self._email, "ipv4": self._ipv4, "ipv6": self._ipv6, "card": self._card, "phone": self._phone}[kind](value)
         return self._reshaped(value, kind)
 
     def replace(self, text: str | None) -> tuple[str | None, list[str]]:

@@ -80,6 +80,35 @@ def test_names_keep_their_script(name, low, high):
     assert new == f"Name: {image}, x. {image}." and kinds == ["name"] * 2
 
 
+@pytest.mark.parametrize("kind,text,value", [
+    ("ipv6", "at 2001:db8::1.", "2001:db8::1"), ("ipv6", "at fe80::1ff:fe23:4567:890a%eth0", "fe80::1ff:fe23:4567:890a"), ("ipv6", "[2001:DB8::]:443", "2001:DB8::"),
+    ("ipv6", "to ::1: none", "::1"), ("ipv6", "at ::ffff:114.203.152.12, so", "::ffff:114.203.152.12"),
+    ("email", "an jürgen.müller@example.de.", "jürgen.müller@example.de"), ("email", "an x@müller.de, x", "x@müller.de"),
+    ("email", "на иван@почта.рф и", "иван@почта.рф"), ("email", "to संपर्क@डाटामेल.भारत now", "संपर्क@डाटामेल.भारत"), ("email", "to u@host.xn--p1ai now", "u@host.xn--p1ai")])
+def test_short_addresses_and_letters_of_any_script(kind, text, value):
+    ((start, end, found, _),) = entities(text)
+    assert (found, text[start:end]) == (kind, value)
+    new, _ = Surrogates("k").replace(text)
+    ((a, b, again, _),) = entities(new)
+    image = new[a:b]
+    assert again == kind and image != value and new == text.replace(value, image)
+    if kind == "ipv6":
+        assert ipaddress.IPv6Address(image) != ipaddress.IPv6Address(value)
+    else:
+        assert not any(x == y for x, y in zip(re.split("[@.]", value)[:-1], re.split("[@.]", image)))
+
+
+def test_one_address_in_two_spellings_is_one():
+    s, full = Surrogates("k"), "2001:0db8:0000:0000:0000:0000:0000:0001"
+    assert {ipaddress.IPv6Address(s.of("ipv6", v, "")) for v in (full, "2001:db8::1", "2001:DB8:0:0::1")} == {ipaddress.IPv6Address(s.of("ipv6", full, ""))}
+    assert len({s.of("ipv6", f"2001:db8::{i:x}", "") for i in range(2000)}) == 2000
+
+
+@pytest.mark.parametrize("text", ["f :: Int", "std::vector", "at 10:30:15", "1:2:3:4:5:6:7:8:9"])
+def test_colons_are_no_addresses(text):
+    assert entities(text) == []
+
+
 def test_draws_go_on_until_no_two_collide(spark, monkeypatch):
     found = spark.createDataFrame([("ssn", f"{i:03d}-00-0000", "") for i in range(50)], "kind string, value string, gender string")
     plain = surrogates.with_surrogates

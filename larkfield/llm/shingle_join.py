@@ -1,17 +1,17 @@
-"""Documents whose five-word shingles have a Jaccard similarity of 0.8 or more, by a MinHash LSH forest.
+"""Documents whose five-word shingles have a Jaccard similarity of 0.8 or more, by MinHash LSH in fixed bands.
 
-Every document has a signature of ``TREES`` paths. A path is a row of MinHash values; sorted, the paths
-of a tree are its prefix trie, and documents with a common prefix stand next to each other. Matched
-prefixes start at the full depth and are shortened until the recall that the threshold and the number
-of trees give, ``1 - (1 - t**depth) ** TREES``, reaches the target.
+Every document has a signature of ``TREES`` prefixes, each a hash of as many MinHash values; documents
+with an equal prefix in any tree are candidates. The length of the prefixes is one number for all
+documents, the longest with which the recall that the threshold and the number of trees give,
+``1 - (1 - t**depth) ** TREES``, reaches the target. Prefixes are not shortened adaptively.
 
-* Documents with equal shingle sets are one class and enter the forest once.
-* The trie is sorted by range over (tree, prefix, id), so a prefix that a third of all documents share
+* Documents with equal shingle sets are one class and enter the trees once.
+* The prefixes are sorted by range over (tree, prefix, id), so a prefix that a third of all documents share
   lies in many tasks; each task ties the members of a run to its first, the driver only ties runs
   that go on in the next task. The ties' components hold all candidates of a document together.
 * Components are verified exactly on whole shingle sets, in pairs of blocks of bounded size: a block
-  pair gives back sums and a spanning star per document, never its pairs. A pair is verified if the
-  forest matched it in any tree.
+  pair gives back sums and a spanning star per document, never its pairs. A pair is verified if
+  its prefixes are equal in any tree.
 
 Small sets use independent hash functions, large ones the minima of equal parts of the hash range;
 sizes near the border use both, so two similar sets always share one kind.

@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfield.llm import bpe, decontaminate, interpolation, language, sharding, shingle_join, suffix_dedup, surrogates, token_files, vectors
+from larkfield.llm import (bpe, decontaminate, interpolation, language, sharding, shingle_join, suffix_dedup, surrogates, token_files,
+                           turn_trie, vectors)
+from larkfield.llm.queries_sql import SQL as _SQL
 from larkfield.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(_SQL)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -88,3 +90,9 @@ def op5_interpolation(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=400, with_text=False)
+
+
+@query
+def op11_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    numbered = turn_trie.numbered_turns(table(spark, folder, "conversations"))
+    return turn_trie.prefix_trie(*turn_trie.with_shared_heads(numbered)).drop("digest_a", "digest_b")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkfield.llm import (bpe, decontaminate, interpolation, language, sharding, shingle_join, suffix_dedup, surrogates, token_files,
-                           turn_trie, vectors)
+                           turn_trie, vectors, whitening)
 from larkfield.llm.queries_sql import SQL as _SQL
 from larkfield.llm.common import id_remainder, table
 
@@ -96,3 +96,8 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op11_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
     numbered = turn_trie.numbered_turns(table(spark, folder, "conversations"))
     return turn_trie.prefix_trie(*turn_trie.with_shared_heads(numbered)).drop("digest_a", "digest_b")
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfield.llm import (bpe, decontaminate, interpolation, language, sharding, shingle_join, suffix_dedup, surrogates, token_files,
-                           turn_trie, vectors, whitening)
+from larkfield.llm import (bpe, decontaminate, interpolation, language, sequence_packing, sharding, shingle_join, suffix_dedup, surrogates,
+                           token_files, turn_trie, vectors, whitening)
 from larkfield.llm.queries_sql import SQL as _SQL
 from larkfield.llm.common import id_remainder, table
 
@@ -101,3 +101,8 @@ def op11_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return sequence_packing.pack_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))

@@ -89,7 +89,9 @@ def op5_interpolation(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=400, with_text=False)
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=400)
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut may leave part of a character
+    return found.withColumns({"n_kept": F.col("n_bytes") - F.col("n_removed"), "text": text}).drop("kept")
 
 
 @query

@@ -71,6 +71,11 @@ def _anchors(core: np.ndarray, width: int) -> np.ndarray:
     return (key & _POSITION).astype(np.int64)
 
 
+def _core_key(core: np.ndarray) -> np.ndarray:
+    """Hash of a core by which it is dealt: an anchor's own hash is the smallest of many, so it is small."""
+    return mixed(core ^ np.uint64(0x9E3779B97F4A7C15))
+
+
 def _block_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
@@ -97,7 +102,7 @@ def runs(raw: np.ndarray, begin: np.ndarray, length: int) -> dict[str, np.ndarra
         low, high = low[kept], high[kept]
         where = anchor[low]
         covered = mixed(_hash(total, low, high + length) + mixed((where - low).astype(np.uint64) + np.uint64(977)))
-        for k, v in zip(found, (low + at, high + at, where + at, core[where], covered)):
+        for k, v in zip(found, (low + at, high + at, where + at, _core_key(core[where]), covered)):
             found[k].append(v)
     return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k in ("core", "bytes") else np.int64) for k, v in found.items()}
 
@@ -254,7 +259,7 @@ def _closer_looks(length: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.
                 data = raw.tobytes()
                 for r in pick.tolist():
                     low, high, anchor = int(own["low"][r]), int(own["high"][r]), int(own["anchor"][r])
-                    core = int(mixed(_hash(_prefix(raw[anchor : anchor + CORE]), np.array([0]), np.array([CORE])))[0])
+                    core = int(_core_key(mixed(_hash(_prefix(raw[anchor : anchor + CORE]), np.array([0]), np.array([CORE]))))[0])
                     rows.append(((core >> 40) * parts >> 24, block, low, anchor - low, bool(own["again"][r]), data[low : high + length]))
         columns = list(zip(*rows)) if rows else [()] * 6
         return pa.table({n: pa.array(c, t) for n, t, c in zip(("bin", "block", "low", "offset", "again", "bytes"), (
@@ -458,25 +463,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True, m
     scan = stored(by_block.applyInArrow(lean(_scanned(length, parts)), _ROW))
     asked = scan.filter(F.col("kind").isin(_KINDS, _CORES))
     answers = stored(asked.groupBy("kind", "part").applyInArrow(lean(answered), _ROW).unionByName(scan.filter(F.col("kind") == _RUNS)))
+    # from here on one job: its three passes over the texts share one shuffle of them
     crowded = by_block.cogroup(answers.groupBy("block")).applyInArrow(lean(_crowded(length, parts)), _ROW)
-    if _any_crowd(answers):
-        answers = answers.unionByName(stored(crowded.groupBy("kind", "part").applyInArrow(lean(answered), _ROW)))
+    settled = answers.unionByName(crowded.groupBy("kind", "part").applyInArrow(lean(answered), _ROW))
     looks = by_block.cogroup(answers.groupBy("block")).applyInArrow(lean(_closer_looks(length, 2 * blocks)), _LOOK)
     spans = looks.groupBy("bin").applyInArrow(lean(_compared(length)), "block long, start long, end long")
     none = F.lit(None)
-    rest = answers.select(*answers.columns, none.cast("long").alias("start"), none.cast("long").alias("end")).unionByName(
+    rest = settled.select(*settled.columns, none.cast("long").alias("start"), none.cast("long").alias("end")).unionByName(
         spans.select(none.cast("int").alias("kind"), none.cast("int").alias("part"), "block", none.cast("binary").alias("keys"),
                      none.cast("binary").alias("first"), none.cast("binary").alias("second"), "start", "end"))
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return by_block.cogroup(rest.groupBy("block")).applyInArrow(lean(_finished(length, with_text)), columns)
 
-
-def _any_crowd(answers: DataFrame) -> bool:
-    """Whether any core has too many kinds of runs for one task."""
-
-    def run(batches):
-        for batch in batches:
-            hit = any((unpacked(x) == 2).any() for x in batch.column("keys").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([hit])], ["hit"])
-
-    return not answers.filter(F.col("kind") == _CORES).select("keys").mapInArrow(run, "hit boolean").filter("hit").isEmpty()

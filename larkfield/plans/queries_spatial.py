@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkfield.plans.registry import query
@@ -267,6 +268,48 @@ def buffer_metres(t):
                     F.coalesce(F.bool_and(wider), F.lit(False)).alias("all_wider"), F.coalesce(F.bool_and(near), F.lit(False)).alias("all_near"))
 
 
+#: Right-angled shapes around a point, rings with the outside on their right: kind, ring, corner, corners of the ring, offsets.
+_CORNERS = {0: [[(-2, -2), (2, -2), (2, 0), (0, 0), (0, 2), (-2, 2)]],
+            1: [[(-2, -2), (2, -2), (2, 2), (-2, 2)], [(-1, -1), (-1, 1), (1, 1), (1, -1)]],
+            2: [[(-2, -2), (-1, -2), (-1, -1), (-2, -1)], [(1, 1), (2, 1), (2, 2), (1, 2)]]}
+_CORNER_ROWS = ", ".join(f"({kind}, {ring}, {i}, {len(corners)}, {dx / 8}, {dy / 8})" for kind, rings in _CORNERS.items()
+                         for ring, corners in enumerate(rings) for i, (dx, dy) in enumerate(corners))
+
+
+@query("buffer_any_shape", f"""
+WITH {B_SQL}, s AS (SELECT id, id % 3 AS kind, x + 0.0078125 AS x, y + 40 AS y FROM b),
+ v AS (SELECT id, c.*, x + dx AS lon, y + dy AS lat, 6 * floor((x - CASE s.kind WHEN 0 THEN 1 / 24.0 ELSE 0 END) / 6) + 3 AS cm
+  FROM s JOIN (VALUES {_CORNER_ROWS}) c(kind, ring, i, n, dx, dy) ON c.kind = s.kind),
+ p AS (SELECT *, radians(lon::DOUBLE - cm) AS dl, radians(lat::DOUBLE) AS phi, 0.0066943799901413165::DOUBLE AS e2 FROM v),
+ q AS (SELECT *, e2 / (1 - e2) AS ep, 6378137.0::DOUBLE / sqrt(1 - e2 * sin(phi) ** 2) AS nu, tan(phi) ** 2 AS t, e2 / (1 - e2) * cos(phi) ** 2 AS c, dl * cos(phi) AS a,
+  6378137.0::DOUBLE * ((1 - e2/4 - 3*e2**2/64 - 5*e2**3/256) * phi - (3*e2/8 + 3*e2**2/32 + 45*e2**3/1024) * sin(2*phi) + (15*e2**2/256 + 45*e2**3/1024) * sin(4*phi) - (35*e2**3/3072) * sin(6*phi)) AS m FROM p),
+ u AS (SELECT id, kind, ring, i, n, 0.9996::DOUBLE * nu * (a + (1 - t + c) * a**3 / 6 + (5 - 18*t + t**2 + 72*c - 58*ep) * a**5 / 120) AS ex,
+  0.9996::DOUBLE * (m + nu * tan(phi) * (a**2 / 2 + (5 - t + 9*c + 4*c**2) * a**4 / 24 + (61 - 58*t + t**2 + 600*c - 330*ep) * a**6 / 720)) AS ny FROM q),
+ e AS (SELECT k.id, k.kind, k.ex * o.ny - o.ex * k.ny AS twice, sqrt((o.ex - k.ex) ** 2 + (o.ny - k.ny) ** 2) AS len,
+  atan2((k.ex - h.ex) * (o.ny - k.ny) - (k.ny - h.ny) * (o.ex - k.ex), (k.ex - h.ex) * (o.ex - k.ex) + (k.ny - h.ny) * (o.ny - k.ny)) AS turn
+  FROM u k JOIN u o ON o.id = k.id AND o.ring = k.ring AND o.i = (k.i + 1) % k.n JOIN u h ON h.id = k.id AND h.ring = k.ring AND h.i = (k.i + k.n - 1) % k.n),
+ w AS (SELECT id, kind, sum(twice / 2 + 100 * len + CASE WHEN turn > 0 THEN 5000 * ceil(turn / (pi() / 16) - 1e-9) * sin(turn / ceil(turn / (pi() / 16) - 1e-9))
+  ELSE -10000 * tan(-turn / 2) END) / 1e6 AS km2 FROM e GROUP BY 1, 2)
+SELECT id, [1, 1, 2][kind + 1] AS parts, [1, 2, 2][kind + 1] AS rings, round(km2, 2) AS km2 FROM w
+""")
+def buffer_any_shape(t):
+    """Buffers of bent polygons, polygons with a hole and pairs of polygons: their parts, rings and areas."""
+    def ring(corners) -> Column:
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat((F.col("x") + dx / 8).cast("string"), F.lit(" "), (F.col("y") + dy / 8).cast("string"))
+                                                       for dx, dy in [*corners, corners[0]]]), F.lit(")"))
+
+    points = b_points(t).select("id", (F.col("id") % 3).alias("kind"), (F.col("x") + 1 / 128).alias("x"), (F.col("y") + 40).alias("y"))
+    one, hole, two = ([ring(c) for c in _CORNERS[k]] for k in range(3))
+    text = (F.when(F.col("kind") == 0, F.concat(F.lit("POLYGON ("), *one, F.lit(")")))
+            .when(F.col("kind") == 1, F.concat(F.lit("POLYGON ("), hole[0], F.lit(", "), hole[1], F.lit(")")))
+            .otherwise(F.concat(F.lit("MULTIPOLYGON (("), two[0], F.lit("), ("), two[1], F.lit("))"))))
+    rows = wkt.with_geometry(points.select("id", text.alias("wkt")), "wkt")
+    zoned = measures.with_zone(measures.buffer_metres(rows, 100.0), "geom")
+    found = computed_once(zoned, _b=wkt.parse_wkt(F.col("buffer")))
+    area = measures.planar_area(measures.project(F.col("_b"), F.col("central"))) / 1e6
+    return found.select("id", F.size("_b.parts").alias("parts"), F.size(F.flatten("_b.parts")).alias("rings"), F.round(area, 2).alias("km2"))
+
+
 @query("within_metres", "SELECT p_partkey AS id, true AS is_near, false AS is_far_near FROM part")
 def within_metres(t):
     """Points 0.001 and 0.02 degrees east of a box: at these latitudes at most 86 m and at least 190 m away."""
@@ -299,6 +342,64 @@ def simplify_long_text(t):
                       F.bool_and(F.size(b) <= F.size(a)).alias("never_more"), F.bool_or(F.size(b) < F.size(a)).alias("some_fewer"))
 
 
+@query("simplify_keeps_rings", f"""
+WITH {B_SQL}, s AS (SELECT id, id % 4 AS kind, x::DOUBLE AS x, y::DOUBLE AS y FROM b)
+SELECT id, kind, 1 + 4 + CASE WHEN kind IN (1, 2) THEN 1 ELSE 0 END AS outline, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 4 END AS hole,
+ CASE WHEN kind IN (1, 2) THEN y + 1.0625 ELSE y + 1 END AS top FROM s
+""")
+def simplify_keeps_rings(t):
+    """Boxes with a low peak in the middle of the upper side, which thinning would cut off.
+
+    Kind 0 has nothing under the peak. In kinds 1 and 2 a hole reaches into it, so the outline would be crossed, or a
+    small hole lies in it whole and would fall out. The hole of kind 3 has a peak of its own that goes.
+    """
+    p = b_points(t).select("id", (F.col("id") % 4).alias("kind"), "x", "y")
+
+    def ring(*corners) -> Column:
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat((F.col("x") + dx).cast("string"), F.lit(" "), (F.col("y") + dy).cast("string"))
+                                                       for dx, dy in [*corners, corners[0]]]), F.lit(")"))
+
+    outline = ring((0, 0), (1, 0), (1, 1), (0.5, 1.0625), (0, 1))
+    holes = [ring((0.25, 0.5), (0.75, 0.5), (0.5, 1.03125)), ring((0.4375, 1.015625), (0.5625, 1.015625), (0.5, 1.03125)),
+             ring((0.25, 0.25), (0.75, 0.25), (0.75, 0.5), (0.5, 0.53125), (0.25, 0.5))]
+    hole = F.when(F.col("kind") == 1, holes[0]).when(F.col("kind") == 2, holes[1]).when(F.col("kind") == 3, holes[2])
+    text = F.concat(F.lit("POLYGON ("), F.concat_ws(", ", outline, hole), F.lit(")"))
+    rows = wkt.with_geometry(p.select("id", "kind", text.alias("wkt")), "wkt")
+    rings = F.get(F.col("s.parts"), F.lit(0))
+    out = computed_once(shapes.simplify(rows, "geom", 0.125, "s"), _r=rings)
+    size = lambda i: F.coalesce(F.size(F.get("_r", F.lit(i))), F.lit(0))
+    top = F.array_max(F.transform(F.get("_r", F.lit(0)), lambda p: p["y"]))
+    return out.select("id", "kind", size(0).alias("outline"), F.when(F.get("_r", F.lit(1)).isNull(), 0).otherwise(size(1)).alias("hole"), top.alias("top"))
+
+
+@query("inner_label_point", f"""
+WITH {B_SQL}, s AS (SELECT id, id % 2 AS kind, x::DOUBLE AS x, y::DOUBLE AS y FROM b),
+ r AS (SELECT *, CASE kind WHEN 0 THEN 5 - sqrt(12.0) ELSE 5 * sqrt(2.0) / (1 + sqrt(2.0)) END AS gap FROM s)
+SELECT id, round(CASE kind WHEN 0 THEN x + gap ELSE x + 8 - gap END, 4) AS lx, round(CASE kind WHEN 0 THEN y + gap ELSE y + 8 - gap END, 4) AS ly, round(gap, 4) AS gap,
+ true AS is_inside, kind = 1 AS centre_is_inside FROM r
+""")
+def inner_label_point(t):
+    """Where a label fits in a U-shape, whose centroid lies outside, and in a box with a hole near a corner.
+
+    The widest circle of the U touches two sides and the inner corner: 2 wide on the left and 3 at the foot it has radius
+    5 - sqrt(12).
+    """
+    p = b_points(t).select("id", (F.col("id") % 2).alias("kind"), "x", "y")
+
+    def ring(*corners) -> Column:
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat((F.col("x") + dx).cast("string"), F.lit(" "), (F.col("y") + dy).cast("string"))
+                                                       for dx, dy in [*corners, corners[0]]]), F.lit(")"))
+
+    u = ring((0, 0), (19, 0), (19, 20), (18, 20), (18, 3), (2, 3), (2, 20), (0, 20))
+    holed = F.concat_ws(", ", ring((0, 0), (8, 0), (8, 8), (0, 8)), ring((1, 1), (3, 1), (3, 3), (1, 3)))
+    text = F.concat(F.lit("POLYGON ("), F.when(F.col("kind") == 0, u).otherwise(holed), F.lit(")"))
+    rows = wkt.with_geometry(p.select("id", text.alias("wkt")), "wkt")
+    out = computed_once(measures.inner_label_point(rows), _c=measures.centroid(F.col("geom")))
+    inside = lambda c: measures.point_in_polygon(F.col("geom"), F.col(f"{c}.x"), F.col(f"{c}.y"))
+    return out.select("id", *[F.round(f"label.{c}", 4).alias(n) for c, n in (("x", "lx"), ("y", "ly"), ("gap", "gap"))],
+                      inside("label").alias("is_inside"), inside("_c").alias("centre_is_inside"))
+
+
 GEOJSON_SQL = f"""WITH {B_SQL}, s AS (SELECT id, regexp_replace(x::DOUBLE::VARCHAR, '\\.0$', '') AS a, regexp_replace(y::DOUBLE::VARCHAR, '\\.0$', '') AS b FROM b)
 SELECT '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || a || ',' || b || ']}},"properties":{{"id":' || id || '}}}}' AS value FROM s"""
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from larkfield.operators.joins import range_join
 from larkfield.session import computed_once
 from larkfield.spatial.projection import project, unproject, utm_zones
-from larkfield.spatial.shapes import convex_buffer
+from larkfield.spatial.outline import outlines
+from larkfield.spatial.shapes import flat_columns
+from larkfield.spatial.thinning import inner_points
 from larkfield.spatial.wkt import all_points, let, to_wkt
 
 
@@ -128,24 +130,40 @@ def area_km2(df: DataFrame, geom: str = "geom", output: str = "area_km2", inclus
 
 def buffer_metres(df: DataFrame, metres: float, geom: str = "geom", output: str = "buffer",
                   quadrant_steps: int = 8) -> DataFrame:
-    """Buffer as geometry text in degrees, built in the geometry's own UTM zone.
+    """Buffer of any shape as geometry text in degrees, built in the geometry's own UTM zone.
 
-    Exact up to the circle's polygon for points, two-point lines and convex polygons without
-    holes. Other shapes need a polygon union, which is not offered: they give NULL and
-    ``<output>_supported`` is false.
+    Exact up to the circle's polygon of four times ``quadrant_steps`` corners: points, bent lines, holes and
+    several parts give one polygon or several. A shape without a zone, an empty one, or one whose
+    outline cannot be closed has NULL, and ``<output>_supported`` is false.
     """
+    if not metres > 0:
+        raise ValueError("a buffer needs a distance above 0")
     zoned = with_zone(df, geom)
     metric = computed_once(zoned, _utm=project(F.col(geom), F.col("central")))
-    xs = F.transform(all_points(F.col("_utm")), lambda p: p["x"])
-    ys = F.transform(all_points(F.col("_utm")), lambda p: p["y"])
-    single = (F.size(F.col("_utm")["parts"]) == 1) & (F.size(F.get(F.col("_utm")["parts"], F.lit(0))) == 1)
-    grown = metric.withColumn("_ring", F.when(single, convex_buffer(
-        xs, ys, F.lit(float(metres)), F.lit(quadrant_steps))))
-    ring = F.zip_with(F.col("_ring.x"), F.col("_ring.y"), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    shape = F.struct(F.lit("POLYGON").alias("type"), F.array(F.array(ring)).alias("parts"))
-    text = F.when(F.col("_ring.x").isNotNull(), to_wkt(unproject(shape, F.col("central"))))
+    utm = F.col("_utm")
+    usable = utm.isNotNull() & F.forall(F.flatten(F.flatten(utm["parts"])), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    columns = [F.when(usable, c) for c in (*flat_columns(utm), F.transform(utm["parts"], F.size), utm["type"])]
+    grown = metric.withColumn("_rings", outlines(*columns, F.lit(float(metres)), F.lit(quadrant_steps)))
+    parts = F.zip_with("_rings.x", "_rings.y", lambda xs, ys: F.zip_with(xs, ys, lambda x, y: F.zip_with(
+        x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y")))))
+    kind = F.when(F.size("_rings.x") > 1, F.lit("MULTIPOLYGON")).otherwise(F.lit("POLYGON"))
+    shape = F.struct(kind.alias("type"), parts.alias("parts"))
+    text = F.when(F.col("_rings.x").isNotNull(), to_wkt(unproject(shape, F.col("central"))))
     return (grown.withColumn(output, text).withColumn(f"{output}_supported", F.col(output).isNotNull())
-            .drop("_utm", "_ring", "zone", "central"))
+            .drop("_utm", "_rings", "zone", "central"))
+
+
+def inner_label_point(df: DataFrame, geom: str = "geom", output: str = "label", precision: float = 1e-6) -> DataFrame:
+    """Add ``struct<x, y, gap>``: the point inside a polygon farthest from its edge, and how far that is.
+
+    Unlike the centroid it always lies inside, also of bent shapes and rings. Of several parts the roomiest
+    one has it; shapes other than polygons have NULL. ``precision`` is a share of the shape's width.
+    """
+    g = F.col(geom)
+    area = g["type"].endswith("POLYGON")
+    columns = [F.when(area, c) for c in (*flat_columns(g), F.transform(g["parts"], F.size))]
+    found = computed_once(df, _p=inner_points(*columns, F.lit(float(precision))))
+    return found.withColumn(output, F.when(F.col("_p.gap").isNotNull(), F.col("_p"))).drop("_p")
 
 
 def segment_distance(x: Column, y: Column, p: Column, q: Column) -> Column:

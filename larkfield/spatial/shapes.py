@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from larkfield.session import checkpointed, within_bytes
 from larkfield.spatial.grid import Grid, box_join
+from larkfield.spatial.thinning import thinned_rings
 from larkfield.spatial.wkt import all_points, to_wkt, with_mbr
 
 
@@ -23,10 +24,6 @@ from larkfield.spatial.wkt import all_points, to_wkt, with_mbr
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _pair_of(kind: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("x", kind), T.StructField("y", kind)])
-
-
 def flat_columns(geom: Column) -> list[Column]:
     """Coordinates as plain arrays, and the end position of every ring."""
     points = all_points(geom)
@@ -185,113 +182,14 @@ def geometry_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, r
     return exact_pairs(pairs)
 
 
-def _hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull, counter-clockwise, without the closing point."""
-    ordered = points[np.lexsort((points[:, 1], points[:, 0]))]
-
-    def chain(rows):
-        out: list = []
-        for p in rows:
-            while len(out) > 1 and _side(out[-2], out[-1], p) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(chain(ordered) + chain(ordered[::-1]))
-
-
-def _is_convex(x: np.ndarray, y: np.ndarray) -> bool:
-    if len(x) <= 2:
-        return True
-    if x[0] != x[-1] or y[0] != y[-1]:
-        return False
-    dx, dy = np.diff(x), np.diff(y)
-    cross = dx * np.roll(dy, -1) - dy * np.roll(dx, -1)
-    turns = np.arctan2(cross, dx * np.roll(dx, -1) + dy * np.roll(dy, -1)).sum()
-    return bool(((cross >= 0).all() or (cross <= 0).all()) and abs(abs(turns) - 2 * np.pi) < 1e-6)
-
-
-@F.pandas_udf(_pair_of(T.ArrayType(T.DoubleType())))
-def convex_buffer(xs: pd.Series, ys: pd.Series, distance: pd.Series, steps: pd.Series) -> pd.DataFrame:
-    """Outline at a distance around a convex shape: the hull of circles at its corners."""
-    out_x, out_y = [], []
-    for x, y, d, n in zip(xs, ys, distance, steps):
-        if x is None or y is None or len(x) == 0 or not _is_convex(x, y):
-            out_x.append(None)
-            out_y.append(None)
-            continue
-        angles = np.arange(4 * n) * (np.pi / (2 * n))
-        ring = np.stack([np.add.outer(x, d * np.cos(angles)).ravel(),
-                         np.add.outer(y, d * np.sin(angles)).ravel()], axis=1)
-        hull = _hull(ring)
-        closed = np.concatenate([hull, hull[:1]])
-        out_x.append(closed[:, 0])
-        out_y.append(closed[:, 1])
-    return pd.DataFrame({"x": out_x, "y": out_y})
-
-
-def _thinned(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Positions kept by Douglas-Peucker line thinning."""
-    keep = np.zeros(len(x), dtype=bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(x) - 1)]
-    while todo:
-        i, j = todo.pop()
-        if j - i < 2:
-            continue
-        px, py = x[i + 1:j] - x[i], y[i + 1:j] - y[i]
-        dx, dy = x[j] - x[i], y[j] - y[i]
-        length = dx * dx + dy * dy
-        along = np.clip((px * dx + py * dy) / length, 0, 1) if length > 0 else np.zeros_like(px)
-        gap = np.hypot(px - along * dx, py - along * dy)
-        far = int(gap.argmax())
-        if gap[far] > tolerance:
-            keep[i + 1 + far] = True
-            todo += [(i, i + 1 + far), (i + 1 + far, j)]
-    return np.flatnonzero(keep)
-
-
-def _crosses_itself(x: np.ndarray, y: np.ndarray) -> bool:
-    s = _segments(x, y, np.array([len(x)]))
-    n = len(s)
-    for i in range(n - 2):
-        others = s[i + 2:n - 1] if i == 0 else s[i + 2:]
-        if len(others) and _segments_meet(s[None, i:i + 1], others[None])[0]:
-            return True
-    return False
-
-
-@F.pandas_udf(_pair_of(T.ArrayType(T.ArrayType(T.DoubleType()))))
-def _thinned_rings(xs: pd.Series, ys: pd.Series, ring_ends: pd.Series, tolerance: pd.Series,
-                   closed: pd.Series) -> pd.DataFrame:
-    out_x, out_y = [], []
-    for x, y, ends, tol, ring in zip(xs, ys, ring_ends, tolerance, closed):
-        if x is None:
-            out_x.append(None)
-            out_y.append(None)
-            continue
-        rings_x, rings_y, start = [], [], 0
-        for end in ends:
-            px, py = x[start:end], y[start:end]
-            chosen = _thinned(px, py, tol) if len(px) > 2 else np.arange(len(px))
-            if ring and (len(chosen) < 4 or _crosses_itself(px[chosen], py[chosen])):
-                chosen = np.arange(len(px))
-            rings_x.append(px[chosen])
-            rings_y.append(py[chosen])
-            start = end
-        out_x.append(rings_x)
-        out_y.append(rings_y)
-    return pd.DataFrame({"x": out_x, "y": out_y})
-
-
 def simplify(df: DataFrame, geom: str, tolerance: float, output: str) -> DataFrame:
-    """Drop vertices that lie within ``tolerance`` of the remaining line.
+    """Drop vertices that lie within ``tolerance`` of the remaining line, unless a ring would be crossed.
 
-    Each ring is thinned alone; one that would keep under four points or cross itself stays
-    as it was, so polygons remain polygons.
+    All rings and lines of a shape are thinned together: none comes to cross or touch another or itself where
+    it did not before, holes stay in their outlines, and rings keep at least four points.
     """
     g = F.col(geom)
-    thinned = df.withColumn("_t", _thinned_rings(*flat_columns(g), F.lit(float(tolerance)),
+    thinned = df.withColumn("_t", thinned_rings(*flat_columns(g), F.lit(float(tolerance)),
                                                  g["type"].endswith("POLYGON")))
     rings = F.zip_with("_t.x", "_t.y", lambda xs, ys: F.zip_with(
         xs, ys, lambda x, y: F.struct(x.alias("x"), y.alias("y"))))

@@ -148,7 +148,7 @@ def test_buffer(spark):
     square = "POLYGON ((37 55, 37.01 55, 37.01 55.01, 37 55.01, 37 55))"
     bent = "POLYGON ((37 55, 37.02 55, 37.02 55.02, 37.01 55.005, 37 55))"
     out = {r["wkt"]: r for r in measures.buffer_metres(geoms(spark, [square, bent, "POINT (37 55)", "LINESTRING (37 55, 37.1 55)"]), 100.0).collect()}
-    assert out[bent]["buffer"] is None and out[bent]["buffer_supported"] is False
+    assert out[bent]["buffer"].startswith("POLYGON") and all(r["buffer_supported"] for r in out.values())
     sized = lambda t: measures.area_km2(geoms(spark, [t])).first()["area_km2"]
     assert sized(out["POINT (37 55)"]["buffer"]) == pytest.approx(math.pi * 0.01, rel=0.01)
     width, height = 0.6396, 1.1134
@@ -182,7 +182,7 @@ def test_simplify(spark):
     df = geoms(spark, [text, "LINESTRING (0 0, 1 0.00001, 2 0)"])
     out = shapes.simplify(df, "geom", 0.01, "s").select(wkt.to_wkt(F.col("s")).alias("t"), "s").collect()
     outline, hole = out[0]["s"]["parts"][0]
-    assert 10 < len(outline) < 40 and len(hole) == 4 and outline[0] == outline[-1]
+    assert 10 < len(outline) < 60 and len(hole) == 4 and outline[0] == outline[-1]
     assert out[1]["t"] == "LINESTRING (0 0, 2 0)"
     bounded = shapes.simplify_long_text(df, "geom", 1000, 0.01).collect()
     assert len(bounded[0]["poly"]) < 1000 and bounded[1]["poly"] == "LINESTRING (0 0, 1 0.00001, 2 0)"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,34 +27,62 @@ def looked_up(rows: DataFrame, keys: list[str], spread: Column, parts: list[Colu
     return salted.join(sent, [*keys, "_salt"]).drop("_salt")
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with the smallest neighbour of ``a`` beside them."""
-    return looked_up(edges, ["a"], F.col("b"), [F.min("b").alias("_m")], [F.min("_m").alias("m")])
+#: Edges that a task holds before it replaces them by the forest of what it has seen.
+_EDGES_AT_ONCE = 4_000_000
+
+
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of the task's edges tied to the smallest node that they reach; ``own`` if it came as ``a``."""
+    a, b, own, held = [], [], [], 0
+
+    def tied() -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.concatenate(a), np.concatenate(b)
+        nodes, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+        parent = np.arange(len(nodes))
+        join(parent, place[: len(x)], place[len(x) :])
+        top = nodes[roots(parent)]
+        lower = nodes != top
+        return nodes[lower], top[lower]
+
+    for batch in batches:
+        a.append(batch.column("a").to_numpy())
+        b.append(batch.column("b").to_numpy())
+        own.append(np.unique(a[-1]))
+        held += batch.num_rows
+        if held > _EDGES_AT_ONCE:
+            node, top = tied()
+            a, b, own, held = [node], [top], [np.unique(np.concatenate(own))], 0
+    if a:
+        node, top = tied()
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(top), pa.array(np.isin(node, np.concatenate(own)))], names=["a", "b", "own"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
     """id and component (smallest id reachable) of every id in ``edges``; ids without edges are absent.
 
-    Alternating star steps: first each larger neighbour is tied to the smallest neighbour, then each
-    node and its smaller neighbours are. The edge list shrinks to one star per component.
+    Tasks replace their edges by a forest before and after each shuffle by the larger node. Once no task
+    ties a node that belongs to another, every node has one parent, and parents are followed upwards,
+    twice as far each time. A task holds its share of the edges' nodes, never a whole component's edges.
     """
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    now = checkpointed(now)
-    state = None
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forest = "a long, b long, own boolean"
+    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").mapInArrow(_local_forest, forest)
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _smallest(both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        low = _smallest(large)
-        small = low.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = checkpointed(small.filter("a <> b").distinct())
-        reached = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if reached == state:
+        now = checkpointed(now.select("a", "b").repartition(parts, "a").mapInArrow(_local_forest, forest))
+        if not now.agg(F.count(F.when(~F.col("own"), 1))).first()[0]:
             break
-        state = reached
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = now.select(F.col("b").alias("id")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+    now = now.select("a", "b")
+    for _ in range(most_rounds):
+        above = now.select(F.col("a").alias("b"), F.col("b").alias("up"))
+        now = checkpointed(now.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")))
+        moved = now.agg(F.count(F.when(F.col("moved"), 1))).first()[0]
+        now = now.select("a", "b")
+        if not moved:
+            break
+    tops = now.select(F.col("b").alias("id")).distinct()
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(tops.select("id", F.col("id").alias("component")))
 
 
 def roots(parent: np.ndarray) -> np.ndarray:

@@ -154,7 +154,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     found = checkpointed(ordered.mapInArrow(_ties, "kind int, task int, tree int, prefix long, a long, b long"))
     ends = sorted(found.filter("kind > 0").collect(), key=lambda r: (r.task, r.kind))  # two rows a task
     over = [(int(n.a), int(p.a)) for p, n in zip(ends, ends[1:]) if p.kind == 2 and n.kind == 1 and (p.tree, p.prefix) == (n.tree, n.prefix)]
-    ties = found.filter("kind = 0").select("a", "b").distinct()
+    ties = found.filter("kind = 0").select("a", "b")
     return ties.unionByName(spark.createDataFrame(over, "a long, b long")) if over else ties
 
 
@@ -324,7 +324,9 @@ def keep_one_each(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     again = fates.filter("_stays AND _times > 1").select("_key1", "_key2")
     if again.isEmpty():
         return kept
+    # rows that repeat id and text: one of each key, whatever the table's columns are called
     repeated = of(kept, again, "left_semi")
+    whole = F.struct(*[repeated[c] for c in repeated.columns])
     key1, key2 = _row_keys(repeated, id_col, text_col)
-    one = repeated.withColumns({"_key1": key1, "_key2": key2}).dropDuplicates(["_key1", "_key2"]).drop("_key1", "_key2")
+    one = repeated.select(key1.alias("key1"), key2.alias("key2"), whole.alias("row")).dropDuplicates(["key1", "key2"]).select("row.*")
     return of(kept, again, "left_anti").unionByName(one)

@@ -13,13 +13,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from larkfield.lookalike.flat_trees import FlatTrees, is_tree, walked
 from larkfield.lookalike.models import fill_missing
 from larkfield.operators.sampling import hash_share, poisson_weight
 
@@ -104,8 +108,8 @@ class Draw:
     bootstrap: bool
     seed: int
 
-    def weight(self, i: int) -> Column:
-        salt = f"{self.seed}/{i}"
+    def weight(self, i: int | Column) -> Column:
+        salt = F.concat(F.lit(f"{self.seed}/"), i.cast("string")) if isinstance(i, Column) else f"{self.seed}/{i}"
         if self.bootstrap:
             drawn = poisson_weight(salt, self.key, float(self.share))
         else:
@@ -115,11 +119,22 @@ class Draw:
 
 @dataclass
 class BaggingPUModel:
-    """Fitted ensemble: (model, features) per estimator."""
+    """Fitted ensemble: (model, features) per estimator.
+
+    An ensemble of trees is scored as flat arrays, one small plan for any number of members. Other
+    models are applied one after the other; one without probabilities gives its vote instead.
+    """
 
     members: list
     features: list[str]
     draw: Draw
+    _flat: FlatTrees | None = field(default=None, repr=False, compare=False)
+
+    def _trees(self, df: DataFrame) -> FlatTrees | None:
+        if self._flat is None and self.members and all(is_tree(m) for m, _ in self.members):
+            place = {f: i for i, f in enumerate(self.features)}
+            self._flat = FlatTrees.of(df.sparkSession, [m for m, _ in self.members], [[place[f] for f in chosen] for _, chosen in self.members])
+        return self._flat
 
     def _each(self, df: DataFrame) -> DataFrame:
         """All estimators' outputs in one pass over the rows."""
@@ -129,27 +144,48 @@ class BaggingPUModel:
             out = model.transform(out).drop(f"_v{i}")
         return out
 
-    def _mean(self, kind: str, index: int) -> Column:
+    def _own(self, i: int, index: int) -> Column:
+        """Probability that estimator ``i`` gives a class, or its vote if it has no probabilities."""
+        if self.members[i][0].hasParam("probabilityCol"):
+            return F.get(vector_to_array(f"_p{i}"), F.lit(index))
+        return (F.col(f"_c{i}") == index).cast("double")
+
+    def _mean(self, columns: Sequence[Column]) -> Column:
         total = F.lit(0.0)
-        for i in range(len(self.members)):
-            total = total + F.get(vector_to_array(f"_{kind}{i}"), F.lit(index))
+        for c in columns:
+            total = total + c
         return total / len(self.members)
 
+    def _outputs(self, df: DataFrame, keep: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+        """``keep`` and means over the members: ``p0``, ``p1``, ``raw``, ``votes``, or the array ``each`` of their p1."""
+        trees = self._trees(df)
+        if trees is not None:
+            def make(p: np.ndarray, raw: np.ndarray) -> dict:
+                made = {"p0": p[:, :, 0].mean(1), "p1": p[:, :, 1].mean(1), "raw": raw[:, :, 1].mean(1), "votes": (p[:, :, 1] > p[:, :, 0]).mean(1)}
+                if "each" in wanted:
+                    made["each"] = pa.FixedSizeListArray.from_arrays(p[:, :, 1].ravel(), p.shape[1]).cast(pa.list_(pa.float64()))
+                return made
+
+            kinds = {n: T.ArrayType(T.DoubleType()) if n == "each" else T.DoubleType() for n in wanted}
+            return walked(fill_missing(df, self.features), trees, self.features, keep, kinds, make)
+        every = range(len(self.members))
+        columns = {"p0": lambda: self._mean([self._own(i, 0) for i in every]), "p1": lambda: self._mean([self._own(i, 1) for i in every]),
+                   "raw": lambda: self._mean([F.get(vector_to_array(f"_r{i}"), F.lit(1)) for i in every]),
+                   "votes": lambda: self._mean([F.col(f"_c{i}") for i in every]), "each": lambda: F.array(*[self._own(i, 1) for i in every])}
+        return self._each(df).select(*keep, *[columns[n]().alias(n) for n in wanted])
+
     def predict_proba(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Mean probability of both classes: ``p0`` and ``p1``."""
-        return self._each(df).select(*keep, self._mean("p", 0).alias("p0"), self._mean("p", 1).alias("p1"))
+        return self._outputs(df, keep, ["p0", "p1"])
 
     def member_probabilities(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Each estimator's probability of the positive class: ``p1_0``, ``p1_1``, ..."""
-        own = [F.get(vector_to_array(f"_p{i}"), F.lit(1)).alias(f"p1_{i}") for i in range(len(self.members))]
-        return self._each(df).select(*keep, *own)
+        out = self._outputs(df, keep, ["each"])
+        return out.select(*keep, *[F.get("each", F.lit(i)).alias(f"p1_{i}") for i in range(len(self.members))])
 
     def vote_share(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """Share of estimators that call the row positive, for models without probabilities."""
-        votes = F.lit(0.0)
-        for i in range(len(self.members)):
-            votes = votes + F.col(f"_c{i}")
-        return self._each(df).select(*keep, (votes / len(self.members)).alias("p1"))
+        """Share of estimators that call the row positive."""
+        return self._outputs(df, keep, ["votes"]).withColumnRenamed("votes", "p1")
 
     def predict(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Class of the larger mean probability; equal probabilities give 0."""
@@ -164,30 +200,26 @@ class BaggingPUModel:
 
     def decision(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Mean raw score of the positive class."""
-        return self._each(df).select(*keep, self._mean("r", 1).alias("decision"))
+        return self._outputs(df, keep, ["raw"]).withColumnRenamed("raw", "decision")
 
     def all_outputs(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Class, mean probabilities, their logarithms and the mean raw score, in one pass over the rows."""
-        columns = [self._mean("p", 0).alias("p0"), self._mean("p", 1).alias("p1"), self._mean("r", 1).alias("decision")]
-        out = self._each(df).select(*keep, *columns)
+        out = self._outputs(df, keep, ["p0", "p1", "raw"])
         log = lambda c: F.when(F.col(c) > 0, F.ln(c)).otherwise(F.lit(float("-inf")))
         return out.select(*keep, "p0", "p1", F.when(F.col("p1") > F.col("p0"), 1).otherwise(0).alias("prediction"),
-                          log("p0").alias("log_p0"), log("p1").alias("log_p1"), "decision")
+                          log("p0").alias("log_p0"), log("p1").alias("log_p1"), F.col("raw").alias("decision"))
 
     def oob_scores(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Mean probability over estimators that did not draw the row.
 
         NULL for positives, which all estimators see, and for rows drawn by every estimator.
         """
-        scored = self._each(df)
-        for i in range(len(self.members)):
-            scored = scored.withColumn(f"_w{i}", self.draw.weight(i))
-        total, seen = F.lit(0.0), F.lit(0)
-        for i in range(len(self.members)):
-            out = F.col(f"_w{i}") == 0
-            total = total + F.when(out, F.get(vector_to_array(f"_p{i}"), F.lit(1))).otherwise(0.0)
-            seen = seen + F.when(out, 1).otherwise(0)
-        return scored.select(*keep, F.try_divide(total, seen).alias("oob_p1"), seen.alias("oob_estimators"))
+        members = F.sequence(F.lit(0), F.lit(len(self.members) - 1))
+        drawn = F.transform(members, lambda i: self.draw.weight(i))
+        scored = self._outputs(df.withColumn("_drawn", drawn), [*dict.fromkeys(keep), "_drawn"], ["each"])
+        out = F.filter(F.zip_with("each", "_drawn", lambda p, w: F.when(w == 0, p)), lambda p: p.isNotNull())
+        total = F.aggregate(out, F.lit(0.0), lambda acc, p: acc + p)
+        return scored.select(*keep, F.try_divide(total, F.size(out)).alias("oob_p1"), F.size(out).alias("oob_estimators"))
 
     def oob_accuracy(self, df: DataFrame) -> DataFrame:
         """Share of rows whose out-of-bag class is right: over all rows, and unlabelled only.

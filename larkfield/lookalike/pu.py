@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkfield.lookalike.forest import ForestModel, train_forest
 from larkfield.lookalike.models import random_forest, score, train
 from larkfield.session import checkpointed
 
@@ -75,12 +76,12 @@ def run_rounds(df: DataFrame, key: str, features: Sequence[str], make_estimator:
 
 
 def train_full_model(labelled: DataFrame, features: Sequence[str], trees: int = 100, depth: int = 20,
-                     columns: str | float = 0.9):
-    """Final forest on decided rows; ``columns`` is the share of features that a node may use."""
+                     columns: float = 0.9) -> ForestModel:
+    """Final forest on decided rows; ``columns`` is the share of the features that each tree is given."""
     rows = labelled.where("ys <> -1").withColumn("label", F.col("ys").cast("double"))
-    return train(rows, features, random_forest(trees, depth, columns=columns))
+    return train_forest(rows, features, trees=trees, depth=depth, column_rate=columns)
 
 
-def score_all(model, df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+def score_all(model: ForestModel, df: DataFrame, key: str) -> DataFrame:
     """Score the whole table, cleaned like the training rows; ids travel with their row."""
-    return score(model, df, features, [key], class_index=1)
+    return model.score(df, [key])

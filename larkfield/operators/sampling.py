@@ -13,12 +13,12 @@ from larkfield.operators.ranking import first_rows, row_numbers
 from larkfield.session import small_side
 
 
-def hash_text(salt: str, key: str) -> Column:
+def hash_text(salt: str | Column, key: str) -> Column:
     """Hex digest of salt and key: a random order that any engine can repeat."""
-    return F.md5(F.concat_ws("|", F.lit(salt), F.col(key).cast("string")))
+    return F.md5(F.concat_ws("|", salt if isinstance(salt, Column) else F.lit(salt), F.col(key).cast("string")))
 
 
-def hash_share(salt: str, key: str) -> Column:
+def hash_share(salt: str | Column, key: str) -> Column:
     """A number in [0, 1) from salt and key."""
     return F.conv(F.substring(hash_text(salt, key), 1, 8), 16, 10).cast("double") / float(2 ** 32)
 
@@ -123,12 +123,11 @@ def redistribute(df: DataFrame, parts: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
-def poisson_weight(salt: str, key: str, rate: float | Column, largest: int = 20) -> Column:
+def poisson_weight(salt: str | Column, key: str, rate: float | Column) -> Column:
     """A Poisson draw per row from its hash: how often a bootstrap takes the row.
 
-    Inverts the distribution function. For a fixed rate the search goes on until more draws
-    have a chance below 1e-18. For a rate per row ``largest`` bounds it: enough for rates up to 1;
-    a column of larger rates needs a larger one.
+    Inverts the distribution function. The search goes on until more draws have a chance below
+    1e-18, for a rate per row as far as that row's rate asks for. A rate below 0 or NULL gives NULL.
     """
     u = hash_share(salt, key)
     if not isinstance(rate, Column):
@@ -141,13 +140,15 @@ def poisson_weight(salt: str, key: str, rate: float | Column, largest: int = 20)
         for n in reversed(range(largest)):
             draw = F.when(u < bounds[n], n).otherwise(draw)
         return draw
-    start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("p"), F.exp(-rate).alias("c"),
-                     F.lit(False).alias("done"))
+    # chances as logarithms, so that those of large rates do not vanish
+    begin = F.struct(F.lit(0).alias("n"), (-rate).alias("log"), F.exp(-rate).alias("sum"), F.lit(False).alias("done"))
 
     def step(acc: Column, i: Column) -> Column:
-        done = acc["done"] | (u < acc["c"])
-        p = acc["p"] * rate / i
-        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), p.alias("p"),
-                        (acc["c"] + p).alias("c"), done.alias("done"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(largest)), start, step, lambda acc: acc["n"])
+        done = acc["done"] | (u < acc["sum"])
+        log = acc["log"] + F.ln(rate) - F.ln(i.cast("double"))
+        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), log.alias("log"),
+                        (acc["sum"] + F.exp(log)).alias("sum"), done.alias("done"))
+
+    largest = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
+    drawn = F.aggregate(F.sequence(F.lit(1), largest), begin, step, lambda acc: acc["n"])
+    return F.when(rate == 0, F.lit(0)).when(rate > 0, drawn)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkfield.operators.sampling import redistribute
 from larkfield.plans.registry import query
 from larkfield.session import computed_once, fresh_path
 from larkfield.sinks import features
@@ -120,8 +121,9 @@ WHERE (greatest(a.x-0.125, b.x-0.25) - (a.x-0.125)) + (greatest(a.y-0.125, b.y-0
 """)
 def polygon_join_exact(t):
     """Triangles against rectangles: grid cells, then boxes, then the exact test."""
-    a = wkt.with_geometry(triangles(t), "wkt")
-    b = wkt.with_geometry(rectangles(t), "wkt")
+    # reading geometry text is the costly step, so text from few files is dealt to all cores first
+    parts = t.spark.sparkContext.defaultParallelism
+    a, b = (wkt.with_geometry(redistribute(side, parts, "id"), "wkt") for side in (triangles(t), rectangles(t)))
     return shapes.geometry_join(a, b, UNIT_GRID, "id", "id").select("a_id", "b_id")
 
 

@@ -59,22 +59,24 @@ def _product(ix0: Column, ix1: Column, iy0: Column, iy1: Column, nx) -> Column:
     return F.flatten(rows)
 
 
-def tessellate(xmin: Column, ymin: Column, xmax: Column, ymax: Column, grid: Grid) -> Column:
+def tessellate(xmin: Column, ymin: Column, xmax: Column, ymax: Column, grid: Grid, clamp: bool = False) -> Column:
     """Ids of the cells that a rectangle meets, edges included; none outside the grid.
 
     The index range follows from the edges, so the cost is the number of cells met and
-    not the size of the grid.
+    not the size of the grid. With ``clamp`` border cells take what lies outside.
     """
     ix0, ix1 = _first_index(xmin, grid.xmin, grid.dx, grid.nx), _last_index(xmax, grid.xmin, grid.dx, grid.nx)
     iy0, iy1 = _first_index(ymin, grid.ymin, grid.dy, grid.ny), _last_index(ymax, grid.ymin, grid.dy, grid.ny)
+    if clamp:
+        return _product(F.least(ix0, F.lit(grid.nx - 1)), F.greatest(ix1, F.lit(0)), F.least(iy0, F.lit(grid.ny - 1)), F.greatest(iy1, F.lit(0)), F.lit(grid.nx))
     # Without the guard sequence(3, 1) would count down.
     return F.when((ix0 <= ix1) & (iy0 <= iy1), _product(ix0, ix1, iy0, iy1, F.lit(grid.nx))
                   ).otherwise(F.array().cast("array<int>"))
 
 
-def with_cells(df: DataFrame, grid: Grid, box: Sequence[str] = BOX, output: str = "cell_id") -> DataFrame:
+def with_cells(df: DataFrame, grid: Grid, box: Sequence[str] = BOX, output: str = "cell_id", clamp: bool = False) -> DataFrame:
     """One row per cell that the box of the row meets."""
-    return df.withColumn(output, F.explode(tessellate(*[F.col(c) for c in box], grid)))
+    return df.withColumn(output, F.explode(tessellate(*[F.col(c) for c in box], grid, clamp)))
 
 
 def point_box(df: DataFrame, x: str, y: str, dx: float, dy: float) -> DataFrame:
@@ -158,15 +160,15 @@ def box_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, right_
     """Pairs of boxes that meet, found by an equi-join on grid cells.
 
     With ``dedupe`` a pair appears once: in the cell that holds the low corner of the
-    overlap. Without it the pair appears in every cell both boxes meet, with its
-    ``cell_id``. Boxes outside the grid have no cell, so the grid must cover the data.
+    overlap; boxes outside the grid count to its border cells, so no pair is lost. Without it the pair appears
+    in every cell of the grid both boxes meet, with its ``cell_id``.
 
     A cell with very many boxes of both sides is cut into finer cells; what stays hot, such
     as many equal boxes, is spread by salting. Columns: ``a_id, b_id, cell_id``, the boxes
     as ``a_xmin`` ... and the extra columns as ``a_<name>``, ``b_<name>``.
     """
-    a = with_cells(_side(left, left_id, left_box, "a", left_extra), grid, [f"a_{c}" for c in BOX])
-    b = with_cells(_side(right, right_id, right_box, "b", right_extra), grid, [f"b_{c}" for c in BOX])
+    a = with_cells(_side(left, left_id, left_box, "a", left_extra), grid, [f"a_{c}" for c in BOX], clamp=dedupe)
+    b = with_cells(_side(right, right_id, right_box, "b", right_extra), grid, [f"b_{c}" for c in BOX], clamp=dedupe)
     meets = rect_intersects([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX])
     counts = _cell_loads(a, b)
     product = F.col("na").cast("double") * F.col("nb")

@@ -1,29 +1,17 @@
-"""Vectorised helpers for shapes that column expressions cannot handle well.
-
-Each works on one row's coordinates with numpy; Spark spreads the rows.
-"""
+"""Shapes as plain coordinate arrays: exact joins and simplified outlines."""
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from larkfield.session import checkpointed, within_bytes
-from larkfield.spatial.grid import Grid, box_join
+from larkfield.session import checkpointed
+from larkfield.spatial.cell_join import exact_join
+from larkfield.spatial.grid import Grid
 from larkfield.spatial.thinning import thinned_rings
 from larkfield.spatial.wkt import all_points, to_wkt, with_mbr
 
 
-# The functions travel inside the job, so executors need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def flat_columns(geom: Column) -> list[Column]:
     """Coordinates as plain arrays, and the end position of every ring."""
     points = all_points(geom)
@@ -33,116 +21,6 @@ def flat_columns(geom: Column) -> list[Column]:
     return [F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]), ends]
 
 
-def _segments(x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Segments as rows (x1, y1, x2, y2); a lone point is a segment of length 0."""
-    parts, start = [], 0
-    for end in ends:
-        px, py = x[start:end], y[start:end]
-        if len(px) == 1:
-            px, py = np.repeat(px, 2), np.repeat(py, 2)
-        parts.append(np.stack([px[:-1], py[:-1], px[1:], py[1:]], axis=1))
-        start = end
-    return np.concatenate(parts)
-
-
-def _side(p, q, r):
-    return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-
-
-def _segments_meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For stacks (m, na, 4) and (m, nb, 4): does any segment of a touch one of b?"""
-    ap, aq = (a[:, :, None, 0], a[:, :, None, 1]), (a[:, :, None, 2], a[:, :, None, 3])
-    bp, bq = (b[:, None, :, 0], b[:, None, :, 1]), (b[:, None, :, 2], b[:, None, :, 3])
-    meets = np.ones((len(a), a.shape[1], b.shape[1]), dtype=bool)
-    for i in (0, 1):
-        meets &= np.maximum(ap[i], aq[i]) >= np.minimum(bp[i], bq[i])
-        meets &= np.minimum(ap[i], aq[i]) <= np.maximum(bp[i], bq[i])
-    # Neither segment may lie wholly on one side of the other's line.
-    meets &= _side(bp, bq, ap) * _side(bp, bq, aq) <= 0
-    meets &= _side(ap, aq, bp) * _side(ap, aq, bq) <= 0
-    return meets.any(axis=(1, 2))
-
-
-def _holds_any(outline: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Even-odd rule per pair: does the closed outline hold an end of the other's segments?"""
-    x1, y1, x2, y2 = (outline[:, :, i, None] for i in range(4))
-    inside = np.zeros(len(outline), dtype=bool)
-    for k in (0, 2):
-        x, y = points[:, None, :, k], points[:, None, :, k + 1]
-        spans = (y1 > y) != (y2 > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = x1 + (y - y1) * (x2 - x1) / (y2 - y1)
-        inside |= ((spans & (x < at)).sum(axis=1) % 2 == 1).any(axis=1)
-    return inside
-
-
-def _meet(a: np.ndarray, a_area: np.ndarray, b: np.ndarray, b_area: np.ndarray) -> np.ndarray:
-    hit = _segments_meet(a, b)
-    hit |= b_area & _holds_any(b, a)
-    return hit | (a_area & _holds_any(a, b))
-
-
-_CHUNK = 2_000_000
-_BLOCK = 512
-
-
-def _meet_large(a: np.ndarray, a_area: bool, b: np.ndarray, b_area: bool) -> bool:
-    """The test of one large pair: blocks of segments against those that reach the block's box.
-
-    No array has more than ``_CHUNK`` cells, however many points the shapes have.
-    """
-    low, high = np.minimum(b[:, :2], b[:, 2:]), np.maximum(b[:, :2], b[:, 2:])
-    for start in range(0, len(a), _BLOCK):
-        block = a[start : start + _BLOCK]
-        least, most = np.minimum(block[:, :2], block[:, 2:]).min(0), np.maximum(block[:, :2], block[:, 2:]).max(0)
-        near = b[((high >= least) & (low <= most)).all(1)]
-        step = max(1, _CHUNK // len(block))
-        for at in range(0, len(near), step):
-            if _segments_meet(block[None], near[None, at : at + step]).any():
-                return True
-    for outline, points, is_area in ((b, a, b_area), (a, b, a_area)):
-        step = max(1, _CHUNK // len(outline))
-        for at in range(0, len(points) if is_area else 0, step):
-            if _holds_any(outline[None], points[None, at : at + step]).any():
-                return True
-    return False
-
-
-def _stacked(xs: list, ys: list, ends: list) -> np.ndarray:
-    """Segments of geometries with equal point counts; single rings are stacked at once."""
-    if all(len(e) == 1 for e in ends) and len(xs[0]) > 1:
-        x, y = np.stack(xs), np.stack(ys)
-        return np.stack([x[:, :-1], y[:, :-1], x[:, 1:], y[:, 1:]], axis=2)
-    return np.stack([_segments(x, y, e) for x, y, e in zip(xs, ys, ends)])
-
-
-@F.pandas_udf(T.BooleanType())
-def _intersects(ax: pd.Series, ay: pd.Series, ae: pd.Series, a_area: pd.Series,
-                bx: pd.Series, by: pd.Series, be: pd.Series, b_area: pd.Series) -> pd.Series:
-    """Pairs of equal point and ring counts are tested together, in pieces of bounded size."""
-    out = np.empty(len(ax), dtype=object)
-    sides = [c.to_numpy() for c in (ax, ay, ae, bx, by, be)]
-    areas = [c.fillna(False).to_numpy(dtype=bool) for c in (a_area, b_area)]
-    by_size: dict[tuple, list[int]] = {}
-    for i, (x, e, u, f) in enumerate(zip(sides[0], sides[2], sides[3], sides[5])):
-        if x is not None and u is not None:
-            by_size.setdefault((len(x), len(e), len(u), len(f)), []).append(i)
-    for (na, _, nb, _), rows in by_size.items():
-        if na * nb > _CHUNK:
-            for i in rows:
-                a, b = (_segments(*[np.asarray(c[i]) for c in side]) for side in (sides[:3], sides[3:]))
-                out[i] = _meet_large(a, areas[0][i], b, areas[1][i])
-            continue
-        # Ring sizes may differ within a group, but points less rings give the segments.
-        step = max(1, _CHUNK // (na * nb))
-        for start in range(0, len(rows), step):
-            some = np.array(rows[start:start + step])
-            a = _stacked(*[list(c[some]) for c in sides[:3]])
-            b = _stacked(*[list(c[some]) for c in sides[3:]])
-            out[some] = _meet(a, areas[0][some], b, areas[1][some])
-    return pd.Series(out, dtype="object")
-
-
 FLAT = ("flat_x", "flat_y", "flat_ends", "flat_area")
 
 
@@ -153,33 +31,18 @@ def with_flat(df: DataFrame, geom: str) -> DataFrame:
     return df.select("*", *[c.alias(n) for c, n in zip((x, y, ends, area), FLAT)])
 
 
-def exact_pairs(candidates: DataFrame) -> DataFrame:
-    """Keep candidate pairs whose geometries share a point; touching counts.
-
-    Candidates carry ``a_flat_*`` and ``b_flat_*``. The test is a step of its own after the
-    box filter, so Python sees survivors only.
-    """
-    meets = _intersects(*[F.col(f"{side}_{n}") for side in ("a", "b") for n in FLAT])
-    return candidates.where(meets).drop(*[f"{side}_{n}" for side in ("a", "b") for n in FLAT])
-
-
 def geometry_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, right_id: str,
-                  geom: str = "geom", dedupe: bool = True, **options) -> DataFrame:
-    """Pairs of geometries that share a point: grid cells, then boxes, then the exact test.
+                  geom: str = "geom", **options) -> DataFrame:
+    """``a_id, b_id`` of geometries that share a point; touching counts, each pair comes once.
 
-    Rows whose geometry is NULL have no box and pair with nothing. Both sides are written
-    once with their boxes and plain coordinates, because the cells are counted before they
-    are joined and reading geometry text is the costly step. Only ids and boxes go through the
-    cells; a surviving pair fetches its coordinates by id, so ids must be unique.
+    Rows whose geometry is NULL have no box and pair with nothing; shapes outside the grid are joined by its
+    border cells. Both sides are written once with their boxes and plain coordinates, because the cells are
+    counted before they are joined and reading geometry text is the costly step.
     """
     sides = [checkpointed(with_flat(with_mbr(df.select(key, geom), geom), geom).drop(geom)
                           .where(F.col("xmin").isNotNull()))
              for df, key in ((left, left_id), (right, right_id))]
-    pairs = box_join(*[s.drop(*FLAT) for s in sides], grid, left_id, right_id, dedupe=dedupe, **options)
-    for prefix, side, key in (("a", sides[0], left_id), ("b", sides[1], right_id)):
-        shapes = side.select(F.col(key).alias(f"_{prefix}"), *[F.col(n).alias(f"{prefix}_{n}") for n in FLAT])
-        pairs = pairs.join(within_bytes(shapes), F.col(f"{prefix}_id") == F.col(f"_{prefix}")).drop(f"_{prefix}")
-    return exact_pairs(pairs)
+    return exact_join(*sides, grid, left_id, right_id, **options)
 
 
 def simplify(df: DataFrame, geom: str, tolerance: float, output: str) -> DataFrame:

@@ -168,6 +168,15 @@ def test_poisson_weights_agree_for_a_fixed_and_a_column_rate(spark):
     assert both.where("a <> b").count() == 0
 
 
+def test_poisson_weights_of_large_rates_per_row(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 4).alias("k")).withColumn("rate", F.expr("array(0D, 3D, 60D, 900D)[k]"))
+    drawn = df.select("k", sampling.poisson_weight("s", "id", F.col("rate")).alias("w"), sampling.poisson_weight("s", "id", F.col("rate") - 10).alias("none"))
+    got = {r["k"]: (r["m"], r["v"]) for r in drawn.groupBy("k").agg(F.avg("w").alias("m"), F.variance("w").alias("v")).collect()}
+    for k, rate in enumerate((0, 3, 60, 900)):
+        assert abs(got[k][0] - rate) <= 4 * (rate / 500) ** 0.5 and abs(got[k][1] - rate) <= 0.3 * rate
+    assert drawn.where("k < 2 AND none IS NOT NULL").count() == 0
+
+
 def test_splits_are_stable(spark):
     df = spark.range(5000)
     sizes = [p.count() for p in sampling.split_frame(df, "id", [0.8, 0.1])]

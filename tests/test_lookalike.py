@@ -6,7 +6,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
 from larkfield.lookalike import models, prepare, pu
-from larkfield.lookalike.bagging import BaggingPU
+from larkfield.lookalike.bagging import BaggingPU, BaggingPUModel
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +60,7 @@ def test_rounds_recover_hidden_positives(table):
     done = pu.run_rounds(p.df, "id", p.features, small_forest, max_rounds=3)
     assert done.where("ys = -1").count() == 0
     model = pu.train_full_model(done, p.features, trees=10, depth=4)
-    scored = pu.score_all(model, table, "id", FEATURES)
+    scored = pu.score_all(model, table, "id")
     assert scored.count() == 1200
     hidden = p.df.where("target = 0").select("id", "orig_target").join(scored, "id")
     top = hidden.orderBy(F.desc("p1"), "id").limit(100).agg(F.avg("orig_target")).first()[0]
@@ -184,3 +184,64 @@ def test_text_with_many_values_trains(spark, levels):
         model = models.train(df, ["t", "x"], estimator)
         assert models.score(model, df, ["t", "x"], ["id"]).count() == 3000
     assert models.random_forest(columns=0.9).getFeatureSubsetStrategy() == "0.9"
+
+
+def test_flat_trees_score_like_the_models(spark, labelled):
+    """Probabilities, raw scores and votes of trees and small forests, from arrays and from the models themselves."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    for base in (tree(), RandomForestClassifier(numTrees=3, maxDepth=3, seed=2)):
+        model = BaggingPU(base, n_estimators=3, max_features=1, seed=5).fit(labelled, "id", ["x", "noise"])
+        flat = {r["id"]: r for r in model._outputs(labelled, ["id"], ["p0", "p1", "raw", "each"]).collect()}
+        assert model._flat is not None
+        each = model._each(labelled)
+        names = [f"_{kind}{i}" for kind in "prc" for i in range(3)]
+        for r in each.select("id", *names).collect():
+            own = flat[r["id"]]
+            assert own["each"] == pytest.approx([float(r[f"_p{i}"][1]) for i in range(3)])
+            assert own["raw"] == pytest.approx(sum(float(r[f"_r{i}"][1]) for i in range(3)) / 3)
+            assert own["p0"] + own["p1"] == pytest.approx(1)
+
+
+def test_five_hundred_members_are_one_small_plan(labelled):
+    model = BaggingPU(tree(), n_estimators=5, seed=5).fit(labelled, "id", ["x", "noise"])
+    few = model.predict_proba(labelled, ["id"])
+    many = BaggingPUModel(model.members * 100, model.features, model.draw)
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in (few, many.predict_proba(labelled, ["id"]))]
+    assert len(plans[1]) < 1.1 * len(plans[0])
+    pair = [sorted((r["id"], round(r["p1"], 9)) for r in f.collect()) for f in (few, many.predict_proba(labelled, ["id"]))]
+    assert pair[0] == pair[1]
+    assert len(many.oob_scores(labelled, ["id"])._jdf.queryExecution().executedPlan().toString()) < 20_000
+
+
+def test_models_without_probabilities_vote_by_themselves(spark):
+    from pyspark.ml.classification import LinearSVC
+    df = spark.range(200).selectExpr("id", "id / 200.0 AS x", "CAST(id >= 150 AS INT) AS label")
+    model = BaggingPU(estimator=LinearSVC(maxIter=5), n_estimators=3, oob_score=False).fit(df, "id", ["x"])
+    share = {r["id"]: r["p1"] for r in model.vote_share(df, ["id"]).collect()}
+    assert {r["id"]: r["p1"] for r in model.predict_proba(df, ["id"]).collect()} == pytest.approx(share)
+    mixed = BaggingPUModel([*model.members, *BaggingPU(tree(), n_estimators=4, seed=1).fit(df, "id", ["x"]).members[3:]], ["x"], model.draw)
+    assert all(0 <= r["p1"] <= 1 and r["p0"] + r["p1"] == pytest.approx(1) for r in mixed.predict_proba(df, ["id"]).collect())
+
+
+def test_every_tree_has_its_own_columns_and_rows(spark):
+    from larkfield.lookalike.forest import train_forest
+
+    names = [f"f{i}" for i in range(10)]
+    df = spark.range(1500).select("id", *[F.rand(i).alias(n) for i, n in enumerate(names[:-1])], F.concat(F.lit("c"), F.col("id") % 4).alias("f9"))
+    df = df.withColumn("label", ((F.col("f0") + F.col("f1") > 1) | (F.col("f9") == "c2")).cast("double")).cache()
+    model = train_forest(df, names, trees=6, depth=5, column_rate=0.9)
+    assert all(len(m) == 9 for m in model.masks) and len({tuple(m) for m in model.masks}) > 1
+    for tree_, mask in enumerate(model.masks):  # no tree splits on a column that it was not given
+        nodes = range(model.trees.roots[tree_], model.trees.roots[tree_ + 1] if tree_ < 5 else len(model.trees.left))
+        used = {model.inputs[model.trees.feature[n]] for n in nodes if model.trees.left[n] >= 0}
+        assert used and used <= set(mask)
+    drawn = model.trees.counts[model.trees.roots].sum(1)
+    assert all(abs(n - 0.632 * 1500) < 120 for n in drawn) and len(set(drawn.tolist())) > 1
+    scored = model.score(df, ["id", "label"])
+    means = {r["label"]: r["m"] for r in scored.groupBy("label").agg(F.avg("p1").alias("m")).collect()}
+    assert means[1.0] > means[0.0] + 0.3
+    narrow = train_forest(df, names, trees=3, depth=3, column_rate=0.2)
+    assert all(len(m) == 2 for m in narrow.masks)
+    with pytest.raises(ValueError):
+        train_forest(df, names, trees=1, column_rate=0.0)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkfield.spatial import measures, outline, shapes, thinning, wkt
+from larkfield.spatial import measures, outline, segments, thinning, wkt
 
 
 def crossings(rings, x, y):
@@ -87,13 +87,13 @@ def test_buffers_as_text(spark, text, parts, holes):
 
 def meets(rings, closed):
     """Pairs of segments that touch although they are not neighbours of a ring."""
-    segments = [(k, i, len(r) - 1, r[i], r[i + 1]) for k, r in enumerate(rings) for i in range(len(r) - 1)]
+    pieces = [(k, i, len(r) - 1, r[i], r[i + 1]) for k, r in enumerate(rings) for i in range(len(r) - 1)]
     bad = 0
-    for a, (ka, ia, n, p, q) in enumerate(segments):
-        for kb, ib, _, u, v in segments[a + 1 :]:
+    for a, (ka, ia, n, p, q) in enumerate(pieces):
+        for kb, ib, _, u, v in pieces[a + 1 :]:
             if ka == kb and (ib - ia == 1 or (closed and ib - ia == n - 1)):
                 continue
-            bad += bool(shapes._segments_meet(np.array([[[*p, *q]]]), np.array([[[*u, *v]]]))[0])
+            bad += bool(segments.segments_meet(np.array([[[*p, *q]]]), np.array([[[*u, *v]]]))[0])
     return bad
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkfield.sinks import features
-from larkfield.spatial import grid as g
+from larkfield.spatial import grid as g, segments
 from larkfield.spatial import measures, projection, shapes, wkt
 
 GRID = g.Grid(0.0, 0.0, 8.0, 4.0, 16, 8)
@@ -52,10 +52,13 @@ def in_grid(r):
 @pytest.mark.parametrize("options", [{}, {"crowded_pairs": 200}, {"crowded_pairs": 200, "salt_rows": 20}, {"salt_rows": 10}])
 def test_box_join_equals_all_pairs(spark, options):
     a, b = boxes(400, 3, 0.34), boxes(150, 4, 0.34)
-    wanted = sorted((p[0], q[0]) for p in a for q in b if meet(p, q) and in_grid(p) and in_grid(q))
+    far = [(9000 + i, 20.0 + i % 3, 9.0, 21.5 + i % 3, 9.5) for i in range(6)]  # outside the grid
+    a, b = a + far, b + far
+    everywhere = sorted((p[0], q[0]) for p in a for q in b if meet(p, q))
     got = g.box_join(frame(spark, a), frame(spark, b), GRID, "id", "id", **options).select("a_id", "b_id")
-    assert sorted(map(tuple, got.collect())) == wanted
+    assert sorted(map(tuple, got.collect())) == everywhere
     if not options:
+        wanted = sorted((p[0], q[0]) for p in a for q in b if meet(p, q) and in_grid(p) and in_grid(q))
         per_cell = g.box_join(frame(spark, a), frame(spark, b), GRID, "id", "id", dedupe=False)
         assert sorted(map(tuple, per_cell.select("a_id", "b_id").distinct().collect())) == wanted
         assert per_cell.count() == per_cell.distinct().count() > len(wanted)
@@ -242,10 +245,45 @@ def test_pairs_of_many_points_in_bounded_arrays(monkeypatch, shift, meets):
     angle = np.linspace(0, 2 * np.pi, 10_001)
     ring = np.stack([np.cos(angle), np.sin(angle)], 1)
     ring[-1] = ring[0]
-    segments = np.concatenate([ring[:-1], ring[1:]], 1)
-    other = segments * (0.5 if shift == 0 else 1.0) + np.array([shift, 0, shift, 0])
+    pieces = np.concatenate([ring[:-1], ring[1:]], 1)
+    other = pieces * (0.5 if shift == 0 else 1.0) + np.array([shift, 0, shift, 0])
     cells = []
-    plain = shapes._segments_meet
-    monkeypatch.setattr(shapes, "_segments_meet", lambda a, b: cells.append(a.shape[1] * b.shape[1]) or plain(a, b))
-    assert shapes._meet_large(segments, True, other, True) is meets
-    assert max(cells, default=0) <= shapes._CHUNK
+    plain = segments.segments_meet
+    monkeypatch.setattr(segments, "segments_meet", lambda a, b: cells.append(a.shape[1] * b.shape[1]) or plain(a, b))
+    assert segments.meet_large(pieces, True, other, True) is meets
+    assert max(cells, default=0) <= segments.CHUNK
+
+
+def _random_shapes(rng, n, spread):
+    """Boxes, triangles, lines, points, rings and a few large or outlying shapes as text."""
+    out = []
+    for _ in range(n):
+        x, y = rng.uniform(-spread, spread, 2)
+        w, h = rng.uniform(0.05, 1.5, 2) * (8 if rng.random() < 0.05 else 1)
+        kind = rng.integers(0, 6)
+        box = f"({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y})"
+        hole = f"({x + w / 4} {y + h / 4}, {x + w / 2} {y + h / 4}, {x + w / 2} {y + h / 2}, {x + w / 4} {y + h / 4})"
+        out.append([f"POLYGON ({box})", f"POLYGON (({x} {y}, {x + w} {y}, {x} {y + h}, {x} {y}))", f"LINESTRING ({x} {y}, {x + w} {y + h}, {x + w} {y})",
+                    f"POINT ({x} {y})", f"POLYGON ({box}, {hole})", f"MULTIPOLYGON (({box}), (({x - w} {y}, {x - w / 2} {y}, {x - w} {y + h}, {x - w} {y})))"][kind])
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"crowded_pairs": 300}, {"crowded_pairs": 20}])
+def test_adaptive_cells_give_all_pairs(spark, options):
+    """Against the test of all pairs; the grid covers a part of the shapes only, and equal shapes pile up."""
+    rng = np.random.default_rng(7)
+    texts = [_random_shapes(rng, 120, 6) + ["POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))"] * 30 + ["POLYGON ((-9 -9, 9 -9, 9 9, -9 9, -9 -9))", "POINT EMPTY"],
+             _random_shapes(rng, 100, 6) + ["POINT (0.5 0.5)"] * 30 + ["POINT (50 50)", "POLYGON ((49 49, 51 49, 50 51, 49 49))"]]
+    texts[0].append("POLYGON ((40 40, 60 40, 60 60, 40 60, 40 40))")
+    frames = [spark.createDataFrame(list(enumerate(t)), "id long, wkt string") for t in texts]
+    parsed = [wkt.with_geometry(f, "wkt").drop("wkt") for f in frames]
+    got = sorted(map(tuple, shapes.geometry_join(*parsed, g.Grid(-3, -3, 3, 3, 4, 4), "id", "id", **options).collect()))
+    sides = []
+    for p in parsed:
+        rows = []
+        for r in p.where("size(geom.parts) > 0").collect():
+            segs = [(a["x"], a["y"], b["x"], b["y"]) for part in r["geom"]["parts"] for ring in part for a, b in zip(ring[:-1] or ring, ring[1:] or ring)]
+            rows.append((r["id"], np.array(segs), r["geom"]["type"].endswith("POLYGON")))
+        sides.append(rows)
+    want = sorted((i, j) for i, a, fa in sides[0] for j, b, fb in sides[1] if segments.meet_large(a, fa, b, fb))
+    assert got == want and len(want) > 900

@@ -47,6 +47,11 @@ def any_null(df: DataFrame) -> bool:
     return not df.where(condition).isEmpty()
 
 
+def any_null_by(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Per group, does a row hold a NULL? One ``<column>_missing`` for each column, from one aggregation."""
+    return df.groupBy(*group).agg(*[F.bool_or(F.col(c).isNull()).alias(f"{c}_missing") for c in columns])
+
+
 def list_columns(spark: SparkSession, table: str) -> DataFrame:
     """Rows ``(position, column_name, type_name)`` of a table or view."""
     fields = spark.table(table).schema.fields

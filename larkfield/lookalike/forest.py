@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkfield.lookalike.flat_trees import FlatTrees, walked
-from larkfield.lookalike.models import feature_stages, fill_missing
+from larkfield.lookalike.models import fill_missing
+from larkfield.lookalike.target_codes import ordered_by_target
 from larkfield.operators.sampling import poisson_weight
 from larkfield.session import checkpointed
 
@@ -53,20 +54,17 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str = "label", t
     if not 0 < column_rate <= 1 or not row_rate > 0:
         raise ValueError("column_rate must be above 0 and at most 1, row_rate above 0")
     features = list(features)
-    filled = fill_missing(df, features)
-    *indexers, assembler = feature_stages(filled, features)
-    inputs = assembler.getInputCols()
-    stages = Pipeline(stages=indexers).fit(filled)
-    bins = max([32, *[len(x) + 1 for s in stages.stages if hasattr(s, "labelsArray") for x in s.labelsArray]])
+    coded, codes, inputs = ordered_by_target(fill_missing(df, features), features, label)
+    stages = PipelineModel(codes)
     columns = [*inputs, F.col(label).cast("double").alias("_y"), F.monotonically_increasing_id().alias("_row")]
-    rows = checkpointed(stages.transform(filled).select(*columns))
+    rows = checkpointed(coded.select(*columns))
     count = max(1, round(column_rate * len(inputs)))
 
     def grow(i: int) -> tuple:
         chosen = set(random.Random(f"{seed}/{i}").sample(inputs, count))
         mask = [c for c in inputs if c in chosen]
         drawn = rows.withColumn("_w", poisson_weight(f"{seed}/{i}", "_row", float(row_rate)).cast("double")).where("_w > 0")
-        learner = RandomForestClassifier(numTrees=1, maxDepth=depth, maxBins=bins, featureSubsetStrategy=per_node, bootstrap=False, seed=seed + i,
+        learner = RandomForestClassifier(numTrees=1, maxDepth=depth, featureSubsetStrategy=per_node, bootstrap=False, seed=seed + i,
                                          labelCol="_y", featuresCol="_v", weightCol="_w", maxMemoryInMB=512)
         return learner.fit(VectorAssembler(inputCols=mask, outputCol="_v").transform(drawn)), mask
 

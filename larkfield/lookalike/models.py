@@ -9,45 +9,20 @@ from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkfield.lookalike.target_codes import TargetCodes, ordered_by_target
 from larkfield.operators.metrics import auc_rank
 
 # Trees split off missing values below every real one.
 MISSING = -1.0e9
-# Values of a text column that are indexed one by one.
-MOST_LEVELS = 1024
-
-
-def feature_stages(df: DataFrame, features: Sequence[str], output: str = "features") -> list:
-    """Stages that turn numeric and text columns into one vector.
-
-    Text columns are indexed in alphabetical order; values unseen in training share one
-    extra index. A column with more than about ``MOST_LEVELS`` values is not indexed: a hash puts
-    its values into ``MOST_LEVELS`` numbers, so no list of its values is kept anywhere.
-    """
-    text = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
-    stages: list = []
-    if text:
-        levels = df.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first()
-        wide = [c for c in text if levels[c] > MOST_LEVELS]
-        if wide:
-            hashed = ", ".join(f"CAST(pmod(xxhash64(`{c}`), {MOST_LEVELS}) AS DOUBLE) AS `{c}_index`" for c in wide)
-            stages.append(SQLTransformer(statement=f"SELECT *, {hashed} FROM __THIS__"))
-        listed = [c for c in text if c not in wide]
-        if listed:
-            stages.append(StringIndexer(inputCols=listed, outputCols=[f"{c}_index" for c in listed],
-                                        handleInvalid="keep", stringOrderType="alphabetAsc"))
-    inputs = [f"{c}_index" if c in text else c for c in features]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error"))
-    return stages
 
 
 def fill_missing(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -78,18 +53,16 @@ def logistic(label: str = "label", iterations: int = 50) -> LogisticRegression:
     return LogisticRegression(labelCol=label, maxIter=iterations)
 
 
-def train(df: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
-    """Fit feature stages and estimator together, so scoring repeats the same steps.
+def train(df: DataFrame, features: Sequence[str], estimator, held_out: str | None = None) -> PipelineModel:
+    """Fit text codes and estimator together, so scoring repeats the same steps.
 
-    Trees get as many bins as the text column with the most indexed values has.
+    Text columns become numbers ordered by the label (``target_codes``), however many values they have. Rows
+    where the flag ``held_out`` is true have no part in that order.
     """
     filled = fill_missing(df, features)
-    prepared = Pipeline(stages=feature_stages(filled, features)).fit(filled)
-    if estimator.hasParam("maxBins"):
-        levels = [len(x) + 1 for s in prepared.stages if hasattr(s, "labelsArray") for x in s.labelsArray]
-        if max(levels, default=0) > estimator.getMaxBins():
-            estimator = estimator.copy({estimator.maxBins: max(levels)})
-    return PipelineModel([*prepared.stages, estimator.fit(prepared.transform(filled))])
+    coded, stages, inputs = ordered_by_target(filled, features, estimator.getLabelCol(), held_out)
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")
+    return PipelineModel([*stages, assembler, estimator.fit(assembler.transform(coded))])
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str],
@@ -116,7 +89,7 @@ def gbm_train(train_df: DataFrame, features: Sequence[str], label: str, params:
         frame = train_df.withColumn("_is_valid", F.lit(False)).unionByName(
             valid_df.withColumn("_is_valid", F.lit(True)))
     estimator.setParams(**settings)
-    return train(frame, features, estimator)
+    return train(frame, features, estimator, held_out="_is_valid" if valid_df is not None else None)
 
 
 def model_name(kind: str, features: Sequence[str], params: Mapping) -> str:
@@ -180,8 +153,16 @@ def grid_search(train_df: DataFrame, valid_df: DataFrame, features: Sequence[str
 
 
 def save_model(model: PipelineModel, path: str) -> None:
+    """Store a model with the code tables of its text columns."""
     model.write().overwrite().save(path)
+    for stage in model.stages:
+        if isinstance(stage, TargetCodes):
+            stage.table(SparkSession.active()).write.mode("overwrite").parquet(f"{path}/codes/{stage.uid}")
 
 
 def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    model = PipelineModel.load(path)
+    for stage in model.stages:
+        if isinstance(stage, TargetCodes):
+            stage.set(stage.folder, f"{path}/codes/{stage.uid}")
+    return model

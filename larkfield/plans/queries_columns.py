@@ -135,9 +135,7 @@ SELECT lang, bool_or(quality IS NULL) AS quality_missing FROM documents d LEFT J
 """)
 def any_null(t):
     joined = t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left")
-    langs = [r.lang for r in joined.select("lang").distinct().collect()]
-    found = [(lang, cols.any_null(joined.where(F.col("lang") == lang).select("quality"))) for lang in langs]
-    return t.spark.createDataFrame(found, "lang string, quality_missing boolean")
+    return cols.any_null_by(joined, ["lang"], ["quality"])
 
 
 @query("null_report", """

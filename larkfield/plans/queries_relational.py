@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from larkfield.operators import aggregates as agg
+from larkfield.operators import graphs
 from larkfield.operators import joins, matching, reshape, sampling
 from larkfield.lookalike.bagging import Draw
 from larkfield.operators.ranking import first_rows
@@ -360,6 +361,11 @@ SELECT st.id, st.name, st.line, coalesce(CAST(total_traffic AS BIGINT), 0) AS to
 FROM st LEFT JOIN tr ON st.name = tr.name AND st.line = tr.line LEFT JOIN dg ON dg.id = st.id
 """)
 def node_stats(t):
+    return agg.node_stats(*_station_network(t))
+
+
+def _station_network(t):
+    """Nations as stations, customers as their traffic, suppliers as connections."""
     stations = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"),
                                F.col("n_regionkey").alias("line"))
     traffic = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -367,7 +373,30 @@ def node_stats(t):
         F.col("c_custkey").alias("total_traffic"), F.lit(1).alias("user_count"))
     edges = t.supplier.select(F.col("s_nationkey").alias("station1"),
                               (F.col("s_suppkey") % 25).cast("int").alias("station2"))
-    return agg.node_stats(stations, traffic, edges)
+    return stations, traffic, edges
+
+
+@query("network_totals", """
+WITH RECURSIVE st AS (SELECT c_custkey AS id, c_nationkey AS line FROM customer),
+ e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT o_custkey AS a, ((o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer)) + 1 AS b FROM orders WHERE o_orderkey % 12 = 0) x
+  WHERE a <> b AND a IN (SELECT id FROM st) AND b IN (SELECT id FROM st)),
+ ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ reach AS (SELECT id AS x, id AS y FROM st UNION SELECT reach.x, ways.b FROM reach JOIN ways ON ways.a = reach.y),
+ comp AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY 1),
+ dg AS (SELECT a AS id, count(*) AS links FROM ways GROUP BY 1),
+ tr AS (SELECT o_custkey AS id, count(*) AS n, sum(o_orderkey) AS k FROM orders GROUP BY 1),
+ k AS (SELECT st.id, line, component, coalesce(links, 0) AS links, coalesce(n, 0) AS users, coalesce(k, 0) AS traffic FROM st JOIN comp USING (id) LEFT JOIN dg ON dg.id = st.id LEFT JOIN tr ON tr.id = st.id)
+SELECT component, count(*) AS stations, count(DISTINCT line) AS lines, CAST(sum(links) // 2 AS BIGINT) AS connections, CAST(sum(traffic) AS BIGINT) AS total_traffic,
+ CAST(sum(users) AS BIGINT) AS user_count, count(*) FILTER (links = 1) AS ends, max(links) AS most_connected FROM k GROUP BY GROUPING SETS ((component), ())
+""")
+def network_totals(t):
+    """Customers as stations in a sparse network of their orders: totals of every part and of the whole."""
+    stations = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("line"))
+    traffic = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_custkey").alias("name"), F.col("c_nationkey").alias("line"), F.col("o_orderkey").alias("total_traffic"), F.lit(1).alias("user_count"))
+    n = t.customer.count()
+    edges = t.orders.where("o_orderkey % 12 = 0").select(F.col("o_custkey").alias("station1"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % n + 1).alias("station2"))
+    return graphs.network_totals(agg.node_stats(stations, traffic, edges), edges)
 
 
 # --- sets, reshaping, order ---------------------------------------------------------------

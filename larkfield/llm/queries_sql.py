@@ -41,6 +41,20 @@ SELECT n.conv_id, n.depth::bigint AS depth, p.conv_id AS parent_conv_id, n.n_con
        b.n_leaves::bigint AS n_leaves, b.saved_tokens::bigint AS saved_tokens, n.ends_sha256
 FROM nodes n JOIN below b ON b.upper = n.node LEFT JOIN children c ON c.upper = n.node
 LEFT JOIN links l ON l.lower = n.node AND l.apart = 1 LEFT JOIN nodes p ON p.node = l.upper
+""",
+    "op8_embedding_dedup": """
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+usable AS (
+  SELECT * FROM rows WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT r AS x, r AS y FROM rows UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+lowest AS (SELECT x, min(vec_id) AS component_id FROM reach JOIN rows ON rows.r = y GROUP BY x),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::bigint AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows JOIN lowest ON lowest.x = r LEFT JOIN counted ON counted.x = r
 """,
 }
 SQL = {name: text.strip() for name, text in SQL.items()}

@@ -12,9 +12,11 @@ Equal vectors of a label are one class with a weight and are searched once. A li
 of bounded size, and pairs of blocks are compared, so a crowded list never is one task; a block pair
 emits sums and a spanning star per vector, not its pairs.
 
-Defined cases: null, empty, zero or non-finite vectors, vectors that hold nulls, rows with a null label or
-id, and vectors whose length is not the commonest one link with nothing and are kept. Rows that
-repeat count as copies. An empty table gives no rows.
+Defined cases: null, empty, zero or non-finite vectors, vectors that hold nulls, and rows with a null label
+link with nothing and are kept. Only vectors of one length are compared; for the index shorter ones are filled up with
+zeros, which change no distance. Classes have a key of their own, so ids may repeat or be null: rows that
+repeat an id are vectors of their own, and component_id is the smallest id that a row of the component has, null if
+none has one (such rows are all kept). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.llm.components import connected_components, join, looked_up, roots
-from larkfield.session import checkpointed
+from larkfield.session import checkpointed, small_side
 
 #: Rows of a block, and rows of one label that a list is made for.
 BLOCK_ROWS, LIST_ROWS = 2048, 512
@@ -157,38 +159,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, slack: float =
     kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].alias("label"),
                           vectors[vector_col].cast(kind).alias("embedding"))
-    dims = rows.filter(_usable()).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dim = dims.d if dims else 0
-    usable = rows.filter(_usable(dim))
-    classed = checkpointed(looked_up(usable, ["label", "embedding"], F.col("vec_id"), [F.min("vec_id").alias("_r"), F.count("*").alias("_n")],
-                                     [F.min("_r").alias("rep"), F.sum("_n").alias("weight")]))
-    classes = classed.filter("vec_id = rep").dropDuplicates(["rep", "label"]).select("vec_id", "label", "embedding", "weight")
-    alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
+    own = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
+    rest = rows.filter(~_usable()).select("vec_id", *own)
+    dim = rows.filter(_usable()).agg(F.max(F.size("embedding"))).first()[0]
+    if dim is None:
+        return rest
+    filled = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("embedding")).cast(kind))
+    usable = checkpointed(rows.filter(_usable()).select(
+        "vec_id", F.monotonically_increasing_id().alias("row"), filled.alias("embedding"),
+        F.concat_ws("/", F.size("embedding").cast("string"), F.col("label").cast("string")).alias("label")))
+    classed = checkpointed(looked_up(
+        usable, ["label", "embedding"], F.col("row"), [F.min("row").alias("_r"), F.count("*").alias("_n"), F.min("vec_id").alias("_i")],
+        [F.min("_r").alias("rep"), F.sum("_n").alias("weight"), F.min("_i").alias("low")]))
+    firsts = classed.filter("row = rep")
+    classes = firsts.select(F.col("row").alias("vec_id"), "label", "embedding", "weight")
     n, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    if not n:
-        return rows.select("vec_id", *alone)
     model = _fitted(classes, n, labels, dim, threshold, slack, sample_rows, lists)
     stars = checkpointed(_stars(checkpointed(_indexed(classes, model, dim)), model, dim, threshold))
     links = stars.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comps = connected_components(stars.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    found = links.join(comps, links["vec_id"] == comps["id"], "left").select(
-        F.col("vec_id").alias("rep"), "n", F.coalesce("component", "vec_id").alias("component"))
-    salted = classed.select("vec_id", "rep", "weight").withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
+    linked = links.join(comps, links["vec_id"] == comps["id"]).select(F.col("vec_id").alias("rep"), "n", "component").join(
+        firsts.select("rep", "low"), "rep")
+    found = looked_up(linked, ["component"], F.col("rep"), [F.min("low").alias("_m")], [F.min("_m").alias("lowest")]).select("rep", "n", "lowest")
+    salted = classed.select("vec_id", "rep", "weight", "low", F.pmod(F.xxhash64("row"), F.lit(32)).alias("_salt"))
     parts = salted.select("rep", "_salt").distinct().join(found, "rep")
-    linked = salted.join(parts, ["rep", "_salt"], "left").select(
+    out = salted.join(parts, ["rep", "_salt"], "left").select(
         "vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
-    rest = rows.filter(~_usable(dim))
-    return linked.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(rest.select("vec_id", *alone))
+        F.when(F.col("n").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).unionByName(rest)
 
 
-def _usable(dim: int | None = None) -> Column:
-    """True for rows that can link: label, id and a finite vector that is not zero; else false, never null."""
+def _usable() -> Column:
+    """True for rows that can link: a label and a finite vector that is not zero; else false, never null."""
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    checks = [F.col("label").isNotNull(), F.col("vec_id").isNotNull(), F.size(e) > 0, finite, F.exists(e, lambda v: v != 0)]
-    if dim is not None:
-        checks.append(F.size(e) == dim)
+    checks = [F.col("label").isNotNull(), F.size(e) > 0, finite, F.exists(e, lambda v: v != 0)]
     return reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in checks])
 
 
@@ -213,7 +218,7 @@ def _stars(indexed: DataFrame, model: Quantiser, dim: int, threshold: float) ->
     sent = indexed.withColumn("at", F.explode("searched")).drop("searched")
     sizes = indexed.groupBy("label", F.col("home").alias("at")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     asked = sent.groupBy("label", "at").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("asks"))
-    sized = sent.join(F.broadcast(sizes.join(asked, ["label", "at"])), ["label", "at"])  # labels x lists rows
+    sized = sent.join(small_side(sizes.join(asked, ["label", "at"])), ["label", "at"])
     mine = F.col("home") == F.col("at")
     pick = F.xxhash64("vec_id", F.lit("block"))
     # block pairs (i, j): members of block i against members of block j >= i, or against foreign block j

@@ -186,3 +186,36 @@ def test_no_vectors(spark):
     assert vectors.near_duplicates(none).count() == 0
     useless = spark.createDataFrame([(1, None, 1), (2, [0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, vectors.near_duplicates(useless).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_vectors_of_other_lengths_and_repeated_ids_keep_their_links(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [0.0, 1.0, 0.0], 0), (3, [1.0, 0.001], 0), (4, [1.0, 0.0], 0), (5, [1.0, 0.0], 1),  # two short ones
+            (7, [0.0, 0.0, 1.0], 2), (7, [1.0, 1.0, 0.0], 2), (8, [0.0, 0.01, 1.0], 2), (9, [1.0, 1.0, 0.01], 2),
+            (None, [3.0, -1.0, 0.0], 3), (None, [3.0, -1.0, 0.0], 3), (6, [3.0, -1.001, 0.0], 3), (None, [0.0, 5.0, 5.0], 3)]
+    got = sorted(map(tuple, vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()), key=repr)
+    want = [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 2, 6, True), (7, 1, 7, True), (7, 1, 7, True),
+            (8, 1, 7, False), (9, 1, 7, False), (None, 2, 6, False), (None, 2, 6, False), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("lists", [None, 60])
+def test_recall_with_many_lists(spark, lists):
+    """64 dimensions, planted pairs just above the threshold, at least half random: no link of all pairs is missed."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [*base]
+    for v in base[:600]:
+        away = rng.normal(size=64)
+        away -= (away @ v) * v
+        away /= np.linalg.norm(away)
+        cosine = rng.uniform(0.931, 0.95)
+        rows.append(cosine * v + (1 - cosine**2) ** 0.5 * away)
+    unit = np.array(rows, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.93
+    np.fill_diagonal(close, False)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame, lists=lists).collect()}
+    found, all_links = sum(got.values()), int(close.sum())
+    assert all(got[i] <= n for i, n in enumerate(close.sum(1))) and found >= 0.99 * all_links and all_links >= 1200

@@ -9,6 +9,7 @@ from larkfield.operators.sampling import redistribute
 from larkfield.plans.registry import query
 from larkfield.session import computed_once, fresh_path
 from larkfield.sinks import features
+from larkfield.sinks import map_document as map_documents
 from larkfield.spatial import grid as g
 from larkfield.spatial import measures, shapes, wkt
 
@@ -461,6 +462,16 @@ def placemarks_lines(t):
     return rows.select(F.regexp_extract(value, "<name>([^<]*)<", 1).alias("name"), F.concat(value, F.lit("</Placemark>")).alias("value"))
 
 
+@query("map_document", _layer_sql("lines", 2, "ab || ' ' || cd", "ab || ' ' || cd", "cb || ' ' || ad"))
+def map_document(t):
+    """The line layer as linked documents of at most 40 placemarks; what their tiles hold together."""
+    path = fresh_path(t.spark, "map")
+    map_documents.write_map_document(_labelled(t), "lines", "wkt", path, f"{path}-bad", most=40, name="label", altitude=5)
+    tiles = t.spark.read.text(f"{path}/tiles", wholetext=True)
+    value = F.explode(F.expr("regexp_extract_all(value, '(?s)<Placemark>.*?</Placemark>', 0)"))
+    return tiles.select(value.alias("value")).select(F.regexp_extract("value", "<name>([^<]*)<", 1).alias("name"), "value")
+
+
 @query("placemarks_polygons", _layer_sql("polygons", 4, "ab || ' ' || cb || ' ' || cd || ' ' || ad || ' ' || ab",
                                          "ab || ' ' || cb || ' ' || cd || ' ' || ab", "ab || ' ' || cd || ' ' || ad || ' ' || ab"))
 def placemarks_polygons(t):

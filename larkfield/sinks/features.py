@@ -116,13 +116,13 @@ def _region(geom: Column) -> Column:
 def placemarks(df: DataFrame, layer: str, geometry: str, name: str | None = None,
                description: str | Sequence[str] | None = "all", excluded: Sequence[str] = (),
                altitude: float = 0, row_id: str | None = None, begin: str | None = None,
-               end: str | None = None, with_box: bool = False) -> tuple[DataFrame, DataFrame]:
+               end: str | None = None, with_box: bool = False, keep_box: bool = False) -> tuple[DataFrame, DataFrame]:
     """One KML placemark per geometry text, and the rows that have none.
 
     ``layer`` is points, lines or polygons. The name is a column, or ``row_id`` where no
     name column is given. Multi-part geometries become one multi-geometry; rings after the
     first are holes; the altitude is added to every vertex. Rows whose text cannot be read
-    or is of another type come back in the second frame.
+    or is of another type come back in the second frame. ``keep_box`` adds the bounding box as columns.
     """
     if layer not in LAYERS:
         raise ValueError(f"layer must be one of {sorted(LAYERS)}")
@@ -136,21 +136,21 @@ def placemarks(df: DataFrame, layer: str, geometry: str, name: str | None = None
     shapes = F.transform(F.col("_g")["parts"], lambda part: _shape(layer, part, altitude))
     body = F.when(F.col("_g")["type"].startswith("MULTI"), F.concat(
         F.lit("<MultiGeometry>"), F.array_join(shapes, ""), F.lit("</MultiGeometry>"))).otherwise(F.get(shapes, F.lit(0)))
-    pieces = [F.lit("<Placemark><name>"), _escaped(F.col(label).cast("string")), F.lit("</name>")]
+    pieces = [F.lit("<Placemark><name>"), _escaped(F.coalesce(F.col(label).cast("string"), F.lit(""))), F.lit("</name>")]
     if wanted:
         pieces += [F.lit("<description>"), _escaped(describe_row(wanted)), F.lit("</description>")]
     pieces.append(_time(begin, end))
     if with_box:
         pieces.append(_region(F.col("_g")))
     text = F.concat(*pieces, body, F.lit("</Placemark>"))
-    return good.select(F.col(label).alias("name"), text.alias("value")), bad
+    box = [mbr(F.col("_g"))[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")] if keep_box else []
+    return good.select(F.col(label).alias("name"), text.alias("value"), *box), bad
 
 
 def write_placemarks(df: DataFrame, layer: str, geometry: str, path: str, bad_path: str, **options) -> None:
     """Placemark lines to ``path``; rows with a bad geometry to ``bad_path``.
 
-    Many tasks write, so each file holds placemarks only; a document header belongs
-    around them when a viewer needs a single file.
+    Many tasks write, so each file holds placemarks only; ``map_document`` writes documents that open.
     """
     good, bad = placemarks(df, layer, geometry, **options)
     good.select("value").write.mode("overwrite").text(path)

@@ -150,3 +150,34 @@ def test_header_of_every_file_goes(spark, tmp_path):
         (tmp_path / f"f{k}.txt").write_text("id,name\n" + "".join(f"{k}{i},n\n" for i in range(4)))
     load = tables.staged_bulk_load(spark, str(tmp_path / "*.txt"), ["id", "name"], sep=",", skip_header=True)
     assert sorted(r["id"] for r in load.loaded.collect()) == sorted(f"{k}{i}" for k in range(3) for i in range(4))
+
+
+def test_map_documents_open_and_hold_every_placemark_once(spark, tmp_path):
+    import random
+    import xml.etree.ElementTree as ET
+
+    from larkfield.sinks.map_document import write_map_document
+
+    rnd = random.Random(4)
+    rows = [(f"p{i} <&> \x01", f"POINT ({rnd.uniform(30, 40)} {rnd.uniform(50, 60)})") for i in range(300)]
+    rows += [(f"same{i}", "POINT (37.5 55.5)") for i in range(45)] + [("edge", "POINT (180 90)"), ("bad", "oops"), (None, "POINT (-180 -90)")]
+    df = spark.createDataFrame(rows, "name string, wkt string")
+    made = write_map_document(df, "points", "wkt", str(tmp_path / "map"), str(tmp_path / "bad"), most=20, name="name", description=None)
+    space = "{http://www.opengis.net/kml/2.2}"
+    names, seen, todo = [], set(), ["index.kml"]
+    while todo:
+        file = todo.pop()
+        assert file not in seen
+        seen.add(file)
+        root = ET.parse(tmp_path / "map" / file).getroot()
+        found = root.findall(f".//{space}Placemark")
+        assert len(found) <= 20
+        names += [p.find(f"{space}name").text or "" for p in found]
+        for href in root.iter(f"{space}href"):
+            todo.append(href.text.removeprefix("../") if "/" in file else href.text)
+    assert sorted(names) == sorted((n or "").replace("\x01", "") for n, w in rows if w != "oops")
+    files = {str(f.relative_to(tmp_path / "map")) for f in (tmp_path / "map").rglob("*.kml")}
+    assert seen == files and made == {"tiles": sum(f.startswith("tiles") for f in files), "indexes": sum(not f.startswith("tiles") for f in files)}
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+    assert write_map_document(df.limit(0), "points", "wkt", str(tmp_path / "none"), str(tmp_path / "bad2"), name="name") == {"tiles": 0, "indexes": 1}
+    ET.parse(tmp_path / "none" / "index.kml")

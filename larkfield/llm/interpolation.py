@@ -223,7 +223,7 @@ def score_documents(docs: DataFrame, train: Column, deleted: Column, id_col: str
     size = plain.agg(F.sum(F.octet_length("text") + 1).alias("bytes")).first().bytes or 1
     blocks = max(8, -(-int(size) // BLOCK_BYTES))
     # the deleted fold has blocks of its own, so that it can be read alone
-    at = F.xxhash64("doc_id")
+    at = F.xxhash64("doc_id", "text")  # rows that share an id or have none spread by their text
     block = F.when(F.col("role") == DELETED, F.pmod(at, F.lit(-(-blocks // 4))) + blocks).otherwise(F.pmod(at, F.lit(blocks)))
     dealt = plain.withColumn("block", block)
     sent = dealt.groupBy("block").applyInArrow(

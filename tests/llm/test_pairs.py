@@ -144,6 +144,48 @@ def test_contamination_is_that_of_all_windows(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want} and kept.columns == docs.columns
 
 
+def test_blocks_select_and_guarantee_the_radius():
+    radii = decontaminate.block_radii()
+    assert sum(r + 1 for r in radii) == decontaminate.RADIUS + 1
+    meets = sum(len(decontaminate.probe_masks(r)) for r in radii) / (1 << decontaminate.BLOCK_BITS)
+    assert meets < 0.1  # a bound of the share of random pairs that agree in some block
+    rnd = np.random.default_rng(3)
+    for _ in range(300):  # any change of at most the radius leaves some block within its share
+        changed = np.zeros(decontaminate.BITS, bool)
+        changed[rnd.choice(decontaminate.BITS, decontaminate.RADIUS, replace=False)] = True
+        assert any(c.sum() <= r for c, r in zip(changed.reshape(decontaminate.BLOCKS, -1), radii))
+
+
+def test_contamination_near_the_threshold(spark):
+    rnd = random.Random(77)
+    bench, texts = [sentence(rnd, rnd.randint(30, 120)) for _ in range(250)], []
+    for b in bench:
+        words = b.split()
+        cut = rnd.randint(0, len(words) // 9)
+        words = words[cut:] if rnd.random() < 0.5 else words[: len(words) - cut]
+        if rnd.random() < 0.5:
+            words[rnd.randrange(len(words))] = "changed"
+        texts.append(" ".join([sentence(rnd, 40), *words, sentence(rnd, 40)]))
+    docs = documents(spark, list(enumerate(texts)))
+    want = {(i, i): s for i, (t, b) in enumerate(zip(texts, bench)) if (s := window_similarities(t, b)) >= 0.8}
+    assert len(want) > 150 and sum(s < 0.85 for s in want.values()) > 30
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_contamination(docs, items(spark, list(enumerate(bench)))).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+
+
+def test_contamination_of_long_items_and_repeated_rows(spark):
+    rnd = random.Random(78)
+    long, short = sentence(rnd, 3000), sentence(rnd, 20)
+    bench = [(7, long), (5, short), (4, short.upper()), (None, short), (9, "seldom " * 30)]
+    rows = [(1, long + " tail"), (1, long + " tail"), (1, short), (None, short), (3, "x " + short), (3, sentence(rnd, 30)), (4, "Seldom " * 40)]
+    docs = documents(spark, rows).selectExpr("*", "1 AS `_key`", "2 AS `key`", "3 AS row", "4 AS content", "5 AS item")
+    bench = items(spark, bench).selectExpr("*", "1 AS n", "2 AS item", "3 AS shingles")
+    got = sorted((r.doc_id or 0, r.item_id, r.n_items, r.similarity == 1, r.first_word) for r in decontaminate.find_contamination(docs, bench).collect())
+    assert got == [(0, 4, 3, True, 0), (1, 4, 3, True, 0), (1, 7, 1, True, 0), (1, 7, 1, True, 0), (3, 4, 3, True, 1), (4, 9, 1, True, 0)]
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and [(r.doc_id, r.text) for r in kept.collect()] == [(3, rows[5][1])]
+
+
 def test_contamination_of_nothing(spark):
     docs = documents(spark)
     assert decontaminate.find_contamination(docs, items(spark, [])).count() == 0

@@ -3,11 +3,11 @@
 A text becomes counts of hashed letter trigrams (bytes of its lower-cased UTF-8, anything that is
 no letter is a word border), weighted ``(1 + ln tf) * idf`` and scaled to length one. Each language
 is described by a few centroids, found by spherical k-means over a bounded sample of labelled
-texts. A text takes the language of the centroid with the largest cosine.
+texts; document frequencies come from all labelled texts. A text takes the language of the centroid with the largest cosine.
 
 Short texts are farther from every centroid than long ones, so the rejection distance depends on
-the number of trigrams: for each power of two, windows of that many trigrams are cut from the
-sample and half of the cosine that all but one in a hundred reach is the floor. A text below the
+the number of trigrams: for each power of two, windows of that many trigrams are cut from the middle
+of every labelled text and half of the cosine that all but one in a hundred reach is the floor. A text below the
 floor of its length is rejected.
 
 Defined cases: null text, empty text and text without a letter give ``und``, score 0 and are
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.llm.common import text_slices
-from larkfield.session import checkpointed
+from larkfield.session import checkpointed, within_bytes
 
 FEATURES = 1 << 13
 UNKNOWN = "und"
@@ -138,33 +138,49 @@ def _sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             "tf": pa.array([c[i] for c, i in zip(found, at)], pa.list_(pa.int64()))})
 
 
+def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts hold each feature, and under -1 how many hold any."""
+    seen, texts = np.zeros(FEATURES, np.int64), 0
+    for part in text_slices(batches):
+        for text in part.column("text").to_pylist():
+            held = counts(text) > 0
+            seen += held
+            texts += bool(held.any())
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_pydict({"feature": pa.array([-1, *at], pa.int32()), "n": pa.array([texts, *seen[at]], pa.int64())})
+
+
 def fit(docs: DataFrame, learn: Column, sample_rows: int = 2000, centroids: int = 3,
         lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> LanguageModel:
     """Learn from rows where ``learn`` holds and the label is not null.
 
-    ``sample_rows`` bounds the labelled texts that are used, shared evenly by the languages; which
-    rows are drawn depends on a hash of id and text length. Every other row is only counted.
+    Document frequencies and floors come from all of these rows. ``sample_rows`` bounds the expected
+    number of distinct texts that the centroids are fitted on, shared evenly by the languages; which are
+    drawn depends on a hash of id and text. With more languages than ``sample_rows`` some are not drawn.
     """
     labelled = docs.filter(learn & docs[lang_col].isNotNull()).select(
-        docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), docs[id_col].alias("doc_id")
+        docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("h")
     ).filter(F.length("text") > 0)
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return LanguageModel(np.zeros((0, FEATURES)), [], np.ones(FEATURES), np.zeros(_LEVELS))
-    share = max(1, sample_rows // len(sizes))
+    sizes = checkpointed(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    nothing = LanguageModel(np.zeros((0, FEATURES)), [], np.ones(FEATURES), np.zeros(_LEVELS))
+    shares = sizes.count()
+    if not shares:
+        return nothing
     scale = 1 << 30
-    drawn = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(scale))
-    wanted = [F.when(F.col("lang") == lang, F.lit(min(scale, scale * share // n + 1))) for lang, n in sizes.items()]
-    sample = checkpointed(labelled.filter(drawn < F.coalesce(*wanted)).limit(4 * share * len(sizes)))
+    drawn = labelled.join(within_bytes(sizes), "lang").filter(F.pmod("h", F.lit(scale)) * F.col("n") * shares < scale * sample_rows)
+    sample = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))  # repeated rows count once
     rows = sample.select("lang", "text").mapInArrow(_sparse_counts, "lang string, at array<int>, tf array<long>").collect()
-    rows = [r for r in rows if r.at]
+    rows = sorted((r for r in rows if r.at), key=lambda r: (r.lang, r.at, r.tf))
     languages = sorted({r.lang for r in rows})
     if not languages:
-        return LanguageModel(np.zeros((0, FEATURES)), [], np.ones(FEATURES), np.zeros(_LEVELS))
+        return nothing
+    held = labelled.select("text").mapInArrow(_document_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(FEATURES)
-    for r in rows:
-        seen[r.at] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    texts = next(r.n for r in held if r.feature < 0)
+    for r in held:
+        if r.feature >= 0:
+            seen[r.feature] = r.n
+    idf = np.log((1 + texts) / (1 + seen)) + 1
     centres, names = [], []
     for lang in languages:
         tf = np.zeros((sum(r.lang == lang for r in rows), FEATURES), np.float32)
@@ -174,28 +190,40 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = 2000, centroids: int
         centres.append(found)
         names += [lang] * len(found)
     model = LanguageModel(np.concatenate(centres), names, idf, np.zeros(_LEVELS))
-    model.floors = _floors(model, sample)
+    model.floors = _floors(model, labelled)
     return model
 
 
-def _floors(model: LanguageModel, sample: DataFrame) -> np.ndarray:
+def _middle(text: str, size: int) -> np.ndarray:
+    """The ``size`` trigrams around the middle of the whole text, all if it has fewer."""
+    total = sum(map(len, trigrams(text)))
+    low, at, out = max(0, (total - size) // 2), 0, [np.zeros(0, np.uint32)]
+    for part in trigrams(text):
+        out.append(part[max(0, low - at) : max(0, low + size - at)])
+        at += len(part)
+    return np.concatenate(out)
+
+
+def _floors(model: LanguageModel, labelled: DataFrame) -> np.ndarray:
     """Half of the cosine that 99 of 100 windows of each length reach, never rising with brevity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {lang: model.centroids[[i for i, x in enumerate(model.languages) if x == lang]] for lang in set(model.languages)}
         for part in text_slices(batches):
             levels, cosines = [], []
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                mine = model.centroids[[i for i, x in enumerate(model.languages) if x == lang]]
-                codes = next(trigrams(text), np.zeros(0, np.uint32))
+                if lang not in of:
+                    continue
+                codes = _middle(text, 1 << _LEVELS - 1)
                 for level in range(_LEVELS):
-                    if len(codes) >= 1 << level and len(mine):
+                    if len(codes) >= 1 << level:
                         start = (len(codes) - (1 << level)) // 2
-                        tf = np.bincount(codes[start : start + (1 << level)], minlength=FEATURES)
+                        at, tf = np.unique(codes[start : start + (1 << level)], return_counts=True)
                         levels.append(level)
-                        cosines.append(float((mine @ weighted(tf, model.idf)).max()))
+                        cosines.append(float((of[lang][:, at] @ weighted(tf, model.idf[at])).max()))
             yield pa.RecordBatch.from_pydict({"level": pa.array(levels, pa.int32()), "cosine": pa.array(cosines, pa.float64())})
 
-    reached = sample.select("lang", "text").mapInArrow(run, "level int, cosine double")
+    reached = labelled.select("lang", "text").mapInArrow(run, "level int, cosine double")
     found = {r.level: r.c for r in reached.groupBy("level").agg(F.percentile_approx("cosine", 0.01, 10_000).alias("c")).collect()}
     floors, last = np.zeros(_LEVELS), 0.0
     for level in range(_LEVELS):

@@ -132,3 +132,21 @@ def test_trigrams_of_pieces_are_those_of_the_whole(monkeypatch):
     whole = np.concatenate(list(language.trigrams(text)))
     monkeypatch.setattr(language, "_PIECE", 37)
     assert np.concatenate(list(language.trigrams(text))).tolist() == whole.tolist()
+
+
+def test_language_statistics_cover_all_labelled_rows(spark):
+    docs = two_languages(spark)
+    model = language.fit(docs, F.lit(True), sample_rows=4)  # few texts for the centroids, all for the rest
+    texts = [r.text for r in docs.collect() if r.lang is not None and r.text]
+    held = np.array([language.counts(t) > 0 for t in texts])
+    held = held[held.any(1)]
+    assert np.allclose(model.idf, np.log((1 + len(held)) / (1 + held.sum(0))) + 1)
+    assert len(model.languages) <= 4 and (np.diff(model.floors) >= 0).all()
+
+
+def test_language_middle_window():
+    text = "abcdefghij klmnop " * 9
+    whole = np.concatenate(list(language.trigrams(text)))
+    assert language._middle(text, 10_000).tolist() == whole.tolist()
+    low = (len(whole) - 16) // 2
+    assert language._middle(text, 16).tolist() == whole[low : low + 16].tolist()

@@ -11,7 +11,8 @@ opens it, however long; closing punctuation at its end is not part of it. Its sy
 of other scripts are permuted too, brackets and separators stay. Long secrets are permuted in
 pieces, each keyed by all pieces before it.
 
-Names are found behind a title or a label, and then wherever the name or a part of it stands in the
+A valid IBAN gets valid check digits, a leading 0 or 1 of a phone number stays, and so does the start
+that tells a token. Names are found behind a title or a label, and then wherever the name or a part of it stands in the
 same document. Each part of a name has a surrogate of its own, so that "Mr. John Smith" and
 "Mr. Smith" keep sharing a surname. It is spelled by a keyed code of the part alone, from syllables of
 its script or, beyond Latin, Cyrillic and Greek, from the script's letters; the given name's ending
@@ -45,23 +46,27 @@ _NAME = r"[^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 #: Titles with the gender they tell: f, m or - for none.
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "-", "Prof": "-", "Herr": "m", "Herrn": "m", "Frau": "f",
-    "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sra": "f",
+    "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sra": "f", "Sr": "m", "Dra": "f",
     "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f",
 }
+TITLES |= {title.upper(): gender for title, gender in TITLES.items()}
+#: Beginnings that tell a token by themselves; they stay.
+TOKEN_STARTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "sk_live_", "rk_live_")
 _IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Vowel signs and accents that are characters of their own; they belong to the letter before them.
 _MARKS = "".join(c for c in map(chr, range(0x300, 0xFE00)) if unicodedata.category(c) in ("Mn", "Mc"))
 PATTERNS = {
-    "email": rf"(?<![\w.+%{_MARKS}-])[^\W_][\w.%+{_MARKS}-]{{0,63}}@(?:[^\W_](?:(?:[^\W_]|[{_MARKS}-]){{0,61}}(?:[^\W_]|[{_MARKS}]))?\.){{1,8}}(?:xn--[A-Za-z0-9-]{{2,59}}|(?:[^\W\d_]|[{_MARKS}]){{2,24}})(?![\w{_MARKS}-])",
+    "email": rf"(?<![\w.+%{_MARKS}-])[^\W_][\w.%+{_MARKS}-]{{0,63}}@(?:[^\W_](?:(?:[^\W_]|[{_MARKS}-]){{0,61}}(?:[^\W_]|[{_MARKS}]))?\.){{1,8}}(?:xn--[A-Za-z0-9-]{{2,59}}|(?:[^\W\d_]|[{_MARKS}]){{2,24}})(?![\w{_MARKS}-])|(?<![\w.+%-])[^\W_][\w.%+-]{{0,63}}@localhost(?![\w.-])",
     "ipv4": rf"(?<![\w.]){_IPV4}(?!\w|\.\d)",
     "ipv6": rf"(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{{1,4}}:){{6}})(?:[0-9A-Fa-f]{{0,4}}:){{2,8}}(?:{_IPV4}|[0-9A-Fa-f]{{1,4}}|(?<=::))(?!\w|:[\w:]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w+.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,5}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,5}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?:\(0\d{1,4}\)[ /-]?|0\d{2,4}[ /-])\d{3,8}(?:[ -]?\d{2,5}){0,2})(?![\w-])",
     "access_key": r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)",
-    "secret": r"(?i:(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[:=]\s{0,3}(?P<quote>[\"'])?)(?P<secret_value>\S{6})",
-    "name": rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s(?:Dr\.?\s)?|(?i:(?:full |first |last )?name|nombre|nom)\s?[:=]\s?)(?P<name_value>{_NAME}(?:\s{_NAME}){{0,2}})",
+    "token": rf"(?<!\w)(?:{'|'.join(TOKEN_STARTS)})[A-Za-z0-9_-]{{16,255}}(?![\w-])",
+    "secret": r"(?i:(?:(?<![^\W_])(?:password|passwd|pwd|token|secret|(?:api|access|private)[_-]?key)(?:[_-]\w{1,40})?\s{0,3}[:=]\s{0,3}|(?<!\w)bearer\s{1,3}(?=[\w.~+/=-]{16}))(?P<quote>[\"'])?)(?P<secret_value>\S{6})",
+    "name": rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s(?:Dr\.?\s)?|(?i:(?:full |first |last )?name|nombre|nom)\s?[:=]\s?)(?P<name_value>{_NAME}(?:\s{_NAME}){{0,2}})|(?<!\w)(?i:(?:full |first |last )?name|nombre|nom)\s?[:=]\s?(?P<small_name>[^\W\d_]+(?:[ ][^\W\d_]+){{0,2}})(?=[ \t]*(?:[,;|\r\n]|\Z))",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 #: Heads and vowels of a script's syllables, and the endings of a given name by gender.
@@ -92,7 +97,7 @@ def luhn(digits: str) -> bool:
 def _valid(kind: str, value: str) -> bool:
     digits = re.sub(r"\D", "", value)
     if kind == "phone":
-        return 7 <= len(digits) <= 15
+        return (9 if value.lstrip("(")[0] == "0" else 7) <= len(digits) <= 15
     if kind == "ipv6":
         return _is_ipv6(value)
     if kind == "secret":
@@ -100,6 +105,15 @@ def _valid(kind: str, value: str) -> bool:
     return True
 
 
+def iban_valid(value: str) -> bool:
+    return _iban_remainder(value) == 1
+
+
+def _iban_remainder(value: str) -> int:
+    plain = re.sub("[^0-9A-Za-z]", "", value)
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
 def _is_ipv6(value: str) -> bool:
     try:
         return isinstance(ipaddress.ip_address(value), ipaddress.IPv6Address) and value != "::"
@@ -118,7 +132,7 @@ def _hex_digits(value: str) -> str:
 def _regions(text: str) -> list[list[int]]:
     """Stretches of the text around digits, signs and titles, outside of which nothing can match."""
     signs = [m.start() for m in _SIGN.finditer(text)]
-    for word in (*TITLES, "AKIA", "ASIA"):
+    for word in (*TITLES, *TOKEN_STARTS, "AKIA", "ASIA", "earer ", "EARER "):
         at = text.find(word)
         while at >= 0:
             signs.append(at)
@@ -139,7 +153,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         at = max(at, low)
         while m := _ANY.search(text, at, high):
             kind = m.lastgroup
-            start, end = m.span({"secret": "secret_value", "name": "name_value"}.get(kind, kind))
+            start, end = m.span({"secret": "secret_value", "name": "name_value" if m["name_value"] else "small_name"}.get(kind, kind))
             at = m.end()
             if kind == "secret":  # its end may lie behind the region
                 whole = _SECRET[m["quote"]].match(text, start)
@@ -302,8 +316,15 @@ class Surrogates:
         country = re.match(r"\+\d{1,3}(?=[ .(-])", value)
         kept = country.end() if country else 0
         lead = next((i for i in range(kept, len(value)) if value[i].isdigit()), 0)
-        real = value[lead] in "23456789"  # area codes that begin with 0 or 1 stay among themselves
-        return self._reshaped(value, f"phone|{real}", lambda s: (s[lead] in "23456789") == real, lambda i: i < kept, loose=True)
+        real = value[lead] in "23456789"  # a leading 0 or 1 stays
+        return self._reshaped(value, f"phone|{real}", lambda s: (s[lead] in "23456789") == real, lambda i: i < kept or i == lead and not real, loose=True)
+
+    def _iban(self, value: str) -> str:
+        """The country stays, and check digits that are right become right ones."""
+        if not iban_valid(value):
+            return self._reshaped(value, "iban", lambda s: not iban_valid(s), lambda i: i < 2, loose=True)
+        bare = self._reshaped(value[:2] + "00" + value[4:], "iban|valid", fixed=lambda i: i < 4, loose=True)
+        return f"{bare[:2]}{98 - _iban_remainder(bare):02d}{bare[4:]}"
 
     def _name(self, value: str, gender: str) -> str:
         """Surrogates of all parts; the first of several has the gender's ending, a single one if the gender is a capital."""
@@ -347,12 +368,13 @@ class Surrogates:
             return self._name(value, gender)
         if kind == "access_key":
             return value[:4] + self._reshaped(value[4:], kind)
-        if kind == "iban":
-            return self._reshaped(value, kind, fixed=lambda i: i < 2, loose=True)
+        if kind == "token":
+            start = next(len(s) for s in TOKEN_STARTS if value.startswith(s))
+            return value[:start] + self._reshaped(value[start:], f"token|{value[:start]}")
         if kind == "secret":
             return self._hidden(value)
-        if kind in ("email", "ipv4", "ipv6", "card", "phone"):
-            return {"email": self._email, "ipv4": self._ipv4, "ipv6": self._ipv6, "card": self._card, "phone": self._phone}[kind](value)
+        if kind in ("email", "ipv4", "ipv6", "iban", "card", "phone"):
+            return {"email": self._email, "iban": self._iban, "ipv4": self._ipv4, "ipv6": self._ipv6, "card": self._card, "phone": self._phone}[kind](value)
         return self._reshaped(value, kind)
 
     def replace(self, text: str | None) -> tuple[str | None, list[str]]:

@@ -231,7 +231,8 @@ def within_radius(windows: DataFrame, passages: DataFrame, radius: int = RADIUS)
     own = [_block_code(i, F.shiftrightunsigned(_PRINTS[i // 4], BLOCK_BITS * (i % 4)).bitwiseAND((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
     asked = windows.select("content", "n", *_PRINTS, F.explode(F.array(*own)).alias("code"))
     apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"item_{p}"))) for p in _PRINTS), F.lit(0))
-    return asked.join(entered, "code").filter(apart <= radius).select("content", "n", "item").distinct()
+    # an item is entered some 6,000 times, which Spark's estimate of the table's size does not see: never broadcast it
+    return asked.join(entered.hint("merge"), "code").filter(apart <= radius).select("content", "n", "item").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

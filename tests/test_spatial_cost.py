@@ -1,8 +1,9 @@
 """Work on shapes is spread over all cores and done once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from larkfield.spatial import wkt
+from larkfield.spatial import thinning, wkt
 
 
 def test_rows_of_a_small_file_are_dealt_to_all_cores(spark):
@@ -25,3 +26,16 @@ def test_a_computed_shape_is_computed_once_for_text_and_bounds(spark):
         assert plan(used).count("regexp_extract(") == plan(alone).count("regexp_extract(") > 0
     assert df.select(wkt.to_wkt(wkt.parse_wkt(F.col("wkt")))).first()[0] == "LINESTRING (1 2, 3 5)"
     assert tuple(df.select(wkt.mbr(wkt.parse_wkt(F.col("wkt")))).first()[0]) == (1.0, 2.0, 3.0, 5.0)
+
+
+def test_few_corners_are_measured_without_arrays(monkeypatch):
+    rng = np.random.default_rng(3)
+    lines = [rng.integers(0, 64, (300, 2)) / 64.0, np.cumsum(rng.normal(size=(300, 2)), 0)]
+    calls, real = [], np.hypot
+    monkeypatch.setattr(thinning.np, "hypot", lambda *a: calls.append(1) or real(*a))
+    found = [thinning.kept_corners([line], False, t)[0] for line in lines for t in (0.05, 0.25)]
+    assert len(calls) < 100  # an array for every corner would be over 1,000
+    monkeypatch.setattr(thinning, "_SHORT", 0)
+    arrays = [thinning.kept_corners([line], False, t)[0] for line in lines for t in (0.05, 0.25)]
+    assert [k.tolist() for k in found] == [k.tolist() for k in arrays]
+    assert len(calls) > 1000

@@ -77,6 +77,15 @@ def _loads(a: DataFrame, b: DataFrame) -> DataFrame:
     return counts.where((F.col("na") > 0) & (F.col("nb") > 0))
 
 
+def _blocks(loads: DataFrame, crowded_pairs: int) -> tuple[DataFrame, Column]:
+    """Cells to cut into blocks, ``_pa`` times ``_pb`` of them, and the rows of both sides that a cell has in all its blocks."""
+    per_block = math.sqrt(crowded_pairs)
+    is_hot = F.col("na").cast("double") * F.col("nb") > crowded_pairs
+    pa, pb = (F.ceil(F.col(c) / per_block).cast("int") for c in ("na", "nb"))
+    rows = F.when(is_hot, F.col("na") * pb + F.col("nb") * pa).otherwise(F.col("na") + F.col("nb"))
+    return loads.where(is_hot).select(*_CELL, pa.alias("_pa"), pb.alias("_pb")), rows
+
+
 class _Shapes:
     """Segments of all shapes of one side of a group, shape after shape."""
 
@@ -191,17 +200,20 @@ def _touching(a: _Shapes, b: _Shapes, ra: np.ndarray, rb: np.ndarray) -> np.ndar
 
 
 def _joined(grid: Grid, left_id: str, right_id: str):
+    # plain numbers: a Grid would be read back by its class, and executors need not have this package
+    xmin, ymin, nx, ny, grid_dx, grid_dy = grid.xmin, grid.ymin, grid.nx, grid.ny, grid.dx, grid.dy
+
     def corners(cell: np.ndarray) -> np.ndarray:
         scale = np.exp2(cell[:, 0])
-        dx, dy = grid.dx / scale, grid.dy / scale
-        x, y = grid.xmin + cell[:, 1] * dx, grid.ymin + cell[:, 2] * dy
+        dx, dy = grid_dx / scale, grid_dy / scale
+        x, y = xmin + cell[:, 1] * dx, ymin + cell[:, 2] * dy
         return np.stack([x, y, x + dx, y + dy], 1)
 
     def owned(a: _Shapes, b: _Shapes, ra: np.ndarray, rb: np.ndarray) -> np.ndarray:
         cell = a.cell[ra]
         scale = np.exp2(cell[:, 0])
         out = np.ones(len(ra), bool)
-        for axis, origin, step, n in ((0, grid.xmin, grid.dx, grid.nx), (1, grid.ymin, grid.dy, grid.ny)):
+        for axis, origin, step, n in ((0, xmin, grid_dx, nx), (1, ymin, grid_dy, ny)):
             low = np.maximum(a.box[ra, axis], b.box[rb, axis])
             index = np.clip(np.floor((low - origin) / (step / scale)), 0, n * scale - 1)
             out &= index == cell[:, 1 + axis]
@@ -251,10 +263,10 @@ def exact_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, righ
         loads = checkpointed(_loads(*slim))
     for split in splits:
         sides = [_quartered(s, split, grid) for s in sides]
-    per_block = math.sqrt(crowded_pairs)
-    hot = small_side(loads.where(product > crowded_pairs).select(
-        *_CELL, F.ceil(F.col("na") / per_block).cast("int").alias("_pa"), F.ceil(F.col("nb") / per_block).cast("int").alias("_pb")))
-    total = loads.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
+    hot, rows = _blocks(loads, crowded_pairs)
+    hot = small_side(hot)
+    # rows repeated for blocks count, or a group would get more pairs the more its cells are crowded
+    total = loads.agg(F.sum(rows)).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // _GROUP_ROWS)
     grouped = []
     for side, key, own, other, i, j in zip(sides, ("a_id", "b_id"), ("_pa", "_pb"), ("_pb", "_pa"), ("i", "j"), ("j", "i")):

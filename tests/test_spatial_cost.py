@@ -1,9 +1,10 @@
 """Work on shapes is spread over all cores and done once."""
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from larkfield.spatial import thinning, wkt
+from larkfield.spatial import cell_join, grid, thinning, wkt
 
 
 def test_rows_of_a_small_file_are_dealt_to_all_cores(spark):
@@ -39,3 +40,15 @@ def test_few_corners_are_measured_without_arrays(monkeypatch):
     arrays = [thinning.kept_corners([line], False, t)[0] for line in lines for t in (0.05, 0.25)]
     assert [k.tolist() for k in found] == [k.tolist() for k in arrays]
     assert len(calls) > 1000
+
+
+def test_exact_join_counts_rows_repeated_for_blocks(spark):
+    loads = spark.createDataFrame([(0, 1, 1, 10_000, 4_000), (0, 2, 1, 30, 50)], "level int, ix int, iy int, na long, nb long")
+    hot, rows = cell_join._blocks(loads, 4_000_000)
+    assert [tuple(r) for r in hot.collect()] == [(0, 1, 1, 5, 2)]
+    assert [r[0] for r in loads.orderBy("ix").select(rows).collect()] == [10_000 * 2 + 4_000 * 5, 80]
+
+
+def test_exact_join_travels_without_the_package():
+    sent = cloudpickle.dumps(cell_join._joined(grid.Grid(0.0, 0.0, 1.0, 1.0, 4, 4), "a_id", "b_id"))
+    assert b"larkfield.spatial.grid" not in sent

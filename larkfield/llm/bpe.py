@@ -20,7 +20,6 @@ taken whole, split at white space in pieces whose ids do not depend on each othe
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import unicodedata
@@ -35,8 +34,8 @@ from pyspark.sql import DataFrame
 from larkfield.llm.common import id_and_text, text_slices
 
 _END = "\0"
-#: Entries of a worker's word table before it starts anew; a bound on memory only.
-_TABLE_ENTRIES = 300_000
+#: Entries of each table of a coder before it starts anew; a bound on memory only.
+_TABLE_ENTRIES = 100_000
 #: Python splits at these four control characters, the tokenizer does not.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -202,14 +201,9 @@ class WordCoder:
         return self.spelling[source[:-1]].tobytes()
 
 
-@functools.cache
-def coder(path: str) -> WordCoder:
-    return WordCoder(path)
-
-
 def _digests(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path)
+        bpe = WordCoder(path)  # the task's own: workers live on, and later stages need their memory
         for part in text_slices(batches):
             all_ids, counts, sha_ids, sha_text = [], [], [], []
             for text in part.column("text").to_pylist():
@@ -243,7 +237,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and the decoded text of each row's ``ids``; null ids give empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path)
+        bpe = WordCoder(path)  # the task's own: workers live on, and later stages need their memory
         for part in text_slices(batches):
             texts = [bpe.decode(np.array(ids or [], np.int64)).decode("utf-8") for ids in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text": pa.array(texts, pa.string())})

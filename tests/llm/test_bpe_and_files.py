@@ -1,13 +1,15 @@
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import AWKWARD, documents
 from tokenizers import Tokenizer
 
-from larkfield.llm import bpe, token_files
+from larkfield.llm import bpe, common, token_files
 from larkfield.llm.queries import tokenizer
 
 
@@ -40,6 +42,34 @@ def test_compatibility_is_that_of_merging(word_file):
         assert all(coder.fits(a, b) for a, b in zip(ids, ids[1:]))
 
 
+def test_a_worker_keeps_no_coder_after_its_task(word_file, monkeypatch):
+    made = []
+
+    class Seen(bpe.WordCoder):
+        def __init__(self, path):
+            super().__init__(path)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(bpe, "WordCoder", Seen)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["some words, some more", None, "a <|endoftext|> b"]})
+    rows = list(bpe._digests(word_file, True)(iter([batch])))
+    assert sum(r.num_rows for r in rows) == 3
+    assert made and all(ref() is None for ref in made)
+
+
+def test_text_slices_give_memory_back(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": [str(i) for i in range(600)]})
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(True)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    parts = list(common.text_slices(iter([batch, batch.slice(0, 0), batch.slice(5, 1)])))
+    assert [p.num_rows for p in parts] == [256, 256, 88, 1] and released == [True]
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_documents_round_trip(spark, word_file, extra):
     docs = documents(spark, extra=extra)

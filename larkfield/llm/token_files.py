@@ -19,23 +19,28 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.llm.bpe import byte_characters
-from larkfield.llm.common import id_and_text, text_slices
+from larkfield.llm.common import RecentTable, id_and_text, text_slices
 from larkfield.session import fresh_path
 
 #: Sequences in a batch.
 SEQUENCES = 64
-_TABLE_ENTRIES = 1_000_000
+#: Entries of a generation of a worker's word table; a bound on memory only.
+_TABLE_ENTRIES = 500_000
+#: A blank-led word or the first of a line that ends in marks: letters are one piece of the pre-tokenizer, marks another.
+_WORD_AND_MARKS = regex.compile(r"(\n?)(\p{L}+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 class LibraryCoder:
@@ -43,7 +48,8 @@ class LibraryCoder:
 
     The pre-tokenizer never joins text across the border between a non-space and the blank after
     it. In a text with single blanks and line breaks only, each blank-led word can therefore be
-    encoded alone. Any other text goes to the library whole.
+    encoded alone. Any other text goes to the library whole. Of a word with marks at its end, the word and
+    the marks are pieces of their own, so words are met before more often.
     """
 
     def __init__(self, path: str):
@@ -57,18 +63,29 @@ class LibraryCoder:
         self._bytes = dict(enumerate(byte_characters()))
         self.size = self._whole.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self._words: dict[str, bytes] = {}
+        self._format = "H" if self.type.itemsize == 2 else "I"
+        self._line_break = self._library("\n")
+        self._known = RecentTable(self._blank_led, _TABLE_ENTRIES)
+        self._unled = RecentTable(self._piece, _TABLE_ENTRIES // 10)
 
     def _library(self, text: str) -> bytes:
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer, with the blank before it if it has one."""
+        found = self._merge(piece.encode().decode("latin-1").translate(self._bytes))
+        return struct.pack(f"<{len(found)}{self._format}", *[t.id for t in found])
+
     def _blank_led(self, word: str) -> bytes:
-        if word[0] == "\n":  # its line break stands where the blank would
-            return self._library(word)
-        if word.isalpha():  # one piece of the pre-tokenizer
-            piece = (" " + word).encode().decode("latin-1").translate(self._bytes)
-            return np.array([t.id for t in self._merge(piece)], self.type).tobytes()
-        return self._library(" " + word)
+        """Ids of a blank and ``word``; of ``word`` alone if a line break stands where the blank would."""
+        if word.isalpha():
+            return self._piece(" " + word)
+        parts = _WORD_AND_MARKS(word)
+        if not parts:
+            return self._library(word if word[0] == "\n" else " " + word)
+        line_break, letters, marks = parts.groups()
+        ids = self._line_break + self._unled[letters] if line_break else self._known[letters]
+        return ids + self._unled[marks] if marks else ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, packed."""
@@ -78,18 +95,7 @@ class LibraryCoder:
                 or not text.replace("\n", " ").isprintable()):
             return self._library(text)
         first, *words = text.replace("\n", " \n").split(" ")
-        known = self._words
-        try:
-            return self._library(first) + b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) + len(words) > _TABLE_ENTRIES:
-                known.clear()
-            out = [self._library(first)]
-            for w in words:
-                if w not in known:
-                    known[w] = self._blank_led(w)
-                out.append(known[w])
-            return b"".join(out)
+        return self._library(first) + b"".join(map(self._known.__getitem__, words))
 
 
 @functools.cache

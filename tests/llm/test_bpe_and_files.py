@@ -130,6 +130,20 @@ def test_byte_coder_equals_the_library():
         assert np.frombuffer(coder.encode(text), coder.type).tolist() == coder._whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_with_marks_ask_only_for_the_word():
+    coder = token_files.LibraryCoder(tokenizer("byte_bpe_50k.json"))
+    whole = coder._whole
+    texts = ["He saw stones, stones. stones!\nstones; (stones) don't stones's stones1 été, été…", "x\nstones,\nstones... <|endoftext|>, a'",
+             "a b'll b've!' \u02bcb, b\u0301, b`~", "one ,two 3, four-five"]
+    for text in texts:
+        assert np.frombuffer(coder.encode(text), coder.type).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    asked = []
+    plain = coder._library
+    coder._library = lambda text: asked.append(text) or plain(text)
+    coder.encode("He walked, stopped. Then\nwalked; and walked! walked?")
+    assert asked == ["He"]
+
+
 def expected_files(docs, library):
     start, out = 0, []
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):

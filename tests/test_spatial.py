@@ -64,6 +64,28 @@ def test_box_join_equals_all_pairs(spark, options):
         assert per_cell.count() == per_cell.distinct().count() > len(wanted)
 
 
+@pytest.mark.parametrize("options", [{}, {"crowded_pairs": 200}, {"crowded_pairs": 200, "salt_rows": 20}, {"salt_rows": 10}])
+def test_boxes_of_one_size_go_to_one_cell(spark, monkeypatch, options):
+    rng = random.Random(12)
+    a = [(i, x, y, x + 0.3, y + rng.choice([0.1, 0.2])) for i in range(400)
+         for x, y in [(rng.choice([rng.uniform(-2, 10), rng.randrange(-8, 72) / 8, 3.1]), rng.choice([rng.uniform(-1, 6), rng.randrange(-8, 40) / 8, 1.1]))]]
+    b = boxes(150, 4, 0.34) + [(9000 + i, p[1] + 0.3, p[2] - 0.1, p[1] + 0.3, p[2]) for i, p in enumerate(a[:40])]  # touch at a corner
+    placed = []
+    join = g.salted_join
+    monkeypatch.setattr(g, "salted_join", lambda left, right, *rest, **more: placed.append(left.count()) or join(left, right, *rest, **more))
+    got = g.box_join(frame(spark, a), frame(spark, b), GRID, "id", "id", **options).select("a_id", "b_id")
+    assert sorted(map(tuple, got.collect())) == sorted((p[0], q[0]) for p in a for q in b if meet(p, q))
+    assert placed == [len(a)]
+
+
+def test_boxes_of_unequal_or_unknown_size_have_no_reach(spark):
+    rows = [(1, 0.0, 0.0, 1.0, 1.0), (2, 1.0, 1.0, 2.5, 2.0), (3, None, 1.0, 2.0, 2.0)]
+    assert g._reach(frame(spark, rows), g.BOX) == (1.5, 1.0)
+    for odd in [(4, 0.0, 0.0, 50.0, 1.0), (4, 2.0, 0.0, 1.0, 1.0), (4, 0.0, 0.0, float("inf"), 1.0), (4, 0.0, 0.0, float("nan"), 1.0)]:
+        assert g._reach(frame(spark, [*rows, odd]), g.BOX) is None
+    assert g._reach(frame(spark, []), g.BOX) is None
+
+
 def test_corner_mode_misses_crossing_bars(spark):
     a, b = [F.lit(v) for v in (0.0, 1.0, 3.0, 2.0)], [F.lit(v) for v in (1.0, 0.0, 2.0, 3.0)]
     row = spark.range(1).select(g.rect_intersects(a, b).alias("o"), g.rect_intersects(a, b, "corner").alias("c")).first()

@@ -12,6 +12,9 @@ task of a range adds up all blocks and answers every block with the totals in th
 block's own list, so answers need no keys. Frequent n-grams come once per block, and no
 task holds more than a range or a block. All documents are counted and scored.
 
+Texts go to their blocks once to be counted and once to be scored, the deleted fold once more. Before each deal a task
+gathers its documents by block and compresses them, so that this takes less disk than the texts themselves.
+
 Expectation-maximisation sees every token of the deleted fold as a pair of ratios to the uniform
 estimate, rounded to an eighth of an octave, with the number of tokens that have it; the table of such
 pairs has a bounded size at any input.
@@ -23,7 +26,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +39,9 @@ from larkfield.llm.words import byte_values, mixed, word_hashes
 from larkfield.session import checkpointed
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
+#: Bytes of documents that a task gathers before it deals them.
+HELD_BYTES = 64 << 20
 BUCKETS, STEPS = 32, 8
 TRAIN, DELETED = 1, 2
 
@@ -59,32 +64,71 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return token, mixed(before * _LEFT + token * _RIGHT), begin
 
 
-def _in_texts(role: np.ndarray, begin: np.ndarray, what: int) -> np.ndarray:
-    return np.repeat(role >= what, np.diff(begin))
+def _compressed(docs: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    codec = pa.Codec("zstd", compression_level=3)
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as writer:
+        writer.write_table(docs)
+    return sink.getvalue().to_pybytes()
+
+
+def _by_block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row per block: its documents of these batches as a compressed Arrow stream."""
+    rows = pa.Table.from_batches(batches).sort_by("block").combine_chunks()
+    block = rows.column("block").to_numpy()
+    begin = np.flatnonzero(np.diff(block, prepend=-1))
+    docs = rows.select(["doc_id", "text", "role"])
+    pieces = [_compressed(docs.slice(a, b - a)) for a, b in zip(begin, np.append(begin[1:], len(block)))]
+    return pa.record_batch({"block": pa.array(block[begin], pa.int64()), "docs": pa.array(pieces, pa.binary())})
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    try:
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield _by_block(held)
+                held, size = [], 0
+        if held:
+            yield _by_block(held)
+    finally:
+        held = batch = None
+        pa.default_memory_pool().release_unused()
+
+
+def _docs(group: pa.Table) -> pa.Table:
+    """doc_id, text and role of a block, from its compressed pieces."""
+    return pa.concat_tables([pa.ipc.open_stream(piece).read_all() for piece in group.column("docs").to_pylist()])
 
 
 def _sent(parts: int) -> Callable[[pa.Table], pa.Table]:
-    """A block's distinct n-grams: per n and hash range the sorted hashes, training and deleted counts."""
+    """A block's distinct n-grams: per n and hash range the sorted hashes and training counts.
+
+    Only blocks of the deleted fold ask; all that they count is deleted.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
-        token, pair, begin = tokens(group.column("text").to_pylist())
-        role = group.column("role").to_numpy()
-        train, deleted = _in_texts(role, begin, TRAIN), _in_texts(role, begin, DELETED)
+        docs = _docs(group)
+        token, pair, begin = tokens(docs.column("text").to_pylist())
+        role = docs.column("role").to_numpy()
+        train = np.repeat(role >= TRAIN, np.diff(begin))
         rows, asks = [], bool((role >= DELETED).any())
         for n, grams in ((1, token), (2, pair)):
             keys, index = np.unique(grams, return_inverse=True)
             trained = np.bincount(index[train], minlength=len(keys))
-            removed = np.bincount(index[deleted], minlength=len(keys))
             range_of = _range_of(keys, parts)
             edges = np.searchsorted(range_of, np.arange(parts + 1))
             for part in np.unique(range_of).tolist():
                 a, b = edges[part], edges[part + 1]
                 steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                rows.append((n, part, block, packed(steps), packed(trained[a:b]), packed(removed[a:b])))
+                rows.append((n, part, block, packed(steps), packed(trained[a:b], dense=True)))
         n, part, blocks, *blobs = zip(*rows)
         return pa.table({"n": pa.array(n, pa.int32()), "part": pa.array(part, pa.int32()), "block": pa.array(blocks, pa.int64()),
-                         "asks": pa.array([asks] * len(rows)), **{c: pa.array(x, pa.binary()) for c, x in zip(("keys", "train", "deleted"), blobs)}})
+                         "asks": pa.array([asks] * len(rows)), **{c: pa.array(x, pa.binary()) for c, x in zip(("keys", "train"), blobs)}})
 
     return run
 
@@ -96,13 +140,14 @@ def _range_of(keys: np.ndarray, parts: int) -> np.ndarray:
 def _totals(group: pa.Table) -> pa.Table:
     """Add up one range of all blocks; one answer per block, the range's sums beside the first."""
     keys = [np.cumsum(unpacked(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
-    train, deleted = (np.concatenate([unpacked(x) for x in group.column(c).to_pylist()]) for c in ("train", "deleted"))
+    train = np.concatenate([unpacked(x) for x in group.column("train").to_pylist()])
+    asks = group.column("asks").to_pylist()  # only blocks of the deleted fold ask what was deleted
+    deleted = np.repeat(asks, [len(k) for k in keys])
     distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
     trained = np.bincount(index, weights=train, minlength=len(distinct)).astype(np.int64)
-    removed = np.bincount(index, weights=deleted, minlength=len(distinct)).astype(np.int64)
+    removed = np.bincount(index[deleted], weights=train[deleted], minlength=len(distinct)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
-    asks = group.column("asks").to_pylist()  # only blocks of the deleted fold ask what was deleted
-    answers = [(packed(trained[i]), packed(removed[i]) if ask else b"") for i, ask in zip(np.split(index, ends[:-1]), asks)]
+    answers = [(packed(trained[i], dense=True), packed(removed[i], dense=True) if ask else b"") for i, ask in zip(np.split(index, ends[:-1]), asks)]
     left = trained - removed
     sums = [int(trained.sum()), int((trained > 0).sum()), int(left.sum()), int((left > 0).sum())]
     extra = {name: pa.array([v] + [0] * (len(keys) - 1), pa.int64()) for name, v in zip(("tokens", "types", "left_tokens", "left_types"), sums)}
@@ -113,7 +158,7 @@ def _totals(group: pa.Table) -> pa.Table:
 _ANSWER = "n int, part int, block long, train binary, deleted binary, tokens long, types long, left_tokens long, left_types long"
 
 
-def _counts(docs: pa.Table, answers: pa.Table, column: str) -> dict[str, np.ndarray]:
+def _counts(docs: pa.Table, answers: pa.Table, left: bool = False) -> dict[str, np.ndarray]:
     """Per token of a block: count of the token, of the bigram it ends and of its context."""
     token, pair, begin = tokens(docs.column("text").to_pylist())
     order = answers.sort_by([("n", "ascending"), ("part", "ascending")])
@@ -124,7 +169,7 @@ def _counts(docs: pa.Table, answers: pa.Table, column: str) -> dict[str, np.ndar
         keys, index = np.unique(grams, return_inverse=True)
         kept = [b for b, m in zip(order.column("train").to_pylist(), ns) if m == n]
         total[n] = np.concatenate([unpacked(b) for b in kept]).astype(np.int64)
-        if column == "left":
+        if left:
             gone = [b for b, m in zip(order.column("deleted").to_pylist(), ns) if m == n]
             total[n] = total[n] - np.concatenate([unpacked(b) for b in gone]).astype(np.int64)
         out["token" if n == 1 else "pair"] = total[n][index]
@@ -183,8 +228,8 @@ def _estimates(counts: dict[str, np.ndarray], n_tokens: int, types: int) -> tupl
 
 
 def _ratio_table(left_tokens: int, left_types: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        counts = _counts(docs, answers, "left")
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        counts = _counts(_docs(group), answers, left=True)
         bigram, unigram, uniform = _estimates(counts, left_tokens, left_types)
 
         def code(p: np.ndarray) -> np.ndarray:
@@ -199,8 +244,9 @@ def _ratio_table(left_tokens: int, left_types: int) -> Callable[[pa.Table, pa.Ta
 
 
 def _scores(weights: Weights, n_tokens: int, types: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        counts = _counts(docs, answers, "train")
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _docs(group)
+        counts = _counts(docs, answers)
         begin = counts["begin"]
         bigram, unigram, uniform = _estimates(counts, n_tokens, types)
         w = weights.by_bucket[Weights.bucket(counts["context"])]
@@ -225,16 +271,19 @@ def score_documents(docs: DataFrame, train: Column, deleted: Column, id_col: str
     # the deleted fold has blocks of its own, so that it can be read alone
     at = F.xxhash64("doc_id", "text")  # rows that share an id or have none spread by their text
     block = F.when(F.col("role") == DELETED, F.pmod(at, F.lit(-(-blocks // 4))) + blocks).otherwise(F.pmod(at, F.lit(blocks)))
-    dealt = plain.withColumn("block", block)
-    sent = dealt.groupBy("block").applyInArrow(
-        _sent(blocks), "n int, part int, block long, asks boolean, keys binary, train binary, deleted binary")
+    placed = plain.withColumn("block", block)
+
+    def dealt(docs: DataFrame):
+        return docs.mapInArrow(_pieces, "block long, docs binary").groupBy("block")
+
+    sent = dealt(placed).applyInArrow(_sent(blocks), "n int, part int, block long, asks boolean, keys binary, train binary")
     answers = checkpointed(sent.groupBy("n", "part").applyInArrow(_totals, _ANSWER))
     known = answers.filter("n = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "left_tokens", "left_types")]).first()
-    blobs = answers.select("n", "part", "block", "train", "deleted")
-    ratios = dealt.filter(F.col("role") == DELETED).groupBy("block").cogroup(blobs.filter(F.col("block") >= blocks).groupBy("block")).applyInArrow(
+    of_fold = answers.filter(F.col("block") >= blocks).select("n", "part", "block", "train", "deleted")
+    ratios = dealt(placed.filter(F.col("role") == DELETED)).cogroup(of_fold.groupBy("block")).applyInArrow(
         _ratio_table(known.left_tokens, known.left_types), "bucket int, bigram int, unigram int, n long")
     table = ratios.groupBy("bucket", "bigram", "unigram").agg(F.sum("n").alias("n")).collect()  # bounded by the rounding
     weights = Weights.learned([(r.bucket, r.bigram, r.unigram, r.n) for r in table])
-    scored = dealt.groupBy("block").cogroup(blobs.groupBy("block")).applyInArrow(
+    scored = dealt(placed).cogroup(answers.select("n", "part", "block", "train").groupBy("block")).applyInArrow(
         _scores(weights, known.tokens, known.types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(known.tokens).cast("long"))

@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from cases import documents, sentence
 from pyspark.sql import functions as F
@@ -91,6 +93,30 @@ def test_em_finds_the_mixture_of_held_out_counts():
     assert w.sum() == pytest.approx(1) and w[0] == pytest.approx(2 / 3, abs=0.02)
 
 
+@pytest.mark.parametrize("held_bytes", [1, 4000, 1 << 26])
+def test_documents_are_dealt_compressed_and_whole(monkeypatch, held_bytes):
+    rnd = random.Random(12)
+    rows = [(i % 37 if i % 11 else None, sentence(rnd, 60) if i % 13 else (None if i % 2 else ""), i % 3, i % 5) for i in range(400)]
+    docs = pa.table(dict(zip(("doc_id", "text", "role", "block"), zip(*rows))))
+    monkeypatch.setattr(interpolation, "HELD_BYTES", held_bytes)
+    empty = pa.RecordBatch.from_pylist([], docs.schema)
+    dealt = pa.Table.from_batches(interpolation._pieces(iter([empty, *docs.to_batches(max_chunksize=90), empty])))
+    found = [(r["doc_id"], r["text"], r["role"], block) for block in range(5)
+             for r in interpolation._docs(dealt.filter(pc.equal(dealt["block"], block))).to_pylist()]
+    assert Counter(found) == Counter(rows)
+    if held_bytes > docs.nbytes:
+        assert dealt.num_rows == 5 and dealt["docs"].nbytes < docs.nbytes / 2
+
+
+def test_counts_of_a_block_are_sent_once():
+    docs = pa.record_batch({"doc_id": [1, 2], "text": ["a b a", None], "role": [interpolation.DELETED] * 2, "block": [9, 9]})
+    sent = interpolation._sent(1)(pa.Table.from_batches([interpolation._by_block([docs])]))
+    assert sent.column_names == ["n", "part", "block", "asks", "keys", "train"] and sent["asks"].to_pylist() == [True, True]
+    answers = [interpolation._totals(sent.filter(pc.equal(sent["n"], n))) for n in (1, 2)]
+    assert [sorted(interpolation.unpacked(a["train"][0].as_py()).tolist()) for a in answers] == [[1, 2, 2], [1, 1, 1, 1, 1]]
+    assert all(a["train"][0] == a["deleted"][0] and a["left_tokens"][0].as_py() == 0 for a in answers)
+
+
 def test_model_without_training_or_rows(spark):
     docs = documents(spark, [(1, "a b"), (2, None)])
     rows = interpolation.score_documents(docs, F.lit(False), F.lit(False)).collect()

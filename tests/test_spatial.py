@@ -309,3 +309,15 @@ def test_adaptive_cells_give_all_pairs(spark, options):
         sides.append(rows)
     want = sorted((i, j) for i, a, fa in sides[0] for j, b, fb in sides[1] if segments.meet_large(a, fa, b, fb))
     assert got == want and len(want) > 900
+
+
+@pytest.mark.parametrize("limits", [{}, {"crowded_pairs": 1000, "salt_rows": 50}])
+def test_pairs_per_cell_come_in_runs_of_few_right_boxes(spark, limits):
+    a = spark.range(200).selectExpr("id", "1.2 + id / 1000 AS xmin", "1.2 AS ymin", "1.5 + id / 1000 AS xmax", "1.5 AS ymax")
+    b = spark.range(600).selectExpr("id * 7 % 600 AS id", "1.3 - id / 2000 AS xmin", "1.1 AS ymin", "1.4 AS xmax", "1.6 AS ymax")
+    rows = g.box_join(a, b, g.Grid(0.0, 0.0, 4.0, 4.0, 4, 4), "id", "id", dedupe=False, **limits).select("a_id", "b_id", "cell_id").collect()
+    met = {(x, y) for x in range(200) for y in range(600)}
+    assert len(rows) == len(met) and {(r.a_id, r.b_id) for r in rows} == met and {r.cell_id for r in rows} == {5}
+    if not limits:
+        near = [len({r.b_id for r in rows[k:k + 2000]}) for k in range(0, len(rows), 2000)]
+        assert sum(near) / len(near) < 200

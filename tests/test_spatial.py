@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkfield.plans.catalog import QUERIES
 from larkfield.sinks import features
 from larkfield.spatial import grid as g, segments
 from larkfield.spatial import measures, projection, shapes, wkt
@@ -321,3 +322,19 @@ def test_pairs_per_cell_come_in_runs_of_few_right_boxes(spark, limits):
     if not limits:
         near = [len({r.b_id for r in rows[k:k + 2000]}) for k in range(0, len(rows), 2000)]
         assert sum(near) / len(near) < 200
+
+
+def test_long_routes_are_whole_lines(spark, tmp_path):
+    """Routes of one, two and 1,203 stops and one without a supplier: a line each, however many stops."""
+    stops = spark.range(1203).selectExpr("id AS l_orderkey", "1 AS l_suppkey", "id * 7 AS l_partkey").unionAll(
+        spark.createDataFrame([(5, 2, 3), (6, 3, 4), (9, 3, 8), *[(i, None, i * i) for i in range(700)]], "l_orderkey long, l_suppkey int, l_partkey long"))
+    stops.selectExpr("*", "1 AS l_linenumber", "1.0 AS l_quantity").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = []
+    real = shapes.simplify_long_text
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(shapes, "simplify_long_text", lambda df, *args: seen.append(df) or real(df, *args))
+        out = QUERIES["simplify_long_text"](spark, str(tmp_path)).collect()
+    assert [tuple(r)[:4] for r in out] == [(4, True, True, True)]
+    lines = {r["l_suppkey"]: [(p["x"], p["y"]) for p in r["points"]] for r in seen[0].select("l_suppkey", wkt.all_points(F.col("geom")).alias("points")).collect()}
+    at = lambda order, part: (order % 64 / 64, part % 64 / 64)
+    assert lines == {1: [at(i, i * 7) for i in range(1203)], 2: [at(5, 3)] * 2, 3: [at(6, 4), at(9, 8)], None: [at(i, i * i) for i in range(700)]}

@@ -3,21 +3,25 @@
 Boxes go to the cells of a regular grid; border cells take what lies outside, so nothing is lost. Cells
 where the pairs of both sides would be too many are quartered, level by level, from counts of
 their boxes, as long as boxes are small beside the cell. What stays crowded, such as equal boxes, is cut into
-blocks of both sides. A task gets the shapes of its cells once each, finds the pairs of boxes that meet with
-sorted arrays, and tests only those. A pair belongs to the one cell that holds the low corner of its
-boxes' overlap. If a shape covers that cell and the other has a corner in it, the pair is proven without a test.
+blocks of both sides. A task gets the shapes of its cells once each, a few cells at a time, finds the pairs of boxes
+that meet, tests only those and sends them on as they are found. A pair belongs to the one cell that holds the low corner of its
+boxes' overlap. A convex outline and a rectangle whose boxes meet are apart only if a slanting edge of the outline parts them;
+what is too near to tell goes to the exact test, as other shapes do. If a shape covers its cell and the other has a corner
+in it, the pair is proven without a test.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkfield.session import checkpointed, small_side
 from larkfield.spatial.grid import BOX, Grid
@@ -27,8 +31,19 @@ from larkfield.spatial.segments import CHUNK, holds_any, meet, meet_large, segme
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _CELL = ["level", "ix", "iy"]
-#: Levels below the grid at most; rows that a group of cells should have.
-_DEEPEST, _GROUP_ROWS = 20, 20_000
+_BLOCK = [*_CELL, "i", "j"]
+#: Levels below the grid at most.
+_DEEPEST = 20
+#: Rows and bytes of the cells that are joined at once, and rows of one side that a block may have.
+_GROUP_ROWS, _GROUP_BYTES, _BLOCK_ROWS = 20_000, 64 << 20, 200_000
+#: Rows, and pairs to compare, that a task should get.
+_TASK_ROWS, _TASK_PAIRS = 100_000, 500_000_000
+#: Pairs of the arrays of one step, few enough for a core's own cache, and pairs of rows of a cell that is compared by itself.
+_STEP, _OWN_STEP = 1 << 16, 1 << 11
+#: Pairs of a batch that goes out.
+_SENT = 1 << 18
+#: Corners of a convex outline that is tested by its edges, and slanting edges among them.
+_CORNERS, _SLANTS = 16, 8
 
 
 def _span(low: Column, high: Column, origin: float, step: Column, cells: Column) -> tuple[Column, Column]:
@@ -80,7 +95,7 @@ def _loads(a: DataFrame, b: DataFrame) -> DataFrame:
 def _blocks(loads: DataFrame, crowded_pairs: int) -> tuple[DataFrame, Column]:
     """Cells to cut into blocks, ``_pa`` times ``_pb`` of them, and the rows of both sides that a cell has in all its blocks."""
     per_block = math.sqrt(crowded_pairs)
-    is_hot = F.col("na").cast("double") * F.col("nb") > crowded_pairs
+    is_hot = (F.col("na").cast("double") * F.col("nb") > crowded_pairs) | (F.greatest("na", "nb") > _BLOCK_ROWS)
     pa, pb = (F.ceil(F.col(c) / per_block).cast("int") for c in ("na", "nb"))
     rows = F.when(is_hot, F.col("na") * pb + F.col("nb") * pa).otherwise(F.col("na") + F.col("nb"))
     return loads.where(is_hot).select(*_CELL, pa.alias("_pa"), pb.alias("_pb")), rows
@@ -94,7 +109,7 @@ class _Shapes:
         column = lambda n: table.column(n).to_numpy()
         self.ids = table.column(key)
         self.box = np.stack([column(c) for c in BOX], 1).reshape(-1, 4)
-        self.cell = np.stack([column(c).astype(np.int64) for c in (*_CELL, "i", "j")], 1).reshape(-1, 5)
+        self.cell = np.stack([column(c).astype(np.int64) for c in _CELL], 1).reshape(-1, 3)
         self.area = table.column("flat_area").to_numpy(zero_copy_only=False).astype(bool)
         lists = [table.column(c).chunk(0) if table.num_rows else pa.array([], pa.list_(pa.float64())) for c in ("flat_x", "flat_y")]
         self.x, self.y = (v.flatten().to_numpy() for v in lists)
@@ -115,6 +130,48 @@ class _Shapes:
         self.segments = np.stack([self.x[start], self.y[start], self.x[stop], self.y[stop]], 1)
         self.count = np.bincount(owner[start], minlength=len(points))
         self.first = np.cumsum(self.count) - self.count
+        self.one_ring = per_shape == 1
+        self._convex()
+
+    def _convex(self) -> None:
+        """Marks convex outlines and rectangles; ``slants`` has the normals and offsets of slanting edges, an array each."""
+        n_rows = len(self.box)
+        self.is_convex = np.zeros(n_rows, bool)
+        slants = np.zeros((_SLANTS, 3, n_rows))
+        slants[:, 2] = np.inf
+        many = np.zeros(n_rows, np.int64)
+        simple = self.area & self.one_ring & np.isfinite(self.box).all(1) & (self.box[:, 2] > self.box[:, 0]) & (self.box[:, 3] > self.box[:, 1])
+        for n in np.unique(self.count[simple & (self.count >= 3) & (self.count <= _CORNERS)]).tolist():
+            rows = np.flatnonzero(simple & (self.count == n))
+            edges = self.stacked(rows, n)
+            closed = (edges[:, -1, 2:] == edges[:, 0, :2]).all(1)
+            rows, edges = rows[closed], edges[closed]
+            dx, dy = edges[:, :, 2] - edges[:, :, 0], edges[:, :, 3] - edges[:, :, 1]
+            next_x, next_y = np.roll(dx, -1, 1), np.roll(dy, -1, 1)
+            cross, along = dx * next_y - dy * next_x, dx * next_x + dy * next_y
+            low = self.box[rows]
+            x, y = edges[:, :, 0] - low[:, 0, None], edges[:, :, 1] - low[:, 1, None]
+            twice = (x * np.roll(y, -1, 1) - y * np.roll(x, -1, 1)).sum(1)
+            turns = np.where(twice[:, None] > 0, cross, -cross)
+            # one way round, once, and no flat shape
+            good = (turns >= 0).all(1) & ((turns > 0) | (along > 0)).all(1) & (np.abs(np.arctan2(turns, along).sum(1) - 2 * np.pi) < 1)
+            good &= np.abs(twice) > 1e-9 * (low[:, 2] - low[:, 0]) * (low[:, 3] - low[:, 1])
+            slanting = (dx != 0) & (dy != 0)
+            good &= slanting.sum(1) <= _SLANTS
+            rows, slanting = rows[good], slanting[good]
+            way = np.sign(twice[good])[:, None] / np.maximum(np.hypot(dx[good], dy[good]), np.finfo(float).tiny)
+            nx, ny = dy[good] * way, -dx[good] * way
+            offset = nx * edges[good, :, 0] + ny * edges[good, :, 1]
+            place = np.cumsum(slanting, 1) - 1
+            at, edge = np.nonzero(slanting)
+            for k, values in enumerate((nx, ny, offset)):
+                slants[place[at, edge], k, rows[at]] = values[at, edge]
+            self.is_convex[rows] = True
+            many[rows] = slanting.sum(1)
+        self.slants = slants[: int(many.max(initial=0))]
+        self.is_rectangle = self.is_convex & (many == 0)
+        self.edges = np.ascontiguousarray(self.box.T)
+        self.reach = float(np.abs(self.box[self.is_convex]).max(initial=0.0))
 
     def of(self, row: int) -> np.ndarray:
         return self.segments[self.first[row] : self.first[row] + self.count[row]]
@@ -128,31 +185,58 @@ def _spread(start: np.ndarray, stop: np.ndarray):
     many = np.maximum(stop - start, 0)
     total, at = np.cumsum(many), 0
     while at < len(many):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _STEP, "right")))
         n = many[at:to]
         row = np.repeat(np.arange(at, to), n)
         yield row, start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = to
 
 
-def _box_pairs(a: _Shapes, b: _Shapes, cell_a: np.ndarray, cell_b: np.ndarray):
-    """Rows of a and b in one cell whose boxes meet, each pair of rows once."""
-    values = np.unique(np.concatenate([a.box[:, 0], a.box[:, 2], b.box[:, 0], b.box[:, 2]]))
+def _box_pairs(a: np.ndarray, b: np.ndarray, cell_a: np.ndarray, cell_b: np.ndarray):
+    """Rows of the boxes a and b in one cell that meet, each pair of rows once."""
+    values = np.unique(np.concatenate([a[:, 0], a[:, 2], b[:, 0], b[:, 2]]))
     wide = len(values) + 1
     key = lambda cell, v: cell * wide + np.searchsorted(values, v)
     for one, two, cell_one, cell_two, side in ((a, b, cell_a, cell_b, "left"), (b, a, cell_b, cell_a, "right")):
-        order = np.argsort(key(cell_two, two.box[:, 0]), kind="stable")
-        low = key(cell_two, two.box[:, 0])[order]
+        order = np.argsort(key(cell_two, two[:, 0]), kind="stable")
+        low = key(cell_two, two[:, 0])[order]
         # starts of two within the span of one; equal starts count for a only
-        begin = np.searchsorted(low, key(cell_one, one.box[:, 0]), side)
-        end = np.searchsorted(low, key(cell_one, one.box[:, 2]), "right")
+        begin = np.searchsorted(low, key(cell_one, one[:, 0]), side)
+        end = np.searchsorted(low, key(cell_one, one[:, 2]), "right")
         for row, place in _spread(begin, end):
             other = order[place]
-            meets = (one.box[row, 1] <= two.box[other, 3]) & (two.box[other, 1] <= one.box[row, 3])
+            meets = (one[row, 1] <= two[other, 3]) & (two[other, 1] <= one[row, 3])
             row, other = row[meets], other[meets]
             yield (row, other) if one is a else (other, row)
 
 
+def _cell_pairs(a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray):
+    """Rows of the boxes of one cell that meet and belong to it: some rows of a against the rows of b that can reach them."""
+    by_a, by_b = np.argsort(a[:, 0], kind="stable"), np.argsort(b[:, 0], kind="stable")
+    a, own_a = a[by_a], own_a[by_a, None]
+    xmin, ymin, xmax, ymax = np.ascontiguousarray(b[by_b].T)
+    own_b, widest = own_b[by_b], float(np.fmax.reduce(xmax - xmin, initial=0.0))
+    at = 0
+    while at < len(a):
+        # a width is rounded, so the first row is sought a little lower
+        least = a[at, 0] - widest - (abs(a[at, 0]) + widest) * 1e-9
+        begin = int(np.searchsorted(xmin, least, "left")) if math.isfinite(least) else 0
+        to = min(len(a), at + max(1, _STEP // max(1, len(xmin) - begin)))
+        end = int(np.searchsorted(xmin, a[at:to, 2].max(), "right"))
+        if end > begin:
+            part, some = slice(begin, end), a[at:to]
+            meets = some[:, :1] <= xmax[part]
+            meets &= some[:, 2:3] >= xmin[part]
+            meets &= some[:, 1:2] <= ymax[part]
+            meets &= some[:, 3:] >= ymin[part]
+            meets &= (own_a[at:to] | own_b[part]) == 3
+            found = np.flatnonzero(meets)
+            starts = np.arange(to - at + 1) * (end - begin)
+            many = np.diff(np.searchsorted(found, starts))
+            yield np.repeat(by_a[at:to], many), by_b[found - np.repeat(starts[:-1] - begin, many)]
+        at = to
+
+
 def _covers(shapes: _Shapes, corners: np.ndarray) -> np.ndarray:
     """Rows whose shape covers its whole cell: no segment meets the cell, and its middle lies inside."""
     out = shapes.area & (shapes.box[:, 0] <= corners[:, 0]) & (shapes.box[:, 1] <= corners[:, 1]) & (shapes.box[:, 2] >= corners[:, 2]) & (shapes.box[:, 3] >= corners[:, 3])
@@ -192,13 +276,40 @@ def _touching(a: _Shapes, b: _Shapes, ra: np.ndarray, rb: np.ndarray) -> np.ndar
             for k in some.tolist():
                 out[k] = meet_large(a.of(ra[k]), a.area[ra[k]], b.of(rb[k]), b.area[rb[k]])
             continue
-        step = max(1, CHUNK // max(1, n * m))
+        step = max(1, _STEP // max(1, n * m))
         for at in range(0, len(some), step):
             k = some[at : at + step]
             out[k] = meet(a.stacked(ra[k], n), a.area[ra[k]], b.stacked(rb[k], m), b.area[rb[k]])
     return out
 
 
+def _lowest(normal: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarray, others: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``normal`` of rows times the edge of the other's box that lies lowest along it."""
+    if not (normal < 0).any():
+        low.take(others, out=out, mode="clip")
+    elif not (normal > 0).any():
+        high.take(others, out=out, mode="clip")
+    else:
+        return np.where(normal[rows] < 0, high[others], low[others]) * normal[rows]
+    out *= normal[rows]
+    return out
+
+
+def _beside(outline: _Shapes, box: _Shapes, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Convex outlines and rectangles whose boxes meet: (they meet, they are too near to tell)."""
+    apart, near = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+    doubt = 1e-11 * max(outline.reach, box.reach)
+    x, y = np.empty(len(rows)), np.empty(len(rows))
+    for normal_x, normal_y, offset in outline.slants:
+        gap = _lowest(normal_x, box.edges[0], box.edges[2], rows, others, x)
+        gap += _lowest(normal_y, box.edges[1], box.edges[3], rows, others, y)
+        gap -= offset[rows]
+        apart |= gap > doubt
+        near |= gap >= -doubt
+    near &= ~apart
+    return ~(apart | near), near
+
+
 def _joined(grid: Grid, left_id: str, right_id: str):
     # plain numbers: a Grid would be read back by its class, and executors need not have this package
     xmin, ymin, nx, ny, grid_dx, grid_dy = grid.xmin, grid.ymin, grid.nx, grid.ny, grid.dx, grid.dy
@@ -209,44 +320,124 @@ def _joined(grid: Grid, left_id: str, right_id: str):
         x, y = xmin + cell[:, 1] * dx, ymin + cell[:, 2] * dy
         return np.stack([x, y, x + dx, y + dy], 1)
 
-    def owned(a: _Shapes, b: _Shapes, ra: np.ndarray, rb: np.ndarray) -> np.ndarray:
-        cell = a.cell[ra]
-        scale = np.exp2(cell[:, 0])
-        out = np.ones(len(ra), bool)
+    def owned(shapes: _Shapes) -> np.ndarray:
+        """Bit 1 or 2 if the cell holds the low x or y; a pair belongs to it if one of them holds x, one y and none starts beyond."""
+        scale = np.exp2(shapes.cell[:, 0])
+        out, beyond = np.zeros(len(shapes.box), np.uint8), np.zeros(len(shapes.box), bool)
         for axis, origin, step, n in ((0, xmin, grid_dx, nx), (1, ymin, grid_dy, ny)):
-            low = np.maximum(a.box[ra, axis], b.box[rb, axis])
-            index = np.clip(np.floor((low - origin) / (step / scale)), 0, n * scale - 1)
-            out &= index == cell[:, 1 + axis]
+            index = np.clip(np.floor((shapes.box[:, axis] - origin) / (step / scale)), 0, n * scale - 1)
+            out |= np.where(index == shapes.cell[:, 1 + axis], np.uint8(1 << axis), np.uint8(0))
+            beyond |= index > shapes.cell[:, 1 + axis]
+        out[beyond] = 4
         return out
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = _Shapes(left, "a_id"), _Shapes(right, "b_id")
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(a.box) and len(b.box):
-            cells, number = np.unique(np.concatenate([a.cell, b.cell]), axis=0, return_inverse=True)
-            number = number.ravel()
-            cell_a, cell_b = number[: len(a.box)], number[len(a.box) :]
-            box_a, box_b = corners(a.cell), corners(b.cell)
-            covers = _covers(a, box_a), _covers(b, box_b)
-            corner = _has_corner(a, box_a), _has_corner(b, box_b)
-            for ra, rb in _box_pairs(a, b, cell_a, cell_b):
-                own = owned(a, b, ra, rb)
-                ra, rb = ra[own], rb[own]
-                hit = (covers[0][ra] & corner[1][rb]) | (covers[1][rb] & corner[0][ra])
-                rest = np.flatnonzero(~hit)
-                hit[rest] = _touching(a, b, ra[rest], rb[rest])
-                found.append((ra[hit], rb[hit]))
-        rows = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
-        return pa.table({"a_id": a.ids.take(pa.array(rows[0])), "b_id": b.ids.take(pa.array(rows[1]))})
+    def candidates(a: _Shapes, b: _Shapes, cell_a: np.ndarray, cell_b: np.ndarray):
+        """Rows of one block whose boxes meet and that belong to its cell."""
+        own = owned(a), owned(b)
+        rows = [np.flatnonzero(o < 4) for o in own]
+        cells = [c[r] for c, r in zip((cell_a, cell_b), rows)]
+        n = int(max(cell_a[-1], cell_b[-1])) + 1
+        many = [np.bincount(c, minlength=n) for c in cells]
+        ends = [np.append(0, np.cumsum(m)) for m in many]
+        alone = many[0] * many[1] >= _OWN_STEP
+        for k in np.flatnonzero(alone).tolist():
+            ra, rb = (r[e[k] : e[k + 1]] for r, e in zip(rows, ends))
+            for i, j in _cell_pairs(a.box[ra], b.box[rb], own[0][ra], own[1][rb]):
+                yield ra[i], rb[j]
+        (ra, cell_a), (rb, cell_b) = ((r[~alone[c]], c[~alone[c]]) for r, c in zip(rows, cells))
+        if len(ra) and len(rb):
+            for i, j in _box_pairs(a.box[ra], b.box[rb], cell_a, cell_b):
+                i, j = ra[i], rb[j]
+                mine = (own[0][i] | own[1][j]) == 3
+                yield i[mine], j[mine]
+
+    def pairs(block: pa.Table):
+        """Rows of both sides that share a point, a few thousand at a time."""
+        keys = np.stack([block.column(c).to_numpy().astype(np.int64) for c in _BLOCK], 1)
+        number = np.cumsum(np.append(0, (np.diff(keys, axis=0) != 0).any(1)))
+        left = block.column("_left").to_numpy(zero_copy_only=False).astype(bool)
+        if left.all() or not left.any():
+            return
+        a, b = _Shapes(block.filter(pa.array(left)), left_id), _Shapes(block.filter(pa.array(~left)), right_id)
+        alike = a.is_convex.all() and b.is_rectangle.all()
+        covered: list = []
+        for ra, rb in candidates(a, b, number[left], number[~left]):
+            if alike:
+                hit, rest = _beside(a, b, ra, rb)
+            else:
+                hit, rest = np.zeros(len(ra), bool), np.ones(len(ra), bool)
+                for outline, box, i, j in ((a, b, ra, rb), (b, a, rb, ra)):
+                    k = np.flatnonzero(rest & outline.is_convex[i] & box.is_rectangle[j])
+                    if len(k):
+                        hit[k], rest[k] = _beside(outline, box, i[k], j[k])
+            rest = np.flatnonzero(rest)
+            if len(rest):
+                if not covered:
+                    box_a, box_b = corners(a.cell), corners(b.cell)
+                    covered += [_covers(a, box_a), _covers(b, box_b), _has_corner(a, box_a), _has_corner(b, box_b)]
+                i, j = ra[rest], rb[rest]
+                known = (covered[0][i] & covered[3][j]) | (covered[1][j] & covered[2][i])
+                unknown = np.flatnonzero(~known)
+                known[unknown] = _touching(a, b, i[unknown], j[unknown])
+                hit[rest] = known
+            yield a, b, ra[hit], rb[hit]
+
+    def sent(block: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count, a, b = 0, None, None
+
+        def batch() -> pa.RecordBatch:
+            rows = [np.concatenate([h[k] for h in held]) for k in (0, 1)]
+            return pa.record_batch({"a_id": _taken(a.ids, rows[0]), "b_id": _taken(b.ids, rows[1])})
+
+        for a, b, ra, rb in pairs(pa.Table.from_batches(block)):
+            held.append((ra, rb))
+            count += len(ra)
+            if count >= _SENT:
+                yield batch()
+                held, count = [], 0
+        if count:
+            yield batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come sorted by block; whole blocks are joined as soon as they are many rows or bytes."""
+        held: list[pa.RecordBatch] = []
+        last, rows, size = None, 0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            each = batch.nbytes / batch.num_rows
+            keys = np.stack([batch.column(c).to_numpy() for c in _BLOCK], 1).astype(np.int64)
+            before = keys[:1] if last is None else last
+            begins = np.flatnonzero((np.diff(np.concatenate([before, keys]), axis=0) != 0).any(1))
+            last, at = keys[-1:], 0
+            for begin in begins.tolist():
+                if rows + begin - at >= _GROUP_ROWS or size + (begin - at) * each >= _GROUP_BYTES:
+                    yield from sent([*held, batch.slice(at, begin - at)])
+                    held, rows, size, at = [], 0, 0.0, begin
+            held.append(batch.slice(at))
+            rows, size = rows + batch.num_rows - at, size + (batch.num_rows - at) * each
+        if held:
+            yield from sent(held)
 
     return run
 
 
-def exact_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, right_id: str, crowded_pairs: int = 4_000_000) -> DataFrame:
+def _taken(ids: pa.Array, rows: np.ndarray) -> pa.Array:
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        return pa.array(ids.to_numpy()[rows], ids.type)
+    return ids.take(pa.array(rows))
+
+
+def exact_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, right_id: str, crowded_pairs: int = 4_000_000,
+               block_pairs: int = 100_000_000) -> DataFrame:
     """``a_id, b_id`` of shapes that share a point.
 
     Both sides are stored frames with an id, the box columns and the plain coordinates of ``with_flat``.
-    ``crowded_pairs`` is the product of both sides' boxes from which a cell is cut.
+    ``crowded_pairs`` is the product of both sides' boxes from which a cell is quartered, ``block_pairs`` that from which
+    it is cut into blocks. Blocks go sorted to the tasks, which send pairs on as they are found, so neither the rows
+    nor the pairs of a task are ever held together.
     """
     spark = left.sparkSession
     sides = [_placed(df.withColumnRenamed(key, name), grid) for df, key, name in ((left, left_id, "a_id"), (right, right_id, "b_id"))]
@@ -263,16 +454,19 @@ def exact_join(left: DataFrame, right: DataFrame, grid: Grid, left_id: str, righ
         loads = checkpointed(_loads(*slim))
     for split in splits:
         sides = [_quartered(s, split, grid) for s in sides]
-    hot, rows = _blocks(loads, crowded_pairs)
+    hot, rows = _blocks(loads, block_pairs)
     hot = small_side(hot)
-    # rows repeated for blocks count, or a group would get more pairs the more its cells are crowded
-    total = loads.agg(F.sum(rows)).first()[0] or 0
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // _GROUP_ROWS)
-    grouped = []
-    for side, key, own, other, i, j in zip(sides, ("a_id", "b_id"), ("_pa", "_pb"), ("_pb", "_pa"), ("i", "j"), ("j", "i")):
+    # rows repeated for blocks count, or a task would get more pairs the more its cells are crowded
+    total = loads.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("rows"), F.coalesce(F.sum(product), F.lit(0.0)).alias("pairs")).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total["rows"]) // _TASK_ROWS, int(total["pairs"] // _TASK_PAIRS))
+    kinds = [s.schema[k].dataType for s, k in zip(sides, ("a_id", "b_id"))]
+    dealt = []
+    for side, is_left, own, other, i, j in zip(sides, (True, False), ("_pa", "_pb"), ("_pb", "_pa"), ("i", "j"), ("j", "i")):
         cut = side.join(hot, _CELL, "left")
-        mine = F.coalesce(F.pmod(F.xxhash64(key), F.col(own)).cast("int"), F.lit(0))
-        cut = cut.withColumns({i: mine, j: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))}).drop("_pa", "_pb")
-        grouped.append(cut.withColumn("_bin", F.pmod(F.xxhash64(*_CELL, "i", "j"), F.lit(bins))).groupBy("_bin"))
-    kinds = [s.schema[k].dataType.simpleString() for s, k in zip(sides, ("a_id", "b_id"))]
-    return grouped[0].cogroup(grouped[1]).applyInArrow(_joined(grid, "a_id", "b_id"), f"a_id {kinds[0]}, b_id {kinds[1]}")
+        mine = F.coalesce(F.pmod(F.xxhash64("a_id" if is_left else "b_id"), F.col(own)).cast("int"), F.lit(0))
+        cut = cut.withColumns({i: mine, j: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))})
+        ids = [F.col(k) if (k == "a_id") == is_left else F.lit(None).cast(kind).alias(k) for k, kind in zip(("a_id", "b_id"), kinds)]
+        dealt.append(cut.select(*ids, F.lit(is_left).alias("_left"), *BOX, "flat_x", "flat_y", "flat_ends", "flat_area", *_BLOCK))
+    blocks = dealt[0].unionAll(dealt[1]).repartition(tasks, *_BLOCK).sortWithinPartitions(*_BLOCK, "_left")
+    out = T.StructType([T.StructField(k, kind) for k, kind in zip(("a_id", "b_id"), kinds)])
+    return blocks.mapInArrow(_joined(grid, "a_id", "b_id"), out)

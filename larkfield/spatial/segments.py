@@ -44,8 +44,11 @@ def holds_any(outline: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 def meet(a: np.ndarray, a_area: np.ndarray, b: np.ndarray, b_area: np.ndarray) -> np.ndarray:
     hit = segments_meet(a, b)
-    hit |= b_area & holds_any(b, a)
-    return hit | (a_area & holds_any(a, b))
+    for outline, points, area in ((b, a, b_area), (a, b, a_area)):
+        open_ = np.flatnonzero(~hit & area)
+        if len(open_):
+            hit[open_] = holds_any(outline[open_], points[open_])
+    return hit
 
 
 #: Cells of the largest array that a test makes.
